@@ -59,16 +59,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df: DataFrame, bytes_col: Column | None = None) -> DataFrame:
-    """Scans of few row groups give few tasks; deal such rows out evenly."""
+def spread(df: DataFrame) -> DataFrame:
+    """Scans of few row groups give few tasks; deal the rows of such out evenly."""
     least = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
-
-
-def words_of(text: Column) -> Column:
-    """The array of `[^\\x20\\x09-\\x0D]+` in a text; none for null."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", " " * 5)
-    return F.filter(F.split(plain, " +"), lambda w: w != "")
+    return df if 2 * df.rdd.getNumPartitions() >= least else df.repartition(least)
 
 
 def n_words_of(text: Column) -> Column:

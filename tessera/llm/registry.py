@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, quality, simhash
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op7_quality": quality.op7_quality,
+        "op8_simhash": simhash.op8_simhash,
     }
 
 
