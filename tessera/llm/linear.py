@@ -11,6 +11,10 @@ import numpy as np
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+")
 
 
+#: Stands for a word that follows itself, whatever word it is.
+REPEAT = np.uint32(0x52455054)
+
+
 def features(text: bytes, bits: int, n_grams: int = 2) -> np.ndarray:
     """The hash, of so many bits, of every word and word pair of a text, repeats included."""
     one = np.array([crc32(w) for w in TOKEN.findall(text)], np.uint32)
@@ -20,6 +24,7 @@ def features(text: bytes, bits: int, n_grams: int = 2) -> np.ndarray:
             break
         last = last[:-1] * np.uint32(0x9E3779B1) ^ one[n:]
         grams.append(last)
+    grams.append(np.full(np.count_nonzero(one[1:] == one[:-1]), REPEAT))
     mixed = np.concatenate(grams)
     mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
     return (mixed >> np.uint32(32 - bits)).astype(np.int32)
