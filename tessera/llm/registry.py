@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality, simhash
+import corpus_pipeline
+
+from . import exact_dedup, mixing, pieces, quality, simhash, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_token_counts": token_counts.op4_token_counts,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op7_quality": quality.op7_quality,
         "op8_simhash": simhash.op8_simhash,
+        "pipeline": corpus_pipeline.run,
     }
 
 
