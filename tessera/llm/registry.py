@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, mixing, pieces, quality, simhash, token_counts, toxicity
+from . import exact_dedup, mixing, pieces, quality, simhash, token_counts, token_files, toxicity
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op7_quality": quality.op7_quality,
         "op8_simhash": simhash.op8_simhash,
+        "op10_token_files": token_files.op10_token_files,
         "pipeline": corpus_pipeline.run,
     }
 
