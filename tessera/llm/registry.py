@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import exact_dedup, mixing, pieces, quality, simhash, token_counts, token_files, toxicity
+from . import ann, exact_dedup, mixing, pieces, quality, simhash, token_counts, token_files, toxicity
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_token_counts": token_counts.op4_token_counts,
         "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op6_nearest": ann.op6_nearest,
         "op7_quality": quality.op7_quality,
         "op8_simhash": simhash.op8_simhash,
         "op10_token_files": token_files.op10_token_files,
