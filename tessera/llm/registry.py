@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, exact_dedup, mixing, pieces, quality, simhash, token_counts, token_files, toxicity
+from . import ann, exact_dedup, mixing, pieces, quality, simhash, suffixes, token_counts, token_files, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op6_nearest": ann.op6_nearest,
         "op7_quality": quality.op7_quality,
         "op8_simhash": simhash.op8_simhash,
+        "op9_repeats": suffixes.op9_repeats,
         "op10_token_files": token_files.op10_token_files,
         "pipeline": corpus_pipeline.run,
     }
