@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Longest code, so a decoder's table has 2^20 entries. A vocabulary must be smaller.
-LONGEST = 20
+#: Longest code: a decoder's table of 2^17 entries stays in a processor's cache. A vocabulary must be smaller.
+LONGEST = 17
 #: A block's bit offset is noted at every so many ids.
 STRIDE = 128
 

@@ -9,6 +9,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +22,26 @@ VOCABULARY, END = "byte_bpe_50k.json", 0
 #: A block is closed once it has so many ids; it holds whole documents.
 BLOCK = 1 << 16
 #: Chunks whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 300_000
-#: What stands between chunks that the library gets as one text, and how many it gets so.
+REMEMBERED = 1_000_000
+#: Bytes of text encoded at a time.
+TEXT = 12_000_000
+#: What stands between words that the library gets as one text, and how many it gets so; marks that end chunks.
 BETWEEN, TOGETHER = "\n\n", 400
+MARKS = ".,;:!?\"')"
+#: How a text's first chunk is marked, and its end.
+BEGIN, LAST = "\x01\n", "\x02\n"
 KIND = "shard int, block int, before long, doc_ids array<long>, sizes array<int>, n_ids long, payload binary, checkpoints binary, crc long"
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, which sees every distinct chunk of text once.
+    """Ids of whole texts by the tokenizers library, which sees every distinct word once.
 
-    Byte-level vocabularies put a space with what follows it, and begin a token at every single
-    space between other characters: there, texts can be cut. A text with white space next to white
-    space, or at an end, is given to the library whole.
+    Byte-level vocabularies begin a token at every space or line end that stands alone between other
+    characters, and at marks after a letter; a space goes with what follows it. So there, texts can be cut. A
+    text with other white space, or with white space at an end, is given to the library whole.
+
+    Chunks are written as their text; with a line end before those that follow one; with BEGIN before
+    a text's first; and LAST stands for a text's end. No chunk of a text has a line end inside, so neither is mistaken.
     """
 
     def __init__(self, definition: str):
@@ -42,59 +51,98 @@ class Encoder:
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids[0]
+        self.line, self.end = self._library(["\n"])[0], np.array([END], self.kind).tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Ids of chunks (None: of no use, as white space is in them), of words without a space before, of marks.
+        self.known: dict[str, bytes | None] = {LAST: self.end}
         self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _chunks(self, parts: list[str]) -> list[bytes]:
-        """The ids of each part with a space before it. Many go to the library as one text, with line
-        ends between them that are a token of their own; a part that has that token goes alone."""
-        out: dict[str, bytes] = {}
-        alone = [p for p in parts if BETWEEN in p or "<|" in p]
-        out.update(zip(alone, self._library([" " + p for p in alone])))
-        rest = [p for p in parts if p not in out]
-        many = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        texts = [BETWEEN.join([" " + p for p in own]) for own in many]
-        for own, e in zip(many, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, self.kind)
-            stops = np.append(np.flatnonzero(ids == self.between), len(ids)).tolist()
-            if len(stops) != len(own):
-                out.update(zip(own, self._library([" " + p for p in own])))
-                continue
-            raw, size, start = ids.tobytes(), self.kind.itemsize, 0
-            for p, stop in zip(own, stops):
-                out[p] = raw[start * size : stop * size]
-                start = stop + 1
-        return [out[p] for p in parts]
-
-    @staticmethod
-    def _cut(text: str) -> list[str] | None:
-        parts = text.split(" ")
-        # As many words as spaces and line ends say: then none of those is beside another, or at an end.
-        if len(text.split()) == len(parts) + text.count("\n"):
-            return parts
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return None
-        return parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes, END after them."""
-        if len(self.later) + len(self.first) > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
-        cut = [self._cut(t) for t in texts]
-        whole = [t for t, c in zip(texts, cut) if c is None]
-        first, later = self.first, self.later
-        new = list(dict.fromkeys(c[0] for c in cut if c and c[0] not in first))
-        first.update(zip(new, self._library(new)))
-        new = list(dict.fromkeys(p for c in cut if c for p in c[1:] if p not in later))
-        later.update(zip(new, self._chunks(new)))
-        rest = iter(self._library(whole))
-        end = np.array([END], self.kind).tobytes()
-        return [(next(rest) if c is None else b"".join([first[c[0]], *[later[p] for p in c[1:]]])) + end for c in cut]
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it. Many go to the library as one text, with line
+        ends between them that are a token of their own."""
+        out: list[bytes] = []
+        size = self.kind.itemsize
+        for i in range(0, len(words), TOGETHER * 64):
+            some = [words[j : j + TOGETHER] for j in range(i, min(i + TOGETHER * 64, len(words)), TOGETHER)]
+            for own, e in zip(some, self.tokenizer.encode_batch_fast([BETWEEN.join([" " + w for w in own]) for own in some], add_special_tokens=False)):
+                ids = np.array(e.ids, self.kind)
+                stops = np.append(np.flatnonzero(ids == self.between), len(ids)).tolist()
+                if len(stops) != len(own):
+                    out += self._library([" " + w for w in own])
+                    continue
+                raw, start = ids.tobytes(), 0
+                for stop in stops:
+                    out.append(raw[start * size : stop * size])
+                    start = stop + 1
+        return out
+
+    def _bare(self, chunks: list[str]) -> list[str]:
+        """Each chunk's word: without marks that end it, if after a letter or digit, as those are tokens of their own."""
+        bare = [c.rstrip(MARKS) for c in chunks]
+        bare = [c if c == b or not b[-1:].isalnum() or "<|" in c else b for c, b in zip(chunks, bare)]
+        if new := list({m for c, b in zip(chunks, bare) if (m := c[len(b) :]) not in self.marks}):
+            self.marks.update(zip(new, self._library(new)))
+        return bare
+
+    def _learn(self, chunks: list[str]) -> None:
+        known, first, marks = self.known, self.first, self.marks
+        plain, begun = [], []
+        for c in chunks:
+            word = c[len(BEGIN) :] if c.startswith(BEGIN) else c[1:] if c[:1] == "\n" else c
+            if word.split() != [word]:
+                known[c] = None
+            elif word is c:
+                plain.append(c)
+            else:
+                begun.append((c, word))
+        words = [w for _, w in begun]
+        bare = self._bare(words)
+        if new := list({b for b in bare if b not in first}):
+            first.update(zip(new, self._library(new)))
+        known.update([(c, (b"" if c.startswith(BEGIN) else self.line) + first[b] + marks[w[len(b) :]]) for (c, w), b in zip(begun, bare)])
+        bare = self._bare(plain)
+        if new := list({b for b in bare if known.get(b) is None}):
+            known.update(zip(new, self._spaced(new)))
+        known.update([(c, known[b] + marks[c[len(b) :]]) for c, b in zip(plain, bare) if len(c) > len(b)])
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as bytes, END after them. Words are cut, and distinct ones found, by Arrow."""
+        if len(self.known) + len(self.first) > REMEMBERED:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        lines = pc.replace_substring(texts, "\n", " \n")
+        cut = pc.split_pattern(pc.binary_join_element_wise(BEGIN, lines, " " + LAST, ""), " ")
+        coded = pc.dictionary_encode(cut.flatten())
+        words, known = coded.dictionary.to_pylist(), self.known
+        ids = list(map(known.get, words))
+        if missing := [i for i, x in enumerate(ids) if x is None]:
+            self._learn([words[i] for i in missing if words[i] not in known])
+            for i in missing:
+                ids[i] = known[words[i]]
+        good = [b"" if x is None else x for x in ids]
+        size = self.kind.itemsize
+        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, good), np.int64, len(good)) // size)))
+        flat = pa.Array.from_buffers(pa.uint16() if size == 2 else pa.uint32(), int(starts[-1]), [None, pa.py_buffer(b"".join(good))])
+        index = coded.indices
+        data = pa.LargeListArray.from_arrays(pa.array(starts), flat).take(index).flatten()
+        at = index.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(np.diff(starts)[at])))
+        offsets = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * size
+        out = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data.to_numpy()))]).cast(pa.binary())
+        bad = np.array([x is None for x in ids])
+        if not bad.any():
+            return out
+        # Texts with a chunk that can't be used go to the library whole.
+        whole = np.unique(np.searchsorted(cut.offsets.to_numpy() - cut.offsets[0].as_py(), np.flatnonzero(bad[at]), side="right") - 1)
+        found = dict(zip(whole.tolist(), self._library([texts[i].as_py() for i in whole.tolist()])))
+        return pa.array([found[i] + self.end if i in found else x for i, x in enumerate(out.to_pylist())], pa.binary())
 
 
 _loaded: dict[int, Encoder] = {}
@@ -108,34 +156,52 @@ def encoder_of(definition: str) -> Encoder:
     return _loaded[key]
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (bytes: two a number if the vocabulary allows, else four) for every row of docs (doc_id, text)."""
-    with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
-        definition = docs.sparkSession.sparkContext.broadcast(file.read())
+def _encoded(docs: DataFrame, definition: str, size: int) -> DataFrame:
+    """doc_id, ids, counts: a row for each document, and last of each task one with how often it met every id."""
+    shared = docs.sparkSession.sparkContext.broadcast(definition)
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder_of(definition.value)
+        own = encoder_of(shared.value)
+        total = np.zeros(size, np.int64)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
-                ids = own.encode([t or "" for t in b.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            # The more text at a time, the fewer words are looked up again.
+            rows = max(1, int(TEXT * whole.num_rows / max(1, whole.column(1).nbytes)))
+            for i in range(0, whole.num_rows, rows):
+                b = whole.slice(i, rows)
+                ids = own.encode(b.column(1))
+                if ids.buffers()[2] is not None:
+                    total += np.bincount(np.frombuffer(ids.buffers()[2], own.kind), minlength=size)
+                yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.nulls(len(b), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"counts": total.tobytes()}], schema)
+
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids binary, counts binary")
 
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, ids binary")
+
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids (bytes: two a number if the vocabulary allows, else four) for every row of docs (doc_id, text), END last."""
+    definition, size = _definition(path)
+    return _encoded(docs, definition, size).where("ids IS NOT NULL").drop("counts")
+
+
+def _definition(path: str | None) -> tuple[str, int]:
+    with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
+        definition = file.read()
+    return definition, Tokenizer.from_str(definition).get_vocab_size(with_added_tokens=True)
 
 
-def id_counts(rows: DataFrame, kind: str, size: int) -> np.ndarray:
-    """How often each id occurs: summed in each task, then by id; a row for each id of the vocabulary reaches the driver."""
+def id_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs: tasks' counts are summed by id; a row for each id of the vocabulary reaches the driver."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            flat = np.frombuffer(b"".join(b.column(0).to_pylist()), kind)
-            total += np.bincount(flat, minlength=size)
+            for x in b.column(0).to_pylist():
+                total += np.frombuffer(x, np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["id", "n"])
 
-    found = rows.select("ids").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.where("counts IS NOT NULL").select("counts").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, np.int64)
     out[found["id"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -153,18 +219,17 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None) -> None:
     Null texts count as empty. Null doc_ids come first; rows that share one are in order of their ids.
     """
     spark = docs.sparkSession
-    with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
-        tokenizer = Tokenizer.from_str(file.read())
-    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    definition, size = _definition(path)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    rows = written(encoded(docs, path), "ids")
-    lengths = code_lengths(id_counts(rows, kind, size))
+    rows = written(_encoded(docs, definition, size), "ids")
+    lengths = code_lengths(id_counts(rows, size))
+    rows = rows.where("ids IS NOT NULL").select("doc_id", "ids")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{out}/codebook")
     table = spark.sparkContext.broadcast(lengths)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, codes = table.value, codes_of(table.value)
-        shard, block, before, waiting, keys, sizes = TaskContext.get().partitionId(), 0, 0, [], [], []
+        lengths, codes, width = table.value, codes_of(table.value), np.dtype(kind).itemsize
+        shard, block, before, held, waiting, keys, sizes = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(waiting), kind)
@@ -176,15 +241,16 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None) -> None:
             for key, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 waiting.append(ids)
                 keys.append(key)
-                sizes.append(len(ids) // np.dtype(kind).itemsize)
-                if sum(sizes) >= BLOCK:
+                sizes.append(len(ids) // width)
+                held += sizes[-1]
+                if held >= BLOCK:
                     yield close()
-                    before, block = before + sum(sizes), block + 1
+                    before, block, held = before + held, block + 1, 0
                     waiting, keys, sizes = [], [], []
         if keys:
             yield close()
 
-    ranged = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first(), "ids").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ranged = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     ranged.mapInArrow(blocks, KIND).write.parquet(f"{out}/blocks")
 
 
