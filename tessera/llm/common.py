@@ -71,6 +71,12 @@ def n_words_of(text: Column) -> Column:
     return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, " +"))).cast("long")
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """So many names of columns that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"own_{i}" for i in range(n + len(taken))) if x not in taken][:n]
+
+
 def hot_join(rows: DataFrame, unique: DataFrame, keys: Sequence[str], size: str, total: int) -> DataFrame:
     """Inner join of many rows with a table of one row per key that knows each key's number of rows.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, hot_join, read_table, scratch
+from .common import SPACES, free_names, hot_join, read_table, scratch
 
 #: Bits of the filter over hit digests: eight for each digest, between 2^15 and 2^30 (128 MB at most).
 FILTER_BITS = (1 << 15, 1 << 30)
@@ -137,15 +137,14 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
     A document is a doc_id and a text, so of rows that repeat both one stays.
     """
-    kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256)).withColumn("__id", F.col("doc_id").cast("long"))
-    same = keyed["__id"].eqNullSafe(kept["__id"]) & (keyed["__sha"] == kept["__sha"])
-    left = keyed.join(kept, same, "left_semi")
+    own, sha, place = free_names(docs, 3)
+    kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    keyed = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256)).withColumn(own, F.col("doc_id").cast("long"))
+    left = keyed.join(kept, keyed[own].eqNullSafe(kept["kept_id"]) & (keyed[sha] == kept["kept_sha"]), "left_semi")
     if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        best = left.withColumn("__points", F.length(F.coalesce("text", F.lit(""))))
-        most = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.desc("__points")))
-        left = best.withColumn("__n", most).where("__n = 1").drop("__n", "__points")
-    return left.drop("__id", "__sha")
+        first = Window.partitionBy(own, sha).orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))
+        left = left.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return left.drop(own, sha)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

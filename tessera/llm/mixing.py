@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, n_words_of, read_table, written
+from .common import free_names, hot_join, n_words_of, read_table, written
 
 #: A source's target is at most so many times its size.
 MOST_EPOCHS = 3
@@ -97,9 +97,10 @@ def repeat_by_mix(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id are told apart by nothing else, so they are repeated alike: as the
     least taken of them is. Documents of no words add nothing to a mix of words and are not in it.
     """
-    times = mix(docs).where("size > 0").groupBy("doc_id").agg(F.min((F.col("taken") / F.col("size")).cast("int")).alias("__times")).withColumnRenamed("doc_id", "__id").where("__times > 0")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["__id"])).where(n_words_of(F.col("text")) > 0)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__id", "__copy")
+    own, n, copy = free_names(docs, 3)
+    times = mix(docs).where("size > 0").groupBy(F.col("doc_id").alias(own)).agg(F.min((F.col("taken") / F.col("size")).cast("int")).alias(n)).where(F.col(n) > 0)
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times[own])).where(n_words_of(docs["text"]) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(own, n, copy)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int
 
     rows_ = featured(docs, sample_of(labels, label, rows), bits)
     one = rows_.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "label", "ids")
-    return np.frombuffer(bytes(one.mapInArrow(learn, "weights binary").first()[0]), np.float32)
+    found = one.mapInArrow(learn, "weights binary").first()  # none if there are no labelled rows
+    return np.frombuffer(bytes(found[0]) if found else trained([], bits, epochs).tobytes(), np.float32)
 
 
 def scores_of(texts: pa.Array, weights: np.ndarray, bits: int) -> np.ndarray:

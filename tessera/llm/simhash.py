@@ -191,8 +191,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id stay or go together.
     """
     gone = near_classes(docs).groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())).alias("stays")).where("NOT stays")
-    gone = gone.select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone"]), "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

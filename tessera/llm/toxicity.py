@@ -144,7 +144,8 @@ def score_chain(docs: DataFrame, chain: list[np.ndarray], categories=CATEGORIES,
     """doc_id, a probability p_<category> for each category, is_toxic (the last one's is over the threshold).
 
     Whole texts of docs (doc_id, text) are scored, one row for each. A null or empty text has no
-    features: its probabilities follow from the constants. Null ids and repeated rows are kept.
+    features: its probabilities follow from the constants. Null ids and repeated rows are kept. A chain
+    that was fitted on no rows gives 0 throughout.
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{name}" for name, _ in categories]
