@@ -65,10 +65,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df if 2 * df.rdd.getNumPartitions() >= least else df.repartition(least)
 
 
+def without_spaces(text: Column) -> Column:
+    """The text without white space; null counts as empty. Plain replacements are the fastest way that Spark has."""
+    out = F.coalesce(text, F.lit(""))
+    for space in SPACES:
+        out = F.replace(out, F.lit(space), F.lit(""))
+    return out
+
+
 def n_words_of(text: Column) -> Column:
-    """How many `[^\\x20\\x09-\\x0D]+` a text has, as a long: starts of words, counted without an array."""
-    plain = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", " " * 5))
-    return F.when(plain == "", F.lit(0)).otherwise(F.size(F.split(plain, " +"))).cast("long")
+    """How many `[^\x20\x09-\x0D]+` a text has, as a long: the parts between white space, but for empty ones at the ends."""
+    whole = F.coalesce(text, F.lit(""))
+    ends = sum((F.substring(whole, at, 1).isin(*SPACES).cast("int") for at in (1, -1)), F.lit(0))
+    return F.when(whole == "", F.lit(0)).otherwise(F.size(F.split(whole, r"[\x20\x09-\x0D]+")) - ends).cast("long")
 
 
 def free_names(df: DataFrame, n: int) -> list[str]:

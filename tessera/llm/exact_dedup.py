@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, free_names, hot_join, read_table, scratch
+from .common import free_names, hot_join, read_table, scratch, without_spaces
 
 #: Bits of the filter over hit digests: eight for each digest, between 2^15 and 2^30 (128 MB at most).
 FILTER_BITS = (1 << 15, 1 << 30)
@@ -14,11 +14,6 @@ FILTER_BITS = (1 << 15, 1 << 30)
 BITMAP = 32768
 
 
-def normalised(text: Column) -> Column:
-    """The text without white space; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
-
-
 class DigestIndex:
     """A log-structured merge index of text digests, kept as sorted Parquet runs in the shared folder.
 
@@ -43,7 +38,7 @@ class DigestIndex:
 
     def _keyed(self, docs: DataFrame, *more: Column) -> DataFrame:
         sha = F.unhex(F.sha2(F.col("norm"), 256))
-        doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("whole"), normalised(F.col("text")).alias("norm"))
+        doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("whole"), without_spaces(F.col("text")).alias("norm"))
         return doc.select("doc_id", F.length(F.coalesce("whole", F.lit(""))).cast("long").alias("points"), sha.alias("sha"), *more).withColumn("digest", F.substring("sha", 1, self.digest_bytes))
 
     @staticmethod
@@ -139,7 +134,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """
     own, sha, place = free_names(docs, 3)
     kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    keyed = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256)).withColumn(own, F.col("doc_id").cast("long"))
+    keyed = docs.withColumn(sha, F.sha2(without_spaces(F.col("text")), 256)).withColumn(own, F.col("doc_id").cast("long"))
     left = keyed.join(kept, keyed[own].eqNullSafe(kept["kept_id"]) & (keyed[sha] == kept["kept_sha"]), "left_semi")
     if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         first = Window.partitionBy(own, sha).orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, hot_join, n_words_of, read_table, written
+from .common import free_names, hot_join, n_words_of, read_table, without_spaces, written
 
 #: A source's target is at most so many times its size.
 MOST_EPOCHS = 3
@@ -13,12 +13,11 @@ MOST_EPOCHS = 3
 SLICES = 4096
 
 
-def document_quality(text: Column, words: Column) -> Column:
-    """A weight of 1 to 3 from the text alone: one more for an ending mark, one for words of 3 to 12 letters on average."""
-    body = F.rtrim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "))
-    marks = F.length(F.translate(body, " ", ""))
-    ended = F.substring(body, -1, 1).isin(".", "!", "?")
-    return 1 + ended.cast("int") + ((marks >= 3 * words) & (marks <= 12 * words) & (words > 0)).cast("int")
+def document_quality(marks: Column, words: Column) -> Column:
+    """A weight of 1 to 3 from a text without its white space: one more for an ending mark, one for words of 3 to 12 letters on average."""
+    n = F.length(marks)
+    usual = (n >= 3 * words) & (n <= 12 * words) & (words > 0)
+    return 1 + F.substring(marks, -1, 1).isin(".", "!", "?").cast("int") + usual.cast("int")
 
 
 def _uniform(key: Column) -> Column:
@@ -61,11 +60,12 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS,
     last; null doc_ids draw the same key. Rows repeating a doc_id are mixed each for itself. An empty
     table gives an empty result. If all sizes are 0 so are all targets.
     """
-    size = n_words_of(F.col("text"))
+    text = F.col("text")
+    own = (without_spaces(text) if weight is None else F.lit(None)).alias("marks"), (F.lit(None) if weight is None else weight).cast("double").alias("weight")
+    rows = docs.select("doc_id", "source", n_words_of(text).alias("size"), *own)
     key = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    base = docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), F.col("text")).select(
-        "doc_id", "source", "size", (-F.log(_uniform(key)) / (document_quality(F.col("text"), F.col("size")) if weight is None else weight).cast("double")).alias("key")
-    )
+    quality = F.col("weight") if weight is not None else document_quality(F.col("marks"), F.col("size")).cast("double")
+    base = rows.select("doc_id", "source", "size", (-F.log(_uniform(key)) / quality).alias("key"))
     base = written(base, "mix-keys")
     # 1 - exp(-key) rises with the key and is spread over (0, 1), so equal widths make slices in order.
     base = base.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES)).withColumn("named", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))))
