@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, norm
-
+#: Added to the product of norms.
 EPSILON = 1e-9
+#: Rows of a block.
+BLOCK = 4096
 
 
-def near_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """a, b, similarity: pairs of rows (ord, embedding), a before b, whose cosine reaches the threshold.
 
-    Exact: rows fall into blocks, and each pair of blocks is compared in one task, so no row is sent more
-    than `blocks` times and no task holds more than two blocks.
+    Exact: rows are dealt into blocks of about `block`, and each two blocks are compared in one task by a matrix
+    product, so that no task holds more than two blocks and nothing but pairs found leaves it. Rows
+    without an embedding, or with one of zeros, are near none.
     """
-    spark = vectors.sparkSession
-    n = blocks or max(1, math.isqrt(2 * spark.sparkContext.defaultParallelism))
-    own = vectors.select("ord", "embedding", F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int").alias("block"))
+    own = vectors.where(F.col("embedding").isNotNull()).select(F.col("ord").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("embedding"))
+    n = max(1, -(-own.count() // block))
+    at = F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")
     cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi"))))
-    left = own.withColumn("cell", cells).select("cell", F.col("ord").alias("a"), F.col("embedding").alias("x"), F.col("block").alias("ba"))
-    right = left.select("cell", F.col("a").alias("b"), F.col("x").alias("y"), F.col("ba").alias("bb"))
-    # A pair of one block meets in that block's own cell only; of two, in theirs.
-    meet = F.when(F.col("ba") == F.col("bb"), F.col("cell.lo") == F.col("cell.hi")).otherwise(True)
-    pairs = left.join(right, "cell").where((F.col("a") < F.col("b")) & meet)
-    return pairs.select("a", "b", cosine(F.col("x"), F.col("y"), EPSILON).alias("similarity")).where(F.col("similarity") >= threshold)
+    dealt = own.withColumn("block", at).withColumn("cell", cells).select("cell.lo", "cell.hi", "block", "ord", "embedding")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        lo, hi = (k.as_py() for k in key)
+        block, ids = rows["block"].to_numpy(), rows["ord"].to_numpy()
+        flat = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = flat.reshape(len(ids), -1)
+        size = np.sqrt((x * x).sum(1))
+        sides = [np.flatnonzero((block == k) & (size > 0)) for k in (lo, hi)]
+        a, b, found = [], [], []
+        for i in range(0, len(sides[0]), 512):
+            left = sides[0][i : i + 512]
+            cosine = x[left] @ x[sides[1]].T / (size[left, None] * size[None, sides[1]] + EPSILON)
+            r, c = np.nonzero(cosine >= threshold)
+            u, v = ids[left[r]], ids[sides[1][c]]
+            keep = (u < v) if lo == hi else np.ones(len(u), bool)
+            a.append(np.minimum(u, v)[keep])
+            b.append(np.maximum(u, v)[keep])
+            found.append(cosine[r, c][keep])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none), "similarity": np.concatenate(found or [np.zeros(0)])})
+
+    return dealt.groupBy("lo", "hi").applyInArrow(compare, "a long, b long, similarity double")
 
 
 def drop_near_duplicates(rows: DataFrame, threshold: float = 0.95, pairs: DataFrame | None = None) -> DataFrame:
@@ -37,8 +56,7 @@ def drop_near_duplicates(rows: DataFrame, threshold: float = 0.95, pairs: DataFr
     kept once all its earlier neighbours are known to be dropped, and dropped once one is known to be kept.
     Each round settles at least the first unsettled row of every chain; rounds are as many as chains are long.
     """
-    links = pairs if pairs is not None else near_pairs(rows.where(norm(F.col("embedding")) > 0), threshold)
-    links = links.select("a", "b").checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else links.select("a", "b").persist()
+    links = (pairs if pairs is not None else near_pairs(rows, threshold)).select("a", "b").persist()
     open_ = links.select(F.col("b").alias("ord")).distinct()
     # Rows without an earlier neighbour are kept from the start.
     kept = links.select(F.col("a").alias("ord")).distinct().join(open_, "ord", "left_anti")

@@ -9,7 +9,10 @@ from ..functions.aliases import resolve_owner, resolve_service, services_in
 from ..functions.text import none, owner_line, strip
 
 COLUMNS = ["id", "type", "title", "body", "owner", "services_mentioned", "timestamp", "source", "priority", "status"]
-NULL = F.lit(None).cast("string")
+
+
+def _null() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _known(service: Column) -> Column:
@@ -17,7 +20,7 @@ def _known(service: Column) -> Column:
 
 
 def _record(df: DataFrame, source: str, kind: str, **cols: Column) -> DataFrame:
-    fixed = {"type": F.lit(kind), "source": F.lit(source), "priority": NULL, "status": NULL}
+    fixed = {"type": F.lit(kind), "source": F.lit(source), "priority": _null(), "status": _null()}
     order = [F.col("ord")] if "ord" in df.columns else [F.monotonically_increasing_id().alias("ord")]
     return df.select(*order, *[(cols | {k: v for k, v in fixed.items() if k not in cols})[c].alias(c) for c in COLUMNS])
 
@@ -42,7 +45,7 @@ def normalize_commits(commits: DataFrame) -> DataFrame:
 def normalize_logs(logs: DataFrame) -> DataFrame:
     title = F.concat(F.lit("["), F.col("level"), F.lit("] "), F.col("service"), F.lit(": "), F.substring("message", 1, 80))
     priority = F.when(F.col("level") == "ERROR", "P1").otherwise("P2")
-    return _record(logs, "logs", "log", id=F.col("id"), title=title, body=F.col("message"), owner=NULL, services_mentioned=F.array(_known(F.col("service"))), timestamp=F.col("timestamp"), priority=priority, status=F.lit("active"))
+    return _record(logs, "logs", "log", id=F.col("id"), title=title, body=F.col("message"), owner=_null(), services_mentioned=F.array(_known(F.col("service"))), timestamp=F.col("timestamp"), priority=priority, status=F.lit("active"))
 
 
 #: In the order in which records count as ingested.
