@@ -109,18 +109,77 @@ def _mentions(x: str) -> str:
 ALIASES = f"services AS (SELECT * FROM {_alias(SERVICES)}), owners AS (SELECT * FROM {_alias(OWNERS)})"
 RECORDS = rf"""
 {ALIASES},
-d AS (SELECT *, list_filter(string_split(body, E'\n'), lambda x: contains(lower(x), 'owner:'))[1] AS line FROM {sql_values(DOCS, "id, title, body, source, last_updated")}),
+d AS (SELECT *, list_filter(string_split(body, E'\n'), lambda x: contains(lower(x), 'owner:'))[1] AS line FROM {sql_values([(*r, i) for i, r in enumerate(DOCS)], "id, title, body, source, last_updated, n")}),
 d2 AS (SELECT *, trim(regexp_replace(line, '^[^:]*:', '')) AS said FROM d),
 d3 AS (SELECT *, CASE WHEN contains(said, '(') AND contains(said, ')') THEN regexp_extract(said, '\(([^)]*)\)', 1) ELSE said END AS who FROM d2),
-t AS (SELECT * FROM {sql_values(TICKETS, "id, summary, description, assignee, reporter, status, priority, services_affected, created, source")}),
-c AS (SELECT * FROM {sql_values(COMMITS, "sha, message, author, repo, files_changed, timestamp, pr, source")}),
-l AS (SELECT * FROM {sql_values(LOGS, "id, level, service, message, timestamp, source")}),
+t AS (SELECT * FROM {sql_values([(*r, i) for i, r in enumerate(TICKETS)], "id, summary, description, assignee, reporter, status, priority, services_affected, created, source, n")}),
+c AS (SELECT * FROM {sql_values([(*r, i) for i, r in enumerate(COMMITS)], "sha, message, author, repo, files_changed, timestamp, pr, source, n")}),
+l AS (SELECT * FROM {sql_values([(*r, i) for i, r in enumerate(LOGS)], "id, level, service, message, timestamp, source, n")}),
 records AS (
-  SELECT id, 'doc' AS type, title, trim(body, E' \t\n') AS body, {_owner("who")} AS owner, {_mentions("body")} AS services, last_updated AS timestamp, 'confluence' AS source, NULL AS priority, NULL AS status FROM d3
-  UNION ALL SELECT id, 'ticket', summary, trim(description, E' \t\n'), {_owner("assignee")},
+  SELECT n AS ord, id, 'doc' AS type, title, trim(body, E' \t\n') AS body, {_owner("who")} AS owner, {_mentions("body")} AS services, last_updated AS timestamp, 'confluence' AS source, NULL AS priority, NULL AS status FROM d3
+  UNION ALL SELECT 100 + n, id, 'ticket', summary, trim(description, E' \t\n'), {_owner("assignee")},
     (SELECT coalesce(string_agg({_service("s")}, ',' ORDER BY i), '') FROM (SELECT unnest(t.services_affected) AS s, unnest(range(len(t.services_affected))) AS i)), created, 'jira', priority, status FROM t
-  UNION ALL SELECT sha, 'commit', message, 'Author: ' || author || E'\nRepo: ' || repo || E'\nFiles changed: ' || array_to_string(files_changed, ', ') || E'\nPR: ' || coalesce(pr, 'N/A'), {_owner("author")}, {_service("repo")}, timestamp, 'github', NULL, NULL FROM c
-  UNION ALL SELECT id, 'log', '[' || level || '] ' || service || ': ' || substr(message, 1, 80), message, NULL, {_service("service")}, timestamp, 'logs', CASE WHEN level = 'ERROR' THEN 'P1' ELSE 'P2' END, 'active' FROM l)
+  UNION ALL SELECT 200 + n, sha, 'commit', message, 'Author: ' || author || E'\nRepo: ' || repo || E'\nFiles changed: ' || array_to_string(files_changed, ', ') || E'\nPR: ' || coalesce(pr, 'N/A'), {_owner("author")}, {_service("repo")}, timestamp, 'github', NULL, NULL FROM c
+  UNION ALL SELECT 300 + n, id, 'log', '[' || level || '] ' || service || ': ' || substr(message, 1, 80), message, NULL, {_service("service")}, timestamp, 'logs', CASE WHEN level = 'ERROR' THEN 'P1' ELSE 'P2' END, 'active' FROM l)
+"""
+
+
+def _found(kind: str, pattern: str, group: int = 1) -> str:
+    return f"list_transform(regexp_extract_all(t, '{pattern}', {group}), lambda v: {{'type': '{kind}', 'name': v}})"
+
+
+#: Patterns without look-ahead: what looks like PR-12 is a ticket, so it is left out of the pull requests afterwards.
+KINDS = [
+    _found("jira_ticket", r"\b([A-Z]{2,6}-\d+)\b"),
+    _found("commit_sha", r"\b([a-f0-9]{7,40})\b"),
+    r"list_transform(list_filter(regexp_extract_all(t, '\b(?:PR|pr)[- #]*\d+\b'), lambda m: NOT regexp_matches(m, '^PR-\d+$')), lambda m: {'type': 'pr_number', 'name': regexp_extract(m, '\d+')})",
+    _found("email", r"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b"),
+    _found("service", r"\b([a-z][a-z0-9]*(?:-[a-z0-9]+)*(?:-service|-api|-gateway|-worker|-cache|-store|-db))\b"),
+    _found("file_path", r"\b([\w./]+\.(?:py|js|ts|go|java|yaml|yml|json|cfg))\b"),
+    _found("error_code", r"\b(5\d{2}|4\d{2})\b"),
+    _found("timeout_ms", r"(\d+)\s*ms\b"),
+]
+
+
+def _snake(kind: str, value: str) -> str:
+    return f"{kind} || '__' || regexp_replace(lower(trim({value})), '[^a-z0-9_]', '_', 'g')"
+
+
+def _related(pattern: str, relation: str, direction: str) -> str:
+    own = f"regexp_extract_all(t, '{pattern}', 1)"
+    if direction == "both":
+        service = [_snake("'service'", f"p[{i}]") for i in (1, 2)]
+        return f"list_transform(list_zip({own}, regexp_extract_all(t, '{pattern}', 2)), lambda p: {{'from_id': {service[0]}, 'relation': '{relation}', 'to_id': {service[1]}, 'confidence': 0.8::DOUBLE}})"
+    ends = ("id", _snake("'unknown'", "v")) if direction == "right" else (_snake("'service'", "v"), "id")
+    return f"list_transform({own}, lambda v: {{'from_id': {ends[0]}, 'relation': '{relation}', 'to_id': {ends[1]}, 'confidence': 0.75::DOUBLE}})"
+
+
+RELATED = [
+    _related(r"(?i)caused\s+by\s+([\w-]+)", "caused_by", "right"),
+    _related(r"(?i)([\w-]+)\s+depends[_\s]on\s+([\w-]+)", "depends_on", "both"),
+    _related(r"(?i)owner[:\s]+([\w@.]+)", "owned_by", "right"),
+    _related(r"(?i)(?:fix|fixed|fixes)\s+([A-Z]{2,6}-\d+)", "fixes", "right"),
+    _related(r"(?i)modified\s+([\w./]+)", "modified", "right"),
+    _related(r"(?i)timeout.*?(?:in|from|of)\s+([\w-]+)", "affects", "right"),
+    _related(r"(?i)([\w-]+)\s+unresponsive", "affects", "left"),
+]
+CORPUS = f"""
+{RECORDS},
+texts AS (SELECT *, title || ' ' || body AS t FROM records),
+lists AS (SELECT *, list_concat({", ".join(KINDS)}) AS es, list_concat({", ".join(RELATED)}) AS rs FROM texts),
+entities AS (SELECT ord, id, n::INTEGER AS n, {_snake("e.type", "e.name")} AS entity_id, e.type AS type, e.name AS name FROM (SELECT ord, id, unnest(es) AS e, unnest(range(len(es))) AS n FROM lists)),
+relations AS (SELECT ord, id, n::INTEGER AS n, r.from_id AS from_id, r.relation AS relation, r.to_id AS to_id, r.confidence AS confidence FROM (SELECT ord, id, unnest(rs) AS r, unnest(range(len(rs))) AS n FROM lists)),
+said AS (SELECT ord, id, unnest(string_split(services, ',')) AS s, unnest(range(len(string_split(services, ',')))) AS i FROM records WHERE services <> ''),
+node_writes AS (
+  SELECT id, [ord, 0, 0] AS place, type, title, NULL AS name, coalesce(owner, '') AS owner, NULL AS extraction_source FROM records
+  UNION ALL SELECT entity_id, [ord, 1, n], type, NULL, name, NULL, 'rule' FROM entities
+  UNION ALL SELECT 'engineer__' || replace(lower(owner), ' ', '_'), [ord, 3, 0], 'engineer', NULL, owner, NULL, NULL FROM records WHERE owner <> ''
+  UNION ALL SELECT 'service__' || replace(s, '-', '_'), [ord, 4, i], 'service', NULL, s, NULL, NULL FROM said),
+nodes AS (SELECT * FROM node_writes QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) = 1),
+edge_writes AS (
+  SELECT r.from_id, r.to_id, relation, confidence, 'rule' AS extraction_source, [r.ord, 2, n] AS place FROM relations r JOIN nodes a ON a.id = r.from_id JOIN nodes b ON b.id = r.to_id WHERE a.place < [r.ord, 2] AND b.place < [r.ord, 2]
+  UNION ALL SELECT id, 'engineer__' || replace(lower(owner), ' ', '_'), 'owned_by', 0.99, NULL, [ord, 3, 0] FROM records WHERE owner <> ''
+  UNION ALL SELECT id, 'service__' || replace(s, '-', '_'), 'mentions', 0.95, NULL, [ord, 4, i] FROM said)
 """
 
 
@@ -155,7 +214,7 @@ ORACLES: dict[str, str] = {
         SELECT 1 AS query_id, v::VARCHAR AS chunk_id, round(rrf, 9) AS rrf, row_number() OVER (ORDER BY round(rrf, 12) DESC, ra NULLS LAST, rb NULLS LAST)::INTEGER AS rank FROM f QUALIFY rank <= 20""",
     "normalize_events": f"""WITH {ALIASES} SELECT 'LOG-' || event_id AS id, '[' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || '] ' || event_type || ': ' || substr(props, 1, 80) AS title, props AS body,
         {_service("event_type")} AS services, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, CASE WHEN event_type = 'error' THEN 'P1' ELSE 'P2' END AS priority, 'active' AS status FROM events""",
-    "normalize_union": f"WITH {RECORDS} SELECT * FROM records",
+    "normalize_union": f"WITH {RECORDS} SELECT * EXCLUDE (ord) FROM records",
     "entities_documents": f"WITH {DOC_RECORDS}, {FOUND} SELECT id, type || '__' || regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g') AS entity_id, type, name FROM found",
     "unresolved_phrases": f"WITH {DOC_RECORDS}, {PHRASES} SELECT id, array_to_string(p, ', ') AS unresolved_text FROM phrases WHERE len(p) > 0",
     "mentions_scan": f"WITH {ALIASES} SELECT page_id, {_mentions('html')} AS services FROM pages",
@@ -183,6 +242,10 @@ ORACLES: dict[str, str] = {
     "vector_norms": "SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings",
     "rerank_scores": r"""WITH q AS (SELECT list_distinct(regexp_extract_all(lower(text), '\S+')) AS q FROM benchmark ORDER BY item_id LIMIT 1)
         SELECT doc_id, round(len(list_intersect(q, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '\S+')))) / len(q), 6) AS score FROM documents, q""",
+    "entities_fixture": f"WITH {CORPUS} SELECT id, n, entity_id, type, name FROM entities",
+    "relations_fixture": f"WITH {CORPUS} SELECT id, n, from_id, relation, to_id, confidence FROM relations",
+    "corpus_nodes": f"WITH {CORPUS} SELECT id, type, title, name, owner, extraction_source FROM nodes",
+    "corpus_edges": f"WITH {CORPUS} SELECT from_id, to_id, arg_max(relation, place) AS relation, arg_max(confidence, place) AS confidence, max(extraction_source) AS extraction_source FROM edge_writes GROUP BY from_id, to_id",
     # The small corpus: what the rules give, worked out by hand.
     "json_repair": _values("id, entities, relationships", ("plain", 1, 0), ("fenced", 1, 1), ("wrapped", 0, 1), ("broken", 0, 0), ("prose", 0, 0)),
     "citation_check": _values("id, answer, refs", ("a", "A is x [1]. D", "1,2"), ("b", "Still [x] said.", ""), ("c", ANSWERS[2][2], "1,2"), ("d", "", ""), ("e", "Padded [007]. Fine [3].", "3")),
