@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from .tables import exists
@@ -60,7 +61,7 @@ def from_uploads(spark: SparkSession, files: list[tuple[str, bytes]]) -> DataFra
     return spark.createDataFrame([(n, os.path.basename(n), bytearray(b)) for n, b in files], "path string, filename string, content binary")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _pdf_text(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Pages' texts with an empty line between; null where that fails or no reader is installed."""
     import io
