@@ -57,16 +57,19 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes
     """The ids' codes end to end, and the bit offset of every STRIDE-th id."""
     if not len(ids):
         return b"", np.zeros(0, np.uint32)
-    n = lengths[ids].astype(np.int64)
+    both = (codes << np.uint64(8) | lengths.astype(np.uint64))[ids]
+    n = (both & np.uint64(255)).view(np.int64)
     ends = np.cumsum(n)
     at = ends - n
     word = at >> 5
     # A code lies in one 32-bit word or two: seen as 64 bits that begin with its first word.
-    value = codes[ids] << (64 - (at & 31) - n).astype(np.uint64)
+    value = (both >> np.uint64(8)) << (64 - (at & 31) - n).view(np.uint64)
     first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    # Codes that begin in one word don't overlap, so they add up without a carry.
+    sums = np.add.reduceat(value >> np.uint64(32), first), np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
     out = np.zeros(int(ends[-1] >> 5) + 2, np.uint64)
-    out[word[first]] += np.add.reduceat(value >> np.uint64(32), first)
-    out[word[first] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
+    out[word[first]] += sums[0]
+    out[word[first] + 1] += sums[1]
     return out.astype(">u4").tobytes()[: int(ends[-1] + 7) // 8], at[::STRIDE].astype(np.uint32)
 
 
@@ -78,10 +81,9 @@ class Decoder:
         used = np.flatnonzero(lengths)
         order = used[np.lexsort((used, lengths[used]))]
         times = 1 << (longest - lengths[order].astype(np.int64))
-        self.symbol = np.zeros(1 << longest, np.uint32)
-        self.length = np.ones(1 << longest, np.uint8)
-        self.symbol[: times.sum()] = np.repeat(order, times)
-        self.length[: times.sum()] = np.repeat(lengths[order], times)
+        #: The symbol, then 8 bits for its length.
+        self.table = np.ones(1 << longest, np.uint32)
+        self.table[: times.sum()] = np.repeat(order.astype(np.uint32) << np.uint32(8) | lengths[order], times)
 
     def unpack(self, blocks: list[tuple[bytes, np.ndarray, int]]) -> list[np.ndarray]:
         """The ids of each block (payload, checkpoints, number of ids), all stretches between checkpoints in step."""
@@ -93,18 +95,21 @@ class Decoder:
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         bit = np.concatenate([8 * b + c.astype(np.int64) for b, (_, c, _) in zip(base, blocks)])
         left = np.concatenate([np.minimum(STRIDE, n - STRIDE * np.arange(len(c))) for _, c, n in blocks])
-        out = np.zeros((len(bit), STRIDE), np.uint32)
         order = np.argsort(-left, kind="stable")
         bit, counts = bit[order], np.searchsorted(-left[order], -np.arange(STRIDE), side="left")
+        out = np.zeros((STRIDE, len(bit)), np.uint32)
+        mask = np.uint32((1 << self.longest) - 1)
         for k in range(STRIDE):
             n = counts[k]  # the stretches of more than k ids come first
             if not n:
                 break
             b = bit[:n]
-            prefix = window[b >> 3] >> (32 - self.longest - (b & 7)).astype(np.uint32) & np.uint32((1 << self.longest) - 1)
-            out[order[:n], k] = self.symbol[prefix]
-            b += self.length[prefix]
-        flat, ids, row = out.ravel(), [], 0
+            found = self.table[window[b >> 3] >> (32 - self.longest - (b & 7)).astype(np.uint32) & mask]
+            out[k, :n] = found
+            b += found & np.uint32(255)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        flat, ids, row = (out >> np.uint32(8)).T[place].ravel(), [], 0
         for _, c, n in blocks:
             ids.append(flat[row * STRIDE : row * STRIDE + n])
             row += len(c)

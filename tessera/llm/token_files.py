@@ -30,6 +30,8 @@ BETWEEN, TOGETHER = "\n\n", 400
 MARKS = ".,;:!?\"')"
 #: How a text's first chunk is marked, and its end.
 BEGIN, LAST = "\x01\n", "\x02\n"
+#: What chunks that need a closer look begin with; "" is an empty one.
+STARTS = ("\n", "\x01", "")
 KIND = "shard int, block int, before long, doc_ids array<long>, sizes array<int>, n_ids long, payload binary, checkpoints binary, crc long"
 
 
@@ -93,8 +95,12 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         known, first, marks = self.known, self.first, self.marks
-        plain, begun = [], []
-        for c in chunks:
+        plain, begun = [c for c in chunks if c[:1] not in STARTS], []
+        # One look at all of them shows, as a rule, that none has white space inside.
+        if len("\0".join(plain).split()) > 1:
+            known.update([(c, None) for c in plain if c.split() != [c]])
+            plain = [c for c in plain if c.split() == [c]]
+        for c in [c for c in chunks if c[:1] in STARTS]:
             word = c[len(BEGIN) :] if c.startswith(BEGIN) else c[1:] if c[:1] == "\n" else c
             if word.split() != [word]:
                 known[c] = None
@@ -123,9 +129,10 @@ class Encoder:
         words, known = coded.dictionary.to_pylist(), self.known
         ids = list(map(known.get, words))
         if missing := [i for i, x in enumerate(ids) if x is None]:
-            self._learn([words[i] for i in missing if words[i] not in known])
-            for i in missing:
-                ids[i] = known[words[i]]
+            new = [words[i] for i in missing]
+            self._learn([w for w in new if w not in known])
+            for i, x in zip(missing, map(known.get, new)):
+                ids[i] = x
         good = [b"" if x is None else x for x in ids]
         size = self.kind.itemsize
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, good), np.int64, len(good)) // size)))
