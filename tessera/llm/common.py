@@ -60,9 +60,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Scans of few row groups give few tasks; deal the rows of such out evenly."""
+    """A few files of one row group give a few tasks, however many splits they have; deal the rows of such out evenly."""
     least = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * df.rdd.getNumPartitions() >= least else df.repartition(least)
+    return df if df.rdd.getNumPartitions() >= 4 * least or len(df.inputFiles()) >= least else df.repartition(least)
 
 
 def without_spaces(text: Column) -> Column:
