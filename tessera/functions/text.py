@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A run of characters that aren't white space, Unicode's included.
-TOKEN = r"(?U)(\S+)"
+#: A run of white space, Unicode's included; named one by one, as that is several times faster than by property.
+WHITE = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def none(text: Column) -> Column:
@@ -19,7 +19,8 @@ def strip(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(none(text), F.lit(TOKEN), F.lit(1))
+    """What lies between white space."""
+    return F.filter(F.split(none(text), WHITE), lambda w: w != "")
 
 
 def terms(text: Column) -> Column:

@@ -45,7 +45,8 @@ def fit(chunks: DataFrame) -> Index:
     idf of all terms instead. Counting combines within tasks before it shuffles.
     """
     split = chunks.select("chunk_id", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    postings = split.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # The outer form: for the inner one Catalyst would add a filter that splits every text once more.
+    postings = split.select("chunk_id", "dl", F.explode_outer("t").alias("term")).where("term IS NOT NULL").groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     corpus = split.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # The corpus is one row.
@@ -68,9 +69,10 @@ def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
     tf = F.col("tf")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     some = index.chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-    fill = queries.select("query_id").crossJoin(F.broadcast(some)).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    # They add nothing to the score of a hit, so hits need not be told apart from them.
+    fill = queries.select("query_id").crossJoin(F.broadcast(some)).withColumn("part", F.lit(0.0))
+    scored = hits.select("query_id", "chunk_id", part.alias("part")).unionByName(fill).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
-    ranked = scored.unionByName(fill).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "chunk_id", "score", "rank")

@@ -24,11 +24,12 @@ def chunk(files: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
     """
     step = size - overlap
     split = files.select("filename", document_id(F.col("filename"), none(F.col("text"))).alias("doc_id"), tokens(F.col("text")).alias("tokens"))
-    counted = split.withColumn("total_chunks", n_chunks(F.size("tokens"), size, overlap)).where("total_chunks > 0")
-    windows = counted.select("filename", "doc_id", "total_chunks", "tokens", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)).alias("chunk_index"))
-    text = F.array_join(F.slice("tokens", F.col("chunk_index") * step + 1, size), " ")
-    chunk_id = F.format_string("%s_chunk_%04d", "doc_id", "chunk_index")
-    return windows.select(chunk_id.alias("chunk_id"), "doc_id", "filename", text.alias("text"), "chunk_index", "total_chunks")
+    counted = split.withColumn("total_chunks", n_chunks(F.size("tokens"), size, overlap))
+    # Windows become texts before they become rows, so that no row carries all tokens. The outer form, as
+    # for the inner one Catalyst would add a filter that splits every text once more.
+    window = F.when(F.col("total_chunks") > 0, F.transform(F.sequence(F.lit(0), F.col("total_chunks") - 1), lambda i: F.array_join(F.slice("tokens", i * step + 1, size), " ")))
+    rows = counted.select("filename", "doc_id", "total_chunks", window.alias("windows")).select("filename", "doc_id", "total_chunks", F.posexplode_outer("windows").alias("chunk_index", "text")).where("chunk_index IS NOT NULL")
+    return rows.select(F.format_string("%s_chunk_%04d", "doc_id", "chunk_index").alias("chunk_id"), "doc_id", "filename", "text", "chunk_index", "total_chunks")
 
 
 def store_stats(chunks: DataFrame) -> DataFrame:

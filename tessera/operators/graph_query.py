@@ -38,19 +38,20 @@ def start_node(nodes: DataFrame, node_id: str) -> DataFrame:
 
 def reach(nodes: DataFrame, edges: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
     """id, hop of all nodes within so many hops of the start, in any direction. One join a hop; hubs are reached once."""
-    near = both_ways(edges)
-    seen = start.select("id", F.lit(0).alias("hop"))
-    front = seen
+    near = both_ways(edges).persist()
+    front = start.select("id", F.lit(0).alias("hop")).persist()
+    seen = front
     for hop in range(1, hops + 1):
         step = near.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        front = step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        # Every hop reads the one before twice.
+        front = step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)).persist()
         seen = seen.unionByName(front)
     return seen.join(nodes.select("id"), "id", "left_semi")
 
 
 def context(nodes: DataFrame, edges: DataFrame, node_id: str, hops: int = 2, limit: int | None = None) -> DataFrame:
     """The nodes within so many hops, in order of hop, then ingestion, with all their edges, also those that lead out of the circle."""
-    near = reach(nodes, edges, start_node(nodes, node_id), hops)
+    near = reach(nodes, edges, start_node(nodes, node_id), hops).persist()
     own = nodes.join(near, "id")
     relation = F.coalesce("relation", F.lit("unknown"))
     out = edges.join(near.select(F.col("id").alias("from_id")), "from_id", "left_semi").groupBy(F.col("from_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("to_id").alias("to"), relation.alias("relation"), F.coalesce("confidence", F.lit(1.0)).alias("confidence")))).alias("outgoing_edges"))

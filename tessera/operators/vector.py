@@ -45,6 +45,13 @@ def hashed_parts(rows: DataFrame, id: str, text: str, dimensions: int = DIMENSIO
     return counts.join(size, id).select(id, "bucket", (F.col("n") / F.col("size")).alias("w"))
 
 
+def parts_of_postings(postings: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The same as hashed_parts of the chunks that BM25's postings are of, without looking at their texts again."""
+    counts = postings.select("chunk_id", bucket(F.col("term"), dimensions).alias("bucket"), "tf").groupBy("chunk_id", "bucket").agg(F.sum("tf").cast("double").alias("n"))
+    size = counts.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    return counts.join(size, "chunk_id").select("chunk_id", "bucket", (F.col("n") / F.col("size")).alias("w"))
+
+
 def search_hashed(parts: DataFrame, queries: DataFrame, k: int = 50, dimensions: int = DIMENSIONS) -> DataFrame:
     """query_id, chunk_id, score, rank: for each query (query_id, query) the k chunks nearest by the offline embedding."""
     asked = hashed_parts(queries, "query_id", "query", dimensions).withColumnRenamed("w", "q")

@@ -25,9 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Files of one row group give one task; deal such rows out."""
+    """A few files of one row group give a few tasks, however many splits they have; deal the rows of such out evenly."""
     least = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * df.rdd.getNumPartitions() >= least else df.repartition(least)
+    return df if df.rdd.getNumPartitions() >= 4 * least or len(df.inputFiles()) >= least else df.repartition(least)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,8 @@ def bm25_topk(spark, sf_dir):
 
 
 def _search(spark, sf_dir) -> retrieval.Search:
-    own = chunks(spark, sf_dir)
+    # A store would hold chunks and index as tables; here they are kept while the stages read them.
+    own = chunks(spark, sf_dir).persist()
     return retrieval.search(own, questions(spark, sf_dir), bm25.fit(own).persist())
 
 

@@ -28,8 +28,9 @@ class Search:
 
 def search(chunks: DataFrame, questions: DataFrame, index: bm25.Index | None = None, parts: DataFrame | None = None, scorer=lexical_overlap, config: Config = Config()) -> Search:
     """BM25 and vector candidates, fused, then reranked. Give index and parts (operators.vector.hashed_parts) where they are stored."""
-    lexical = bm25.search(index or bm25.fit(chunks), questions, config.candidates)
-    near = vector.search_hashed(parts if parts is not None else vector.hashed_parts(chunks, "chunk_id", "text"), questions, config.candidates)
+    index = index or bm25.fit(chunks)
+    lexical = bm25.search(index, questions, config.candidates)
+    near = vector.search_hashed(parts if parts is not None else vector.parts_of_postings(index.postings), questions, config.candidates)
     # At most `candidates` rows a question from here on; the stages below read these twice.
     lexical, near = lexical.persist(), near.persist()
     fused = fusion.hybrid(lexical, near, chunks, config.fused)
