@@ -84,7 +84,7 @@ class DigestIndex:
             docs = docs.unionByName(more)
         probed = self._keyed(docs, F.col("norm")).select("digest", "norm", *at).join(F.broadcast(filters), "at")
         byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        found = probed.where(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
+        found = probed.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
         texts = found.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("copies"))
         return texts.groupBy("digest").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").select("digest")
 
