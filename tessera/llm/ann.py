@@ -237,8 +237,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for vectors (vec_id, embedding) whose vec_id is divisible by `every`, k nearest of all others.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id. Every vector is
-    in the index; a query reads the lists that a ratio of distances leaves it. What takes no part:
-    see usable. Fewer than k candidates are all returned; with none, or an empty table, no rows.
+    in the index; a query reads the lists that a ratio of distances leaves it, and is compared with
+    all vectors if those lists leave it short of k. What takes no part: see usable. Fewer than k
+    candidates are all returned; with none, or an empty table, no rows.
     """
     spark = vectors.sparkSession
     usable_ = usable(vectors)
@@ -271,29 +272,42 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(least).take(take)], ["list", "id", "embedding", "least"])
 
     postings = written(spread(usable_).mapInArrow(posted, f"list int, id long, embedding {element}"), "postings")
-    queries = usable_.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = written(spread(queries).mapInArrow(routed, f"list int, id long, embedding {element}, least double"), "routes")
-    # How many cells each list is cut into: at most MOST_LISTS rows.
-    cells = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_VECTORS).cast("int").alias("vs")).join(queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("qs")), "list")
-    cells = F.broadcast(written(cells, "cells"))
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    queries = written(spread(usable_.where(is_query)).mapInArrow(routed, f"list int, id long, embedding {element}, least double"), "routes")
 
     def each(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    at = ["list", "v", "q"]
-    left = postings.join(cells, "list").withColumn("v", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int")).withColumn("q", each("qs")).select(*at, "id", "embedding")
-    right = queries.join(cells, "list").withColumn("q", F.pmod(F.xxhash64("id"), F.col("qs")).cast("int")).withColumn("v", each("vs")).select(*at, "id", "embedding", "least")
-
     def compared(vs: pa.Table, qs: pa.Table) -> pa.Table:
         out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if vs.num_rows and qs.num_rows:
             out = best_in_cell(vs["id"].to_numpy(), _matrix(vs["embedding"].combine_chunks()), qs["id"].to_numpy(), _matrix(qs["embedding"].combine_chunks()), qs["least"].to_numpy(), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out))))
 
-    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(compared, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(postings: DataFrame, queries: DataFrame) -> DataFrame:
+        """The k best of each query among the vectors of its lists."""
+        # How many cells each list is cut into: at most MOST_LISTS rows.
+        cells = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_VECTORS).cast("int").alias("vs")).join(queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("qs")), "list")
+        cells = F.broadcast(written(cells, "cells"))
+        at = ["list", "v", "q"]
+        left = postings.join(cells, "list").withColumn("v", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int")).withColumn("q", each("qs")).select(*at, "id", "embedding")
+        right = queries.join(cells, "list").withColumn("q", F.pmod(F.xxhash64("id"), F.col("qs")).cast("int")).withColumn("v", each("vs")).select(*at, "id", "embedding", "least")
+        found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(compared, "query_id long, vec_id long, score double")
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    best = written(ranked(postings, queries), "nearest")
+    # The bound drops what is found below it, so a query whose lists miss some of the k best has fewer than k rows.
+    had = best.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("had"))
+    asked = usable_.where(is_query).select(F.col("vec_id").alias("id"), "embedding")
+    short = written(asked.join(had, "id", "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < k), "short")
+    if not short.isEmpty():
+        short = short.where(F.col("had") < min(k, usable_.count() - 1))
+        whole = usable_.select(F.lit(0).alias("list"), F.col("vec_id").alias("id"), "embedding")
+        again = ranked(whole, short.select(F.lit(0).alias("list"), "id", "embedding", F.lit(float("-inf")).alias("least")))
+        best = best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    return best
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,3 +162,21 @@ def test_recall_of_lists(spark):
         s[ids == q] = -9
         hits.append(len(found[q] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
     assert np.mean(hits) >= 0.9
+
+
+@pytest.mark.parametrize("aim", [ann.AIM, 0.2])
+def test_every_query_has_k_rows(spark, monkeypatch, aim):
+    """Several lists, all vectors in the sample: queries whose lists miss neighbours lose no rank."""
+    monkeypatch.setattr(ann, "AIM", aim)
+    v = read_table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = [(r.vec_id, r.embedding) for r in v.collect()]
+    got = defaultdict(list)
+    for r in ann.nearest(v).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    assert all([n for n, _ in g] == list(range(1, 21)) and len(set(g)) == 20 for g in got.values())
+    ids, x = np.array([i for i, _ in rows]), np.array([e for _, e in rows])
+    for q, g in got.items():
+        s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        # Here the bound is exact, so no query with k rows has a wrong one.
+        assert {i for _, i in g} == set(ids[np.lexsort((ids, -s))[:20]].tolist())
