@@ -218,12 +218,20 @@ def needs_frontier(spark, sf_dir):
     return out.select("id", extract.needs_frontier(F.col("body"), F.col("source"), F.size(F.filter("entities", lambda e: e["type"].isin("commit_sha", "email", "error_code"))), F.lit(1)).alias("frontier"))
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, unresolved_text, frontier of all documents. Patterns run where length and source leave it open; elsewhere unresolved_text is null."""
+    records = document_records(spark, sf_dir)
+    sure = extract.needs_frontier(F.col("body"), F.col("source"), F.lit(2), F.lit(1))  # counts that decide nothing
+    found = extract.extract_with_rules(records.where(~sure))
+    frontier = extract.needs_frontier(F.col("body"), F.col("source"), F.size("entities"), F.size("relationships"))
+    out = found.select("id", "unresolved_text", frontier.alias("frontier"))
+    return out.unionByName(records.where(sure).select("id", F.lit(None).cast("string").alias("unresolved_text"), F.lit(True).alias("frontier")))
+
+
 def tier_costs(spark, sf_dir):
     """Documents by the tier that the cascade would send them to."""
-    out = extract.extract_with_rules(document_records(spark, sf_dir))
-    frontier = F.length("body") > 800
-    tier = F.when(frontier, "llm_frontier").when(F.col("unresolved_text").isNotNull(), "llm_cheap").otherwise("rule")
-    return cascade.tier_costs(out.select(tier.alias("tier"))).withColumn("cost", F.round("cost", 6))
+    tier = F.when(F.col("frontier"), "llm_frontier").when(F.col("unresolved_text").isNotNull(), "llm_cheap").otherwise("rule")
+    return cascade.tier_costs(_judged(spark, sf_dir).select(tier.alias("tier"))).withColumn("cost", F.round("cost", 6))
 
 
 def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,5 @@
 import json
+import re
 
 import duckdb
 import pytest
@@ -6,7 +7,7 @@ import pytest
 import __spark_entry__
 from tessera.config import Config
 from tessera.functions.models import silent
-from tessera.operators import bm25, fusion, vector
+from tessera.operators import bm25, extract, fusion, vector
 from tessera.operators.cascade import extract_tiered
 from tessera.operators.normalize import normalize_all
 from tessera.plans import agent, build, catalog, fixtures, oracle, retrieval
@@ -134,3 +135,44 @@ def test_plans_stay_in_the_jvm(spark, small):
     assert "Python" not in text and "CartesianProduct" not in text
     text = vector.top_by_cosine(catalog.table(spark, small, "embeddings"), [1.0] * 64, 5, "vec_id")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in text
+
+
+def odd_documents(spark, folder):
+    """Given documents, and such as each clause of the rule for complex records decides alone."""
+    said = "so it was and so it is and nobody knew "
+    texts = [
+        ("", None), (None, "wiki"), ("short", "confluence"), ("short", "wiki"), ("By Anna Maria Smith", "wiki"), (said * 10, "wiki"), (said * 10 + "a@b.io c@d.io", "wiki"), (said * 30, "wiki"),
+        ("JR-1 PR 22 auth-service 35 ms", "wiki"), ("JR-1 PR 22 auth-service 35 ms caused by rain", "wiki"), ("404 500 503 a@b.io", "wiki"), ("404 500 503 a@b.io, caused by rain", "wiki"), ("404 500 503", "wiki"),
+        (said * 10 + "see lib/main.py and 20 ms", "wiki"), (said * 10 + "PR-7 PR-8", "wiki"),
+    ]
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rows += [(100_000 + i, text, "en", source, len(text or "")) for i, (text, source) in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return rows
+
+
+def found_by_hand(text):
+    """The kinds of all entities in a text, how many relations it has, and whether it has phrases."""
+    plain = lambda p: re.sub(r"^\(\?(i?)Ud?\)", lambda m: "(?i)" if m[1] else "", p)
+    patterns = lambda ps: [re.compile(plain(p)) for p in ps]
+    kinds = [k for k, p in zip(extract.ENTITIES, patterns(extract.ENTITIES.values())) for _ in p.finditer(text)]
+    return kinds, sum(len(p.findall(text)) for p in patterns(p for p, *_ in extract.RELATIONS)), bool(patterns([extract.PHRASE])[0].search(text))
+
+
+def complex_by_hand(text, lang, source):
+    kinds, relations, _ = found_by_hand(f"{lang or ''} {text or ''}")
+    n = len(text or "")
+    return n > 800 or (len(kinds) < 2 and n > 300) or source == "confluence" or (relations == 0 and len(kinds) > 3)
+
+
+def test_tiers_by_hand(spark, tmp_path):
+    rows = odd_documents(spark, tmp_path)
+    want = dict.fromkeys(("cache", "rule", "llm_cheap", "llm_frontier"), 0)
+    for _, text, lang, source, _ in rows:
+        want["llm_frontier" if complex_by_hand(text, lang, source) else "llm_cheap" if found_by_hand(f"{lang} {text or ''}")[2] else "rule"] += 1
+    got = {r.tier: (r.records, r.cost) for r in catalog.tier_costs(spark, str(tmp_path)).collect()}
+    price = {"cache": 0, "rule": 0, "llm_cheap": 0.0002, "llm_frontier": 0.003}
+    assert got == {t: (n, pytest.approx(n * price[t])) for t, n in want.items()}
+    records = catalog.document_records(spark, str(tmp_path))
+    empty = spark.createDataFrame([], "text_hash string, result_json string, tier_used string, created_at string")
+    assert {r.tier: r["count"] for r in extract_tiered(records, empty, silent).groupBy("tier").count().collect()} == {t: n for t, n in want.items() if n}
