@@ -212,12 +212,6 @@ def mentions_scan(spark, sf_dir):
     return spread(p.select("page_id", "html")).select("page_id", F.array_join(services_in(F.col("html")), ",").alias("services"))
 
 
-def needs_frontier(spark, sf_dir):
-    out = extract.extract_with_rules(document_records(spark, sf_dir))
-    # Which entities and relations there are is for entities_documents to say; here bodies decide.
-    return out.select("id", extract.needs_frontier(F.col("body"), F.col("source"), F.size(F.filter("entities", lambda e: e["type"].isin("commit_sha", "email", "error_code"))), F.lit(1)).alias("frontier"))
-
-
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, unresolved_text, frontier of all documents. Patterns run where length and source leave it open; elsewhere unresolved_text is null."""
     records = document_records(spark, sf_dir)
@@ -228,6 +222,11 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(records.where(sure).select("id", F.lit(None).cast("string").alias("unresolved_text"), F.lit(True).alias("frontier")))
 
 
+def needs_frontier(spark, sf_dir):
+    """Whether each document is too complex for patterns, by all entities and relations found in it."""
+    return _judged(spark, sf_dir).select("id", "frontier")
+
+
 def tier_costs(spark, sf_dir):
     """Documents by the tier that the cascade would send them to."""
     tier = F.when(F.col("frontier"), "llm_frontier").when(F.col("unresolved_text").isNotNull(), "llm_cheap").otherwise("rule")

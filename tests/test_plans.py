@@ -176,3 +176,9 @@ def test_tiers_by_hand(spark, tmp_path):
     records = catalog.document_records(spark, str(tmp_path))
     empty = spark.createDataFrame([], "text_hash string, result_json string, tier_used string, created_at string")
     assert {r.tier: r["count"] for r in extract_tiered(records, empty, silent).groupBy("tier").count().collect()} == {t: n for t, n in want.items() if n}
+
+
+def test_complex_documents_by_hand(spark, tmp_path):
+    rows = odd_documents(spark, tmp_path)
+    got = catalog.needs_frontier(spark, str(tmp_path)).collect()
+    assert sorted((r.id, r.frontier) for r in got) == sorted((str(i), complex_by_hand(text, lang, source)) for i, text, lang, source, _ in rows)
