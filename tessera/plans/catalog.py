@@ -188,7 +188,7 @@ def _entities(df: DataFrame) -> DataFrame:
 
 
 def entities_documents(spark, sf_dir):
-    return _entities(extract.extract_with_rules(document_records(spark, sf_dir))).where(F.col("type").isin("commit_sha", "email", "error_code")).select("id", "entity_id", "type", "name")
+    return _entities(extract.extract_with_rules(document_records(spark, sf_dir))).select("id", "entity_id", "type", "name")
 
 
 def entities_fixture(spark, sf_dir):

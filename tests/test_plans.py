@@ -182,3 +182,10 @@ def test_complex_documents_by_hand(spark, tmp_path):
     rows = odd_documents(spark, tmp_path)
     got = catalog.needs_frontier(spark, str(tmp_path)).collect()
     assert sorted((r.id, r.frontier) for r in got) == sorted((str(i), complex_by_hand(text, lang, source)) for i, text, lang, source, _ in rows)
+
+
+def test_entities_of_all_kinds(spark, tmp_path):
+    rows = odd_documents(spark, tmp_path)
+    got = sorted((r.id, r.type) for r in catalog.entities_documents(spark, str(tmp_path)).collect())
+    assert got == sorted((str(i), k) for i, text, lang, _, _ in rows for k in found_by_hand(f"{lang or ''} {text or ''}")[0])
+    assert {k for _, k in got} == set(extract.ENTITIES)
