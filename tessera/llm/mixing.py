@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, hot_join, n_words_of, read_table, without_spaces, written
+from .common import hot_join, n_words_of, read_table, without_spaces, written
 
 #: A source's target is at most so many times its size.
 MOST_EPOCHS = 3
@@ -44,8 +44,8 @@ def source_targets(sizes: DataFrame, most: int = MOST_EPOCHS) -> DataFrame:
     return run.withColumn("all", level).select(*sizes.columns, F.coalesce(F.least("cap", F.col("w") * F.col("all")), "cap").alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS, seed: str = "") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source).
+def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS, seed: str = "", keep: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source); with `keep`, also the whole row as a struct of that name.
 
     A source's target holds so many complete epochs, in which every document is taken whole, and a
     rest. For the rest, each document draws an exponential key scaled by its quality weight,
@@ -62,10 +62,11 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS,
     """
     text = F.col("text")
     own = (without_spaces(text) if weight is None else F.lit(None)).alias("marks"), (F.lit(None) if weight is None else weight).cast("double").alias("weight")
-    rows = docs.select("doc_id", "source", n_words_of(text).alias("size"), *own)
+    kept = [keep] if keep else []
+    rows = docs.select("doc_id", "source", n_words_of(text).alias("size"), *own, *[F.struct("*").alias(c) for c in kept])
     key = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     quality = F.col("weight") if weight is not None else document_quality(F.col("marks"), F.col("size")).cast("double")
-    base = rows.select("doc_id", "source", "size", (-F.log(_uniform(key)) / quality).alias("key"))
+    base = rows.select("doc_id", "source", "size", (-F.log(_uniform(key)) / quality).alias("key"), *kept)
     base = written(base, "mix-keys")
     # 1 - exp(-key) rises with the key and is spread over (0, 1), so equal widths make slices in order.
     base = base.withColumn("slice", F.floor((1 - F.exp(-F.col("key"))) * SLICES)).withColumn("named", F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))))
@@ -83,24 +84,23 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS,
     total = plan.agg(F.sum("docs")).first()[0] or 0
     placed = hot_join(base, plan, ["named"], "docs", total)
     in_last = F.coalesce(F.col("slice") == F.col("k"), F.lit(False))
-    order = Window.partitionBy("named").orderBy("key", F.col("doc_id").isNull(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("named").orderBy("key", F.col("doc_id").isNull(), "doc_id", "size", *[F.col(c)["text"] for c in kept]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = placed.where(in_last).withColumn("upto", F.col("before") + F.sum("size").over(order) - F.col("size"))
     inside = inside.withColumn("more", F.col("upto") + F.col("size") / 2 <= F.col("rest"))
     others = placed.where(~in_last).withColumn("more", F.coalesce(F.col("slice") < F.col("k"), F.col("rest") > 0))
-    out = ["doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + F.col("more").cast("long")) * F.col("size")).alias("taken")]
+    out = ["doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + F.col("more").cast("long")) * F.col("size")).alias("taken"), *kept]
     return others.select(*out).unionByName(inside.select(*out))
 
 
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: each row of docs as many times as the mix takes it; its columns stay.
 
-    Rows that share a doc_id are told apart by nothing else, so they are repeated alike: as the
-    least taken of them is. Documents of no words add nothing to a mix of words and are not in it.
+    Every row is repeated by what is taken of it alone, also where rows share a doc_id. Documents of no
+    words add nothing to a mix of words and are not in it.
     """
-    own, n, copy = free_names(docs, 3)
-    times = mix(docs).where("size > 0").groupBy(F.col("doc_id").alias(own)).agg(F.min((F.col("taken") / F.col("size")).cast("int")).alias(n)).where(F.col(n) > 0)
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times[own])).where(n_words_of(docs["text"]) > 0)
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(own, n, copy)
+    taken = mix(docs, keep="kept").where("size > 0 AND taken > 0")
+    times = (F.col("taken") / F.col("size")).cast("int")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("kept.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

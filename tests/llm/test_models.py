@@ -53,6 +53,19 @@ def test_mixed_corpus(hard, empty):
     assert mixing.repeat_by_mix(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_repeated_each_by_its_own(spark, hard):
+    """Sources of all weights hold the same ids; what one source takes of an id says nothing about another's row."""
+    rows = [(i, f"{s} {'word ' * (1 + (i * n) % 7)}".strip(), s) for i in range(30) for n, s in enumerate("abc", 1)]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string, source string"), hard):
+        want = defaultdict(int)
+        for r in mixing.mix(docs).where("size > 0").collect():
+            want[r.doc_id, r.source, r["size"]] += r.taken
+        got, words = defaultdict(int), lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        for r in mixing.repeat_by_mix(docs).collect():
+            got[r.doc_id, r.source, words(r.text)] += words(r.text)
+        assert got == {k: v for k, v in want.items() if v}
+
+
 def test_targets_of_odd_sizes(spark):
     sizes = {"a": 1, "b": 1000, None: 10, "B": 0, "é": 3}
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
