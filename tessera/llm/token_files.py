@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from zlib import crc32
@@ -21,26 +22,77 @@ from .huffman import Decoder, code_lengths, codes_of, pack
 VOCABULARY, END = "byte_bpe_50k.json", 0
 #: A block is closed once it has so many ids; it holds whole documents.
 BLOCK = 1 << 16
-#: Chunks whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 1_000_000
+#: Bytes of chunks, with their ids, that a worker remembers; beyond, only those of its last texts stay.
+REMEMBERED = 48_000_000
 #: Bytes of text encoded at a time.
-TEXT = 12_000_000
-#: What stands between words that the library gets as one text, and how many it gets so; marks that end chunks.
+TEXT = 16_000_000
+#: What stands between words that the library gets as one text, and how many it gets so.
 BETWEEN, TOGETHER = "\n\n", 400
-MARKS = ".,;:!?\"')"
 #: How a text's first chunk is marked, and its end.
 BEGIN, LAST = "\x01\n", "\x02\n"
-#: What chunks that need a closer look begin with; "" is an empty one.
-STARTS = ("\n", "\x01", "")
+#: White space of any kind: a chunk with some inside is of no use.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Marks that end a word, where a letter or digit stands before them.
+MARKS = ".,;:!?\"')"
+MARKED = r"[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{391}-\x{3A1}\x{3B1}-\x{3C9}\x{400}-\x{481}][.,;:!?\"')]+$"
 KIND = "shard int, block int, before long, doc_ids array<long>, sizes array<int>, n_ids long, payload binary, checkpoints binary, crc long"
 
 
+def can_cut(definition: dict) -> bool:
+    """Whether texts of this vocabulary can be cut at single spaces and line ends: byte-level BPE, words
+    found by the library's own pattern, no normaliser, nothing added around, added tokens without white space."""
+    pre = definition.get("pre_tokenizer") or {}
+    plain = definition.get("normalizer") is None and definition["model"].get("type") == "BPE" and not definition["model"].get("dropout")
+    level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    added = definition.get("added_tokens") or []
+    return bool(plain and level and all(t["content"].startswith("<|") and not t["content"].split()[1:] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added))
+
+
+class Known:
+    """Strings with the ids of each, in Arrow: looked up and copied many at a time, never one by one."""
+
+    def __init__(self, kind: np.dtype):
+        self.kind = kind
+        self.keys = pa.array([], pa.string())
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, kind)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    @property
+    def nbytes(self) -> int:
+        return self.keys.nbytes + self.starts.nbytes + self.ids.nbytes
+
+    def find(self, keys: pa.Array) -> np.ndarray:
+        """Each key's place, -1 if it isn't known."""
+        return pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, keys: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys.cast(pa.string())])
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The ids of all these places, end to end."""
+        lists = pa.LargeListArray.from_arrays(pa.array(self.starts), pa.array(self.ids))
+        return lists.take(pa.array(at)).flatten().to_numpy()
+
+    def sizes(self, at: np.ndarray) -> np.ndarray:
+        return self.starts[at + 1] - self.starts[at]
+
+    def only(self, at: np.ndarray) -> "Known":
+        out = Known(self.kind)
+        out.add(self.keys.take(pa.array(at)), self.sizes(at), self.take(at))
+        return out
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees every distinct word once.
 
-    Byte-level vocabularies begin a token at every space or line end that stands alone between other
-    characters, and at marks after a letter; a space goes with what follows it. So there, texts can be cut. A
-    text with other white space, or with white space at an end, is given to the library whole.
+    Byte-level vocabularies whose words are found by the usual pattern begin a token at every space or
+    line end that stands alone between other characters, and at marks after a letter; a space goes
+    with what follows it. So there, texts can be cut; any other vocabulary gets whole texts. A text
+    with other white space, or with white space at an end, is given to the library whole too.
 
     Chunks are written as their text; with a line end before those that follow one; with BEGIN before
     a text's first; and LAST stands for a text's end. No chunk of a text has a line end inside, so neither is mistaken.
@@ -52,104 +104,101 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids[0]
-        self.line, self.end = self._library(["\n"])[0], np.array([END], self.kind).tobytes()
+        self.cuts = can_cut(json.loads(definition))
+        if self.cuts:
+            self.between = self._library([BETWEEN])[0].tolist()
+            self.cuts = len(self.between) == 1
         self._forget()
 
     def _forget(self) -> None:
-        #: Ids of chunks (None: of no use, as white space is in them), of words without a space before, of marks.
-        self.known: dict[str, bytes | None] = {LAST: self.end}
-        self.first: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space before it. Many go to the library as one text, with line
-        ends between them that are a token of their own."""
-        out: list[bytes] = []
-        size = self.kind.itemsize
-        for i in range(0, len(words), TOGETHER * 64):
-            some = [words[j : j + TOGETHER] for j in range(i, min(i + TOGETHER * 64, len(words)), TOGETHER)]
-            for own, e in zip(some, self.tokenizer.encode_batch_fast([BETWEEN.join([" " + w for w in own]) for own in some], add_special_tokens=False)):
-                ids = np.array(e.ids, self.kind)
-                stops = np.append(np.flatnonzero(ids == self.between), len(ids)).tolist()
-                if len(stops) != len(own):
-                    out += self._library([" " + w for w in own])
-                    continue
-                raw, start = ids.tobytes(), 0
-                for stop in stops:
-                    out.append(raw[start * size : stop * size])
-                    start = stop + 1
-        return out
-
-    def _bare(self, chunks: list[str]) -> list[str]:
-        """Each chunk's word: without marks that end it, if after a letter or digit, as those are tokens of their own."""
-        bare = [c.rstrip(MARKS) for c in chunks]
-        bare = [c if c == b or not b[-1:].isalnum() or "<|" in c else b for c, b in zip(chunks, bare)]
-        if new := list({m for c, b in zip(chunks, bare) if (m := c[len(b) :]) not in self.marks}):
-            self.marks.update(zip(new, self._library(new)))
-        return bare
-
-    def _learn(self, chunks: list[str]) -> None:
-        known, first, marks = self.known, self.first, self.marks
-        plain, begun = [c for c in chunks if c[:1] not in STARTS], []
-        # One look at all of them shows, as a rule, that none has white space inside.
-        if len("\0".join(plain).split()) > 1:
-            known.update([(c, None) for c in plain if c.split() != [c]])
-            plain = [c for c in plain if c.split() == [c]]
-        for c in [c for c in chunks if c[:1] in STARTS]:
-            word = c[len(BEGIN) :] if c.startswith(BEGIN) else c[1:] if c[:1] == "\n" else c
-            if word.split() != [word]:
-                known[c] = None
-            elif word is c:
-                plain.append(c)
-            else:
-                begun.append((c, word))
-        words = [w for _, w in begun]
-        bare = self._bare(words)
-        if new := list({b for b in bare if b not in first}):
-            first.update(zip(new, self._library(new)))
-        known.update([(c, (b"" if c.startswith(BEGIN) else self.line) + first[b] + marks[w[len(b) :]]) for (c, w), b in zip(begun, bare)])
-        bare = self._bare(plain)
-        if new := list({b for b in bare if known.get(b) is None}):
-            known.update(zip(new, self._spaced(new)))
-        known.update([(c, known[b] + marks[c[len(b) :]]) for c, b in zip(plain, bare) if len(c) > len(b)])
+        #: Ids of chunks; how many of the first are of no use, as white space is in them; ids of what the library was given.
+        self.chunks, self.pieces = Known(self.kind), Known(self.kind)
+        self.useless = np.zeros(1, bool)
+        self.chunks.add(pa.array([LAST]), np.array([1]), np.array([END], self.kind))
+        self._teach(pa.array(["", "\n"]))
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _teach(self, keys: pa.Array) -> None:
+        """Add these distinct pieces. Those that begin with a space go to the library many as one text,
+        with line ends between them that are a token of their own."""
+        spaced = pc.starts_with(keys, " ")
+        for some, together in ((keys.filter(pc.invert(spaced)), 1), (keys.filter(spaced), TOGETHER)):
+            words = some.to_numpy(zero_copy_only=False).tolist()
+            for i in range(0, len(words), together * 256):
+                own = [words[j : j + together] for j in range(i, min(i + together * 256, len(words)), together)]
+                sizes, ids = [], []
+                for group, found in zip(own, self._library([BETWEEN.join(g) for g in own])):
+                    if together > 1:
+                        at = np.flatnonzero(found == self.between[0])
+                        if len(at) + 1 != len(group):
+                            each = self._library(group)
+                            sizes.append([len(x) for x in each])
+                            ids += each
+                            continue
+                        sizes.append(np.diff(np.concatenate(([-1], at, [len(found)]))) - 1)
+                        found = np.delete(found, at)
+                    else:
+                        sizes.append([len(found)])
+                    ids.append(found)
+                self.pieces.add(some.slice(i, together * 256), np.concatenate(sizes), np.concatenate(ids))
+
+    def _learn(self, chunks: pa.Array) -> None:
+        """Add these distinct chunks: each is a line end or nothing, a word, and the marks after it or none."""
+        lined, begun = pc.starts_with(chunks, "\n"), pc.starts_with(chunks, BEGIN)
+        cut = pc.or_(lined, begun)
+        word = pc.replace_substring_regex(chunks, "^\x01?\n", "")
+        useless = pc.or_(pc.equal(word, ""), pc.match_substring_regex(word, BLANK))
+        word = pc.if_else(useless, "", word)
+        marked = pc.and_not(pc.match_substring_regex(word, MARKED), pc.match_substring(word, "<|"))
+        bare = pc.if_else(marked, pc.utf8_rtrim(word, MARKS), word)
+        marks = pc.if_else(marked, pc.replace_substring_regex(word, r"^.*?([.,;:!?\"')]*)$", r"\1"), "")
+        plain = pc.and_not(pc.invert(cut), useless)
+        bare = pc.if_else(plain, pc.binary_join_element_wise(" ", bare, ""), bare)
+        needed = pc.unique(pa.concat_arrays([bare, marks]))
+        self._teach(needed.filter(pa.array(self.pieces.find(needed) < 0)))
+        line = np.where(pc.and_not(lined, useless).to_numpy(zero_copy_only=False), 1, 0)
+        at = np.stack((line, self.pieces.find(bare), self.pieces.find(marks)), axis=1)
+        self.chunks.add(chunks, self.pieces.sizes(at).sum(axis=1), self.pieces.take(at.ravel()))
+        self.useless = np.concatenate((self.useless, useless.to_numpy(zero_copy_only=False)))
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """The ids of each text as bytes, END after them. Words are cut, and distinct ones found, by Arrow."""
-        if len(self.known) + len(self.first) > REMEMBERED:
-            self._forget()
         texts = pc.fill_null(texts, "")
+        if not self.cuts:
+            return pa.array([np.append(x, np.array(END, self.kind)).tobytes() for x in self._library(texts.to_pylist())], pa.binary())
         lines = pc.replace_substring(texts, "\n", " \n")
         cut = pc.split_pattern(pc.binary_join_element_wise(BEGIN, lines, " " + LAST, ""), " ")
         coded = pc.dictionary_encode(cut.flatten())
-        words, known = coded.dictionary.to_pylist(), self.known
-        ids = list(map(known.get, words))
-        if missing := [i for i, x in enumerate(ids) if x is None]:
-            new = [words[i] for i in missing]
-            self._learn([w for w in new if w not in known])
-            for i, x in zip(missing, map(known.get, new)):
-                ids[i] = x
-        good = [b"" if x is None else x for x in ids]
-        size = self.kind.itemsize
-        starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, good), np.int64, len(good)) // size)))
-        flat = pa.Array.from_buffers(pa.uint16() if size == 2 else pa.uint32(), int(starts[-1]), [None, pa.py_buffer(b"".join(good))])
-        index = coded.indices
-        data = pa.LargeListArray.from_arrays(pa.array(starts), flat).take(index).flatten()
-        at = index.to_numpy()
-        ends = np.concatenate(([0], np.cumsum(np.diff(starts)[at])))
-        offsets = ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()] * size
-        out = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data.to_numpy()))]).cast(pa.binary())
-        bad = np.array([x is None for x in ids])
-        if not bad.any():
-            return out
-        # Texts with a chunk that can't be used go to the library whole.
-        whole = np.unique(np.searchsorted(cut.offsets.to_numpy() - cut.offsets[0].as_py(), np.flatnonzero(bad[at]), side="right") - 1)
-        found = dict(zip(whole.tolist(), self._library([texts[i].as_py() for i in whole.tolist()])))
-        return pa.array([found[i] + self.end if i in found else x for i, x in enumerate(out.to_pylist())], pa.binary())
+        words = coded.dictionary
+        at = self.chunks.find(words)
+        if (new := at < 0).any():
+            known = len(self.chunks)
+            self._learn(words.filter(pa.array(new)))
+            at[new] = known + np.arange(np.count_nonzero(new))
+        index = coded.indices.to_numpy()
+        place = at[index]
+        data = self.chunks.take(place)
+        offsets = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        ends = np.concatenate(([0], np.cumsum(self.chunks.sizes(at)[index])))[offsets] * self.kind.itemsize
+        out = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+        bad = self.useless[at]
+        if bad.any():
+            # Texts with a chunk that can't be used go to the library whole.
+            whole = np.unique(np.searchsorted(offsets, np.flatnonzero(bad[index]), side="right") - 1)
+            found = dict(zip(whole.tolist(), self._library([texts[i].as_py() for i in whole.tolist()])))
+            out = pa.array([np.append(found[i], np.array(END, self.kind)).tobytes() if i in found else x for i, x in enumerate(out.to_pylist())], pa.binary())
+        if self.chunks.nbytes + self.pieces.nbytes > REMEMBERED:
+            self._shrink(at)
+        return out
+
+    def _shrink(self, at: np.ndarray) -> None:
+        """Forget all but the chunks at these places; if even they are too many, everything."""
+        kept, useless = self.chunks.only(at), self.useless[at]
+        self._forget()
+        if kept.nbytes <= REMEMBERED // 2:
+            self.chunks, self.useless = kept, useless
 
 
 _loaded: dict[int, Encoder] = {}
@@ -223,7 +272,9 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None) -> None:
     before it in its shard, bit offsets of every 128th id, and a checksum. Spark's writer commits
     whole tasks, so a lost executor leaves no partial files.
 
-    Null texts count as empty. Null doc_ids come first; rows that share one are in order of their ids.
+    Null texts count as empty. Null doc_ids come first. Rows that share one are in order of a hash of
+    their ids and, if that is equal too, in order of reading, so that they need not lie in one task.
+    Other columns play no part. An empty table gives a codebook of zeros and no blocks.
     """
     spark = docs.sparkSession
     definition, size = _definition(path)
@@ -257,8 +308,9 @@ def write_ids(docs: DataFrame, out: str, path: str | None = None) -> None:
         if keys:
             yield close()
 
-    ranged = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ranged.mapInArrow(blocks, KIND).write.parquet(f"{out}/blocks")
+    order = [F.col("doc_id").asc_nulls_first(), "mark", "place"]
+    ranged = rows.withColumn("mark", F.xxhash64("ids")).withColumn("place", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranged.select("doc_id", "ids").mapInArrow(blocks, KIND).write.parquet(f"{out}/blocks")
 
 
 SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("payload", pa.binary()), ("checkpoints", pa.binary()), ("crc", pa.int64())])

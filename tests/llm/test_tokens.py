@@ -63,6 +63,34 @@ def test_token_files(spark, hard, hard_list, empty, byte_bpe):
     assert token_files.read_ids(spark, none).count() == 0
 
 
+def test_a_worker_forgets_chunks_but_not_ids(byte_bpe, monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 20_000)
+    own = token_files.Encoder(open(public_tokenizers.path(token_files.VOCABULARY), encoding="utf-8").read())
+    for i in range(12):
+        texts = [f"word{i}x{j} again, {j}.\nnew  line" if j % 9 == 0 else f"word{i}x{j} again, {j}.\nline" for j in range(300)]
+        got = own.encode(pa.array(texts)).to_pylist()
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [byte_bpe[0].encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert own.chunks.nbytes + own.pieces.nbytes <= 60_000
+
+
+def test_other_vocabularies_get_whole_texts():
+    path = public_tokenizers.path(token_counts.VOCABULARY)
+    library, own = Tokenizer.from_file(path), token_files.Encoder(open(path, encoding="utf-8").read())
+    texts = ["Words, words\nand more", "", "a b", "one two"]
+    assert not own.cuts
+    assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(pa.array(texts)).to_pylist()] == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
+def test_files_of_one_repeated_id(spark):
+    """All of its rows share an id, and most a text: they are dealt out over the shards all the same."""
+    rows = spark.range(0, 20_000, 1, 6).selectExpr("5L AS doc_id", "if(id % 3 = 0, concat('text ', id % 50), 'the same') AS text")
+    out = scratch(spark, "t")
+    token_files.write_ids(rows, out)
+    found, _ = token_files.read_blocks(spark, out)
+    assert found.select("shard").distinct().count() == 4
+    assert token_files.read_ids(spark, out, with_ids=False).selectExpr("count(*)", "count(DISTINCT start)", "sum(n_tokens)").first()[:2] == (20_000, 20_000)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 60), max_size=600), st.integers(6, 12))
 def test_huffman_round_trip(ids, longest):
