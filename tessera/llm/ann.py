@@ -12,44 +12,79 @@ from pyspark.sql import functions as F
 
 from .common import read_table, spread, written
 
-#: One posting list for so many vectors, and lists at most; the index that tasks hold is bounded by the latter.
-LIST_SIZE, MOST_LISTS = 256, 4096
-#: Vectors that centroids are fitted on: so many a list, and at most; all vectors are indexed.
-SAMPLE_EACH, MOST_SAMPLE = 32, 65_536
-#: A vector lies in up to REPLICAS lists: others than its nearest if at most 1 + MARGIN times as far.
-REPLICAS, MARGIN = 3, 0.15
+#: One posting list for so many vectors; lists at most, and bytes that their centroids may take: tasks hold them all.
+LIST_SIZE, MOST_LISTS, INDEX_BYTES = 256, 65_536, 64_000_000
+#: Vectors that centroids are fitted on: so many a list, at least and at most, and bytes; all vectors are indexed.
+SAMPLE_EACH, LEAST_SAMPLE, MOST_SAMPLE, SAMPLE_BYTES = 32, 2048, 262_144, 128_000_000
+#: Vectors whose norms are within such a factor share a band; a band has lists of its own, if it has so many sampled vectors.
+BAND, BAND_SAMPLE = 1.25, 32
+#: A vector lies in up to REPLICAS lists: others than its nearest if at most 1 + MARGIN times as far, and if at
+#: least APART times as far from the chosen ones as from the vector.
+REPLICAS, MARGIN, APART = 3, 0.02, 0.5
 #: Neighbours of a centroid in the graph, and how many candidates an assignment keeps.
 DEGREE, BEAM = 16, 24
-#: Recall at which the ratio that prunes lists is set, measured in the sample.
-AIM, K = 0.97, 20
+#: Recall at which the ratio that prunes lists is set, measured in the sample: over all neighbours, and of nearly every query.
+AIM, EACH_AIM, K = 0.95, 0.9, 20
+#: Lists that a query reads first, and of them whatever the ratio says; what they hold bounds what it looks for in the others.
+NEAR, ALWAYS = 6, 2
 #: Vectors and queries that one task compares at a time; larger lists are cut into such cells.
-CELL_VECTORS, CELL_QUERIES = 8192, 2048
+CELL_VECTORS, CELL_QUERIES = 1024, 512
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T, 0)
 
 
-def _balanced_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Centroids by k-means in which full clusters are dear: their distance grows with how far they are above the mean size."""
+def _halves(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Which of k groups of like size each row falls in: cut again and again across the direction of most spread."""
+    own, waiting, used = np.zeros(len(x), np.int64), [(np.arange(len(x)), k)], 1
+    while waiting:
+        rows, parts = waiting.pop()
+        if parts < 2 or len(rows) < 2:
+            continue
+        part = x[rows] - x[rows].mean(axis=0)
+        axis = rng.normal(size=x.shape[1])
+        for _ in range(4):
+            axis = part.T @ (part @ axis)
+            axis /= max(np.linalg.norm(axis), 1e-30)
+        order = rows[np.argsort(part @ axis, kind="stable")]
+        left = parts // 2
+        cut = len(order) * left // parts
+        own[order[cut:]] = used
+        waiting += [(order[:cut], left), (order[cut:], parts - left)]
+        used += 1
+    return own
+
+
+def _balanced_centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """Centroids by k-means that begins with groups of like size and in which full clusters are dear.
+
+    A cluster's distance grows with how far it is above the mean size. Rows are compared with all
+    centroids while those are few, else with those near the group that halving puts them in.
+    """
     rng = np.random.default_rng(7)
-    c = x[rng.choice(len(x), k, replace=False)].copy()
-    size = np.full(k, len(x) / k)
+    own = _halves(x, k, rng)
     for _ in range(rounds):
-        own = np.empty(len(x), np.int64)
-        for i in range(0, len(x), 4096):
-            d = _distances(x[i : i + 4096], c)
-            own[i : i + 4096] = np.argmin(d * (1 + 0.2 * np.clip(size * k / len(x) - 1, -0.5, 2)), axis=1)
         size = np.bincount(own, minlength=k).astype(float)
-        total = np.zeros_like(c)
+        total = np.zeros((k, x.shape[1]))
         np.add.at(total, own, x)
         c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], x[rng.integers(0, len(x), k)])
+        tax = 1 + 0.2 * np.clip(size * k / len(x) - 1, -0.5, 2)
+        near = None if k <= 2048 else np.concatenate([np.argpartition(_distances(c[i : i + 512], c), 32, axis=1)[:, :32] for i in range(0, k, 512)])
+        for i in range(0, len(x), 4096):
+            part = x[i : i + 4096]
+            if near is None:
+                own[i : i + 4096] = np.argmin(_distances(part, c) * tax, axis=1)
+            else:
+                some = near[own[i : i + 4096]]
+                d = ((part * part).sum(1)[:, None] + (c * c).sum(1)[some] - 2 * np.einsum("ij,ikj->ik", part, c[some])) * tax[some]
+                own[i : i + 4096] = np.take_along_axis(some, np.argmin(d, axis=1)[:, None], 1)[:, 0]
     return c.astype(np.float32)
 
 
 @dataclass
 class Centroids:
-    """Centroids with the graph that is walked to find those near a vector.
+    """One band's centroids with the graph that is walked to find those near a vector.
 
     Vectors carry one more coordinate, the square root of reach^2 - norm^2, queries 0 there: then the
     nearest by distance are those of the largest inner product, whatever the norms.
@@ -59,24 +94,31 @@ class Centroids:
     links: np.ndarray
     entry: np.ndarray
     reach: float
-    ratio: float = 1.0
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, reach: float) -> Centroids:
         x = lifted(sample, reach)
         points = _balanced_centroids(x, min(lists, len(x)))
-        d = _distances(points, points)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1)[:, : min(DEGREE, max(1, len(points) - 1))]
+        n, near = len(points), []
+        for i in range(0, n, 1024):
+            d = _distances(points[i : i + 1024], points)
+            d[np.arange(len(d)), i + np.arange(len(d))] = np.inf
+            near.append(np.argsort(d, axis=1)[:, : min(DEGREE, max(1, n - 1))])
         # A ring keeps the graph connected where nearest neighbours alone would leave islands.
-        n = len(points)
         ring = np.stack(((np.arange(n) + 1) % n, (np.arange(n) - 1) % n), axis=1)
         spread_out = np.linspace(0, n - 1, min(n, 8)).astype(np.int64)
-        return cls(points, np.concatenate((near, ring), axis=1), spread_out, reach)
+        return cls(points, np.concatenate((np.concatenate(near), ring), axis=1), spread_out, reach)
 
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Centroids near each row, nearest first, and their distances: best-first walks over the graph, all rows in step."""
+        """Centroids near each row, nearest first, and their distances: best-first walks over the graph, all rows in step.
+
+        A step looks at the neighbours of a few centroids of each row's beam, however many centroids there are.
+        """
         n, beam = len(x), min(beam, len(self.points))
+        if beam == len(self.points):
+            dist = _distances(x, self.points)
+            ids = np.argsort(dist, axis=1, kind="stable")
+            return ids, np.sqrt(np.take_along_axis(dist, ids, 1))
         far = np.float32(np.inf)
 
         def measured(ids: np.ndarray) -> np.ndarray:
@@ -94,24 +136,24 @@ class Centroids:
                 return ids, np.sqrt(dist)
             done[rows, pick] = True
             new = self.links[np.take_along_axis(ids, pick, 1)].reshape(n, -1)
-            known = np.zeros((n, len(self.points)), bool)
-            known[rows, ids] = True
-            skip = known[rows, new] | ~np.repeat(can, self.links.shape[1], axis=1)
-            order = np.argsort(new, axis=1, kind="stable")  # of a centroid reached twice, the first counts
-            twice = np.zeros_like(skip)
-            ordered = np.take_along_axis(new, order, 1)
-            np.put_along_axis(twice, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
-            d = np.where(skip | twice, far, measured(new))
-            ids, dist, done = np.concatenate((ids, new), 1), np.concatenate((dist, d), 1), np.concatenate((done, np.zeros(new.shape, bool)), 1)
-            best = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-            ids, dist, done = (np.take_along_axis(a, best, 1) for a in (ids, dist, done))
+            both = np.concatenate((ids, new), 1)
+            d = np.concatenate((dist, np.where(np.repeat(can, self.links.shape[1], axis=1), measured(new), far)), 1)
+            done = np.concatenate((done, np.zeros(new.shape, bool)), 1)
+            # Of a centroid reached again the first place counts: it is the one that knows whether it is done.
+            order = np.argsort(both, axis=1, kind="stable")
+            ordered = np.take_along_axis(both, order, 1)
+            again = np.zeros(both.shape, bool)
+            np.put_along_axis(again, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], 1)
+            d[again] = far
+            best = np.argsort(d, axis=1, kind="stable")[:, :beam]
+            ids, dist, done = (np.take_along_axis(a, best, 1) for a in (both, d, done))
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row, list): each vector's nearest list, and others as near but for MARGIN that don't lie behind a chosen one."""
         rows, lists = [], []
         for i in range(0, len(x), 1024):
             part = lifted(x[i : i + 1024], self.reach)
-            ids, dist = self.search(part, BEAM)
+            ids, dist = (a[:, :BEAM] for a in self.search(part, BEAM))
             chosen = np.full((len(part), REPLICAS), -1)
             chosen[:, 0] = ids[:, 0]
             n = np.ones(len(part), int)
@@ -120,7 +162,7 @@ class Centroids:
                 for r in range(REPLICAS):
                     there = chosen[:, r] >= 0
                     gap = np.linalg.norm(self.points[ids[:, j]] - self.points[np.maximum(chosen[:, r], 0)], axis=1)
-                    ok &= ~there | (gap >= dist[:, j])
+                    ok &= ~there | (gap >= APART * dist[:, j])
                 chosen[ok, n[ok]] = ids[ok, j]
                 n[ok] += 1
             at = np.nonzero(chosen >= 0)
@@ -128,39 +170,125 @@ class Centroids:
             lists.append(chosen[at])
         return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
-    def route(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, list): the lists that a query reads, pruned by their distance's ratio to the nearest one's."""
-        rows, lists, beam = [], [], 64
+
+@dataclass
+class Index:
+    """The bands, longest vectors first, with the number of their first list; the ratio that prunes lists."""
+
+    bands: list[Centroids]
+    firsts: list[int]
+    reach: float
+    ratio: float = 1.0
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, lists: int, reach: float) -> Index:
+        """Bands of norms, each a factor of BAND wide or wider, with lists in proportion to their sampled vectors."""
+        norm = np.sqrt((sample.astype(np.float64) ** 2).sum(1))
+        order = np.argsort(-norm, kind="stable")
+        bands, firsts, start, used = [], [], 0, 0
+        while start < len(order):
+            # A band goes on until it is wide and full enough; too few vectors left join it.
+            top = reach if not bands else float(norm[order[start]])
+            end = max(start + min(BAND_SAMPLE, len(order)), int(np.searchsorted(-norm[order], -top / BAND, side="left")))
+            end = len(order) if len(order) - end < BAND_SAMPLE else end
+            own = sample[order[start:end]]
+            bands.append(Centroids.fit(own, max(1, round(lists * len(own) / len(order))), top))
+            firsts.append(used)
+            used += len(bands[-1].points)
+            start = end
+        return cls(bands, firsts, reach)
+
+    @property
+    def size(self) -> int:
+        return self.firsts[-1] + len(self.bands[-1].points)
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, list) of each vector in its band: the shortest-reaching one that reaches it."""
+        norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
+        band = np.zeros(len(x), int)
+        for j, own in enumerate(self.bands[1:], 1):
+            band[norm <= own.reach * (1 + 1e-12)] = j
+        rows, lists = [np.zeros(0, int)], [np.zeros(0, int)]
+        for j, own in enumerate(self.bands):
+            at = np.flatnonzero(band == j)
+            row, found = own.assign(x[at])
+            rows.append(at[row])
+            lists.append(found + self.firsts[j])
+        return np.concatenate(rows), np.concatenate(lists)
+
+    def near(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Lists of all bands near each query, nearest first, and their distances' ratios to the nearest one's of
+        the same band; whether they are all lists.
+
+        For each band a query is given the length that the band reaches: its length changes no order,
+        and so ratios mean the same for all queries and bands.
+        """
+        ids, ratios = [], []
+        long = q.astype(np.float64)
+        unit = long / np.sqrt((long**2).sum(1))[:, None]
+        for first, own in zip(self.firsts, self.bands):
+            i, d = own.search(lifted(unit * own.reach, None), beam)
+            ids.append(i + first)
+            ratios.append(d / np.maximum(d[:, :1], 1e-12))
+        ids, ratios = np.concatenate(ids, 1), np.concatenate(ratios, 1)
+        order = np.argsort(ratios, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(ratios, order, 1), ids.shape[1] == self.size
+
+    def route(self, q: np.ndarray, sizes: np.ndarray, k: int, least: np.ndarray, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, list, whether it is a near one: the lists that a query reads.
+
+        A list is pruned if its distance exceeds `ratio` times that of its band's nearest one, or if its band can't
+        reach `least`, a bound that the query's k best all reach. The near lists are the first NEAR of those and, whatever that
+        says, the first ALWAYS and as many as it takes to hold k vectors besides itself for certain: sizes count a vector up to REPLICAS times.
+        """
+        top = np.concatenate([np.full(len(b.points), b.reach) for b in self.bands])
+        rows, lists, near = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, bool)]
         for i in range(0, len(q), 256):
-            part = lifted(q[i : i + 256], None)
+            part, beam = q[i : i + 256], 64
+            length, floor = np.sqrt((part.astype(np.float64) ** 2).sum(1))[:, None], least[i : i + 256, None]
             while True:
-                ids, dist = self.search(part, beam)
-                on = dist <= self.ratio * dist[:, :1]
-                if beam >= len(self.points) or not on[:, -1].any():
+                ids, ratios, all_ = self.near(part, beam)
+                full = sizes[ids]
+                held = np.cumsum(full, axis=1)
+                admitted = ratios <= (self.ratio if ratio is None else ratio)
+                admitted &= length * top[ids] * (1 + 1e-9) >= floor
+                place = np.arange(ids.shape[1])
+                close = (held - full < REPLICAS * (k + 1)) | (place < ALWAYS) | admitted & (place < NEAR)
+                # A query whose last candidates still count may want more.
+                if all_ or not (admitted[:, -1].any() or (held[:, -1] < REPLICAS * (k + 1)).any()):
                     break
-                beam *= 2  # a query whose last candidate still counts may want more
-            at = np.nonzero(on)
+                beam *= 2
+            at = np.nonzero((admitted | close) & (full > 0))
             rows.append(i + at[0])
             lists.append(ids[at])
-        return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, int), np.zeros(0, int))
+            near.append(close[at])
+        return np.concatenate(rows), np.concatenate(lists), np.concatenate(near)
 
     def calibrate(self, sample: np.ndarray, k: int) -> None:
-        """Set the smallest ratio whose recall of each sampled query's k nearest in the sample reaches AIM."""
-        q = sample[:: max(1, len(sample) // 256)][:256]
-        score = q @ sample.T
-        score[score >= (q * q).sum(1)[:, None]] = -np.inf  # itself
+        """Set the smallest ratio at which AIM of all sampled queries' k nearest in the sample are found, and
+        EACH_AIM of the k nearest of 95 % of these queries."""
+        step = max(1, len(sample) // 256)
+        own = np.arange(0, len(sample), step)[:256]
+        q = sample[own].astype(np.float64)
+        score = q @ sample.T.astype(np.float64)
+        score[np.arange(len(own)), own] = -np.inf  # itself, but not its copies
         k = min(k, len(sample) - 1)
         if k < 1:
             return
         truth = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        row, own = self.assign(sample)
-        member = np.zeros((len(sample), len(self.points)), bool)
-        member[row, own] = True
-        dist = np.sqrt(_distances(lifted(q, None), self.points))
-        rel = dist / np.maximum(dist.min(axis=1, keepdims=True), 1e-12)
+        row, where = self.assign(sample)
+        order = np.argsort(row, kind="stable")
+        row, where = row[order], where[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        lists = np.full((len(sample), REPLICAS), -1)
+        lists[row, place] = where
+        ids, ratios, _ = self.near(q, self.size)
+        rel = np.empty(ratios.shape)
+        np.put_along_axis(rel, ids, ratios, 1)
         # A neighbour is found once the ratio admits the nearest to the query of the lists it is in.
-        needed = np.min(np.where(member[truth], rel[:, None, :], np.inf), axis=2)
-        self.ratio = float(np.quantile(needed, AIM)) + 1e-6
+        found = lists[truth]
+        needed = np.where(found >= 0, rel[np.arange(len(own))[:, None, None], np.maximum(found, 0)], np.inf).min(axis=2)
+        self.ratio = float(max(np.quantile(needed, AIM), np.quantile(np.quantile(needed, EACH_AIM, axis=1), 0.95))) + 1e-6
 
 
 def lifted(x: np.ndarray, reach: float | None) -> np.ndarray:
@@ -201,10 +329,10 @@ def best_in_cell(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
         part = q[i : i + 256]
         score = part @ x.T
         score[qids[i : i + 256, None] == ids[None, :]] = -np.inf
-        slack = 1e-12 * np.sqrt((part * part).sum(1)) * size.max() * x.shape[1]
         floor = least[i : i + 256]
         if len(ids) > k:
             floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+        slack = 1e-12 * np.sqrt((part * part).sum(1)) * size.max() * x.shape[1]
         row, col = np.nonzero((score >= (floor - slack)[:, None]) & np.isfinite(score))
         exact = np.zeros(len(row))
         for c in range(x.shape[1]):
@@ -217,29 +345,30 @@ def best_in_cell(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     return tuple(np.concatenate(a) for a in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def fit(vectors: DataFrame, k: int = K) -> tuple[Centroids, np.ndarray, np.ndarray] | None:
-    """Centroids, the sample they are fitted on and its vec_ids. None if there are no vectors."""
+def fit(vectors: DataFrame, k: int = K) -> tuple[Index, np.ndarray, np.ndarray] | None:
+    """The index, fitted on a bounded sample; the sample and its vec_ids. None if there are no vectors."""
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    n, reach = vectors.agg(F.count(F.lit(1)), F.sqrt(F.max(norm))).first()
+    n, reach, dims = vectors.agg(F.count(F.lit(1)), F.sqrt(F.max(norm)), F.max(F.size("embedding"))).first()
     if not n:
         return None
-    lists = int(min(MOST_LISTS, max(1, n // LIST_SIZE)))
-    rows = int(min(n, MOST_SAMPLE, max(2048, SAMPLE_EACH * lists)))
+    lists = int(max(1, min(MOST_LISTS, INDEX_BYTES // (4 * dims + 4), n // LIST_SIZE)))
+    rows = int(min(n, MOST_SAMPLE, max(SAMPLE_BYTES // (4 * dims), lists), max(LEAST_SAMPLE, SAMPLE_EACH * lists)))
     share = min(1.0, 1.3 * rows / n + 1e-6)
     sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).toArrow()
     x = _matrix(sample["embedding"].combine_chunks())
-    index = Centroids.fit(x, lists, float(reach))
+    index = Index.fit(x, lists, float(reach))
     index.calibrate(x, k)
-    return index, x, sample["vec_id"].to_numpy()
+    return index, x[:LEAST_SAMPLE], sample["vec_id"].to_numpy()[:LEAST_SAMPLE]
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for vectors (vec_id, embedding) whose vec_id is divisible by `every`, k nearest of all others.
 
     Nearness is the inner product in double precision, ties go to the smaller vec_id. Every vector is
-    in the index; a query reads the lists that a ratio of distances leaves it, and is compared with
-    all vectors if those lists leave it short of k. What takes no part: see usable. Fewer than k
-    candidates are all returned; with none, or an empty table, no rows.
+    in the index; a query reads the lists that Index.route leaves it, which hold k candidates at least if
+    the table does. A query whose k-th find is below what a sample alone holds for it has missed some: it
+    reads once more, all lists of the bands that reach that far. What takes no part: see usable; other
+    columns don't count. Fewer than k candidates are all returned; with none, or an empty table, no rows.
     """
     spark = vectors.sparkSession
     usable_ = usable(vectors)
@@ -255,25 +384,32 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             row, own = shared.value[0].assign(_matrix(b.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row))], ["list", "id", "embedding"])
 
-    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, sample, ids = shared.value
-        for b in batches:
-            q, own = _matrix(b.column(1)), b.column(0).to_numpy()
-            row, lists = index.route(q)
-            # The k-th best in the sample is a bound: nothing below it can be among the k best of all.
-            least = np.full(len(q), -np.inf)
-            for i in range(0, len(q), 256):
-                s = q[i : i + 256].astype(np.float64) @ sample.T.astype(np.float64)
-                s[own[i : i + 256, None] == ids[None, :]] = -np.inf
-                if s.shape[1] > k:
-                    least[i : i + 256] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            least = np.where(np.isfinite(least), least - 1e-9 * np.abs(least), -np.inf)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(least).take(take)], ["list", "id", "embedding", "least"])
-
     postings = written(spread(usable_).mapInArrow(posted, f"list int, id long, embedding {element}"), "postings")
-    is_query = F.pmod("vec_id", F.lit(every)) == 0
-    queries = written(spread(usable_.where(is_query)).mapInArrow(routed, f"list int, id long, embedding {element}, least double"), "routes")
+    # A number for each list, of which there are MOST_LISTS at most.
+    counted = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    sizes = np.zeros(fitted[0].size, np.int64)
+    sizes[counted["list"].to_numpy()] = counted["n"].to_numpy()
+    full = spark.sparkContext.broadcast(sizes)
+
+    def routes(asked: DataFrame, ratio: float | None = None) -> DataFrame:
+        """A row for each list that a query reads; the first of a query's rows is marked."""
+
+        def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index, sample, ids = shared.value
+            for b in batches:
+                q, own = _matrix(b.column(1)), b.column(0).to_numpy()
+                # The k-th best in the sample is a bound that the k best of all reach.
+                least = np.full(len(q), -np.inf)
+                for i in range(0, len(q), 256):
+                    s = q[i : i + 256].astype(np.float64) @ sample.T.astype(np.float64)
+                    s[own[i : i + 256, None] == ids[None, :]] = -np.inf
+                    if s.shape[1] > k:
+                        least[i : i + 256] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                row, lists, near = index.route(q, full.value, k, least, ratio)
+                take, first = pa.array(row), np.concatenate(([True], row[1:] != row[:-1]))[: len(row)]
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(least).take(take), pa.array(near), pa.array(first)], ["list", "id", "embedding", "least", "near", "first"])
+
+        return written(asked.mapInArrow(routed, f"list int, id long, embedding {element}, least double, near boolean, first boolean"), "routes")
 
     def each(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -284,30 +420,37 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             out = best_in_cell(vs["id"].to_numpy(), _matrix(vs["embedding"].combine_chunks()), qs["id"].to_numpy(), _matrix(qs["embedding"].combine_chunks()), qs["least"].to_numpy(), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out))))
 
-    def ranked(postings: DataFrame, queries: DataFrame) -> DataFrame:
-        """The k best of each query among the vectors of its lists."""
-        # How many cells each list is cut into: at most MOST_LISTS rows.
+    def found(queries: DataFrame) -> DataFrame:
+        """Of each query (list, id, embedding, least) and cell, the k best vectors that reach `least`."""
+        # How many cells each list is cut into: at most MOST_LISTS rows. Only lists that are read go on.
         cells = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_VECTORS).cast("int").alias("vs")).join(queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("qs")), "list")
         cells = F.broadcast(written(cells, "cells"))
         at = ["list", "v", "q"]
         left = postings.join(cells, "list").withColumn("v", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int")).withColumn("q", each("qs")).select(*at, "id", "embedding")
-        right = queries.join(cells, "list").withColumn("q", F.pmod(F.xxhash64("id"), F.col("qs")).cast("int")).withColumn("v", each("vs")).select(*at, "id", "embedding", "least")
-        found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(compared, "query_id long, vec_id long, score double")
-        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        right = queries.join(cells, "list").withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.col("qs")).cast("int")).withColumn("v", each("vs")).select(*at, "id", "embedding", "least")
+        return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(compared, "query_id long, vec_id long, score double")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        once = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    best = written(ranked(postings, queries), "nearest")
-    # The bound drops what is found below it, so a query whose lists miss some of the k best has fewer than k rows.
-    had = best.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("had"))
-    asked = usable_.where(is_query).select(F.col("vec_id").alias("id"), "embedding")
-    short = written(asked.join(had, "id", "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < k), "short")
-    if not short.isEmpty():
-        short = short.where(F.col("had") < min(k, usable_.count() - 1))
-        whole = usable_.select(F.lit(0).alias("list"), F.col("vec_id").alias("id"), "embedding")
-        again = ranked(whole, short.select(F.lit(0).alias("list"), "id", "embedding", F.lit(float("-inf")).alias("least")))
-        best = best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
-    return best
+    def searched(queries: DataFrame) -> DataFrame:
+        """The k best in the lists of each query. The near ones give each query a bound, so that of the others, however many
+        they are, little is found that isn't among the k best."""
+        near = written(ranked(found(queries.where("near").withColumn("least", F.lit(float("-inf"))))), "near")
+        bound = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+        others = written(queries.where("NOT near").join(bound, "id", "left").withColumn("least", F.greatest("least", F.coalesce("bound", "least"))).select("list", "id", "embedding", "least"), "others")
+        return written(ranked(near.drop("rank").unionByName(found(others))), "nearest")
+
+    queries = routes(spread(usable_.where(F.pmod("vec_id", F.lit(every)) == 0)))
+    best = searched(queries)
+    last = best.groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("last"))
+    missed = written(queries.where("first").join(last, "id").where(F.col("last") < F.col("least") - 1e-9 * F.abs("least")).select("id", "embedding"), "missed")
+    if missed.isEmpty():
+        return best
+    again = searched(routes(missed, float("inf")))
+    return best.join(missed.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(again)
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

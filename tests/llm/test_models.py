@@ -193,3 +193,50 @@ def test_every_query_has_k_rows(spark, monkeypatch, aim):
         s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
         # Here the bound is exact, so no query with k rows has a wrong one.
         assert {i for _, i in g} == set(ids[np.lexsort((ids, -s))[:20]].tolist())
+
+
+def varied(kind, n=6_000, dims=24):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, dims))
+    x = centres[rng.integers(0, 30, n)] + 0.4 * rng.normal(size=(n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "uneven norms":
+        x *= np.exp(0.7 * rng.normal(size=(n, 1)))
+    if kind == "outlier":
+        x[7] *= 60
+    if kind == "copies":
+        x[: n // 3] = x[0]
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["unit", "uneven norms", "outlier", "copies"])
+def test_recall_of_vectors_of_many_lists(spark, kind):
+    """More vectors than are sampled, tens of lists: every query has its rows, and its nearest with few exceptions."""
+    x = varied(kind)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    found = defaultdict(list)
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    hits = []
+    for q in range(0, len(x), 20):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        kth = np.sort(s)[-20]
+        assert len({i for i, _ in found[q]}) == len(found[q]) == 20 and q not in {i for i, _ in found[q]}
+        assert np.allclose([v for _, v in found[q]], s[[i for i, _ in found[q]]], rtol=1e-12)
+        hits.append(np.mean([v >= kth - 1e-12 for _, v in found[q]]))
+    print(kind, "mean", np.mean(hits), "least", min(hits))
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.5
+
+
+def test_lists_are_pruned_and_balanced():
+    for kind in ("unit", "uneven norms", "outlier"):
+        x = varied(kind)
+        index = ann.Index.fit(x[:2048], len(x) // ann.LIST_SIZE, float(np.linalg.norm(x.astype(float), axis=1).max()))
+        index.calibrate(x[:2048], 20)
+        row, lists = index.assign(x)
+        assert set(row) == set(range(len(x)))
+        sizes = np.bincount(lists, minlength=index.size)
+        s = x[::20].astype(float) @ x[:2048].T.astype(float)
+        at, _, _ = index.route(x[::20], sizes, 20, -np.partition(-s, 20, axis=1)[:, 20])
+        assert sizes.max() <= 6 * ann.LIST_SIZE and len(at) / len(x[::20]) <= 0.5 * index.size
