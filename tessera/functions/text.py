@@ -28,6 +28,21 @@ def terms(text: Column) -> Column:
     return tokens(F.lower(text))
 
 
+def counted(values: Column) -> Column:
+    """The distinct values of an array, ascending, each with how often it is there: array of (value, n).
+
+    Runs of the sorted array; so a row is counted where it lies, and nothing is exploded or shuffled.
+    """
+
+    def runs(ordered: Column) -> Column:
+        n = F.size(ordered)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return F.when(n > 0, F.zip_with(starts, F.concat(F.slice(starts, 2, n), F.array(n)), lambda a, b: F.struct(F.get(ordered, a).alias("value"), (b - a).alias("n"))))
+
+    # A one-row array, so that sorting is evaluated once.
+    return F.coalesce(F.get(F.transform(F.array(F.array_sort(values)), runs), F.lit(0)), F.array())
+
+
 def snake(kind: str, value: Column) -> Column:
     """An entity's identifier: its kind, two underscores, the value with all but a-z, 0-9 and _ replaced."""
     return F.concat(F.lit(kind + "__"), F.regexp_replace(strip(F.lower(value)), r"[^a-z0-9_]", "_"))

@@ -7,9 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import counted, terms
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Terms of questions that are broadcast at most; beyond, postings of a term are dealt over so many tasks.
+ASKED, SALTS = 200_000, 16
+#: Entries beside terms; a term has no white space.
+CHUNKS, TOKENS = " chunks", " tokens"
 
 
 @dataclass
@@ -20,9 +24,11 @@ class Index:
     term_stats: DataFrame
     corpus: DataFrame
     chunks: DataFrame
+    #: What the others are made of, where they aren't read from files.
+    counted: DataFrame | None = None
 
     def persist(self) -> Index:
-        for df in (self.postings, self.term_stats, self.corpus):
+        for df in (self.counted if self.counted is not None else self.postings, self.term_stats):
             df.persist()
         return self
 
@@ -42,19 +48,24 @@ def fit(chunks: DataFrame) -> Index:
     """The index of chunks (chunk_id, text).
 
     A term in more than half of all chunks has a negative raw idf; it gets EPSILON times the mean raw
-    idf of all terms instead. Counting combines within tasks before it shuffles.
+    idf of all terms instead. A chunk's terms are counted in its row; all that is shuffled are partial
+    counts of chunks by term.
     """
-    split = chunks.select("chunk_id", terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    # The outer form: for the inner one Catalyst would add a filter that splits every text once more.
-    postings = split.select("chunk_id", "dl", F.explode_outer("t").alias("term")).where("term IS NOT NULL").groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    corpus = split.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    split = chunks.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("dl"), counted(F.col("t")).alias("counts"))
+    # Two more entries a chunk, that no term can be, so that one pass counts chunks and tokens as well.
+    own = F.array(*[F.struct(F.lit(name).alias("value"), n.cast("int").alias("n")) for name, n in ((CHUNKS, F.lit(1)), (TOKENS, F.col("dl")))])
+    rows = split.select("chunk_id", "dl", F.explode(F.concat(own, "counts")).alias("c")).select(F.col("c.value").alias("term"), "chunk_id", "dl", F.col("c.n").cast("long").alias("tf"))
+    is_term = ~F.col("term").isin(CHUNKS, TOKENS)
+    # That terms are terms is told after counting, so that all that reads the counts reads one exchange.
+    df = rows.groupBy("term").agg(F.sum(F.when(is_term, F.lit(1)).otherwise(F.col("tf"))).alias("df"), F.max(is_term).alias("is_term"))
+    one = {name: F.max(F.when(~F.col("is_term") & (F.col("term") == name), F.col("df"))) for name in (CHUNKS, TOKENS)}
+    corpus = df.agg(F.coalesce(one[CHUNKS], F.lit(0)).alias("n"), (one[TOKENS] / one[CHUNKS]).alias("avgdl"))
     # The corpus is one row.
-    raw = df.crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    corpus = corpus.crossJoin(raw.agg(F.avg("raw").alias("avg_idf")))
-    stats = raw.select("term", "df", "raw").crossJoin(F.broadcast(corpus.select("avg_idf")))
+    raw = df.where("is_term").crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("avg_idf"))
+    stats = raw.select("term", "df", "raw").crossJoin(F.broadcast(mean))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw"))
-    return Index(postings, stats.select("term", "df", idf.alias("idf")), corpus, chunks.select("chunk_id"))
+    return Index(rows.where(is_term), stats.select("term", "df", idf.alias("idf")), corpus.crossJoin(mean), chunks.select("chunk_id"), rows)
 
 
 def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
@@ -66,7 +77,12 @@ def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     """
     asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighed = asked.join(index.term_stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    if asked.limit(ASKED + 1).count() <= ASKED:
+        joined = index.postings.join(F.broadcast(weighed), "term")
+    else:
+        salted = index.postings.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
+        joined = salted.join(weighed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")), ["term", "salt"]).drop("salt")
+    hits = joined.crossJoin(F.broadcast(index.corpus.select("avgdl")))
     tf = F.col("tf")
     part = F.col("w") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     some = index.chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)

@@ -110,8 +110,8 @@ def _search(spark, sf_dir) -> retrieval.Search:
 
 
 def vector_search_docs(spark, sf_dir):
-    parts = vector.hashed_parts(chunks(spark, sf_dir), "chunk_id", "text")
-    return vector.search_hashed(parts, questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    own = vector.hashed_vectors(chunks(spark, sf_dir), "chunk_id", "text")
+    return vector.search_hashed(own, questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 def hybrid_search(spark, sf_dir):
@@ -317,37 +317,37 @@ def _each(make: Callable, names: tuple[str, ...]):
 
 def find_owner(spark, sf_dir):
     nodes, edges = corpus_graph(spark)
-    return _each(lambda s: graph_query.find_owner(nodes, edges, s), ("payment-gateway", "inventory-service", "nowhere"))
+    return _each(lambda s: graph_query.find_owner(nodes, edges, s), ("fraud-detection", "inventory-service", "nowhere"))
 
 
 def find_owner_resolved(spark, sf_dir):
     nodes, edges = corpus_graph(spark)
-    return _each(lambda s: graph_query.find_owner(nodes, edges, s, True), ("payment-gateway", "inventory-service"))
+    return _each(lambda s: graph_query.find_owner(nodes, edges, s, True), ("fraud-detection", "inventory-service"))
 
 
 def recent_changes(spark, sf_dir):
     nodes, edges = corpus_graph(spark)
-    return _each(lambda s: graph_query.recent_changes(nodes, edges, s).select("id", "timestamp", "owner"), ("payment-gateway", "checkout"))
+    return _each(lambda s: graph_query.recent_changes(nodes, edges, s).select("id", "timestamp", "owner"), ("inventory-service", "redis-cache"))
 
 
 def active_incidents(spark, sf_dir):
     nodes, edges = corpus_graph(spark)
-    return _each(lambda s: graph_query.active_incidents(nodes, edges, s).select("id", "priority", "status"), ("payment-gateway", "checkout"))
+    return _each(lambda s: graph_query.active_incidents(nodes, edges, s).select("id", "priority", "status"), ("fraud-detection", "inventory"))
 
 
 def active_incidents_resolved(spark, sf_dir):
     nodes, edges = corpus_graph(spark)
-    return _each(lambda s: graph_query.active_incidents(nodes, edges, s, True).select("id", "priority", "status"), ("payment-gateway", "inventory-service"))
+    return _each(lambda s: graph_query.active_incidents(nodes, edges, s, True).select("id", "priority", "status"), ("fraud-detection", "inventory-service"))
 
 
 def dependencies(spark, sf_dir):
     nodes, _ = corpus_graph(spark)
-    return _each(lambda s: graph_query.dependencies(nodes, s), ("checkout-api", "inventory-service"))
+    return _each(lambda s: graph_query.dependencies(nodes, s), ("inventory-service", "redis-cache"))
 
 
 def dependencies_resolved(spark, sf_dir):
     nodes, _ = corpus_graph(spark)
-    return _each(lambda s: graph_query.dependencies(nodes, s, True), ("checkout-api", "inventory-service"))
+    return _each(lambda s: graph_query.dependencies(nodes, s, True), ("inventory-service", "fraud-detection"))
 
 
 def recent_orders(spark, sf_dir):

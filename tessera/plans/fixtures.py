@@ -10,28 +10,29 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 DOCS = [
-    ("CONF-001", "Checkout Guide", "\n# Checkout Guide\nOwner: Rahul S. (rahul@company.com)\nTakes orders, then asks the payment gateway and fraud detection.\n### Dependencies\n- payment-gateway (charges cards)\n- inventory-service\n\n- fraud-detection (scores)\n# Notes\n- no dependency of ours\n", "confluence", "2026-01-10"),
-    ("CONF-002", "Payment Gateway Runbook", "Owner: Rahul Sharma\nOn-call: Priya Mehta (priya@company.com)\nRestart pgw when the bank is slow. Escalation: page the bank desk\nCalled by the checkout.", "confluence", "2026-01-12"),
-    ("CONF-003", "Inventory Service Notes", "OWNER: james\nKeeps stock in redis and postgres, for the checkout.\nDependencies\n- redis-cache\n- postgres-primary", "confluence", "2026-02-01"),
-    ("CONF-004", "Fraud Detection Model", "Owner: Unknown Person\nReads the feature-store; tables in postgres-fraud. See Machine Learning Handbook.", "confluence", "2026-02-03"),
+    ("WIKI-7", "Inventory Service Handbook", "\n# Shelf counts\nOwner: Priya M. (priya@company.com)\nCounts boxes on shelves and answers the kiosk.\n## Dependencies\n- redis-cache (hot shelves)\n- postgres-primary\n\n- ml-feature-store (demand)\n# Colophon\n- no dependency of ours\n", "confluence", "2027-03-02"),
+    ("inventory_service_guide", "Counting days", "Owner: James\nHow a stocktake is run.\nDependencies\n- barcode-reader\n- inventory-service (itself)", "confluence", "2027-01-19"),
+    ("WIKI-9", "Fraud Detection Field Notes", "OWNER: rahul\nOn-call: James Liu (james@company.com)\nAsks payments before scoring. Escalation: wake the analyst\nWatched by the kiosk, as is the redis.", "confluence", "2027-02-11"),
+    ("WIKI-12", "Kiosk Screens", "Owner: Vendor Desk\nPaints the feature-store banner; reads postgres-fraud. See Shop Floor Manual.", "confluence", "2027-01-30"),
 ]
 TICKETS = [
-    ("JR-101", "Checkout times out", " The checkout waits 900 ms, caused by payment-gateway. Fixes JR-99 maybe. ", "rahul@company.com", "priya", "open", "P1", ["checkout", "payment-gateway"], "2026-04-14T03:45:00Z", "jira"),
-    ("JR-102", "Stock counts drift", "inventory-service depends on redis-cache and drifts after deploys.", "james liu", "rahul", "open", None, ["inventory service", "unheard-of"], "2026-04-10T08:00:00Z", "jira"),
-    ("JR-103", "Checkout copy change", "Wording on the checkout page.", None, "james", "resolved", "P3", [], "2026-03-01T08:00:00Z", "jira"),
-    ("JR-104", "Card retries", "payment-gateway retries 503 too often.", "", "james", "in progress", "P2", ["pgw"], "2026-04-15T09:30:00Z", "jira"),
+    ("OPS-31", "Shelf counts freeze", " The inventory count stands still for 45 minutes, caused by redis-cache. Fixes OPS-9 maybe. ", "priya@company.com", "james", "open", "P1", ["inventory", "redis"], "2027-03-05T06:20:00Z", "jira"),
+    ("OPS-32", "Scores arrive late", "fraud-detection depends on ml-feature-store and lags on Mondays.", "james liu", "priya", "open", None, ["fraud detection", "unheard-of"], "2027-02-22T10:05:00Z", "jira"),
+    ("OPS-33", "Label wording", "Wording on the kiosk label, and a word on fraud_detection.", None, "james", "closed", "P3", [], "2027-01-08T16:40:00Z", "jira"),
+    ("OPS-34", "Barcode retries", "inventory-service retries 429 too often.", "", "james", "in progress", "P2", ["inventory_service"], "2027-03-06T12:15:00Z", "jira"),
+    ("OPS-35", "Scores of returns", "Returns skew fraud_detection scores.", "rahul", "priya", "open", "", [], "2027-03-07T09:00:00Z", "jira"),
 ]
 COMMITS = [
-    ("a1b2c3d", "PR-221 raise payment-gateway timeout from 300ms to 800 ms", "rahul@company.com", "payment-gateway", ["src/config.py", "deploy/limits.yaml"], "2026-04-13T22:10:00Z", "PR-221", "github"),
-    ("b7c8d9e", "Cache stock counts", "james@company.com", "inventory_service", ["cache.go"], "2026-04-09T10:00:00Z", None, "github"),
-    ("c0ffee1", "Fixed JR-101 in checkout-api", "priya@company.com", "checkout-api", [], "2026-04-15T11:00:00Z", "PR 33", "github"),
-    ("d00d123", "Bump versions", "dev@elsewhere.org", "tools", ["package.json"], "2026-04-01T07:00:00Z", "pr-5", "github"),
+    ("e4d5c6b", "PR-58 lower redis-cache window from 90 ms to 75ms", "priya@company.com", "redis cache", ["lib/window.go", "ops/shelf.yml"], "2027-03-04T19:30:00Z", "PR-58", "github"),
+    ("9a8b7c6", "Batch shelf writes", "james@company.com", "inventory_service", ["batch.ts"], "2027-02-20T13:00:00Z", None, "github"),
+    ("5f4e3d2", "Fixed OPS-31 in inventory-service", "rahul@company.com", "inventory", [], "2027-03-06T07:45:00Z", "PR 61", "github"),
+    ("77aa88b", "Tidy imports", "bot@depot.example", "scripts", ["setup.cfg"], "2027-01-03T05:10:00Z", "pr-3", "github"),
 ]
 LOGS = [
-    ("LOG-001", "ERROR", "checkout-api", "payment-gateway unresponsive: timeout after 312ms in payment-gateway, limit 300ms, giving up on the order and telling the user", "2026-04-14T03:42:00Z", "logs"),
-    ("LOG-002", "ERROR", "checkout", "503 Service Unavailable from payment-gateway", "2026-04-14T03:43:00Z", "logs"),
-    ("LOG-003", "WARN", "redis", "Memory High at 91%", "2026-04-14T02:00:00Z", "logs"),
-    ("LOG-004", "INFO", "inventory-service", "modified stock/levels.json", "2026-04-09T11:00:00Z", "logs"),
+    ("EV-900", "ERROR", "inventory", "redis-cache unresponsive: timeout on shelf 12 of redis-cache after 140ms, kept the old count and put the scan in a queue", "2027-03-05T06:18:00Z", "logs"),
+    ("EV-901", "ERROR", "kiosk", "429 Too Many Requests from inventory-service", "2027-03-06T12:11:00Z", "logs"),
+    ("EV-902", "WARN", "postgres", "Vacuum Running since midnight", "2027-03-01T04:00:00Z", "logs"),
+    ("EV-903", "INFO", "fraud detection", "modified scores/weekly.json", "2027-02-22T10:00:00Z", "logs"),
 ]
 #: question, number of sources, answer
 ANSWERS = [

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.aliases import OWNERS, SERVICES
 from ..functions.text import SIMPLE
-from .fixtures import ANSWERS, COMMITS, DOCS, LOGS, TICKETS, sql_values
+from ..operators.extract import ENTITIES, PHRASE, RELATIONS
+from ..operators.graph_query import CLOSED
+from .fixtures import ANSWERS, COMMITS, DOCS, JSON_ANSWERS, LOGS, TICKETS, sql_values
 
 FILES = r"""
 files AS (SELECT doc_id || '.txt' AS filename, coalesce(text, '') AS text FROM documents),
@@ -18,9 +22,10 @@ BM25 = r"""
 terms AS (SELECT chunk_id, regexp_extract_all(lower(text), '\S+') AS t FROM chunks),
 postings AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM terms) GROUP BY ALL),
 corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM terms),
-dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
-stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM postings GROUP BY term),
+raws AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, corpus),
+mean AS MATERIALIZED (SELECT avg(raw) AS avg_raw FROM raws),
+stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * avg_raw ELSE raw END AS idf FROM raws, mean),
 asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '\S+')) AS term FROM benchmark) GROUP BY ALL),
 hits AS (SELECT query_id, chunk_id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
          FROM asked JOIN stats USING (term) JOIN postings USING (term), corpus GROUP BY ALL),
@@ -63,12 +68,48 @@ pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, list_inner_product(x.embedding::D
             / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])) + 1e-9) AS similarity
           FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)
 """
+
+
+def _re2(pattern: str) -> str:
+    """A pattern of ours as RE2 has it: of its flags only that letters' case doesn't count. RE2 has no look-ahead."""
+    flags = re.match(r"^\(\?(\w+)\)", pattern)
+    plain = pattern[flags.end() :] if flags else pattern
+    return ("(?i)" if flags and "i" in flags[1] else "") + re.sub(r"\(\?!.*?\)", "", plain)
+
+
+def _found(kind: str, pattern: str) -> str:
+    """All of a text's matches. What a pattern's look-ahead rules out is a ticket, so it is left out afterwards."""
+    named = f"lambda v: {{'type': '{kind}', 'name': v}}"
+    if "(?!" not in pattern:
+        return f"list_transform(regexp_extract_all(t, '{_re2(pattern)}', 1), {named})"
+    whole = f"list_filter(regexp_extract_all(t, '{_re2(pattern)}'), lambda m: NOT regexp_full_match(m, '{_re2(ENTITIES['jira_ticket'])}'))"
+    return f"list_transform(list_transform({whole}, lambda m: regexp_extract(m, '{_re2(pattern)}', 1)), {named})"
+
+
+def _snake(kind: str, value: str) -> str:
+    return f"{kind} || '__' || regexp_replace(lower(trim({value})), '[^a-z0-9_]', '_', 'g')"
+
+
+def _related(pattern: str, relation: str, direction: str) -> str:
+    own = f"regexp_extract_all(t, '{_re2(pattern)}', 1)"
+    if direction == "both":
+        service = [_snake("'service'", f"p[{i}]") for i in (1, 2)]
+        return f"list_transform(list_zip({own}, regexp_extract_all(t, '{_re2(pattern)}', 2)), lambda p: {{'from_id': {service[0]}, 'relation': '{relation}', 'to_id': {service[1]}, 'confidence': 0.8::DOUBLE}})"
+    ends = ("id", _snake("'unknown'", "v")) if direction == "right" else (_snake("'service'", "v"), "id")
+    return f"list_transform({own}, lambda v: {{'from_id': {ends[0]}, 'relation': '{relation}', 'to_id': {ends[1]}, 'confidence': 0.75::DOUBLE}})"
+
+
+KINDS = ", ".join(_found(*e) for e in ENTITIES.items())
+RELATED = ", ".join(_related(*r) for r in RELATIONS)
 #: Accented letters count as word characters here, as they do in Unicode.
 PLAIN = "regexp_replace(coalesce(lang, '') || ' ' || coalesce(text, ''), '[À-ɏ]', '_', 'g')"
-DOC_RECORDS = f"docs AS (SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS body, coalesce(lang, '') AS title, source, {PLAIN} AS plain FROM documents)"
-ENTITY_KINDS = {"commit_sha": r"\b([a-f0-9]{7,40})\b", "email": r"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b", "error_code": r"\b(5\d{2}|4\d{2})\b"}
-FOUND = "found AS (" + " UNION ALL ".join(f"SELECT id, '{k}' AS type, unnest(regexp_extract_all(plain, '{p}', 1)) AS name FROM docs" for k, p in ENTITY_KINDS.items()) + ")"
-PHRASES = r"phrases AS (SELECT id, body, list_sort(list_distinct(regexp_extract_all(plain, '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b', 1))) AS p FROM docs)"
+DOC_RECORDS = f"docs AS (SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS body, coalesce(lang, '') AS title, source, {PLAIN} AS t FROM documents)"
+FOUND = f"found AS (SELECT id, unnest(list_concat({KINDS})) AS e FROM docs)"
+PHRASES = f"phrases AS (SELECT *, list_sort(list_distinct(regexp_extract_all(t, '{_re2(PHRASE)}', 1))) AS p FROM docs)"
+JUDGED = f"""
+counts AS (SELECT id, body, source, p, len(list_concat({KINDS})) AS es, len(list_concat({RELATED})) AS rs FROM phrases),
+judged AS (SELECT id, p, length(body) > 800 OR (es < 2 AND length(body) > 300) OR coalesce(source = 'confluence', FALSE) OR (rs = 0 AND es > 3) AS frontier FROM counts)
+"""
 MANIFEST = "manifest AS (SELECT doc_id AS n, doc_id::VARCHAR AS record_id, md5(coalesce(lang, '') || coalesce(text || CASE WHEN doc_id % 3 = 1 THEN '.' ELSE '' END, '')) AS content_hash, source FROM documents WHERE doc_id % 3 < 2)"
 CHANGES = """
 changes AS (SELECT d.doc_id::VARCHAR AS id, md5(coalesce(d.lang, '') || coalesce(d.text, '')) AS content_hash,
@@ -76,17 +117,18 @@ changes AS (SELECT d.doc_id::VARCHAR AS id, md5(coalesce(d.lang, '') || coalesce
             FROM documents d LEFT JOIN manifest m ON m.record_id = d.doc_id::VARCHAR)
 """
 GRAPH = """
-brands AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> ''),
-held AS (SELECT o_orderkey, 'ORD-' || o_orderkey AS id, o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
-nodes AS (
+brands AS MATERIALIZED (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> ''),
+held AS MATERIALIZED (SELECT o_orderkey, 'ORD-' || o_orderkey AS id, o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+nodes AS MATERIALIZED (
   SELECT id, 'ticket' AS type, o_orderpriority AS title, NULL AS name, coalesce(c_name, '') AS owner, day AS timestamp, coalesce(o_orderpriority, '') AS priority, coalesce(o_orderstatus, '') AS status FROM held
   UNION ALL SELECT DISTINCT 'engineer__' || replace(lower(c_name), ' ', '_'), 'engineer', NULL, first_value(c_name) OVER (PARTITION BY replace(lower(c_name), ' ', '_') ORDER BY o_orderkey), NULL, NULL, NULL, NULL FROM held WHERE c_name <> ''
   UNION ALL SELECT DISTINCT 'service__' || replace(p_brand, '-', '_'), 'service', NULL, p_brand, NULL, NULL, NULL, NULL FROM brands JOIN orders ON l_orderkey = o_orderkey),
-edges AS (
+edges AS MATERIALIZED (
   SELECT id AS from_id, 'engineer__' || replace(lower(c_name), ' ', '_') AS to_id, 'owned_by' AS relation, 0.99::DOUBLE AS confidence FROM held WHERE c_name <> ''
   UNION ALL SELECT 'ORD-' || l_orderkey, 'service__' || replace(p_brand, '-', '_'), 'mentions', 0.95::DOUBLE FROM brands JOIN orders ON l_orderkey = o_orderkey),
 ends AS (SELECT from_id AS a, to_id AS b FROM edges UNION SELECT to_id, from_id FROM edges),
-degrees AS (SELECT n.id, count(e.id) AS degree FROM nodes n LEFT JOIN (SELECT from_id AS id FROM edges UNION ALL SELECT to_id FROM edges) e USING (id) GROUP BY n.id)
+ended AS MATERIALIZED (SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM edges UNION ALL SELECT to_id FROM edges) GROUP BY id),
+degrees AS MATERIALIZED (SELECT n.id, coalesce(degree, 0) AS degree FROM nodes n LEFT JOIN ended USING (id))
 """
 
 
@@ -124,49 +166,10 @@ records AS (
 """
 
 
-def _found(kind: str, pattern: str, group: int = 1) -> str:
-    return f"list_transform(regexp_extract_all(t, '{pattern}', {group}), lambda v: {{'type': '{kind}', 'name': v}})"
-
-
-#: Patterns without look-ahead: what looks like PR-12 is a ticket, so it is left out of the pull requests afterwards.
-KINDS = [
-    _found("jira_ticket", r"\b([A-Z]{2,6}-\d+)\b"),
-    _found("commit_sha", r"\b([a-f0-9]{7,40})\b"),
-    r"list_transform(list_filter(regexp_extract_all(t, '\b(?:PR|pr)[- #]*\d+\b'), lambda m: NOT regexp_matches(m, '^PR-\d+$')), lambda m: {'type': 'pr_number', 'name': regexp_extract(m, '\d+')})",
-    _found("email", r"\b([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})\b"),
-    _found("service", r"\b([a-z][a-z0-9]*(?:-[a-z0-9]+)*(?:-service|-api|-gateway|-worker|-cache|-store|-db))\b"),
-    _found("file_path", r"\b([\w./]+\.(?:py|js|ts|go|java|yaml|yml|json|cfg))\b"),
-    _found("error_code", r"\b(5\d{2}|4\d{2})\b"),
-    _found("timeout_ms", r"(\d+)\s*ms\b"),
-]
-
-
-def _snake(kind: str, value: str) -> str:
-    return f"{kind} || '__' || regexp_replace(lower(trim({value})), '[^a-z0-9_]', '_', 'g')"
-
-
-def _related(pattern: str, relation: str, direction: str) -> str:
-    own = f"regexp_extract_all(t, '{pattern}', 1)"
-    if direction == "both":
-        service = [_snake("'service'", f"p[{i}]") for i in (1, 2)]
-        return f"list_transform(list_zip({own}, regexp_extract_all(t, '{pattern}', 2)), lambda p: {{'from_id': {service[0]}, 'relation': '{relation}', 'to_id': {service[1]}, 'confidence': 0.8::DOUBLE}})"
-    ends = ("id", _snake("'unknown'", "v")) if direction == "right" else (_snake("'service'", "v"), "id")
-    return f"list_transform({own}, lambda v: {{'from_id': {ends[0]}, 'relation': '{relation}', 'to_id': {ends[1]}, 'confidence': 0.75::DOUBLE}})"
-
-
-RELATED = [
-    _related(r"(?i)caused\s+by\s+([\w-]+)", "caused_by", "right"),
-    _related(r"(?i)([\w-]+)\s+depends[_\s]on\s+([\w-]+)", "depends_on", "both"),
-    _related(r"(?i)owner[:\s]+([\w@.]+)", "owned_by", "right"),
-    _related(r"(?i)(?:fix|fixed|fixes)\s+([A-Z]{2,6}-\d+)", "fixes", "right"),
-    _related(r"(?i)modified\s+([\w./]+)", "modified", "right"),
-    _related(r"(?i)timeout.*?(?:in|from|of)\s+([\w-]+)", "affects", "right"),
-    _related(r"(?i)([\w-]+)\s+unresponsive", "affects", "left"),
-]
 CORPUS = f"""
 {RECORDS},
 texts AS (SELECT *, title || ' ' || body AS t FROM records),
-lists AS (SELECT *, list_concat({", ".join(KINDS)}) AS es, list_concat({", ".join(RELATED)}) AS rs FROM texts),
+lists AS (SELECT *, list_concat({KINDS}) AS es, list_concat({RELATED}) AS rs FROM texts),
 entities AS (SELECT ord, id, n::INTEGER AS n, {_snake("e.type", "e.name")} AS entity_id, e.type AS type, e.name AS name FROM (SELECT ord, id, unnest(es) AS e, unnest(range(len(es))) AS n FROM lists)),
 relations AS (SELECT ord, id, n::INTEGER AS n, r.from_id AS from_id, r.relation AS relation, r.to_id AS to_id, r.confidence AS confidence FROM (SELECT ord, id, unnest(rs) AS r, unnest(range(len(rs))) AS n FROM lists)),
 said AS (SELECT ord, id, unnest(string_split(services, ',')) AS s, unnest(range(len(string_split(services, ',')))) AS i FROM records WHERE services <> ''),
@@ -183,9 +186,82 @@ edge_writes AS (
 """
 
 
-def _values(columns: str, *rows: tuple) -> str:
-    """Rows worked out by hand from the rules."""
-    return f"SELECT * FROM {sql_values(list(rows), columns)}"
+#: Relations to what no node is called lead to the entity or record whose id ends so, the least of several.
+RESOLVED = rf"""
+targets AS (SELECT id AS target FROM records UNION SELECT entity_id FROM entities),
+keyed AS (SELECT regexp_replace(lower(regexp_replace(target, '^[a-z_]+?__', '')), '[^a-z0-9_]', '_', 'g') AS key, min(target) AS target FROM targets GROUP BY 1),
+led AS (SELECT r.* REPLACE (coalesce(k.target, r.to_id) AS to_id) FROM relations r LEFT JOIN keyed k ON r.to_id = 'unknown__' || k.key),
+resolved_writes AS (
+  SELECT r.from_id, r.to_id, relation, [r.ord, 2, n] AS place FROM led r JOIN nodes a ON a.id = r.from_id JOIN nodes b ON b.id = r.to_id WHERE a.place < [r.ord, 2] AND b.place < [r.ord, 2]
+  UNION ALL SELECT from_id, to_id, relation, place FROM edge_writes WHERE relation IN ('owned_by', 'mentions') AND extraction_source IS NULL),
+resolved_edges AS (SELECT from_id, to_id, arg_max(relation, place) AS relation FROM resolved_writes GROUP BY from_id, to_id)
+"""
+BOTH = "ways AS (SELECT from_id AS a, to_id AS b FROM edge_writes UNION SELECT to_id, from_id FROM edge_writes)"
+
+
+def _of_service(one, services: tuple[str, ...]) -> str:
+    """A question's answers for each of the services: `one` gives the SQL from a service's name and how it is looked for."""
+    arms = []
+    for name in services:
+        key = name.lower().replace("-", "_")
+        place = f"CASE WHEN id = 'service__{name.replace('-', '_')}' THEN 0 WHEN id = 'service__{name}' THEN 1 WHEN type = 'service' AND (contains(lower(id), '{key}') OR contains(lower(coalesce(name, '')), '{key}')) THEN 2 END"
+        known = f"known AS (SELECT id FROM (SELECT id, place[1] AS ord, {place} AS p FROM nodes) WHERE p IS NOT NULL ORDER BY p, ord, id LIMIT 1), near AS (SELECT DISTINCT a AS id FROM ways JOIN known ON b = known.id)"
+        arms.append(f"SELECT *, '{name}' AS service FROM (WITH {known} {one(name, key)})")
+    return f"WITH {CORPUS}, {BOTH} " + " UNION ALL ".join(arms)
+
+
+def _titled(name: str) -> str:
+    return f"list_contains(string_split({_mentions('title')}, ','), '{name}')"
+
+
+def _owner_of(resolved: bool):
+    def one(name: str, key: str) -> str:
+        about = _titled(name) if resolved else "FALSE"
+        return rf""", best AS (SELECT owner, source FROM (SELECT *, {about} AS about FROM records) WHERE coalesce(owner, '') <> '' AND (contains(lower(id), '{key}') OR id IN (FROM near) OR about) ORDER BY NOT about, source <> 'confluence', ord, id LIMIT 1),
+        said AS (SELECT ord, id, unnest(string_split(substr(body, 1, 500), E'\n')) AS line, unnest(range(len(string_split(substr(body, 1, 500), E'\n')))) AS i FROM records WHERE source = 'confluence' AND owner = (SELECT owner FROM best)),
+        calls AS (SELECT *, trim(regexp_replace(line, '^[^:]*:', '')) AS whom FROM said WHERE (contains(lower(line), 'on-call:') OR contains(lower(line), 'escalation')) AND contains(line, ':'))
+        SELECT (SELECT owner FROM best) AS "primary", (SELECT whom FROM calls ORDER BY ord DESC, id DESC, i DESC LIMIT 1) AS escalation, (SELECT source FROM best) AS source"""
+
+    return one
+
+
+def _changes_of(name: str, key: str) -> str:
+    return f"SELECT id, timestamp, coalesce(owner, '') AS owner FROM records WHERE type = 'commit' AND (contains(lower(title), '{key}') OR contains(lower(substr(body, 1, 500)), '{key}') OR id IN (SELECT a FROM ways WHERE contains(lower(b), '{key}'))) ORDER BY timestamp DESC, ord LIMIT 5"
+
+
+def _incidents_of(resolved: bool):
+    def one(name: str, key: str) -> str:
+        about = "id IN (FROM near)" if resolved else f"(contains(lower(title), '{key}') OR contains(lower(substr(body, 1, 500)), '{key}') OR contains(lower(id), '{key}'))"
+        return f"SELECT id, coalesce(priority, '') AS priority, coalesce(status, '') AS status FROM records WHERE type = 'ticket' AND coalesce(status, '') NOT IN {CLOSED} AND {about}"
+
+    return one
+
+
+def _dependencies_of(resolved: bool):
+    def one(name: str, key: str) -> str:
+        about = _titled(name) if resolved else f"contains(lower(id), '{key}')"
+        return rf""", said AS (SELECT id, unnest(string_split(lower(substr(body, 1, 500)), E'\n')) AS line, unnest(range(len(string_split(substr(body, 1, 500), E'\n')))) AS i FROM records WHERE type = 'doc' AND {about}),
+        marked AS (SELECT *, contains(line, 'dependencies') AS heading, starts_with(trim(line), '-') AS bullet FROM said),
+        states AS (SELECT *, last_value(CASE WHEN heading THEN TRUE WHEN NOT bullet AND starts_with(line, '#') THEN FALSE END IGNORE NULLS) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS listing FROM marked),
+        named AS (SELECT trim(string_split(regexp_replace(trim(line), '^[- ]+', ''), '(')[1]) AS dependency FROM states WHERE listing AND bullet AND NOT heading)
+        SELECT DISTINCT dependency FROM named WHERE dependency <> '' AND EXISTS (FROM known)"""
+
+    return one
+
+
+#: An answer's citations: numbers beyond the sources are stripped with their sentences, one after the other.
+CITED = rf"""
+said AS (SELECT id, n, coalesce(answer, '') AS answer, list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\[(\d+)\]', 1), lambda r: regexp_replace(r, '^0+(\d)', '\1'))) AS refs FROM {sql_values(ANSWERS, "id, n, answer")}),
+judged AS (SELECT *, list_sort(list_filter(refs, lambda r: TRY_CAST(r AS BIGINT) IS NULL OR TRY_CAST(r AS BIGINT) NOT BETWEEN 1 AND n)) AS bad FROM said)
+SELECT id, trim(list_reduce(list_prepend(answer, bad), lambda text, r: regexp_replace(text, '[^.!?\n]*\[' || r || '\][^.!?\n]*[.!?\n]?', '', 'g')), E' \t\n') AS answer,
+       array_to_string(list_filter(list_transform(range(1, n + 1), lambda i: i::VARCHAR), lambda i: list_contains(refs, i)), ',') AS refs FROM judged
+"""
+#: A model's answer: without fences, else what lies between the first and the last brace.
+REPAIRED = rf"""
+bare AS (SELECT id, trim(regexp_replace(regexp_replace(raw, '(?m)^```(?:json)?\s*', '', 'g'), '(?m)\s*```$', '', 'g'), E' \t\n') AS text FROM {sql_values(JSON_ANSWERS, "id, raw")}),
+best AS (SELECT id, CASE WHEN starts_with(text, '{{') AND json_valid(text) THEN text WHEN json_valid(regexp_extract(text, '(?s)\{{.*\}}')) THEN regexp_extract(text, '(?s)\{{.*\}}') END AS j FROM bare)
+SELECT id, coalesce(json_array_length(j, '$.entities'), 0)::INTEGER AS entities, coalesce(json_array_length(j, '$.relationships'), 0)::INTEGER AS relationships FROM best
+"""
 
 
 ORACLES: dict[str, str] = {
@@ -215,16 +291,16 @@ ORACLES: dict[str, str] = {
     "normalize_events": f"""WITH {ALIASES} SELECT 'LOG-' || event_id AS id, '[' || CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END || '] ' || event_type || ': ' || substr(props, 1, 80) AS title, props AS body,
         {_service("event_type")} AS services, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, CASE WHEN event_type = 'error' THEN 'P1' ELSE 'P2' END AS priority, 'active' AS status FROM events""",
     "normalize_union": f"WITH {RECORDS} SELECT * EXCLUDE (ord) FROM records",
-    "entities_documents": f"WITH {DOC_RECORDS}, {FOUND} SELECT id, type || '__' || regexp_replace(lower(name), '[^a-z0-9_]', '_', 'g') AS entity_id, type, name FROM found",
+    "entities_documents": f"WITH {DOC_RECORDS}, {FOUND} SELECT id, {_snake('e.type', 'e.name')} AS entity_id, e.type AS type, e.name AS name FROM found",
     "unresolved_phrases": f"WITH {DOC_RECORDS}, {PHRASES} SELECT id, array_to_string(p, ', ') AS unresolved_text FROM phrases WHERE len(p) > 0",
     "mentions_scan": f"WITH {ALIASES} SELECT page_id, {_mentions('html')} AS services FROM pages",
-    "needs_frontier": f"WITH {DOC_RECORDS}, {FOUND}, n AS (SELECT id, count(*) AS n FROM found GROUP BY id) SELECT d.id, length(body) > 800 OR (coalesce(n, 0) < 2 AND length(body) > 300) OR coalesce(source = 'confluence', FALSE) AS frontier FROM docs d LEFT JOIN n USING (id)",
-    "tier_costs": f"""WITH {DOC_RECORDS}, {PHRASES}, t AS (SELECT CASE WHEN length(body) > 800 THEN 'llm_frontier' WHEN len(p) > 0 THEN 'llm_cheap' ELSE 'rule' END AS tier FROM phrases)
+    "needs_frontier": f"WITH {DOC_RECORDS}, {PHRASES}, {JUDGED} SELECT id, frontier FROM judged",
+    "tier_costs": f"""WITH {DOC_RECORDS}, {PHRASES}, {JUDGED}, t AS (SELECT CASE WHEN frontier THEN 'llm_frontier' WHEN len(p) > 0 THEN 'llm_cheap' ELSE 'rule' END AS tier FROM judged)
         SELECT v.tier, count(t.tier) AS records, round(count(t.tier) * price, 6) AS cost FROM (VALUES ('cache', 0.0::DOUBLE), ('rule', 0.0), ('llm_cheap', 0.0002), ('llm_frontier', 0.003)) AS v(tier, price) LEFT JOIN t ON t.tier = v.tier GROUP BY v.tier, price""",
     "change_detection": f"WITH {MANIFEST}, {CHANGES} SELECT id, change, content_hash FROM changes",
     "change_stats": f"WITH {MANIFEST}, {CHANGES} SELECT count(*) AS total, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'unchanged') AS unchanged FROM changes",
     "manifest_rows": f"WITH {MANIFEST} SELECT record_id, content_hash, source, 'rule' AS tier_used, '2026-01-01 00:00:00' AS indexed_at FROM manifest",
-    "last_build": "SELECT '2026-01-01 00:00:00' AS last_build",
+    "last_build": f"WITH {MANIFEST}, built AS (SELECT '2026-01-01 00:00:00' AS indexed_at FROM manifest) SELECT max(indexed_at) AS last_build FROM built",
     "cache_keys": "SELECT doc_id::VARCHAR AS id, md5(coalesce(lang, '') || ' ' || coalesce(text, '')) AS text_hash, md5(coalesce(lang, '') || coalesce(text, '')) AS content_hash FROM documents",
     "graph_nodes": f"WITH {GRAPH} SELECT * FROM nodes",
     "graph_edges": f"WITH {GRAPH} SELECT * FROM edges",
@@ -246,18 +322,14 @@ ORACLES: dict[str, str] = {
     "relations_fixture": f"WITH {CORPUS} SELECT id, n, from_id, relation, to_id, confidence FROM relations",
     "corpus_nodes": f"WITH {CORPUS} SELECT id, type, title, name, owner, extraction_source FROM nodes",
     "corpus_edges": f"WITH {CORPUS} SELECT from_id, to_id, arg_max(relation, place) AS relation, arg_max(confidence, place) AS confidence, max(extraction_source) AS extraction_source FROM edge_writes GROUP BY from_id, to_id",
-    # The small corpus: what the rules give, worked out by hand.
-    "json_repair": _values("id, entities, relationships", ("plain", 1, 0), ("fenced", 1, 1), ("wrapped", 0, 1), ("broken", 0, 0), ("prose", 0, 0)),
-    "citation_check": _values("id, answer, refs", ("a", "A is x [1]. D", "1,2"), ("b", "Still [x] said.", ""), ("c", ANSWERS[2][2], "1,2"), ("d", "", ""), ("e", "Padded [007]. Fine [3].", "3")),
-    "find_owner": _values('"primary", escalation, source, service', ("Rahul Sharma", "page the bank desk", "confluence", "payment-gateway"), ("Rahul Sharma", "page the bank desk", "confluence", "inventory-service"), (None, None, None, "nowhere")),
-    "find_owner_resolved": _values('"primary", escalation, source, service', ("Rahul Sharma", "page the bank desk", "confluence", "payment-gateway"), ("James Liu", None, "confluence", "inventory-service")),
-    "recent_changes": _values("id, timestamp, owner, service", ("a1b2c3d", "2026-04-13T22:10:00Z", "Rahul Sharma", "payment-gateway"), ("c0ffee1", "2026-04-15T11:00:00Z", "Priya Mehta", "checkout")),
-    "active_incidents": _values("id, priority, status, service", ("JR-101", "P1", "open", "checkout")),
-    "active_incidents_resolved": _values("id, priority, status, service", ("JR-101", "P1", "open", "payment-gateway"), ("JR-104", "P2", "in progress", "payment-gateway"), ("JR-102", "", "open", "inventory-service")),
-    "dependencies": "SELECT NULL::VARCHAR AS dependency, NULL::VARCHAR AS service WHERE FALSE",
-    "dependencies_resolved": _values("dependency, service", ("payment-gateway", "checkout-api"), ("inventory-service", "checkout-api"), ("fraud-detection", "checkout-api"), ("redis-cache", "inventory-service"), ("postgres-primary", "inventory-service")),
-    "corpus_edges_resolved": _values(
-        "from_id, to_id, relation", ("JR-101", "jira_ticket__jr_99", "fixes"), ("LOG-001", "service__payment_gateway", "affects"), ("LOG-004", "file_path__stock_levels_json", "modified"), ("c0ffee1", "JR-101", "fixes"),
-        ("service__inventory_service", "service__redis_cache", "depends_on"), ("service__payment_gateway", "LOG-001", "affects"),
-    ),
+    "corpus_edges_resolved": f"WITH {CORPUS}, {RESOLVED} SELECT from_id, to_id, relation FROM resolved_edges WHERE relation NOT IN ('mentions', 'owned_by')",
+    "json_repair": f"WITH {REPAIRED}",
+    "citation_check": f"WITH {CITED}",
+    "find_owner": _of_service(_owner_of(False), ("fraud-detection", "inventory-service", "nowhere")),
+    "find_owner_resolved": _of_service(_owner_of(True), ("fraud-detection", "inventory-service")),
+    "recent_changes": _of_service(_changes_of, ("inventory-service", "redis-cache")),
+    "active_incidents": _of_service(_incidents_of(False), ("fraud-detection", "inventory")),
+    "active_incidents_resolved": _of_service(_incidents_of(True), ("fraud-detection", "inventory-service")),
+    "dependencies": _of_service(_dependencies_of(False), ("inventory-service", "redis-cache")),
+    "dependencies_resolved": _of_service(_dependencies_of(True), ("inventory-service", "fraud-detection")),
 }

@@ -66,7 +66,7 @@ def test_random_graphs_are_the_sequential_ones(spark):
 def test_reach_degrees_and_files(spark, tmp_path):
     nodes, edges = (t.persist() for t in build_graph(extract.extract_with_rules(normalize_all(fixtures.sources(spark)))))
     near = {r.id: r.hop for r in graph_query.reach(nodes, edges, graph_query.start_node(nodes, "redis-cache"), 1).collect()}
-    assert near["service__redis_cache"] == 0 and near["CONF-003"] == 1
+    assert near["service__redis_cache"] == 0 and near["WIKI-7"] == 1
     assert sum(r.degree for r in graph_query.degrees(nodes, edges).collect()) == 2 * edges.count()
     assert graph_query.context(nodes, edges, "nothing of this name").count() == 0
     graphs.save(nodes, edges, str(tmp_path / "g"))

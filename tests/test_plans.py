@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 from tessera.config import Config
 from tessera.functions.models import silent
-from tessera.operators import bm25, extract, fusion, vector
+from tessera.operators import bm25, citations, extract, fusion, vector
 from tessera.operators.cascade import extract_tiered
 from tessera.operators.normalize import normalize_all
 from tessera.plans import agent, build, catalog, fixtures, oracle, retrieval
@@ -40,11 +40,6 @@ def test_catalog_against_sql(spark, small, name):
     same_as_sql(spark, small, catalog.QUERIES[name], oracle.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(oracle.ORACLES)))
-def test_catalog_runs(spark, small, name):
-    assert catalog.QUERIES[name](spark, small).count() > 0
-
-
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
@@ -54,16 +49,16 @@ def test_build_is_incremental(spark, tmp_path):
     fixtures.write_raw(str(tmp_path / "raw"))
     first = build.build_records(spark, str(tmp_path / "raw"), str(tmp_path / "store"))
     again = build.build_records(spark, str(tmp_path / "raw"), str(tmp_path / "store"))
-    assert first["total"] > 0 and first["vectors_added"] == 16
-    assert again["total"] == 0 and again["vectors_added"] == 0 and again["vectors_skipped"] == 16
+    assert first["total"] > 0 and first["vectors_added"] == 17
+    assert again["total"] == 0 and again["vectors_added"] == 0 and again["vectors_skipped"] == 17
     nodes, edges = graphs.load(spark, str(tmp_path / "store" / "graph"))
-    assert nodes.count() > 16 and edges.count() > 16
+    assert nodes.count() > 17 and edges.count() > 17
     store = agent.Store(nodes, edges, tables.vector_table(spark, str(tmp_path / "store" / "vectors")).read())
-    out = agent.run_agent("Who fixes the payment-gateway when it is slow at night?", store, agent.Offline(("payment-gateway",)))
-    assert out["tool_call_count"] == 4 and "Rahul Sharma" in out["answer"] and not out["stopped_early"]
+    out = agent.run_agent("Who mends the inventory-service when it stalls at night?", store, agent.Offline(("inventory-service",)))
+    assert out["tool_call_count"] == 4 and "James Liu" in out["answer"] and not out["stopped_early"]
     assert agent.run_agent("What is pgw?", store, agent.Offline())["tool_call_count"] == 1
     assert "error" in json.loads(agent.run_tool(store, "no_such_tool", {}))
-    capped = agent.run_agent("Who fixes the payment-gateway when it is slow at night?", store, agent.Offline(("payment-gateway",)), Config(max_tool_calls=2))
+    capped = agent.run_agent("Who mends the inventory-service when it stalls at night?", store, agent.Offline(("inventory-service",)), Config(max_tool_calls=2))
     assert capped["tool_call_count"] == 2 and capped["stopped_early"]
     with pytest.raises(FileNotFoundError):
         graphs.load(spark, str(tmp_path / "none"))
@@ -81,9 +76,9 @@ def test_cascade_tiers(spark):
 
     empty = spark.createDataFrame([], "text_hash string, result_json string, tier_used string, created_at string")
     rows = {r.id: r for r in extract_tiered(records, empty, broken).collect()}
-    assert rows["CONF-001"].tier == "llm_frontier" and any(e.id == "new" and e.confidence == 0.85 for e in rows["CONF-001"].entities)
-    assert rows["LOG-003"].tier == "llm_cheap" and rows["LOG-003"].failed
-    assert rows["JR-103"].tier == "rule" and not rows["JR-103"].failed
+    assert rows["WIKI-7"].tier == "llm_frontier" and any(e.id == "new" and e.confidence == 0.85 for e in rows["WIKI-7"].entities)
+    assert rows["EV-902"].tier == "llm_cheap" and rows["EV-902"].failed
+    assert rows["OPS-33"].tier == "rule" and not rows["OPS-33"].failed
     assert all(e.source == "rule" for r in extract_tiered(records, empty, silent).collect() for e in r.entities)
 
 
@@ -120,7 +115,7 @@ def test_search_stages(spark, small):
     answers = {r.query_id: r for r in retrieval.answer(found, asked).collect()}
     assert len(answers[1].citations) == 2
     nothing = retrieval.answer(retrieval.search(own.limit(0), asked), asked).collect()
-    assert all("not contain enough" in r.answer and r.citations == [] for r in nothing)
+    assert all(r.answer == citations.NOT_ENOUGH and r.citations == [] for r in nothing)
 
 
 def test_rrf_prefers_agreement(spark):
