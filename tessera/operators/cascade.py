@@ -12,6 +12,7 @@ from .. import schemas
 from ..config import Config
 from ..functions.models import Complete, silent
 from ..functions.text import none, parse_json, text_hash
+from ..sources.scratch import written
 from .dedup import drop_near_duplicates
 from .extract import extract_with_rules, needs_frontier
 from .incremental import with_change
@@ -30,7 +31,7 @@ def frontier_prompt(title: Column, body: Column, source: Column) -> Column:
 
 
 def _answers(prompts: DataFrame, model: str, complete: Complete) -> DataFrame:
-    """ord, raw: the model's answer for each prompt; null where the call failed."""
+    """prompt, raw: the model's answer for each prompt; null where the call failed."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(prompt: str) -> str | None:
@@ -40,9 +41,9 @@ def _answers(prompts: DataFrame, model: str, complete: Complete) -> DataFrame:
                 return None
 
         for b in batches:
-            yield pd.DataFrame({"ord": b["ord"], "raw": [one(p) for p in b["prompt"]]})
+            yield pd.DataFrame({"prompt": b["prompt"], "raw": [one(p) for p in b["prompt"]]})
 
-    return prompts.select("ord", "prompt").mapInPandas(call, "ord long, raw string")
+    return prompts.select("prompt").mapInPandas(call, "prompt string, raw string")
 
 
 def merge_answer(answer: Column, source: str) -> tuple[Column, Column]:
@@ -58,11 +59,15 @@ def merge_answer(answer: Column, source: str) -> tuple[Column, Column]:
 
 
 def _ask(rows: DataFrame, wanted: Column, prompt: Column, model: str, tier: str, complete: Complete) -> DataFrame:
-    """Only the wanted rows go through Python; of those, answers are merged and the tier is raised."""
-    asked = rows.where(wanted)
-    answers = _answers(asked.withColumn("prompt", prompt), model, complete).withColumn("answer", parse_json(F.col("raw"), schemas.ANSWER))
+    """Only the wanted rows go through Python; of those, answers are merged and the tier is raised.
+
+    Calls cost money and may answer differently each time. So distinct prompts are asked once, and the answers
+    are written before anything reads them; only a task that is lost and run again repeats its calls.
+    """
+    asked = rows.where(wanted).withColumn("prompt", prompt)
+    answers = written(_answers(asked.select("prompt").distinct(), model, complete), "answers").withColumn("answer", parse_json(F.col("raw"), schemas.ANSWER))
     found, related = merge_answer(F.col("answer"), tier)
-    merged = asked.join(answers, "ord").withColumns({"entities": found, "relationships": related, "tier": F.lit(tier), "failed": F.col("failed") | F.col("raw").isNull()})
+    merged = asked.join(answers, "prompt", "left").withColumns({"entities": found, "relationships": related, "tier": F.lit(tier), "failed": F.col("failed") | F.col("raw").isNull()})
     return rows.where(~wanted).unionByName(merged.select(*rows.columns))
 
 
@@ -79,6 +84,7 @@ def extract_tiered(records: DataFrame, cache: DataFrame, complete: Complete = si
     hit = hit.withColumns({"entities": F.coalesce("r.entities", F.array()), "relationships": F.coalesce("r.relationships", F.array()), "unresolved_text": none_, "tier": F.lit("cache"), "failed": F.lit(False)})
     ruled = extract_with_rules(keyed.where(F.col("result_json").isNull())).withColumns({"tier": F.lit("rule"), "failed": F.lit(False)})
     columns = [*records.columns, "entities", "relationships", "unresolved_text", "tier", "failed"]
+    # The first tier's result decides who is asked next, and is read again with the second's.
     ruled = _ask(ruled.select(*columns), F.col("unresolved_text").isNotNull(), cheap_prompt(F.col("unresolved_text")), config.cheap_model, "llm_cheap", complete)
     complex_ = needs_frontier(F.col("body"), F.col("source"), F.size("entities"), F.size("relationships"))
     ruled = _ask(ruled, complex_, frontier_prompt(F.col("title"), F.col("body"), F.col("source")), config.frontier_model, "llm_frontier", complete)

@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera.config import Config
@@ -82,6 +83,27 @@ def test_cascade_tiers(spark):
     assert all(e.source == "rule" for r in extract_tiered(records, empty, silent).collect() for e in r.entities)
 
 
+def test_each_prompt_is_asked_once(spark, tmp_path):
+    """Whatever is read of the result, and however often records share a prompt."""
+    log = str(tmp_path / "calls")
+
+    def counting(prompt, model):
+        with open(log, "a", encoding="utf-8") as file:
+            file.write(json.dumps([model, prompt]) + "\n")
+        return '{"entities": [{"id": "met"}], "relationships": []}'
+
+    records = normalize_all(fixtures.sources(spark))
+    records = records.unionByName(records.where("id = 'EV-902'").withColumns({"id": F.lit("EV-902b"), "ord": F.lit(900).cast("long")}))
+    empty = spark.createDataFrame([], "text_hash string, result_json string, tier_used string, created_at string")
+    out = extract_tiered(records, empty, counting)
+    rows = out.collect()
+    assert out.count() == len(rows) == records.count()
+    calls = [tuple(json.loads(x)) for x in open(log, encoding="utf-8")]
+    assert len(calls) == len(set(calls)) > 0
+    assert {m for m, _ in calls} == {Config().cheap_model, Config().frontier_model}
+    assert {r.tier for r in rows if r.id.startswith("EV-902")} == {"llm_cheap"} and all(any(e.id == "met" for e in r.entities) for r in rows if r.tier != "rule")
+
+
 def test_folder_and_stream_ingest(spark, tmp_path):
     folder = tmp_path / "docs"
     (folder / "deep").mkdir(parents=True)
