@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import free_names, hot_join, read_table, scratch, without_spaces
+from .common import free_names, hot_join, read_table, scratch, without_spaces, written
 
-#: Bits of the filter over hit digests: eight for each digest, between 2^15 and 2^30 (128 MB at most).
+#: Bits of a filter: eight for each digest, between 2^15 and 2^30 (128 MB at most).
 FILTER_BITS = (1 << 15, 1 << 30)
 #: bitmap_construct_agg makes bitmaps of so many bits.
 BITMAP = 32768
@@ -18,21 +18,24 @@ class DigestIndex:
     """A log-structured merge index of text digests, kept as sorted Parquet runs in the shared folder.
 
     `flush` takes documents: every task is a memtable, which it sorts by digest and writes as one
-    immutable level-0 run with a Bloom filter and page statistics on the digest. `compact` merges
-    all runs, new ones and the former level 1, into a level-1 run that holds for each digest its
-    smallest identifier, (longest text, smallest doc_id), and its number of rows. `classes` probes
-    the index; digests with more than one row (hits) are verified by comparing their texts' bytes.
+    immutable file of a level-0 run, with a Bloom filter and page statistics on the digest. `compact` merges
+    the runs flushed since the last time with the former level 1 into a new level-1 run, which holds for each digest
+    its smallest identifier, (longest text, smallest doc_id, first place), and its number of rows; and
+    writes that run's filter, a bitmap of the digests of more than one row (hits). `classes` probes the filter:
+    rows that aren't in it stand alone and are shuffled no more; the others are joined with level 1. Hits are
+    verified by comparing their texts' bytes. `seen` probes the level's whole filter for texts of further documents.
 
     Nulls: a null text counts as empty; a null doc_id is an identifier that comes after all others.
-    Rows repeating a doc_id and a text are one document's copies: all are returned, one is kept.
-    Empty inputs give empty runs. Other columns of the documents play no part.
-    `digest_bytes` is how much of the SHA-256 the runs are keyed by.
+    Rows repeating a doc_id and a text are one document's copies: all are returned, one is kept; so no
+    group of rows, however large, is gathered in one task. Empty inputs give empty runs. Other columns of
+    the documents play no part. `digest_bytes` is how much of the SHA-256 the runs are keyed by.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, digest_bytes: int = 32):
         self.spark, self.digest_bytes = spark, digest_bytes
         self.path = path or scratch(spark, "digest-index")
         self.runs: list[str] = []
+        self.new: list[str] = []
         self.merged: str | None = None
         self.sources: list[DataFrame] = []
 
@@ -48,71 +51,113 @@ class DigestIndex:
 
     def flush(self, docs: DataFrame) -> None:
         path = f"{self.path}/level0-{len(self.runs)}"
-        self._sorted_run(self._keyed(docs).select("digest", "sha", "doc_id", "points"), path)
+        rows = self._keyed(docs).withColumns({"run": F.lit(len(self.runs)), "place": F.monotonically_increasing_id()})
+        self._sorted_run(rows.select("digest", "sha", "doc_id", "points", "run", "place"), path)
         self.runs.append(path)
+        self.new.append(path)
         self.sources.append(docs.select("doc_id", "text"))
 
-    def _level0(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs)
+    def _docs(self) -> DataFrame:
+        docs = self.sources[0]
+        for more in self.sources[1:]:
+            docs = docs.unionByName(more)
+        return docs
 
     @staticmethod
-    def _best(df: DataFrame, keys: list[str]) -> DataFrame:
-        """By key: the smallest identifier, the number of rows. Combined before the shuffle."""
-        first = F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id")))
-        return df.groupBy(*keys).agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    def _first(prefix: str = "") -> Column:
+        """An identifier that is smaller the longer its text is."""
+        c = {n: F.col(prefix + n) for n in ("points", "doc_id", "run", "place")}
+        return F.struct((-c["points"]).alias("less"), c["doc_id"].isNull().alias("none"), c["doc_id"].alias("doc_id"), c["run"].alias("run"), c["place"].alias("place"))
+
+    @staticmethod
+    def _index(best: DataFrame, *keys: str) -> DataFrame:
+        return best.select(*keys, F.col("first.doc_id").alias("keep_id"), (-F.col("first.less")).alias("keep_points"), F.col("first.run").alias("keep_run"), F.col("first.place").alias("keep_place"), "group_size")
 
     def compact(self) -> None:
-        """Merge every run into level 1. Merging again after further flushes gives the same as one merge."""
+        """Merge the new runs into level 1; what level 1 held already is not read from level 0 again."""
+        if self.merged and not self.new:
+            return
+        rows = self.spark.read.parquet(*self.new).select("digest", self._first().alias("first"), F.lit(1).cast("long").alias("n"))
+        if self.merged:
+            old = self.spark.read.parquet(self.merged).withColumnsRenamed({f"keep_{n}": n for n in ("points", "run", "place")} | {"keep_id": "doc_id"})
+            rows = rows.unionByName(old.select("digest", self._first().alias("first"), F.col("group_size").alias("n")))
         path = f"{self.path}/level1-{len(self.runs)}"
-        self._sorted_run(self._best(self._level0(), ["digest"]).select("digest", F.col("first.doc_id").alias("keep_id"), (-F.col("first.less")).alias("keep_points"), "group_size"), path)
-        self.merged = path
+        best = rows.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("group_size"))
+        self._sorted_run(self._index(best, "digest"), path)
+        self.merged, self.new = path, []
+        self.hit_bits = self._write_filter(self.level1().where("group_size > 1"), f"{path}-hits")
+        self.all_bits = None
+
+    def level1(self) -> DataFrame:
+        return self.spark.read.parquet(self.merged)
+
+    @staticmethod
+    def _at(bits: int) -> list[Column]:
+        place = F.pmod(F.xxhash64("digest"), F.lit(bits))
+        return [(place / BITMAP).cast("long").alias("at"), F.pmod(place, F.lit(BITMAP)).alias("bit")]
+
+    def _write_filter(self, digests: DataFrame, path: str) -> int:
+        """A table of bitmaps, FILTER_BITS at most; how many bits it has."""
+        n = digests.count()
+        bits = min(max(FILTER_BITS[0], 1 << (8 * max(n, 1)).bit_length()), FILTER_BITS[1])
+        digests.select(*self._at(bits)).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits")).write.mode("overwrite").parquet(path)
+        return bits
+
+    def _probed(self, df: DataFrame, path: str, bits: int) -> DataFrame:
+        """df with `maybe`: whether the filter has the digest. The filter's size is bounded, so it goes to every task."""
+        filters = self.spark.read.parquet(path).withColumnsRenamed({"bits": "filter_bits"})
+        byte = F.conv(F.hex(F.substring("filter_bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        probe = df.select("*", *self._at(bits)).join(F.broadcast(filters), "at", "left")
+        maybe = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0, F.lit(False))
+        return probe.withColumn("maybe", maybe).select(*df.columns, "maybe")
 
-    def _collided(self, index: DataFrame) -> DataFrame:
+    def _hits(self, df: DataFrame) -> DataFrame:
+        return self._probed(df, f"{self.merged}-hits", self.hit_bits)
+
+    def seen(self, docs: DataFrame) -> DataFrame:
+        """Those of further documents (doc_id, text) whose text is in the index, in their own rows.
+
+        Only texts that the filter of level 1 may have are looked up; the digests found are verified by bytes.
+        """
+        if self.all_bits is None:
+            self.all_bits = self._write_filter(self.level1(), f"{self.merged}-all")
+        asked = docs.select("doc_id", "text")
+        maybe = self._probed(self._keyed(asked, F.col("norm"), F.col("whole").alias("text")), f"{self.merged}-all", self.all_bits).where("maybe")
+        known = self._keyed(self._docs(), F.col("norm")).select("digest", "norm")
+        return maybe.join(self.level1().select("digest"), "digest", "left_semi").join(known, ["digest", "norm"], "left_semi").select("doc_id", "text")
+
+    def _collided(self) -> DataFrame:
         """Digests that stand for more than one text, found by comparing the bytes of all hits.
 
-        Only hits are read closely: a filter of the hit digests, bitmaps of bounded size, is probed
-        in the scan, and grouping by the text itself combines copies before anything is shuffled.
+        Only hits are read closely: their filter is probed in the scan, and grouping by the text
+        itself combines copies before anything is shuffled.
         """
-        hits = index.where("group_size > 1").select("digest")
-        n = hits.count()
-        bits = min(max(FILTER_BITS[0], 1 << (8 * max(n, 1)).bit_length()), FILTER_BITS[1])
-        place = F.pmod(F.xxhash64("digest"), F.lit(bits))
-        at = [(place / BITMAP).cast("long").alias("at"), F.pmod(place, F.lit(BITMAP)).alias("bit")]
-        filters = hits.select(*at).groupBy("at").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        docs = self.sources[0]
-        for more in self.sources[1:]:
-            docs = docs.unionByName(more)
-        probed = self._keyed(docs, F.col("norm")).select("digest", "norm", *at).join(F.broadcast(filters), "at")
-        byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        found = probed.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)
+        found = self._hits(self._keyed(self._docs(), F.col("norm")).select("digest", "norm")).where("maybe")
         texts = found.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("copies"))
         return texts.groupBy("digest").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").select("digest")
 
     def classes(self) -> DataFrame:
         """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-        index = self.spark.read.parquet(self.merged)
-        rows = self._level0().groupBy("digest", "sha", "doc_id", "points").agg(F.count(F.lit(1)).alias("copies"))
+        index = self.level1()
+        rows = self._hits(self.spark.read.parquet(*self.runs))
         total = index.agg(F.sum("group_size")).first()[0] or 0
-        collided = self._collided(index)
         path = f"{self.path}/collided-{len(self.runs)}"
-        collided.write.mode("overwrite").parquet(path)
+        self._collided().write.mode("overwrite").parquet(path)
         collided = self.spark.read.parquet(path)
-        joined = hot_join(rows, index, ["digest"], "group_size", total)
+        joined = hot_join(rows.where("maybe").drop("maybe"), self._hits(index).where("maybe").drop("maybe"), ["digest"], "group_size", total)
         if not collided.isEmpty():
-            joined = joined.join(collided, "digest", "left_anti").unionByName(self._by_bytes(collided))
-        copy = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")) & (F.col("copy") == 1)
-        return copy.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+            joined = joined.join(collided, "digest", "left_anti").unionByName(self._by_bytes(collided).select(*joined.columns))
+        kept = (F.col("run") == F.col("keep_run")) & (F.col("place") == F.col("keep_place"))
+        sha = F.lower(F.hex("sha")).alias("text_sha256")
+        alone = rows.where("NOT maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
+        return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), sha).unionByName(alone)
 
     def _by_bytes(self, collided: DataFrame) -> DataFrame:
         """The rows of digests that stand for several texts, told apart by the texts themselves."""
-        docs = self.sources[0]
-        for more in self.sources[1:]:
-            docs = docs.unionByName(more)
-        rows = self._keyed(docs, F.col("norm")).join(collided, "digest", "left_semi")
-        best = self._best(rows, ["digest", "norm"])
-        each = rows.groupBy("digest", "norm", "sha", "doc_id", "points").agg(F.count(F.lit(1)).alias("copies"))
-        return each.join(best, ["digest", "norm"]).select("digest", "sha", "doc_id", "points", "copies", F.col("first.doc_id").alias("keep_id"), (-F.col("first.less")).alias("keep_points"), "group_size")
+        rows = self._keyed(self._docs(), F.col("norm")).join(collided, "digest", "left_semi")
+        rows = written(rows.withColumns({"run": F.lit(0), "place": F.monotonically_increasing_id()}), "collided-rows")
+        best = rows.groupBy("digest", "norm").agg(F.min(self._first()).alias("first"), F.count(F.lit(1)).alias("group_size"))
+        return rows.join(self._index(best, "digest", "norm"), ["digest", "norm"])
 
 
 def exact_classes(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
