@@ -18,7 +18,8 @@ SEED, WORDS, RADIUS = 42, 3, 2
 BLOCK_PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 #: Bins of more fingerprints are dealt out anew by pairs of the remaining bits' four blocks.
 HOT_BIN = 20_000
-TILE = 1024
+#: Rows of a tile, tiles that are compared with themselves in one step, links that are held before they become a forest.
+TILE, TILES, LINKS = 256, 32, 1 << 20
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -73,37 +74,53 @@ def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y) <= RADIUS
 
 
-def link_bins(bins: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of what is within RADIUS inside each bin.
+def link_bins(bins: np.ndarray, marks: np.ndarray, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Links of a spanning forest of what is within RADIUS in the tiles; how many tile pairs were compared and skipped.
 
-    bins: runs of equal numbers; marks: fingerprints, in ascending order of bit counts within a bin.
-    Bins are cut into tiles of TILE; as bit counts rise, a tile is compared with those that follow
-    until one's least count is above this one's largest by more than RADIUS. Small bins are
-    compared all at once, each row with the next, the one after that and so on.
+    bins: runs of equal numbers; marks: fingerprints, in ascending order of bit counts within a bin. The
+    rows are cut into tiles, whatever bins they are of; each is compared with itself. Where a bin goes
+    on, its rows in a tile are compared with those in the tiles that follow, until one's least bit count is
+    above their largest by more than RADIUS: that one and the bin's rest are skipped. What is within
+    RADIUS is a link in any case, also between rows of different bins that a tile happens to hold.
     """
     n, counts = len(marks), np.bitwise_count(marks).astype(np.int16)
-    labels = np.arange(n)
-    edges = np.flatnonzero(np.diff(bins)) + 1
-    starts = np.concatenate(([0], edges))
-    sizes = np.diff(np.concatenate((starts, [n])))
-    small = np.repeat(sizes <= 64, sizes)
-    for step in range(1, 64):
-        at = np.flatnonzero((bins[:-step] == bins[step:]) & small[:-step]) if step < n else []
-        if not len(at):
-            break
-        at = at[counts[at + step] - counts[at] <= RADIUS]
-        at = at[_near(marks[at], marks[at + step])]
-        labels = _forest(labels, at, at + step)
-    for start, size in zip(starts[sizes > 64], sizes[sizes > 64]):
-        for i in range(start, start + size, TILE):
-            ends = min(i + TILE, start + size)
-            for j in range(i, start + size, TILE):
-                if counts[j] - counts[ends - 1] > RADIUS:
-                    break
-                a, b = np.nonzero(_near(marks[i:ends, None], marks[None, j : min(j + TILE, start + size)]))
-                labels = _forest(labels, i + a, j + b)
+    labels, held, n_held = np.arange(n), [], 0
+    compared = skipped = 0
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal labels, held, n_held
+        held.append((a, b))
+        n_held += len(a)
+        if n_held > LINKS:
+            labels, held, n_held = _forest(labels, *map(np.concatenate, zip(*held))), [], 0
+
+    for start in range(0, n, tile * TILES):
+        rows = marks[start : start + tile * TILES]
+        whole = len(rows) // tile
+        for first, block in ((start, rows[: whole * tile].reshape(whole, tile)), (start + whole * tile, rows[None, whole * tile :])):
+            if block.size:
+                t, a, b = np.nonzero(_near(block[:, :, None], block[:, None, :]))
+                later = a < b
+                at = first + t[later] * block.shape[1]
+                link(at + a[later], at + b[later])
+                compared += len(block)
+    for end in range(tile, n, tile):
+        own = bins[end - 1]
+        if bins[end] != own:
+            continue
+        start = max(end - tile, int(np.searchsorted(bins, own)))
+        stop = int(np.searchsorted(bins, own, side="right"))
+        for i in range(end, stop, tile):
+            if counts[i] - counts[end - 1] > RADIUS:
+                skipped += -(-(stop - i) // tile)
+                break
+            a, b = np.nonzero(_near(marks[start:end, None], marks[None, i : min(i + tile, stop)]))
+            link(start + a, i + b)
+            compared += 1
+    if held:
+        labels = _forest(labels, *map(np.concatenate, zip(*held)))
     tied = np.flatnonzero(labels != np.arange(n))
-    return marks[tied], marks[labels[tied]]
+    return marks[tied], marks[labels[tied]], compared, skipped
 
 
 def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +129,7 @@ def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     last, number = None, -1
 
     def done(bins: list, marks: list) -> pa.RecordBatch:
-        a, b = link_bins(np.concatenate(bins), np.concatenate(marks))
+        a, b, _, _ = link_bins(np.concatenate(bins), np.concatenate(marks))
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     for batch in batches:

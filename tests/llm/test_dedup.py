@@ -45,6 +45,31 @@ def test_exact_when_digests_collide(hard, hard_list):
     assert sorted(map(tuple, got), key=repr) == exact_by_hand(hard_list)
 
 
+def test_filters_prune_and_levels_merge(spark):
+    """Rows that the filter rules out are joined with nothing; a merge reads no run twice."""
+    docs = spark.range(0, 3000).selectExpr("id AS doc_id", "if(id % 10 = 0, 'copy', concat('text ', id)) AS text")
+    index = exact_dedup.DigestIndex(spark)
+    for i in range(3):
+        index.flush(docs.where(f"doc_id % 3 = {i}"))
+        assert len(index.new) == 1
+        index.compact()
+        assert index.new == []
+    maybe = index._hits(spark.read.parquet(*index.runs)).where("maybe").count()
+    assert 300 <= maybe < 600
+    sizes = {(r.kept, r.group_size): r["count"] for r in index.classes().groupBy("kept", "group_size").count().collect()}
+    assert sizes == {(True, 1): 2700, (True, 300): 1, (False, 300): 299}
+    more = spark.createDataFrame([(1, "te xt 7"), (2, "copy"), (3, "nothing like it"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id for r in index.seen(more).collect()} == {1, 2}
+
+
+def test_one_row_repeated_many_times(spark):
+    """Rows alike in all columns: one is kept, and no task gathers them."""
+    docs = spark.range(0, 100_000, 1, 8).selectExpr("7L AS doc_id", "'the same text' AS text").unionByName(spark.createDataFrame([(8, "another"), (7, "the same  text")], "doc_id long, text string"))
+    rows = exact_dedup.exact_classes(docs)
+    assert {(r.kept, r.group_size): r["count"] for r in rows.groupBy("kept", "group_size").count().collect()} == {(False, 100_001): 100_000, (True, 100_001): 1, (True, 1): 1}
+    assert "explode" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_index_grows_by_runs(spark, hard, hard_list):
     index = exact_dedup.DigestIndex(spark)
     for part in range(3):
@@ -110,10 +135,24 @@ def closure(pairs, nodes):
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=6), st.lists(st.tuples(st.integers(0, 5), st.integers(0, 63), st.integers(0, 63)), max_size=150))
 def test_tiles_lose_no_link(centres, flips):
     marks = sorted({centres[c % len(centres)] ^ (1 << a) ^ (1 << b) for c, a, b in flips} | set(centres), key=lambda m: (m.bit_count(), m))
-    a, b = simhash.link_bins(np.zeros(len(marks), np.int64), np.array(marks, np.uint64))
+    a, b, _, _ = simhash.link_bins(np.zeros(len(marks), np.int64), np.array(marks, np.uint64), 8)
     assert closure(zip(a.tolist(), b.tolist()), marks) == closure(pairs_within(marks), marks)
 
 
+def test_tiles_are_compared_and_skipped():
+    """A bin of many tiles skips those whose bit counts are too far off; small bins share tiles."""
+    rng = np.random.default_rng(3)
+    marks = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    marks = np.concatenate((marks, marks[:300] ^ np.uint64(3)))
+    marks = marks[np.lexsort((marks, np.bitwise_count(marks)))]
+    a, b, compared, skipped = simhash.link_bins(np.zeros(len(marks), np.int64), marks)
+    n = -(-len(marks) // simhash.TILE)
+    assert len(a) == 300 and all(np.bitwise_count(a ^ b) <= 2)
+    assert n < compared < n * (n + 1) // 2 and skipped > 0
+    bins = np.arange(len(marks)) // 3
+    assert simhash.link_bins(bins, marks)[2] >= n
+
+
 def test_hot_bins_are_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_BIN", 20)
     rng = np.random.default_rng(1)
