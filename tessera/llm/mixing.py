@@ -92,15 +92,15 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS,
     return others.select(*out).unionByName(inside.select(*out))
 
 
-def repeat_by_mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each row of docs as many times as the mix takes it; its columns stay.
+def repeat_by_mix(docs: DataFrame, weight: str | None = None) -> DataFrame:
+    """The mixed corpus: each row of docs as many times as the mix takes it; its columns stay, but for `weight`.
 
     Every row is repeated by what is taken of it alone, also where rows share a doc_id. Documents of no
-    words add nothing to a mix of words and are not in it.
+    words add nothing to a mix of words and are not in it. `weight` names a column of quality weights above 0.
     """
-    taken = mix(docs, keep="kept").where("size > 0 AND taken > 0")
+    taken = mix(docs, None if weight is None else F.col(weight), keep="kept").where("size > 0 AND taken > 0")
     times = (F.col("taken") / F.col("size")).cast("int")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select("kept.*")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), times))).select(*[F.col("kept")[c].alias(c) for c in docs.columns if c != weight])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,13 +283,13 @@ def decode(rows: DataFrame, path: str | None = None, theta: float = THETA) -> Da
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(decoded, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = 0) -> DataFrame:
-    """doc_id, n_bytes, n_pieces, ids_crc32 (ids as little-endian 32 bits), decoded_sha256, lossless: encode, then decode, in one pass.
+def round_trip(docs: DataFrame, path: str | None = None, theta: float = THETA, seed: int = 0, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_pieces, ids_crc32 (ids as little-endian 32 bits), decoded_sha256, lossless: encode, then decode, in one pass; with ids (array of int) if asked for.
 
-    Rows, nulls and seeds as in encode.
+    Rows, nulls and seeds as in encode. An empty table gives an empty result; other columns play no part.
     """
     model = _model(docs, path)
-    names = ["doc_id", "n_bytes", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"]
+    names = ["doc_id", "n_bytes", "n_pieces", "ids_crc32", "decoded_sha256", "lossless", *["ids"] * with_ids]
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces_of(model.value, theta)
@@ -306,9 +306,11 @@ def round_trip(docs: DataFrame, path: str | None = None, theta: float = THETA, s
                     pa.array([sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in back]),
                     pa.array([t == x for t, x in zip(texts, back)], pa.bool_()),
                 ]
+                if with_ids:
+                    cols.append(pa.array(ids, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
 
-    kinds = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean"
+    kinds = "doc_id long, n_bytes long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean" + ", ids array<int>" * with_ids
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(both, kinds)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table, spread
 from .linear import Ftrl, sigmoid
-from .quality import sample_of
+from .quality import one_each, sample_of
 
 BITS, EPOCHS, FOLDS = 18, 4, 4
 #: Labelled rows to learn from, at most. This bounds training alone.
@@ -26,20 +26,13 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Words that a worker remembers the features of; beyond, it starts anew.
 REMEMBERED = 300_000
 
-#: English insults by which the first category is told from the second.
-INSULTS = ("clown", "disgusting", "fool", "idiot", "jerk", "loser", "moron", "pathetic", "scum", "stupid", "trash", "ugly", "worthless")
-
-
-def _insult(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(r"(?i)\b(?:" + "|".join(INSULTS) + r")\b")
-
-
-#: The chain, in order: a category and, from the text and the label, whether a labelled row has it.
-#: `labels` marks only whether a text is toxic; the first two categories split those that are.
+#: The chain, in order: a category and, from the labels, whether a labelled row has it. `labels` marks toxic
+#: and poor texts; a text that either mark finds fault with is flawed. Each is told more easily once the ones
+#: before it are: a flawed text that isn't poor is toxic. None of them is known from the text itself.
 CATEGORIES: tuple[tuple[str, Callable[[Column, Column], Column]], ...] = (
-    ("insult", lambda text, toxic: (toxic > 0) & _insult(text)),
-    ("veiled", lambda text, toxic: (toxic > 0) & ~_insult(text)),
-    ("toxic", lambda text, toxic: toxic > 0),
+    ("flawed", lambda toxic, quality: (toxic > 0) | (F.coalesce(quality, F.lit(1.0)) < 1)),
+    ("poor", lambda toxic, quality: F.coalesce(quality, F.lit(1.0)) < 1),
+    ("toxic", lambda toxic, quality: toxic > 0),
 )
 
 
@@ -112,10 +105,10 @@ def fit_chain(rows: Sequence[np.ndarray], labels: np.ndarray, folds: np.ndarray,
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, label: str = "toxic", bits: int = BITS, rows: int = SAMPLE, epochs: int = EPOCHS) -> list[np.ndarray]:
-    """The chain's weights from a bounded sample of labelled rows, learned in one task in an order that ids decide."""
-    sample = sample_of(labels, label, rows)
+    """The chain's weights from a bounded sample of labelled ids, one row of each, learned in one task in an order that ids decide."""
+    sample = sample_of(labels, label, rows, "quality")
     own = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(sample), "__id")
-    marks = F.array(*[f(F.col("__text"), F.col("__label")).cast("double") for _, f in categories])
+    marks = F.array(*[f(F.col("__label"), F.col("__quality")).cast("double") for _, f in categories])
     width = len(categories)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +128,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, label
         yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([w.tobytes() for w in chain], pa.binary())], ["link", "weights"])
 
     dealt = own.select("__id", marks.alias("marks"), "__text").mapInArrow(hashed, "key long, marks array<double>, ids binary")
-    one = dealt.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "ids")
+    one = one_each(dealt, "marks", "ids").repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "ids")
     found = one.mapInArrow(learn, "link int, weights binary").collect()  # a row for each category
     return [np.frombuffer(bytes(r.weights), np.float32) for r in sorted(found)]
 
@@ -145,7 +138,7 @@ def score_chain(docs: DataFrame, chain: list[np.ndarray], categories=CATEGORIES,
 
     Whole texts of docs (doc_id, text) are scored, one row for each. A null or empty text has no
     features: its probabilities follow from the constants. Null ids and repeated rows are kept. A chain
-    that was fitted on no rows gives 0 throughout.
+    that was fitted on no rows gives 0 throughout. An empty table gives an empty result; other columns play no part.
     """
     model = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{name}" for name, _ in categories]

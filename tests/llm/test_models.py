@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
@@ -76,11 +76,17 @@ def test_targets_of_odd_sizes(spark):
 
 
 def test_likelier_with_weight(spark):
-    docs = spark.createDataFrame([(i, "w " * 10, "s%d" % (i % 2), 5.0 if i % 4 == 0 else 1.0) for i in range(4000)], "doc_id long, text string, source string, w double")
-    heavy = {r.doc_id: r.taken > r["size"] for r in mixing.mix(docs, F.lit(1.0)).collect()}
-    assert len(heavy) == 4000
-    rows = mixing.mix(docs.where("source = 's0'").unionByName(docs.where("source = 's1'").limit(100)), F.col("doc_id") * 0 + 1).collect()
-    assert {r.taken // r["size"] for r in rows} <= {0, 1, 2, 3}
+    """Of a source that gives half its words, documents of weight 5 are taken more often than those of weight 1."""
+    docs = spark.createDataFrame([(i, "w " * 10, "s%d" % (i % 2), 5.0 if i % 4 < 2 else 1.0) for i in range(8000)], "doc_id long, text string, source string, w double")
+    more = spark.createDataFrame([(10_000, "w " * 40_000, "s0", 1.0)], docs.schema)  # takes no part in the comparison
+    taken = defaultdict(list)
+    for r in mixing.mix(docs.unionByName(more), F.col("w")).where("doc_id < 8000").collect():
+        taken[r.source, r.doc_id % 4 < 2].append(r.taken / r["size"])
+    share = {k: np.mean(v) % 1 for k, v in taken.items()}
+    picked = [s for s in ("s0", "s1") if 0.05 < np.mean(taken[s, True] + taken[s, False]) % 1 < 0.95]
+    assert picked and all(share[s, True] > 1.3 * share[s, False] for s in picked)
+    mixed = mixing.repeat_by_mix(docs, "w")
+    assert mixed.columns == ["doc_id", "text", "source"]
 
 
 def test_quality(spark, hard, hard_list, empty, labels):
@@ -121,13 +127,94 @@ def test_toxicity(spark, hard, hard_list, empty, labels):
     assert np.mean([r.is_toxic for r in found if r.toxic]) > 0.8 and np.mean([r.is_toxic for r in found if not r.toxic]) < 0.02
 
 
+def ftrl_by_hand(rows, epochs, alpha, beta, l1, l2):
+    """Weights by feature from rows ({feature: value}, label), one coordinate after the other."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else ((1 if z[i] > 0 else -1) * l1 - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def grams_by_hand(text, bits=quality.BITS):
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", (text or "").encode())
+    one = [crc32(w) for w in words]
+    all_ = one + [(a * 0x9E3779B1 & 0xFFFFFFFF) ^ b for a, b in zip(one, one[1:])] + [0x52455054 for a, b in zip(one, one[1:]) if a == b]
+    return [(((h ^ (h >> 15)) * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - bits) for h in all_]
+
+
+def test_quality_by_hand(spark, hard, hard_list, labels):
+    """The whole query over a small table: sample, hashing, updates and scores, one number at a time."""
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and crc32(str(r.doc_id).encode()) % 5:
+            known[r.doc_id] = min(known.get(r.doc_id, 1), r.quality)
+    order = [r.id for r in spark.createDataFrame([(i,) for i in known], "id long").orderBy(F.xxhash64("id"), "id").collect()]
+
+    def row(ids):
+        x = Counter(ids)
+        return {i: c / max(1, len(ids)) ** 0.5 for i, c in x.items()} | {"constant": 1.0}
+
+    chosen = []
+    for i in order:
+        own = [grams_by_hand(t) for d, t, _ in hard_list if d == i]
+        if own:
+            chosen.append((row(min(own, key=lambda g: np.array(g, np.int32).tobytes())), known[i]))
+    w = ftrl_by_hand(chosen, quality.EPOCHS, 0.3, 1.0, 0.2, 0.5)
+    want = sorted((repr(d), 1 / (1 + np.exp(-sum(w.get(i, 0.0) * v for i, v in row(grams_by_hand(t)).items())))) for d, t, _ in hard_list)
+    got = sorted((repr(r.doc_id), r.score) for r in quality.score(hard, quality.train(hard, labels)).collect())
+    assert [g[0] for g in got] == [x[0] for x in want] and np.allclose([g[1] for g in got], [x[1] for x in want], atol=1e-4)
+    assert len({round(g[1], 3) for g in got}) > 5
+
+
+def test_one_id_labelled_and_repeated(spark, labels):
+    """However many rows share a labelled id, one of them is learned from."""
+    docs = spark.range(0, 50_000, 1, 4).selectExpr("3L AS doc_id", "concat('text ', id) AS text")
+    sample = quality.sample_of(labels, "quality", 10)
+    assert quality.featured(docs, sample, 18).count() <= 1
+    assert len(toxicity.train_chain(docs, labels)) == 3
+
+
 def test_later_links_learn_from_unseen_predictions():
+    """Each row's input for a later link comes from a model that was fitted on the other folds."""
     rng = np.random.default_rng(0)
     rows = [np.stack((np.array([i % 50, 50 + i % 3], np.float32), np.ones(2, np.float32))) for i in range(120)]
-    labels = rng.integers(0, 2, (120, 2)).astype(float)
-    chain = toxicity.fit_chain(rows, labels, np.arange(120) % 4, bits=8, epochs=2)
+    labels, folds = rng.integers(0, 2, (120, 2)).astype(float), np.arange(120) % 4
+    chain = toxicity.fit_chain(rows, labels, folds, bits=8, epochs=2)
     assert [len(w) for w in chain] == [257, 258]
 
+    def weights(at, column, dense):
+        own = [({int(f): float(v) for f, v in rows[i].T} | {"c": 1.0} | {f"p{j}": d for j, d in enumerate(dense[i])}, labels[i, column]) for i in at]
+        return ftrl_by_hand(own, 2, toxicity.ALPHA, 1.0, toxicity.L1, toxicity.L2)
+
+    nothing, unseen = np.zeros((120, 0)), np.zeros(120)
+    for f in range(4):
+        w = weights([i for i in range(120) if folds[i] != f], 0, nothing)
+        for i in np.flatnonzero(folds == f):
+            unseen[i] = 1 / (1 + np.exp(-sum(w.get(int(x), 0.0) for x in rows[i][0]) - w["c"]))
+
+    def as_array(w, extra):
+        out = np.zeros(257 + extra)
+        for k, v in w.items():
+            out[k if isinstance(k, int) else 256 + extra if k == "c" else 256 + int(k[1:])] = v
+        return out
+
+    assert np.allclose(chain[0], as_array(weights(range(120), 0, nothing), 0), atol=1e-4)
+    assert np.allclose(chain[1], as_array(weights(range(120), 1, unseen[:, None]), 1), atol=1e-4)
+    whole = weights(range(120), 0, nothing)
+    seen = np.array([1 / (1 + np.exp(-sum(whole.get(int(x), 0.0) for x in r[0]) - whole["c"])) for r in rows])
+    assert not np.allclose(chain[1], as_array(weights(range(120), 1, seen[:, None]), 1), atol=1e-4)
+
 
 def near_by_hand(rows, k=20, every=20):
     good = {}
