@@ -21,6 +21,8 @@ ANCHOR = 40
 HOT_ANCHOR = 5_000
 #: Bytes scanned at a time, and suffixes in a run.
 SEGMENT, RUN = 1 << 20, 30_000
+#: Units in a part, on average: a part's runs are what one merge holds in memory.
+PART = 20_000
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 RUN_KIND = "part int, lcp binary, size binary, tail binary, left_size binary, left binary, low binary, high binary, times binary, keys binary, at binary, key long, start long, stop long"
 
@@ -116,6 +118,18 @@ def _lcp(a: bytes, b: bytes, at: int) -> int:
     return at
 
 
+def joined_spans(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same places of the same keys by as few spans as possible."""
+    if not len(key):
+        return key, start, stop
+    order = np.lexsort((start, key))
+    key, start, stop = key[order], start[order], stop[order]
+    text = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+    upto = np.maximum.accumulate(stop + (text << 40)) - (text << 40)
+    first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (start[1:] > upto[:-1]))))
+    return key[first], start[first], np.maximum.reduceat(stop, first)
+
+
 def _coded(part: int, items: list[tuple]) -> dict:
     """A front-coded run of sorted, distinct (string, left, low, high), each with its places if it has one only."""
     lcp, tails, before = [], [], b""
@@ -139,14 +153,19 @@ def _runs(parts: int, length: int):
     schema = pa.schema([(n, pa.int32() if n == "part" else pa.int64() if n in ("key", "start", "stop") else pa.binary()) for n in names])
 
     def flush(items: dict) -> Iterator[pa.RecordBatch]:
-        rows, by_part = [], {}
+        inside, by_part = [], {}
         for (string, left, low, high), own in items.items():
-            by_part.setdefault(int.from_bytes(string[:4], "big") % parts, []).append((string, left, low, high, own))
+            by_part.setdefault(int.from_bytes(string[:8], "big") % parts, []).append((string, left, low, high, own))
             if len(own) > 1:
-                rows += [{"part": k % parts, "key": k, "start": a - high, "stop": a - low + length} for k, a in own]
-        rows += [_coded(p, sorted(own, key=lambda x: x[:4])) for p, own in sorted(by_part.items())]
+                inside += [(k, a - high, a - low + length) for k, a in own]
+        rows = [_coded(p, sorted(own, key=lambda x: x[:4])) for p, own in sorted(by_part.items())]
         for i in range(0, len(rows), 2000):
             yield pa.RecordBatch.from_pylist(rows[i : i + 2000], schema)
+        if inside:
+            key, start, stop = joined_spans(*np.array(inside, np.int64).T)
+            part = (key.astype(np.uint64) * MULTIPLIERS[0] >> np.uint64(32)) % np.uint64(parts)
+            found = {"part": pa.array(part.astype(np.int32)), "key": pa.array(key), "start": pa.array(start), "stop": pa.array(stop)}
+            yield pa.RecordBatch.from_arrays([found.get(n, pa.nulls(len(key), schema.field(n).type)) for n in names], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: dict[tuple, list] = {}
@@ -325,7 +344,8 @@ def _merge(length: int):
             last[items] = o
         close(np.flatnonzero(last >= 0))
         none = [np.zeros(0, np.int64)]
-        return pa.table({n: np.concatenate(x or none) for n, x in (("key", found_key), ("start", found_start), ("stop", found_stop))})
+        spans = joined_spans(*[np.concatenate(x or none) for x in (found_key, found_start, found_stop)])
+        return pa.table(dict(zip(("key", "start", "stop"), spans)))
 
     return run
 
@@ -371,28 +391,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     strings that a run holds twice or more one goes on, without its places. So no part grows with a hot string.
 
     A null text counts as empty; texts shorter than `length` lose nothing. Null doc_ids are kept.
-    Rows that repeat a doc_id and a text are texts of their own: each is another place for the other.
+    Rows that repeat a doc_id and a text are texts of their own: each is another place for the other. An
+    empty table gives an empty result; other columns play no part.
     """
     spark = docs.sparkSession
-    parts = 2 * partitions(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    # Where ids tell texts apart they are the key; else a hash of id and text.
-    alike = not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty()
-    keyed = ids.select((F.xxhash64("doc_id", "text") if alike else F.col("doc_id")).alias("key"), "doc_id", "text")
+    # Where ids tell texts apart they are the key; else rows are numbered, in a table so that their numbers stay.
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").isEmpty():
+        keyed = ids.select(F.col("doc_id").alias("key"), "doc_id", "text")
+    else:
+        keyed = written(ids.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "numbered")
     anchors = written(spread(keyed.select("key", "text")).mapInArrow(_anchors(length), "g long, key long, unit long"), "anchors")
     shared = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     total = anchors.count()
+    parts = int(max(2 * partitions(spark), (shared.agg(F.sum("n")).first()[0] or 0) // PART))
     # Slices are 2^width bytes wide: a whole unit if few share the anchor, a byte if very many do.
     width = F.greatest(F.lit(0), 8 - F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / HOT_ANCHOR)))).cast("long")
     units_ = hot_join(anchors, shared, ["g"], "n", total).select("key", F.shiftleft(width, 56).bitwiseOR(F.col("unit")).alias("unit"))
     lists = units_.groupBy("key").agg(F.collect_list("unit").alias("units"))
     # The texts are dealt out by key once, for the units now and for what is removed in the end.
     dealt = keyed.repartition(partitions(spark), "key")
-    with_units = dealt.join(lists.hint("shuffle_hash"), "key", "left").select("key", "text", "units", "doc_id")
+    with_units = dealt.join(lists, "key", "left").select("key", "text", "units", "doc_id")
     runs = with_units.mapInArrow(_runs(parts, length), RUN_KIND)
     spans = runs.groupBy("part").applyInArrow(_merge(length), "key long, start long, stop long")
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    out = dealt.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
+    out = dealt.join(spans, "key", "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_finished, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

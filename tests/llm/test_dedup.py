@@ -194,6 +194,26 @@ def test_repeats(hard, hard_list, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(-2, 2), st.integers(0, 40), st.integers(1, 12)), max_size=30))
+def test_joined_spans_cover_the_same(spans):
+    key, start, stop = suffixes.joined_spans(*np.array([(k, a, a + n) for k, a, n in spans], np.int64).reshape(-1, 3).T)
+    places = lambda x: {(k, i) for k, a, b in x for i in range(a, b)}
+    got = list(zip(key.tolist(), start.tolist(), stop.tolist()))
+    assert places(got) == places((k, a, a + n) for k, a, n in spans)
+    assert all(k != m or b < c for (k, _, b), (m, c, _) in zip(got, got[1:]))
+
+
+def test_repeats_where_one_id_is_repeated(spark):
+    """Rows that share an id are texts of their own, with spans of their own."""
+    body = "".join(chr(97 + i * i % 23) + chr(97 + i % 19) for i in range(400))
+    rows = [(1, body), (1, "x" * 30 + body[:300]), (1, "nothing repeats here"), (None, body[100:350]), (2, None)] + [(3, f"{i} {i * i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(df).collect())
+    want = repeats_by_hand([(d, t, None) for d, t in rows])
+    assert got == Counter((d, n, r, k) for d, n, r, k, *_ in want)
+
+
 def test_repeats_with_hot_anchors_and_small_segments(hard, hard_list, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_ANCHOR", 1)
     monkeypatch.setattr(suffixes, "SEGMENT", 700)
