@@ -19,8 +19,8 @@ from .common import read_table, spread
 MODEL = "piece_bpe_32k.model"
 #: How strongly likely pieces are preferred: 0 draws every segmentation alike, a large value the likeliest.
 THETA = 1.0
-#: Letters of text that are encoded together, and distinct chunks whose lattices a worker remembers.
-TOGETHER, REMEMBERED = 500_000, 120_000
+#: Letters of text that are encoded together; distinct chunks whose lattices a worker remembers, and edges of these.
+TOGETHER, REMEMBERED, EDGES = 500_000, 120_000, 8_000_000
 SPACE, BYTE = 0x2581, 0x200000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,7 +188,7 @@ class Pieces:
         return out
 
     def _encode(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.piece) > EDGES:
             self._forget()
         found = [CHUNK.findall(" " + t) if t else [] for t in texts]
         if new := list(dict.fromkeys(c for own in found for c in own if c not in self.known)):

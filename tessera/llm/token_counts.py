@@ -18,8 +18,8 @@ from .common import read_table, spread
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Chunks and words whose counts a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+#: Chunks and words whose counts a worker remembers, beyond which it starts anew, and letters that they have at most.
+REMEMBERED, LONG = 400_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -94,7 +94,9 @@ class Merges:
         for w in self.words(text):
             n = known.get(w)
             if n is None:
-                n = known[w] = self.word(w.encode())
+                n = self.word(w.encode())
+                if len(w) <= LONG:
+                    known[w] = n
             total += n
         return total
 
@@ -115,7 +117,9 @@ class Merges:
         for c in ASCII_SPACES.split(text) if CONTROL.search(text) else text.split():
             n = chunks.get(c)
             if n is None:
-                n = chunks[c] = self.chunk(c)
+                n = self.chunk(c)
+                if len(c) <= LONG:
+                    chunks[c] = n
             total += n
         return total
 
@@ -137,7 +141,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
     `path` is a tokenizer definition, read by the driver alone. Counts are those of the tokenizers
     library without added begin or end tokens; special strings in a text are one token each.
-    A null text counts as empty, with 0 bytes and 0 tokens. Null ids and repeated rows are kept.
+    A null text counts as empty, with 0 bytes and 0 tokens. Null ids and repeated rows are kept. An empty
+    table gives an empty result; other columns play no part.
     """
     with open(path or public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
         definition = docs.sparkSession.sparkContext.broadcast(file.read())

@@ -23,8 +23,8 @@ ALPHA, L1, L2 = 1.0, 1.5, 0.1
 #: Beginnings of words that count as features too, in letters.
 STEMS = (3, 4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers the features of; beyond, it starts anew.
-REMEMBERED = 300_000
+#: Words that a worker remembers the features of, beyond which it starts anew, and letters that they have at most.
+REMEMBERED, LONG = 300_000, 64
 
 #: The chain, in order: a category and, from the labels, whether a labelled row has it. `labels` marks toxic
 #: and poor texts; a text that either mark finds fault with is flawed. Each is told more easily once the ones
@@ -54,7 +54,9 @@ class Words:
         for w in set(LETTERS.findall((text or "").lower())):
             ids = known.get(w)
             if ids is None:
-                ids = known[w] = self._of(w)
+                ids = self._of(w)
+                if len(w) <= LONG:
+                    known[w] = ids
             out += ids
         ids, counts = np.unique(np.array(out, np.int64), return_counts=True)
         return np.stack((ids.astype(np.float32), 1 + np.log2(counts).astype(np.float32)))
