@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import ann, exact_dedup, mixing, pieces, quality, simhash, suffixes, token_counts, token_files, toxicity
 
 
@@ -19,7 +17,6 @@ def queries():
         "op8_simhash": simhash.op8_simhash,
         "op9_repeats": suffixes.op9_repeats,
         "op10_token_files": token_files.op10_token_files,
-        "pipeline": corpus_pipeline.run,
     }
 
 
