@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import counted, terms
@@ -18,54 +18,64 @@ CHUNKS, TOKENS = " chunks", " tokens"
 
 @dataclass
 class Index:
-    """postings (term, chunk_id, tf, dl), term_stats (term, df, idf), corpus (one row: n, avgdl, avg_idf), chunk_ids."""
+    """postings (term, chunk_id, tf, dl), counts (term, df; and how many chunks and tokens there are), chunk_ids.
+
+    `counts` may have several rows of a term, of additions that were made one after the other.
+    """
 
     postings: DataFrame
-    term_stats: DataFrame
-    corpus: DataFrame
+    counts: DataFrame
     chunks: DataFrame
     #: What the others are made of, where they aren't read from files.
     counted: DataFrame | None = None
 
+    def __post_init__(self) -> None:
+        """term_stats (term, df, idf), corpus (one row: n, avgdl, avg_idf).
+
+        A term in more than half of all chunks has a negative raw idf; it gets EPSILON times the mean raw
+        idf of all terms instead.
+        """
+        # That terms are terms is told after counting, so that all that reads the counts reads one exchange.
+        df = self.counts.groupBy("term").agg(F.sum("df").alias("df"), F.max(_is_term()).alias("is_term"))
+        one = {name: F.max(F.when(~F.col("is_term") & (F.col("term") == name), F.col("df"))) for name in (CHUNKS, TOKENS)}
+        corpus = df.agg(F.coalesce(one[CHUNKS], F.lit(0)).alias("n"), (one[TOKENS] / one[CHUNKS]).alias("avgdl"))
+        # The corpus is one row.
+        raw = df.where("is_term").crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        mean = raw.agg(F.avg("raw").alias("avg_idf"))
+        stats = raw.select("term", "df", "raw").crossJoin(F.broadcast(mean))
+        idf = F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw"))
+        self.term_stats, self.corpus = stats.select("term", "df", idf.alias("idf")), corpus.crossJoin(mean)
+
     def persist(self) -> Index:
         for df in (self.counted if self.counted is not None else self.postings, self.term_stats):
             df.persist()
         return self
 
-    def write(self, path: str) -> None:
-        """Postings are bucketed by term hash into directories' files sorted by term, so that a query's terms prune row groups."""
-        self.postings.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.term_stats.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
-        self.chunks.select("chunk_id").write.mode("overwrite").parquet(f"{path}/chunks")
+    def write(self, path: str, mode: str = "overwrite") -> None:
+        """Postings lie in files sorted by term, so that a query's terms prune row groups. With mode "append", what is
+        there stays: the chunks of this index are added, at the cost of their own postings."""
+        self.postings.repartition("term").sortWithinPartitions("term", "chunk_id").write.mode(mode).parquet(f"{path}/postings")
+        self.counts.groupBy("term").agg(F.sum("df").alias("df")).write.mode(mode).parquet(f"{path}/counts")
+        self.chunks.select("chunk_id").write.mode(mode).parquet(f"{path}/chunks")
 
     @classmethod
     def read(cls, spark, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "corpus", "chunks")])
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "counts", "chunks")])
 
 
-def fit(chunks: DataFrame) -> Index:
-    """The index of chunks (chunk_id, text).
+def _is_term() -> Column:
+    return ~F.col("term").isin(CHUNKS, TOKENS)
 
-    A term in more than half of all chunks has a negative raw idf; it gets EPSILON times the mean raw
-    idf of all terms instead. A chunk's terms are counted in its row; all that is shuffled are partial
-    counts of chunks by term.
-    """
+
+def fit(chunks: DataFrame) -> Index:
+    """The index of chunks (chunk_id, text). A chunk's terms are counted in its row; all that is shuffled are
+    partial counts of chunks by term."""
     split = chunks.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("dl"), counted(F.col("t")).alias("counts"))
     # Two more entries a chunk, that no term can be, so that one pass counts chunks and tokens as well.
     own = F.array(*[F.struct(F.lit(name).alias("value"), n.cast("int").alias("n")) for name, n in ((CHUNKS, F.lit(1)), (TOKENS, F.col("dl")))])
     rows = split.select("chunk_id", "dl", F.explode(F.concat(own, "counts")).alias("c")).select(F.col("c.value").alias("term"), "chunk_id", "dl", F.col("c.n").cast("long").alias("tf"))
-    is_term = ~F.col("term").isin(CHUNKS, TOKENS)
-    # That terms are terms is told after counting, so that all that reads the counts reads one exchange.
-    df = rows.groupBy("term").agg(F.sum(F.when(is_term, F.lit(1)).otherwise(F.col("tf"))).alias("df"), F.max(is_term).alias("is_term"))
-    one = {name: F.max(F.when(~F.col("is_term") & (F.col("term") == name), F.col("df"))) for name in (CHUNKS, TOKENS)}
-    corpus = df.agg(F.coalesce(one[CHUNKS], F.lit(0)).alias("n"), (one[TOKENS] / one[CHUNKS]).alias("avgdl"))
-    # The corpus is one row.
-    raw = df.where("is_term").crossJoin(F.broadcast(corpus)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("avg_idf"))
-    stats = raw.select("term", "df", "raw").crossJoin(F.broadcast(mean))
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw"))
-    return Index(rows.where(is_term), stats.select("term", "df", idf.alias("idf")), corpus.crossJoin(mean), chunks.select("chunk_id"), rows)
+    counts = rows.select("term", F.when(_is_term(), F.lit(1)).otherwise(F.col("tf")).cast("long").alias("df"))
+    return Index(rows.where(_is_term()), counts, chunks.select("chunk_id"), rows)
 
 
 def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:

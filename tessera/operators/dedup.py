@@ -2,32 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Added to the product of norms.
 EPSILON = 1e-9
 #: Rows of a block.
 BLOCK = 4096
+#: Rows that are all compared with each other, at most; bands and bits of the buckets beyond.
+EXACT, BANDS, BITS = 200_000, 24, 14
 
 
-def near_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def near_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, exact: int = EXACT) -> DataFrame:
     """a, b, similarity: pairs of rows (ord, embedding), a before b, whose cosine reaches the threshold.
 
-    Exact: rows are dealt into blocks of about `block`, and each two blocks are compared in one task by a matrix
-    product, so that no task holds more than two blocks and nothing but pairs found leaves it. Rows
-    without an embedding, or with one of zeros, are near none.
+    Up to `exact` rows all are compared. Beyond that, only rows that share a bucket: for each of BANDS bands,
+    the signs of the products with BITS random directions; two rows at the threshold of 0.95 share a bucket with a
+    probability of over 0.99, and what is found is checked exactly in both cases. Rows of a bucket, or all rows, are dealt
+    into blocks of about `block`, and each two blocks are compared in one task by a matrix product, so that no
+    task holds more than two blocks and nothing but pairs found leaves it. Rows without an embedding, or with
+    one of zeros, are near none.
     """
     own = vectors.where(F.col("embedding").isNotNull()).select(F.col("ord").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("embedding"))
-    n = max(1, -(-own.count() // block))
-    at = F.pmod(F.xxhash64("ord"), F.lit(n)).cast("int")
-    cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi"))))
-    dealt = own.withColumn("block", at).withColumn("cell", cells).select("cell.lo", "cell.hi", "block", "ord", "embedding")
+    if own.count() <= exact:
+        own = own.withColumn("bucket", F.lit(0).cast("long"))
+    else:
+        own = _bucketed(own)
+    sizes = own.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).drop("rows")
+    own = own.join(sizes, "bucket")
+    at = F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int")
+    cells = F.explode(F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi"))))
+    dealt = own.withColumn("block", at).withColumn("cell", cells).select("bucket", "cell.lo", "cell.hi", "block", "ord", "embedding")
 
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        lo, hi = (k.as_py() for k in key)
+        _, lo, hi = (k.as_py() for k in key)
         block, ids = rows["block"].to_numpy(), rows["ord"].to_numpy()
         flat = rows["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = flat.reshape(len(ids), -1)
@@ -46,7 +60,26 @@ def near_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> Data
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none), "similarity": np.concatenate(found or [np.zeros(0)])})
 
-    return dealt.groupBy("lo", "hi").applyInArrow(compare, "a long, b long, similarity double")
+    found = dealt.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a long, b long, similarity double")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def _bucketed(vectors: DataFrame) -> DataFrame:
+    """A row for each band: bucket, ord, embedding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions = None
+        for b in batches:
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(b.num_rows, -1)
+            if directions is None:
+                directions = np.random.default_rng(5).normal(size=(x.shape[1], BANDS * BITS))
+            signs = (x @ directions > 0).reshape(len(x), BANDS, BITS)
+            key = (signs * (1 << np.arange(BITS))).sum(axis=2) + (np.arange(BANDS) << BITS)
+            row = pa.array(np.repeat(np.arange(len(x)), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), b.column(0).take(row), b.column(1).take(row)], ["bucket", "ord", "embedding"])
+
+    return vectors.mapInArrow(run, "bucket long, ord long, embedding array<double>")
 
 
 def drop_near_duplicates(rows: DataFrame, threshold: float = 0.95, pairs: DataFrame | None = None) -> DataFrame:
@@ -56,18 +89,19 @@ def drop_near_duplicates(rows: DataFrame, threshold: float = 0.95, pairs: DataFr
     kept once all its earlier neighbours are known to be dropped, and dropped once one is known to be kept.
     Each round settles at least the first unsettled row of every chain; rounds are as many as chains are long.
     """
-    links = (pairs if pairs is not None else near_pairs(rows, threshold)).select("a", "b").persist()
+    links = written((pairs if pairs is not None else near_pairs(rows, threshold)).select("a", "b"), "near-pairs")
     open_ = links.select(F.col("b").alias("ord")).distinct()
     # Rows without an earlier neighbour are kept from the start.
     kept = links.select(F.col("a").alias("ord")).distinct().join(open_, "ord", "left_anti")
     dropped = links.select("b").limit(0).withColumnRenamed("b", "ord")
     while True:
+        # Every round is written, so that plans don't grow with the rounds.
         gone = links.join(kept.withColumnRenamed("ord", "a"), "a", "left_semi").select(F.col("b").alias("ord")).distinct()
-        dropped = dropped.unionByName(gone).distinct().persist()
-        open_ = open_.join(dropped, "ord", "left_anti").persist()
+        dropped = written(dropped.unionByName(gone).distinct(), "dropped")
+        open_ = written(open_.join(dropped, "ord", "left_anti"), "open")
         if open_.isEmpty():
             break
         live = links.join(dropped.withColumnRenamed("ord", "a"), "a", "left_anti").join(kept.withColumnRenamed("ord", "a"), "a", "left_anti")
-        kept = kept.unionByName(open_.join(live.select(F.col("b").alias("ord")), "ord", "left_anti")).distinct().persist()
-        open_ = open_.join(kept, "ord", "left_anti").persist()
+        kept = written(kept.unionByName(open_.join(live.select(F.col("b").alias("ord")), "ord", "left_anti")).distinct(), "kept")
+        open_ = open_.join(kept, "ord", "left_anti")
     return rows.join(dropped, "ord", "left_anti")

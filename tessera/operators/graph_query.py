@@ -133,6 +133,11 @@ def edges_by_relation(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.coalesce("relation", F.lit("related")).alias("relation")).agg(F.count(F.lit(1)).alias("edges"))
 
 
+def edges_of(edges: DataFrame, relation: str) -> DataFrame:
+    """from_id, to_id, confidence of the edges of one relation ("related": those without one)."""
+    return edges.where(F.coalesce("relation", F.lit("related")) == relation).select("from_id", "to_id", "confidence")
+
+
 def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edges."""
     return nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..operators import bm25
 from ..operators.cascade import cost_summary, extract_all
 from ..operators.chunk import chunk
 from ..operators.graph_build import build_graph, resolve_unknown
-from ..operators.incremental import cache_rows, manifest_rows
+from ..operators.incremental import cache_rows, last_build, manifest_rows
 from ..operators.normalize import normalize_all
 from ..operators.vector import record_vectors
 from ..sources import files, graphs, tables
@@ -57,22 +58,53 @@ def build_records(spark: SparkSession, raw: str, store: str, complete: Complete
 
 
 def ingest(spark: SparkSession, documents: DataFrame, store: str, rebuild: bool = True, config: Config = Config()) -> dict:
-    """Chunk files (path, filename, content), add the chunks that aren't stored yet, refit BM25; return counts."""
-    texts = files.with_text(documents)
+    """Chunk files (path, filename, content), add the chunks that aren't stored yet to the store and to BM25; return counts.
+
+    The index gets the new chunks' postings alone. Only if it doesn't hold the chunks that were stored before, say
+    after a run that was broken off, is it fitted anew.
+    """
     chunks = tables.chunk_table(spark, f"{store}/chunks")
-    added, skipped = chunks.append_absent(chunk(texts, config.chunk_tokens, config.overlap_tokens))
-    total = chunks.read().count()
-    if rebuild and total:
-        bm25.fit(chunks.read()).write(f"{store}/bm25")
-    return {"indexed": added, "skipped": skipped, "total_chunks_in_store": total}
+    before = chunks.read().count()
+    given = chunk(files.with_text(documents), config.chunk_tokens, config.overlap_tokens)
+    new = chunks.add_absent(given)
+    added, skipped = new.count(), given.count()
+    if rebuild and before + added:
+        path = f"{store}/bm25"
+        indexed = spark.read.parquet(f"{path}/chunks").count() if tables.exists(spark, f"{path}/chunks/_SUCCESS") else 0
+        if indexed != before or not before:
+            bm25.fit(chunks.read()).write(path)
+        elif added:
+            bm25.fit(new).write(path, "append")
+    return {"indexed": added, "skipped": skipped - added, "total_chunks_in_store": before + added}
 
 
-def ingest_folder(spark: SparkSession, folder: str, store: str, config: Config = Config()) -> dict:
-    """All text, Markdown and PDF files below a folder, as one job; BM25 is fitted once."""
-    found = files.read_folder(spark, folder)
-    n = found.select("path").count()
+def ingest_folder(spark: SparkSession, folder: str, store: str, config: Config = Config(), progress: Callable[[str, int], None] = lambda stage, n: None) -> dict:
+    """All text, Markdown and PDF files below a folder, as one job. Files that can't be read, or are too long for a
+    row, are skipped and counted. `progress` is told stages and how many files they are about."""
+    found = files.list_folder(spark, folder)
+    n = found.count()
+    progress("found", n)
     if not n:
         return {"files_found": 0, "files_processed": 0, "files_skipped": 0, "chunks_indexed": 0, "chunks_skipped": 0, "total_chunks_in_store": tables.chunk_table(spark, f"{store}/chunks").read().count()}
-    # A file that can't be read fails its task and is tried again; one that isn't text is decoded with replacements.
-    out = ingest(spark, found, store, config=config)
-    return {"files_found": n, "files_processed": n, "files_skipped": 0, "chunks_indexed": out["indexed"], "chunks_skipped": out["skipped"], "total_chunks_in_store": out["total_chunks_in_store"]}
+    contents = files.read_folder(spark, folder)
+    read = contents.select("path", F.length("content").alias("n")).where("n >= 0").count()
+    progress("read", read)
+    out = ingest(spark, contents, store, config=config)
+    progress("stored", read)
+    return {"files_found": n, "files_processed": read, "files_skipped": n - read, "chunks_indexed": out["indexed"], "chunks_skipped": out["skipped"], "total_chunks_in_store": out["total_chunks_in_store"]}
+
+
+def health(spark: SparkSession, store: str) -> dict:
+    """What a dashboard shows: records and chunks stored, nodes and edges, when the last build was; None for what isn't there."""
+
+    def of(make: Callable[[], object]) -> object:
+        try:
+            return make()
+        except (FileNotFoundError, AnalysisException):
+            return None
+
+    nodes_edges = of(lambda: [t.count() for t in graphs.load(spark, f"{store}/graph")]) or [None, None]
+    return {
+        "records": of(lambda: tables.vector_table(spark, f"{store}/vectors").read().count()), "chunks": of(lambda: tables.chunk_table(spark, f"{store}/chunks").read().count()),
+        "nodes": nodes_edges[0], "edges": nodes_edges[1], "last_build": of(lambda: last_build(tables.manifest_table(spark, f"{store}/manifest").read()).first()[0]),
+    }

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,17 +43,30 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
 
 
-def read_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """path, filename, content of text, Markdown and PDF files below a folder, whatever the case of their extension.
-
-    Raises ValueError for what isn't a folder. Files of one name in two folders share it.
-    """
+def _folder(spark: SparkSession, folder: str) -> DataFrame:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop) or not fs.getFileStatus(hadoop).isDirectory():
         raise ValueError(f"{folder} is not a folder")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.where(extension(F.col("path")).isin(*EXTENSIONS)).select("path", base_name(F.col("path")).alias("filename"), "content")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(folder)
+    return files.where(extension(F.col("path")).isin(*EXTENSIONS)).withColumn("filename", base_name(F.col("path")))
+
+
+def list_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """path, filename, ord (from 0, by path) of text, Markdown and PDF files below a folder, whatever the case of their
+    extension; no contents are read. Raises ValueError for what isn't a folder."""
+    # One row a file, as the driver lists them anyway.
+    return _folder(spark, folder).select("path", "filename", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("ord"))
+
+
+def read_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """path, filename, content of the files of list_folder that can be read and are short enough for a row.
+
+    Files of one name in two folders share it.
+    """
+    longest = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1)))
+    return _folder(spark, folder).where(F.col("length") <= longest).select("path", "filename", "content")
 
 
 def from_uploads(spark: SparkSession, files: list[tuple[str, bytes]]) -> DataFrame:

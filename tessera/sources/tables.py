@@ -1,4 +1,4 @@
-"""Keyed tables as Parquet: created when missing, upserted by writing anew and swapping."""
+"""Keyed tables as Parquet: created when missing, added to by files of their own, merged when read."""
 
 from __future__ import annotations
 
@@ -20,48 +20,98 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+#: Additions that a table has at most before they are merged into one.
+MOST_PARTS = 16
+
+
 class Table:
-    """A table of one row per key. Readers see the old rows or the new ones, never a mixture: versions
-    are written beside each other, and the last one that its job marked as complete is current."""
+    """A table of one row per key, as a base and additions to it, each a folder that its job marks as complete.
+
+    `add` folders hold rows of new keys, `put` folders rows that replace what has their key. A reader merges what
+    was complete when it looked; so it sees the old rows or the new ones, never a mixture. What an addition
+    costs depends on its own rows and on the table's keys; after MOST_PARTS of them a new base is written.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str):
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
 
-    def _current(self) -> str | None:
-        p, fs = _fs(self.spark, f"{self.path}/versions")
+    def _parts(self) -> list[str]:
+        """The names of the complete parts, in order: number, kind, a random end."""
+        p, fs = _fs(self.spark, f"{self.path}/parts")
         if not fs.exists(p):
-            return None
-        done = sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-        return f"{self.path}/versions/{done[-1]}" if done else None
+            return []
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+
+    def _live(self) -> list[str]:
+        parts = self._parts()
+        bases = [i for i, name in enumerate(parts) if "-base-" in name]
+        return parts[bases[-1] :] if bases else parts
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        parts = self._parts()
+        n = int(parts[-1].split("-")[0]) + 1 if parts else 0
+        path = f"{self.path}/parts/{n:012d}-{kind}-{uuid.uuid4().hex[:8]}"
+        rows.select(*self._empty().columns).write.parquet(path)
+        return path
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema)
+
+    def _load(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/parts/{x}" for x in names])
 
     def read(self) -> DataFrame:
-        current = self._current()
-        return self.spark.read.schema(self.schema).parquet(current) if current else self.spark.createDataFrame([], self.schema)
+        out, waiting = None, []
+        for name in self._live():
+            if "-put-" not in name:
+                waiting.append(name)
+                continue
+            put = self._load([name])
+            before = [x for x in (out, self._load(waiting) if waiting else None) if x is not None]
+            out, waiting = put, []
+            for old in before:
+                out = out.unionByName(old.join(put.select(self.key), self.key, "left_anti"))
+        rest = [self._load(waiting)] if waiting else []
+        for more in rest:
+            out = more if out is None else out.unionByName(more)
+        return self._empty() if out is None else out
 
     def replace(self, rows: DataFrame) -> None:
-        current = self._current()
-        n = int(current.rsplit("/", 1)[1].split("-")[0]) + 1 if current else 0
-        rows.select(*self.read().columns).write.parquet(f"{self.path}/versions/{n:012d}-{uuid.uuid4().hex[:8]}")
-        p, fs = _fs(self.spark, f"{self.path}/versions")
-        # A version is kept for readers of the one before.
-        for old in sorted(s.getPath().getName() for s in fs.listStatus(p))[:-2]:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p, old), True)
+        """A new base. What came before the former base is deleted; that one stays for who still reads it."""
+        former = self._live()
+        self._write(rows, "base")
+        p, fs = _fs(self.spark, f"{self.path}/parts")
+        for old in self._parts():
+            if former and old < former[0]:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(p, old), True)
+
+    def _merge(self) -> None:
+        if len(self._live()) > MOST_PARTS:
+            self.replace(self.read())
 
     def upsert(self, rows: DataFrame) -> None:
-        """Rows whose key is there replace what has it; of new rows that share a key any one counts, so give one."""
-        old = self.read()
-        self.replace(old.join(rows.select(self.key), self.key, "left_anti").select(*old.columns).unionByName(rows.select(*old.columns)))
+        """Rows replace what has their key; of rows that share one the least in all their columns counts."""
+        self._write(self._first(rows, None), "put")
+        self._merge()
+
+    def _first(self, rows: DataFrame, order: str | None) -> DataFrame:
+        columns = self._empty().columns
+        least = F.min(F.struct(*[F.col(c).alias(f"by_{i}") for i, c in enumerate([order] if order else [])], *columns))
+        return rows.groupBy(F.col(self.key).alias("shared")).agg(least.alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in columns])
 
     def append_absent(self, rows: DataFrame, order: str | None = None) -> tuple[int, int]:
-        """Add rows whose key isn't there, of those sharing a key the first by `order`; the numbers added and left out."""
-        given = rows.count()
-        first = rows.groupBy(self.key).agg(F.min_by(F.struct(*rows.columns), F.col(order or self.key)).alias("r")).select("r.*")
-        old = self.read()
-        new = first.join(old.select(self.key), self.key, "left_anti")
-        before = old.count()
-        self.replace(old.unionByName(new.select(*old.columns)))
-        added = self.read().count() - before
-        return added, given - added
+        """Add rows whose key isn't there; the numbers added and left out. Of rows that share a key the first by
+        `order`, if given, then by all columns, is added."""
+        added = self.add_absent(rows, order).count()
+        return added, rows.count() - added
+
+    def add_absent(self, rows: DataFrame, order: str | None = None) -> DataFrame:
+        """As append_absent; the rows that were added."""
+        new = self._first(rows, order).join(self.read().select(self.key), self.key, "left_anti")
+        path = self._write(new, "add")
+        added = self.spark.read.schema(self.schema).parquet(path)
+        self._merge()
+        return added
 
 
 def cache_table(spark: SparkSession, path: str) -> Table:

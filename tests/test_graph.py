@@ -2,7 +2,7 @@ import random
 
 from tessera import schemas
 from tessera.operators import extract, graph_query
-from tessera.operators.dedup import drop_near_duplicates
+from tessera.operators.dedup import drop_near_duplicates, near_pairs
 from tessera.operators.graph_build import build_graph
 from tessera.operators.normalize import normalize_all
 from tessera.plans import fixtures
@@ -88,3 +88,21 @@ def test_greedy_dedup_is_the_sequential_one(spark):
             kept.append(i)
     rows = spark.createDataFrame(list(enumerate(vectors)), "ord long, embedding array<double>")
     assert sorted(r.ord for r in drop_near_duplicates(rows, 0.8).collect()) == kept
+
+
+def test_near_pairs_by_buckets(spark):
+    """Beyond the size that is compared wholly, pairs come from buckets: none is wrong and hardly any is missing."""
+    rng = random.Random(9)
+    centres = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(150)]
+    vectors = [[x + rng.gauss(0, 0.12) for x in c] for c in centres for _ in range(4)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "ord long, embedding array<double>")
+    want = {(r.a, r.b) for r in near_pairs(rows, 0.95).collect()}
+    for block in (4096, 100):
+        got = {(r.a, r.b) for r in near_pairs(rows, 0.95, block=block, exact=10).collect()}
+        assert len(want) > 500 and got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_edges_of_a_relation(spark):
+    nodes, edges = build_graph(extract.extract_with_rules(normalize_all(fixtures.sources(spark))))
+    counts = {r.relation: r.edges for r in graph_query.edges_by_relation(edges).collect()}
+    assert counts and all(graph_query.edges_of(edges, k).count() == n for k, n in counts.items())

@@ -128,6 +128,46 @@ def test_folder_and_stream_ingest(spark, tmp_path):
         files.read_folder(spark, str(folder / "a.TXT"))
 
 
+def test_tables_add_and_put(spark, tmp_path, monkeypatch):
+    """Additions cost files of their own; what is read is the last row of each key."""
+    monkeypatch.setattr(tables, "MOST_PARTS", 4)
+    t = tables.Table(spark, str(tmp_path / "t"), "k string, v int, w string", "k")
+    assert t.read().count() == 0
+    want = {}
+    for i in range(8):
+        rows = [("a", i, "put"), (f"p{i}", i, "put")]
+        t.upsert(spark.createDataFrame(rows + [("a", i + 100, "put")], "k string, v int, w string"))
+        want |= {k: (v, w) for k, v, w in rows}
+        more = [("a", -1, "no"), (f"n{i}", 2, "second"), (f"n{i}", 1, "zero")]
+        assert t.append_absent(spark.createDataFrame(more, "k string, v int, w string"), "w") == (1, 2)
+        want[f"n{i}"] = (2, "second")
+        assert {r.k: (r.v, r.w) for r in t.read().collect()} == want and t.read().count() == len(want)
+        assert len(t._live()) <= 6
+    assert any("-base-" in name for name in t._live())
+
+
+def test_ingest_adds_postings(spark, tmp_path):
+    """A second batch adds its own postings; search finds the same as in an index fitted on all chunks."""
+    folder, store = tmp_path / "docs", str(tmp_path / "store")
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"{i}.txt").write_text(" ".join(f"w{j % (i + 3)}" for j in range(30 + i)))
+    (folder / "long.txt").write_text("w1 " * 4000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "5000")
+    stages = []
+    out = build.ingest_folder(spark, str(folder), store, progress=lambda stage, n: stages.append((stage, n)))
+    spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert (out["files_found"], out["files_processed"], out["files_skipped"]) == (7, 6, 1) and stages == [("found", 7), ("read", 6), ("stored", 6)]
+    assert [r.filename for r in files.list_folder(spark, str(folder)).orderBy("ord").collect()] == [f"{i}.txt" for i in range(6)] + ["long.txt"]
+    assert build.ingest_folder(spark, str(folder), store)["chunks_indexed"] > 0
+    index, whole = bm25.Index.read(spark, f"{store}/bm25"), bm25.fit(tables.chunk_table(spark, f"{store}/chunks").read())
+    assert index.chunks.count() == whole.chunks.count()
+    q = spark.createDataFrame([(1, "w1 w7"), (2, "w0")], "query_id int, query string")
+    found = [[(r.query_id, r.chunk_id, round(r.score, 9)) for r in bm25.search(x, q, 5).orderBy("query_id", "rank").collect()] for x in (index, whole)]
+    assert found[0] == found[1]
+    assert build.health(spark, store) == {"records": 0, "chunks": whole.chunks.count(), "nodes": None, "edges": None, "last_build": None}
+
+
 def test_search_stages(spark, small):
     own = catalog.chunks(spark, small)
     asked = spark.createDataFrame([(1, "the of and"), (2, "")], "query_id int, query string")
