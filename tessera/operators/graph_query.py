@@ -37,15 +37,16 @@ def start_node(nodes: DataFrame, node_id: str) -> DataFrame:
 
 
 def reach(nodes: DataFrame, edges: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
-    """id, hop of all nodes within so many hops of the start, in any direction. One join a hop; hubs are reached once."""
-    near = both_ways(edges).persist()
-    front = start.select("id", F.lit(0).alias("hop")).persist()
-    seen = front
+    """id, hop of all nodes within so many hops of the start, in any direction. A hop joins its frontier, a small
+    side that the optimiser may broadcast, to either end of the edges; hubs are reached once."""
+    seen = start.select("id", F.lit(0).alias("hop"))
     for hop in range(1, hops + 1):
-        step = near.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        # Every hop reads the one before twice.
-        front = step.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop)).persist()
-        seen = seen.unionByName(front)
+        front = seen.where(F.col("hop") == hop - 1).select("id")
+        out = edges.join(front.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id"))
+        into = edges.join(front.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id"))
+        step = out.unionByName(into).withColumn("hop", F.lit(hop))
+        # Every hop reads what was reached before.
+        seen = seen.unionByName(step).groupBy("id").agg(F.min("hop").alias("hop")).persist()
     return seen.join(nodes.select("id"), "id", "left_semi")
 
 
