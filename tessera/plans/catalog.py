@@ -15,9 +15,11 @@ from ..operators import chunk as chunking
 from ..operators.graph_build import build_graph, resolve_unknown
 from ..operators.normalize import normalize_all, normalize_logs
 from .. import schemas
+from ..sources import tables
+from ..sources.scratch import scratch
 from . import fixtures, retrieval
 
-NOW = "2026-01-01 00:00:00"
+NOW, LATER = "2026-01-01 00:00:00", "2026-01-02 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -233,6 +235,42 @@ def tier_costs(spark, sf_dir):
     return cascade.tier_costs(_judged(spark, sf_dir).select(tier.alias("tier"))).withColumn("cost", F.round("cost", 6))
 
 
+def _answer(prompt: str, model: str) -> str:
+    """A model that always names one entity."""
+    return '{"entities": [{"id": "note__met", "type": "note", "name": "met"}], "relationships": []}'
+
+
+def cascade_tiers(spark, sf_dir):
+    """The batch driver over the small corpus: logs are in the cache, commits are unchanged, a model answers for the rest."""
+    records = corpus(spark)
+    logs, commits = (records.where(F.col("type") == kind) for kind in ("log", "commit"))
+    cache = logs.select(text_hash(F.col("title"), F.col("body")).alias("text_hash"), F.lit('{"entities": [], "relationships": []}').alias("result_json"))
+    out = cascade.extract_all(records, cache, incremental.manifest_rows(commits.withColumn("tier", F.lit("rule")), NOW), _answer)
+    return out.select("id", "tier", "processed", F.size("entities").alias("entities"), F.size("relationships").alias("relationships"))
+
+
+def stored_chunks(spark, sf_dir):
+    """Chunks stored in two batches, of which the second holds the first."""
+    own, store = chunks(spark, sf_dir), tables.chunk_table(spark, scratch(spark, "chunks"))
+    store.append_absent(own.where("chunk_index % 2 = 0"))
+    store.append_absent(own)
+    return store.read().select("chunk_id", "filename", "chunk_index")
+
+
+def upserted_manifest(spark, sf_dir):
+    """The manifest after a later run over the records that are new or changed."""
+    records, known = _manifest(spark, sf_dir)
+    store = tables.manifest_table(spark, scratch(spark, "manifest"))
+    store.upsert(known)
+    store.upsert(incremental.manifest_rows(records.where("ord % 3 > 0").withColumn("tier", F.lit("llm_cheap")), LATER))
+    return store.read()
+
+
+def source_blocks(spark, sf_dir):
+    """What a model is shown of the sources of each sample answer."""
+    return fixtures.answers(spark).select("id", citations.source_block(F.col("sources")).alias("block"))
+
+
 def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Records, and a manifest that knows two of three of them, every other of those with another text."""
     records = document_records(spark, sf_dir)
@@ -394,7 +432,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         chunk_documents, store_stats, doc_identity_collisions, bm25_term_stats, bm25_topk, vector_search_docs, hybrid_search, rerank_lexical, retrieval_funnel, cited_answers, vector_topk, vector_topk_filtered, near_dup_pairs, dedup_greedy, fuse_rankings,
-        normalize_events, normalize_union, entities_documents, entities_fixture, relations_fixture, unresolved_phrases, mentions_scan, needs_frontier, tier_costs, change_detection, change_stats, manifest_rows, last_build, cache_keys,
+        normalize_events, normalize_union, entities_documents, entities_fixture, relations_fixture, unresolved_phrases, mentions_scan, needs_frontier, tier_costs, cascade_tiers, stored_chunks, upserted_manifest, source_blocks, change_detection, change_stats, manifest_rows, last_build, cache_keys,
         graph_nodes, graph_edges, node_type_counts, relation_counts, graph_size, node_degree, node_labels, ego_2hop, corpus_nodes, corpus_edges, corpus_edges_resolved, find_owner, find_owner_resolved, recent_changes, active_incidents, active_incidents_resolved, dependencies, dependencies_resolved,
         recent_orders, citation_check, simple_questions, json_repair, event_json, vector_norms, rerank_scores,
     )

@@ -297,6 +297,17 @@ ORACLES: dict[str, str] = {
     "needs_frontier": f"WITH {DOC_RECORDS}, {PHRASES}, {JUDGED} SELECT id, frontier FROM judged",
     "tier_costs": f"""WITH {DOC_RECORDS}, {PHRASES}, {JUDGED}, t AS (SELECT CASE WHEN frontier THEN 'llm_frontier' WHEN len(p) > 0 THEN 'llm_cheap' ELSE 'rule' END AS tier FROM judged)
         SELECT v.tier, count(t.tier) AS records, round(count(t.tier) * price, 6) AS cost FROM (VALUES ('cache', 0.0::DOUBLE), ('rule', 0.0), ('llm_cheap', 0.0002), ('llm_frontier', 0.003)) AS v(tier, price) LEFT JOIN t ON t.tier = v.tier GROUP BY v.tier, price""",
+    "cascade_tiers": f"""WITH {CORPUS}, known AS (SELECT *, len(es) AS n, len(rs) AS r, len(regexp_extract_all(t, '{_re2(PHRASE)}', 1)) > 0 AS cheap FROM lists),
+        asked AS (SELECT *, length(body) > 800 OR (n + cheap::INTEGER < 2 AND length(body) > 300) OR source = 'confluence' OR (r = 0 AND n + cheap::INTEGER > 3) AS frontier FROM known),
+        tiers AS (SELECT *, CASE WHEN type = 'log' THEN 'cache' WHEN type = 'commit' THEN 'rule' WHEN frontier THEN 'llm_frontier' WHEN cheap THEN 'llm_cheap' ELSE 'rule' END AS tier FROM asked)
+        SELECT id, tier, type <> 'commit' AS processed, CASE WHEN tier = 'cache' THEN 0 ELSE n + starts_with(tier, 'llm')::INTEGER END::INTEGER AS entities, CASE WHEN tier = 'cache' THEN 0 ELSE r END::INTEGER AS relationships FROM tiers""",
+    "stored_chunks": f"WITH {FILES} SELECT chunk_id, filename, chunk_index FROM chunks",
+    "upserted_manifest": """SELECT doc_id::VARCHAR AS record_id, md5(coalesce(lang, '') || coalesce(text, '')) AS content_hash, source, CASE WHEN doc_id % 3 = 0 THEN 'rule' ELSE 'llm_cheap' END AS tier_used,
+        CASE WHEN doc_id % 3 = 0 THEN '2026-01-01 00:00:00' ELSE '2026-01-02 00:00:00' END AS indexed_at FROM documents""",
+    "source_blocks": rf"""SELECT id, array_to_string(list_transform(range(1, n + 1), lambda i: '[' || i || '] f.md, part ' || i || '/' || n || E':
+t'), E'
+
+') AS block FROM {sql_values(ANSWERS, "id, n, answer")}""",
     "change_detection": f"WITH {MANIFEST}, {CHANGES} SELECT id, change, content_hash FROM changes",
     "change_stats": f"WITH {MANIFEST}, {CHANGES} SELECT count(*) AS total, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'unchanged') AS unchanged FROM changes",
     "manifest_rows": f"WITH {MANIFEST} SELECT record_id, content_hash, source, 'rule' AS tier_used, '2026-01-01 00:00:00' AS indexed_at FROM manifest",
