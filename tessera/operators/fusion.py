@@ -42,7 +42,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, top: int = 5, scorer: Call
 
     A model is a scorer too: an iterator pandas UDF that loads it once a worker.
     """
-    scored = candidates.join(F.broadcast(queries.select("query_id", "query")), "query_id").withColumn("rerank_score", scorer(F.col("query"), F.col("text")))
+    scored = candidates.join(queries.select("query_id", "query"), "query_id").withColumn("rerank_score", scorer(F.col("query"), F.col("text")))
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return scored.withColumn("rerank", F.row_number().over(order)).where(F.col("rerank") <= top).drop("query")
 

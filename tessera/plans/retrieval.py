@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.models import lexical_overlap
+from ..functions.models import Complete, lexical_overlap
 from ..operators import bm25, fusion, vector
-from ..operators.citations import checked, extractive
+from ..operators.citations import asked, checked, extractive
 
 
 @dataclass
@@ -37,11 +37,13 @@ def search(chunks: DataFrame, questions: DataFrame, index: bm25.Index | None = N
     return Search(lexical, near, fused, fusion.rerank(fused, questions, config.answers, scorer))
 
 
-def answer(found: Search, questions: DataFrame, respond=extractive) -> DataFrame:
-    """query_id, query, answer, citations for every question; `respond` gives the raw answer from question and sources."""
+def answer(found: Search, questions: DataFrame, respond=extractive, complete: Complete | None = None, config: Config = Config()) -> DataFrame:
+    """query_id, query, answer, citations for every question. The raw answer is what a language model says, if `complete`
+    is given; else what the expression `respond` makes of question and sources."""
     source = F.struct("rerank", "chunk_id", "filename", "chunk_index", "total_chunks", "text")
     sources = found.reranked.groupBy("query_id").agg(F.array_sort(F.collect_list(source)).alias("sources"))
-    asked = questions.join(sources, "query_id", "left")
+    rows = questions.join(sources, "query_id", "left")
     empty = F.from_json(F.lit("[]"), "array<struct<rerank:int,chunk_id:string,filename:string,chunk_index:int,total_chunks:int,text:string>>")
-    asked = asked.withColumn("sources", F.coalesce("sources", empty))
-    return checked(asked.withColumn("answer", respond(F.col("query"), F.col("sources")))).select("query_id", "query", "answer", "citations")
+    rows = rows.withColumn("sources", F.coalesce("sources", empty))
+    said = rows.withColumn("answer", respond(F.col("query"), F.col("sources"))) if complete is None else asked(rows, complete, config.agent_model)
+    return checked(said).select("query_id", "query", "answer", "citations")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,8 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_cleaned: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for a table. All of an application's lie in one folder; see clean_scratch."""
+    """A new path for a table. All of an application's lie in one folder, which is deleted when the driver ends."""
+    if (app := spark.sparkContext.applicationId) not in _cleaned:
+        _cleaned.add(app)
+        atexit.register(_end, spark)
     return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -30,6 +37,14 @@ def clean_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _end(spark: SparkSession) -> None:
+    """A driver that ends while its context is up cleans; else the folder is left to whoever owns it."""
+    try:
+        clean_scratch(spark)
+    except Exception:
+        pass
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: the frame as a Parquet table in the shared folder, committed task by task."""
     spark = df.sparkSession

@@ -180,6 +180,20 @@ def test_search_stages(spark, small):
     assert all(r.answer == citations.NOT_ENOUGH and r.citations == [] for r in nothing)
 
 
+def test_answers_of_a_model(spark, small):
+    """What a model says is checked against its sources; a failed call's text is the answer."""
+    asked = spark.createDataFrame([(1, "the of and"), (2, "to in"), (3, "fail")], "query_id int, query string")
+
+    def complete(prompt, model):
+        if "fail" in prompt.split("Question: ")[1].split("\n")[0]:
+            raise RuntimeError("no line")
+        return "So it is [1]. Or not [77]. And [2]."
+
+    rows = {r.query_id: r for r in retrieval.answer(retrieval.search(catalog.chunks(spark, small), asked), asked, complete=complete).collect()}
+    assert rows[1].answer == "So it is [1]. And [2]." and [c.ref for c in rows[2].citations] == [1, 2]
+    assert "no line" in rows[3].answer and rows[3].citations == []
+
+
 def test_rrf_prefers_agreement(spark):
     kind = "query_id int, chunk_id string, score double, rank int"
     a = spark.createDataFrame([(1, "x", 1.0, 1), (1, "y", 0.5, 3)], kind)
