@@ -164,7 +164,8 @@ def exact_classes(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text).
 
     Texts are equal when identical without white space. Of equal ones the row with the most code
-    points in the original text, then the smallest doc_id, is kept.
+    points in the original text, then the smallest doc_id, is kept. A null text counts as empty, a null doc_id comes
+    last; repeated rows are returned each, one of them kept; an empty table gives an empty result.
     """
     index = DigestIndex(docs.sparkSession, digest_bytes=digest_bytes)
     index.flush(docs)
@@ -175,7 +176,8 @@ def exact_classes(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents without the copies that exact_classes doesn't keep; all columns of docs stay.
 
-    A document is a doc_id and a text, so of rows that repeat both one stays.
+    A document is a doc_id and a text, so of rows that repeat both one stays. Null and empty texts are equal, so
+    one row of them stays; a null doc_id is one like any other. Columns may have any names; an empty table stays empty.
     """
     own, sha, place = free_names(docs, 3)
     kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))

@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST_EPOCHS,
 
     Nulls: a null text has size 0 and is taken 0 times; a null source is a source of its own, the
     last; null doc_ids draw the same key. Rows repeating a doc_id are mixed each for itself. An empty
-    table gives an empty result. If all sizes are 0 so are all targets.
+    table gives an empty result. If all sizes are 0 so are all targets. Other columns play no part.
     """
     text = F.col("text")
     own = (without_spaces(text) if weight is None else F.lit(None)).alias("marks"), (F.lit(None) if weight is None else weight).cast("double").alias("weight")

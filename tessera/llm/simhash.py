@@ -188,7 +188,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     Nulls and empty texts have fingerprint 0, linked like any other. A null doc_id is no
     candidate for component_id (null if its group has no other). Repeated rows are returned each.
-    An empty table gives an empty result.
+    An empty table gives an empty result; other columns play no part.
     """
     rows = written(fingerprints(docs), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
@@ -205,7 +205,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each group of near_classes stays, the one with the smallest doc_id; all columns stay.
 
-    Rows that share a doc_id stay or go together.
+    Rows that share a doc_id stay or go together. Null and empty texts are one group; rows without a doc_id stay if
+    no row of their group has one. Columns may have any names; an empty table stays empty.
     """
     gone = near_classes(docs).groupBy("doc_id").agg(F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())).alias("stays")).where("NOT stays")
     gone = gone.select(F.col("doc_id").alias("gone"))
