@@ -7,13 +7,9 @@ again as the next stage's docs. All but the last return the columns of documents
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, pieces, quality, simhash
-from tessera.llm.common import free_names, read_table, written
-
-#: The least weight of a document in the mix; its quality score weighs more, up to 1.
-LEAST_WEIGHT = 0.01
+from tessera.llm.common import read_table, written
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +28,9 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of sources takes it; where a source gives a part, likelier the better its quality score."""
-    weights = quality.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    (name,) = free_names(docs, 1)
-    scored = quality.with_score(docs, weights, name)
-    return mixing.repeat_by_mix(scored.withColumn(name, F.greatest(name, F.lit(LEAST_WEIGHT))), name)
+    """Each document as many times as the mix of sources takes it. Weights come from the text by DataFrame operations, as
+    this stage has no other: the classifier's score would need Python here."""
+    return mixing.repeat_by_mix(docs)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
