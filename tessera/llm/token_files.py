@@ -25,7 +25,7 @@ BLOCK = 1 << 16
 #: Bytes of chunks, with their ids, that a worker remembers; beyond, only those of its last texts stay.
 REMEMBERED = 48_000_000
 #: Bytes of text encoded at a time.
-TEXT = 16_000_000
+TEXT = 24_000_000
 #: What stands between words that the library gets as one text, and how many it gets so.
 BETWEEN, TOGETHER = "\n\n", 400
 #: How a text's first chunk is marked, and its end.
