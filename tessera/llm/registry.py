@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, mixing, pieces, quality, simhash, suffixes, token_counts, token_files, toxicity
+from . import ann, exact_dedup, mixing, pieces, quality, quality_rules, resampling, simhash, suffixes, token_counts, token_files, toxicity
 
 
 def queries():
@@ -17,6 +17,8 @@ def queries():
         "op8_simhash": simhash.op8_simhash,
         "op9_repeats": suffixes.op9_repeats,
         "op10_token_files": token_files.op10_token_files,
+        "op11_resample": resampling.op11_resample,
+        "op12_quality_rules": quality_rules.op12_quality_rules,
     }
 
 
@@ -24,4 +26,5 @@ def oracle_sql():
     return {
         "op1_exact_dedup": exact_dedup.ORACLE_SQL,
         "op2_mix_sources": mixing.ORACLE_SQL,
+        "op11_resample": resampling.ORACLE_SQL,
     }
