@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 #: What a service is called, and its one name. The order decides the order of found services.
 SERVICES = {
     "checkout-api": "checkout-api",
@@ -52,7 +54,7 @@ def _table(names: dict[str, str]) -> Column:
 
 
 def _key(name: Column) -> Column:
-    return F.regexp_replace(F.lower(name), r"(?U)^\s+|\s+$", "")
+    return strip(F.lower(name))
 
 
 def resolve_service(name: Column, names: dict[str, str] = SERVICES) -> Column:

@@ -14,8 +14,12 @@ def none(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+#: White space at either end. A run within the text is looked at once, from its start.
+ENDS = r"(?U)^\s++|(?<!\s)\s++$"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, ENDS, "")
 
 
 def tokens(text: Column) -> Column:
@@ -134,8 +138,8 @@ def is_simple(question: Column) -> Column:
 
 def parse_json(raw: Column, kind: str) -> Column:
     """A model's answer as a struct: without code fences; else what lies between the first { and the last }. Null if neither is JSON."""
-    bare = strip(F.regexp_replace(F.regexp_replace(strip(raw), r"(?m)^```(?:json)?\s*", ""), r"(?m)\s*```$", ""))
-    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    bare = strip(F.regexp_replace(F.regexp_replace(strip(raw), r"(?m)^```(?:json)?\s*", ""), r"(?m)(?<!\s)\s*+```$", ""))
+    inner = F.regexp_extract(bare, r"(?s)^[^{]*+(\{.*\})", 1)
 
     def parsed(text: Column) -> Column:
         return F.from_json(text, kind, {"mode": "PERMISSIVE"})

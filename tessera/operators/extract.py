@@ -33,15 +33,60 @@ RELATIONS = [
 PHRASE = r"(?U)\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"
 
 
+#: How a service's name ends.
+_ENDS = "(?:service|api|gateway|worker|cache|store|db)"
+_MAIL, _PATH = "a-zA-Z0-9._%+-", r"\w./"
+
+
+def _from_start(run: str, rest: str) -> str:
+    """`rest`, which begins with characters of a run, only where no other start in the run would do: at the run's first
+    boundary, or where the last match ended. If it fails there it fails at all later starts, so a run is looked at once."""
+    return rf"(?U)(?:(?<![{run}])|\G)(?:(?!\b)[{run}])*+\b{rest}"
+
+
+#: The same matches in time that is linear in the text, without recursion: loops give nothing back, and of a run of characters only the first start
+#: is tried. Where a pattern consumes what it doesn't want, the group is empty.
+LINEAR = {
+    "jira_ticket": r"(?U)\b([A-Z]{2,6}-\d++)\b",
+    "pr_number": r"(?U)\b(?:PR(?!-\d)|pr)[- #]*+(\d++)\b",
+    "email": _from_start(_MAIL, rf"([{_MAIL}]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}})\b"),
+    # A chain of parts between hyphens, whole; its name goes up to the last part that is an ending.
+    "service": rf"(?U)\b(?=[a-z0-9]++-)(?:[0-9][a-z0-9]*+-(?=[a-z0-9]))*+([a-z][a-z0-9]*+(?:(?:-(?!{_ENDS}(?!\w))[a-z0-9]++(?!\w))*+-{_ENDS}(?!\w))++)?+(?:-?[a-z0-9]++(?!\w))*+",
+    "file_path": _from_start(_PATH, rf"([{_PATH}]+\.(?:py|js|ts|go|java|yaml|yml|json|cfg))\b"),
+    "timeout_ms": r"(?U)(?<!\d)(\d++)\s*+ms\b",
+    "depends_on": r"(?iU)(?<![\w-])([\w-]++)\s++depends[_\s]on\s++([\w-]++)",
+    # A line on which nothing follows the first timeout has nothing for the others either.
+    "affects right": r"(?iUd)timeout(?:.*?(?:in|from|of)\s++([\w-]++)|.*+)",
+    "affects left": r"(?iU)(?:(?<![\w-])|\G)([\w-]++)\s++unresponsive",
+    "phrase": r"(?U)\b([A-Z][a-z]++\b(?:\s++[A-Z][a-z]++\b)++)",
+}
+#: What a text has to contain for a kind to be looked for at all.
+NEEDED = {
+    "jira_ticket": ("-",), "pr_number": ("PR", "pr"), "email": ("@",), "service": ("-service", "-api", "-gateway", "-worker", "-cache", "-store", "-db"),
+    "file_path": (".py", ".js", ".ts", ".go", ".java", ".yaml", ".yml", ".cfg"), "timeout_ms": ("ms",),
+}
+
+
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _matches(text: Column, kind: str, pattern: str) -> Column:
+    """All of a kind's matches; texts that lack what it needs aren't searched."""
+    found = F.filter(_all(text, LINEAR.get(kind, pattern)), lambda v: v != "")
+    if kind not in NEEDED:
+        return found
+    some = text.contains(NEEDED[kind][0])
+    for more in NEEDED[kind][1:]:
+        some = some | text.contains(more)
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
+
+
 def entities(text: Column) -> Column:
     """Every match, repeats too, in the order of kinds."""
 
     def of(kind: str, pattern: str) -> Column:
-        return F.transform(_all(text, pattern), lambda v: F.struct(snake(kind, v).alias("id"), F.lit(kind).alias("type"), v.alias("name"), F.lit(0.95).alias("confidence"), F.lit("rule").alias("source")))
+        return F.transform(_matches(text, kind, pattern), lambda v: F.struct(snake(kind, v).alias("id"), F.lit(kind).alias("type"), v.alias("name"), F.lit(0.95).alias("confidence"), F.lit("rule").alias("source")))
 
     return F.concat(*[of(k, p) for k, p in ENTITIES.items()])
 
@@ -53,9 +98,10 @@ def relations(record_id: Column, text: Column) -> Column:
         return F.struct(start.alias("from_id"), F.lit(relation).alias("relation"), end.alias("to_id"), F.lit(confidence).alias("confidence"), F.lit("rule").alias("source"))
 
     def of(pattern: str, relation: str, direction: str) -> Column:
-        found = _all(text, pattern)
+        own = LINEAR.get(relation, LINEAR.get(f"{relation} {direction}", pattern))
+        found = F.filter(_all(text, own), lambda v: v != "")
         if direction == "both":
-            return F.zip_with(found, _all(text, pattern, 2), lambda a, b: edge(snake("service", a), relation, snake("service", b), 0.80))
+            return F.zip_with(found, _all(text, own, 2), lambda a, b: edge(snake("service", a), relation, snake("service", b), 0.80))
         if direction == "right":
             return F.transform(found, lambda v: edge(record_id, relation, snake("unknown", v), 0.75))
         return F.transform(found, lambda v: edge(snake("service", v), relation, record_id, 0.75))
@@ -65,7 +111,7 @@ def relations(record_id: Column, text: Column) -> Column:
 
 def unresolved(text: Column) -> Column:
     """Distinct capitalised phrases in order, joined; null if there are none."""
-    found = F.array_sort(F.array_distinct(_all(text, PHRASE)))
+    found = F.array_sort(F.array_distinct(_all(text, LINEAR["phrase"])))
     return F.when(F.size(found) > 0, F.array_join(found, ", "))
 
 

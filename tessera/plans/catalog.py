@@ -17,21 +17,12 @@ from ..operators.normalize import normalize_all, normalize_logs
 from .. import schemas
 from ..sources import tables
 from ..sources.scratch import scratch
-from . import fixtures, retrieval
+from . import given, retrieval
+from .given import spread, table
 
 NOW, LATER = "2026-01-01 00:00:00", "2026-01-02 00:00:00"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A few files of one row group give a few tasks, however many splits they have; deal the rows of such out evenly."""
-    least = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 4 * least or len(df.inputFiles()) >= least else df.repartition(least)
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files named by their id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,8 +44,8 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.lit("doc").alias("type"), F.col("lang").alias("title"), F.col("text").alias("body"), null.alias("owner"), F.array().cast("array<string>").alias("services_mentioned"), null.alias("timestamp"), "source", null.alias("priority"), null.alias("status"))
 
 
-def corpus(spark: SparkSession) -> DataFrame:
-    return normalize_all(fixtures.sources(spark))
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize_all(given.exports(spark, sf_dir))
 
 
 def persisted(graph: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -62,8 +53,8 @@ def persisted(graph: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]
     return graph[0].persist(), graph[1].persist()
 
 
-def corpus_graph(spark: SparkSession, resolved: bool = False) -> tuple[DataFrame, DataFrame]:
-    found = extract.extract_with_rules(corpus(spark))
+def corpus_graph(spark: SparkSession, sf_dir: str, resolved: bool = False) -> tuple[DataFrame, DataFrame]:
+    found = extract.extract_with_rules(corpus(spark, sf_dir))
     return persisted(build_graph(resolve_unknown(found) if resolved else found))
 
 
@@ -181,7 +172,7 @@ def normalize_events(spark, sf_dir):
 
 
 def normalize_union(spark, sf_dir):
-    return corpus(spark).select("id", "type", "title", "body", "owner", F.array_join("services_mentioned", ",").alias("services"), "timestamp", "source", "priority", "status")
+    return corpus(spark, sf_dir).select("id", "type", "title", "body", "owner", F.array_join("services_mentioned", ",").alias("services"), "timestamp", "source", "priority", "status")
 
 
 def _entities(df: DataFrame) -> DataFrame:
@@ -194,11 +185,11 @@ def entities_documents(spark, sf_dir):
 
 
 def entities_fixture(spark, sf_dir):
-    return _entities(extract.extract_with_rules(corpus(spark)))
+    return _entities(extract.extract_with_rules(corpus(spark, sf_dir)))
 
 
 def relations_fixture(spark, sf_dir):
-    r = extract.extract_with_rules(corpus(spark)).select("id", F.posexplode("relationships").alias("n", "r"))
+    r = extract.extract_with_rules(corpus(spark, sf_dir)).select("id", F.posexplode("relationships").alias("n", "r"))
     return r.select("id", "n", "r.from_id", "r.relation", "r.to_id", "r.confidence")
 
 
@@ -241,8 +232,8 @@ def _answer(prompt: str, model: str) -> str:
 
 
 def cascade_tiers(spark, sf_dir):
-    """The batch driver over the small corpus: logs are in the cache, commits are unchanged, a model answers for the rest."""
-    records = corpus(spark)
+    """The batch driver over the exports: logs are in the cache, commits are unchanged, a model answers for the rest."""
+    records = corpus(spark, sf_dir)
     logs, commits = (records.where(F.col("type") == kind) for kind in ("log", "commit"))
     cache = logs.select(text_hash(F.col("title"), F.col("body")).alias("text_hash"), F.lit('{"entities": [], "relationships": []}').alias("result_json"))
     out = cascade.extract_all(records, cache, incremental.manifest_rows(commits.withColumn("tier", F.lit("rule")), NOW), _answer)
@@ -267,8 +258,8 @@ def upserted_manifest(spark, sf_dir):
 
 
 def source_blocks(spark, sf_dir):
-    """What a model is shown of the sources of each sample answer."""
-    return fixtures.answers(spark).select("id", citations.source_block(F.col("sources")).alias("block"))
+    """What a model is shown of the sources of each answer."""
+    return given.answers(spark, sf_dir).select("id", citations.source_block(F.col("sources")).alias("block"))
 
 
 def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -334,15 +325,15 @@ def ego_2hop(spark, sf_dir):
 
 
 def corpus_nodes(spark, sf_dir):
-    return corpus_graph(spark)[0].select("id", "type", "title", "name", "owner", "extraction_source")
+    return corpus_graph(spark, sf_dir)[0].select("id", "type", "title", "name", "owner", "extraction_source")
 
 
 def corpus_edges(spark, sf_dir):
-    return corpus_graph(spark)[1]
+    return corpus_graph(spark, sf_dir)[1]
 
 
 def corpus_edges_resolved(spark, sf_dir):
-    return corpus_graph(spark, True)[1].where("relation NOT IN ('mentions', 'owned_by')").select("from_id", "to_id", "relation")
+    return corpus_graph(spark, sf_dir, True)[1].where("relation NOT IN ('mentions', 'owned_by')").select("from_id", "to_id", "relation")
 
 
 def _each(make: Callable, names: tuple[str, ...]):
@@ -354,37 +345,37 @@ def _each(make: Callable, names: tuple[str, ...]):
 
 
 def find_owner(spark, sf_dir):
-    nodes, edges = corpus_graph(spark)
+    nodes, edges = corpus_graph(spark, sf_dir)
     return _each(lambda s: graph_query.find_owner(nodes, edges, s), ("fraud-detection", "inventory-service", "nowhere"))
 
 
 def find_owner_resolved(spark, sf_dir):
-    nodes, edges = corpus_graph(spark)
+    nodes, edges = corpus_graph(spark, sf_dir)
     return _each(lambda s: graph_query.find_owner(nodes, edges, s, True), ("fraud-detection", "inventory-service"))
 
 
 def recent_changes(spark, sf_dir):
-    nodes, edges = corpus_graph(spark)
+    nodes, edges = corpus_graph(spark, sf_dir)
     return _each(lambda s: graph_query.recent_changes(nodes, edges, s).select("id", "timestamp", "owner"), ("inventory-service", "redis-cache"))
 
 
 def active_incidents(spark, sf_dir):
-    nodes, edges = corpus_graph(spark)
+    nodes, edges = corpus_graph(spark, sf_dir)
     return _each(lambda s: graph_query.active_incidents(nodes, edges, s).select("id", "priority", "status"), ("fraud-detection", "inventory"))
 
 
 def active_incidents_resolved(spark, sf_dir):
-    nodes, edges = corpus_graph(spark)
+    nodes, edges = corpus_graph(spark, sf_dir)
     return _each(lambda s: graph_query.active_incidents(nodes, edges, s, True).select("id", "priority", "status"), ("fraud-detection", "inventory-service"))
 
 
 def dependencies(spark, sf_dir):
-    nodes, _ = corpus_graph(spark)
+    nodes, _ = corpus_graph(spark, sf_dir)
     return _each(lambda s: graph_query.dependencies(nodes, s), ("inventory-service", "redis-cache"))
 
 
 def dependencies_resolved(spark, sf_dir):
-    nodes, _ = corpus_graph(spark)
+    nodes, _ = corpus_graph(spark, sf_dir)
     return _each(lambda s: graph_query.dependencies(nodes, s, True), ("inventory-service", "fraud-detection"))
 
 
@@ -398,7 +389,7 @@ def recent_orders(spark, sf_dir):
 
 
 def citation_check(spark, sf_dir):
-    out = citations.checked(fixtures.answers(spark))
+    out = citations.checked(given.answers(spark, sf_dir))
     return out.select("id", "answer", F.array_join(F.transform("citations", lambda c: c["ref"].cast("string")), ",").alias("refs"))
 
 
@@ -408,7 +399,7 @@ def simple_questions(spark, sf_dir):
 
 
 def json_repair(spark, sf_dir):
-    own = spark.createDataFrame(fixtures.JSON_ANSWERS, "id string, raw string").withColumn("a", parse_json(F.col("raw"), schemas.ANSWER))
+    own = given.model_answers(spark, sf_dir).withColumn("a", parse_json(F.col("raw"), schemas.ANSWER))
     return own.select("id", F.coalesce(F.size("a.entities"), F.lit(0)).alias("entities"), F.coalesce(F.size("a.relationships"), F.lit(0)).alias("relationships"))
 
 

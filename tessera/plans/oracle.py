@@ -8,7 +8,8 @@ from ..functions.aliases import OWNERS, SERVICES
 from ..functions.text import SIMPLE
 from ..operators.extract import ENTITIES, PHRASE, RELATIONS
 from ..operators.graph_query import CLOSED
-from .fixtures import ANSWERS, COMMITS, DOCS, JSON_ANSWERS, LOGS, TICKETS, sql_values
+from .fixtures import sql_values
+from .given import ASSIGNEES, MAILS, NAMES, WRITERS
 
 FILES = r"""
 files AS (SELECT doc_id || '.txt' AS filename, coalesce(text, '') AS text FROM documents),
@@ -63,11 +64,10 @@ COSINE = """
 q AS (SELECT embedding AS qe FROM embeddings ORDER BY vec_id LIMIT 1),
 scored AS (SELECT vec_id, label, list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]) AS score FROM embeddings, q)
 """
-PAIRS = """
-pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[])
-            / (sqrt(list_inner_product(x.embedding::DOUBLE[], x.embedding::DOUBLE[])) * sqrt(list_inner_product(y.embedding::DOUBLE[], y.embedding::DOUBLE[])) + 1e-9) AS similarity
-          FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)
-"""
+_COSINE = "list_inner_product({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[]) / (sqrt(list_inner_product({0}.embedding::DOUBLE[], {0}.embedding::DOUBLE[])) * sqrt(list_inner_product({1}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])) + 1e-9)"
+PAIRS = f"pairs AS (SELECT x.vec_id AS a, y.vec_id AS b, {_COSINE.format('x', 'y')} AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id)"
+#: Of equal vectors the first stands for all; the others are paired with it alone.
+FIRST_PAIRS = f"{PAIRS}, firsts AS (SELECT embedding, min(vec_id) AS first FROM embeddings GROUP BY embedding), named AS (SELECT vec_id, first FROM embeddings JOIN firsts USING (embedding)), kept AS (SELECT p.* FROM pairs p JOIN named x ON x.vec_id = a JOIN named y ON y.vec_id = b WHERE a = x.first AND (b = y.first OR y.first = a))"
 
 
 def _re2(pattern: str) -> str:
@@ -149,26 +149,61 @@ def _mentions(x: str) -> str:
 
 
 ALIASES = f"services AS (SELECT * FROM {_alias(SERVICES)}), owners AS (SELECT * FROM {_alias(OWNERS)})"
+
+
+def _pick(values: list, n: str) -> str:
+    listed = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"([{listed}]::VARCHAR[])[(({n}) % {len(values)}) + 1]"
+
+
+def _name(n: str) -> str:
+    return _pick(NAMES, n)
+
+
+KNOWN = "MAP {{{}}}".format(", ".join(f"'{k}': '{v}'" for k, v in SERVICES.items()))
+#: The given tables as the four exports: each row's services, owners and words follow from its key.
+EXPORTS = rf"""
+d AS (SELECT CASE WHEN doc_id % 5 = 0 THEN replace({_pick([SERVICES[x] for x in NAMES], "doc_id")}, '-', '_') || '_guide_' || doc_id ELSE 'WIKI-' || doc_id END AS id,
+      CASE WHEN doc_id % 2 = 0 THEN {_name("doc_id")} || ' handbook' ELSE 'Notes of ' || coalesce(source, '') END AS title,
+      'Owner: ' || {_pick(WRITERS, "doc_id")} || CASE WHEN doc_id % 2 = 0 THEN ' (' || {_pick(MAILS, "doc_id")} || ')' ELSE '' END || E'\nOn-call: ' || {_pick(WRITERS, "doc_id + 3")}
+        || E'\n## Dependencies\n- ' || {_name("doc_id + 1")} || ' (' || coalesce(lang, '') || E')\n- ' || {_name("doc_id + 7")} || E'\n# Text\n' || coalesce(text, '') AS body,
+      '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS last_updated, doc_id AS n FROM documents),
+t AS (SELECT 'OPS-' || o_orderkey AS id, {_name("o_orderkey")} || ' ' || lower(coalesce(substr(o_orderpriority, 3), '')) AS summary,
+      CASE o_orderkey % 6 WHEN 0 THEN ' ' || {_name("o_orderkey")} || ' stands still, caused by ' || {_name("o_orderkey + 5")} || '. Fixes OPS-' || (o_orderkey - 1) || ' ' WHEN 1 THEN {_name("o_orderkey")} || ' depends on ' || {_name("o_orderkey + 5")} || ' and lags'
+        WHEN 2 THEN 'Wording of ' || {_name("o_orderkey")} || ', see PR-' || o_orderkey % 1000 WHEN 3 THEN {_name("o_orderkey")} || ' unresponsive: timeout in ' || {_name("o_orderkey + 5")} || ' after ' || o_orderkey % 900 || ' ms'
+        WHEN 4 THEN 'returned ' || (o_orderkey % 150 + 400) || ' to ' || {_pick(MAILS, "o_orderkey")} ELSE 'modified lib/x' || o_orderkey || '.go by the Shop Floor Manual' END AS description,
+      {_pick(ASSIGNEES, "o_orderkey")} AS assignee, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' ELSE 'in progress' END AS status,
+      CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'P' || coalesce(substr(o_orderpriority, 1, 1), '') END AS priority,
+      CASE o_orderkey % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN [{_name("o_orderkey")}] WHEN 2 THEN [{_name("o_orderkey")}, 'unheard-of'] ELSE [{_name("o_orderkey")}, {_name("o_orderkey + 9")}] END AS services_affected,
+      strftime(o_orderdate, '%Y-%m-%d') AS created, o_orderkey AS n FROM orders),
+c AS (SELECT substr(md5(p_partkey::VARCHAR), 1, 12) AS sha,
+      CASE p_partkey % 3 WHEN 0 THEN 'PR-' || p_partkey || ' lower ' || {_name("p_partkey")} || ' window to ' || coalesce(p_size::VARCHAR, '') || 'ms' WHEN 1 THEN 'Fixed OPS-' || p_partkey || ' in ' || {_name("p_partkey")} ELSE p_name END AS message,
+      {_pick(WRITERS, "p_partkey")} AS author, {_name("p_partkey")} AS repo, CASE WHEN p_partkey % 4 = 0 THEN []::VARCHAR[] ELSE ['lib/' || lower(coalesce(p_type, '')) || '.go', 'ops/' || p_partkey || '.yml'] END AS files_changed,
+      '2025-02-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS timestamp, CASE WHEN p_partkey % 3 = 0 THEN 'PR-' || p_partkey END AS pr, p_partkey AS n FROM part),
+l AS (SELECT 'EV-' || event_id AS id, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' ELSE 'INFO' END AS level, CASE WHEN event_id % 5 < 4 THEN {_name("event_id")} ELSE event_type END AS service,
+      CASE event_id % 4 WHEN 0 THEN {_name("event_id")} || ' unresponsive: timeout on shelf ' || event_id % 100 || ' of ' || {_name("event_id + 5")} || ' after ' || event_id % 200 || 'ms, kept the old count and put the scan in a queue'
+        WHEN 1 THEN (event_id % 150 + 400) || ' Too Many Requests from ' || {_name("event_id")} WHEN 2 THEN 'Vacuum Running since ' || coalesce(event_type, '') ELSE 'modified ' || coalesce(event_type, '') || '/weekly.json ' || coalesce(props, '') END AS message,
+      strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, event_id AS n FROM events)
+"""
+#: Where each export's records begin in the order of ingestion.
+STRIDE = 1_000_000_000_000
 RECORDS = rf"""
-{ALIASES},
-d AS (SELECT *, list_filter(string_split(body, E'\n'), lambda x: contains(lower(x), 'owner:'))[1] AS line FROM {sql_values([(*r, i) for i, r in enumerate(DOCS)], "id, title, body, source, last_updated, n")}),
-d2 AS (SELECT *, trim(regexp_replace(line, '^[^:]*:', '')) AS said FROM d),
+{ALIASES}, {EXPORTS},
+d1 AS (SELECT *, list_filter(string_split(body, E'\n'), lambda x: contains(lower(x), 'owner:'))[1] AS line FROM d),
+d2 AS (SELECT *, trim(regexp_replace(line, '^[^:]*:', '')) AS said FROM d1),
 d3 AS (SELECT *, CASE WHEN contains(said, '(') AND contains(said, ')') THEN regexp_extract(said, '\(([^)]*)\)', 1) ELSE said END AS who FROM d2),
-t AS (SELECT * FROM {sql_values([(*r, i) for i, r in enumerate(TICKETS)], "id, summary, description, assignee, reporter, status, priority, services_affected, created, source, n")}),
-c AS (SELECT * FROM {sql_values([(*r, i) for i, r in enumerate(COMMITS)], "sha, message, author, repo, files_changed, timestamp, pr, source, n")}),
-l AS (SELECT * FROM {sql_values([(*r, i) for i, r in enumerate(LOGS)], "id, level, service, message, timestamp, source, n")}),
 records AS (
   SELECT n AS ord, id, 'doc' AS type, title, trim(body, E' \t\n') AS body, {_owner("who")} AS owner, {_mentions("body")} AS services, last_updated AS timestamp, 'confluence' AS source, NULL AS priority, NULL AS status FROM d3
-  UNION ALL SELECT 100 + n, id, 'ticket', summary, trim(description, E' \t\n'), {_owner("assignee")},
-    (SELECT coalesce(string_agg({_service("s")}, ',' ORDER BY i), '') FROM (SELECT unnest(t.services_affected) AS s, unnest(range(len(t.services_affected))) AS i)), created, 'jira', priority, status FROM t
-  UNION ALL SELECT 200 + n, sha, 'commit', message, 'Author: ' || author || E'\nRepo: ' || repo || E'\nFiles changed: ' || array_to_string(files_changed, ', ') || E'\nPR: ' || coalesce(pr, 'N/A'), {_owner("author")}, {_service("repo")}, timestamp, 'github', NULL, NULL FROM c
-  UNION ALL SELECT 300 + n, id, 'log', '[' || level || '] ' || service || ': ' || substr(message, 1, 80), message, NULL, {_service("service")}, timestamp, 'logs', CASE WHEN level = 'ERROR' THEN 'P1' ELSE 'P2' END, 'active' FROM l)
+  UNION ALL SELECT {STRIDE} + n, id, 'ticket', summary, trim(description, E' \t\n'), {_owner("assignee")},
+    array_to_string(list_transform(services_affected, lambda s: coalesce(map_extract_value({KNOWN}, lower(trim(s))), s)), ','), created, 'jira', priority, status FROM t
+  UNION ALL SELECT {2 * STRIDE} + n, sha, 'commit', message, 'Author: ' || author || E'\nRepo: ' || repo || E'\nFiles changed: ' || array_to_string(files_changed, ', ') || E'\nPR: ' || coalesce(pr, 'N/A'), {_owner("author")}, {_service("repo")}, timestamp, 'github', NULL, NULL FROM c
+  UNION ALL SELECT {3 * STRIDE} + n, id, 'log', '[' || level || '] ' || service || ': ' || substr(message, 1, 80), message, NULL, {_service("service")}, timestamp, 'logs', CASE WHEN level = 'ERROR' THEN 'P1' ELSE 'P2' END, 'active' FROM l)
 """
 
 
 CORPUS = f"""
 {RECORDS},
-texts AS (SELECT *, title || ' ' || body AS t FROM records),
+texts AS (SELECT *, regexp_replace(coalesce(title, '') || ' ' || coalesce(body, ''), '[À-ɏ]', '_', 'g') AS t FROM records),
 lists AS (SELECT *, list_concat({KINDS}) AS es, list_concat({RELATED}) AS rs FROM texts),
 entities AS (SELECT ord, id, n::INTEGER AS n, {_snake("e.type", "e.name")} AS entity_id, e.type AS type, e.name AS name FROM (SELECT ord, id, unnest(es) AS e, unnest(range(len(es))) AS n FROM lists)),
 relations AS (SELECT ord, id, n::INTEGER AS n, r.from_id AS from_id, r.relation AS relation, r.to_id AS to_id, r.confidence AS confidence FROM (SELECT ord, id, unnest(rs) AS r, unnest(range(len(rs))) AS n FROM lists)),
@@ -249,16 +284,25 @@ def _dependencies_of(resolved: bool):
     return one
 
 
+#: What assistants say in conversations, with citations put in.
+ANSWERS = r"""
+answers AS (SELECT conv_id || '-' || turn AS id, (conv_id % 6)::INTEGER AS n, substr(coalesce(text, ''), 1, 60) AS quoted,
+            regexp_replace(regexp_replace(text, '\.\n', ' [' || turn % 7 || E'].\n', 'g'), '\. ', ' [' || conv_id % 4 || ']. ', 'g') AS answer FROM conversations WHERE role = 'assistant')
+"""
 #: An answer's citations: numbers beyond the sources are stripped with their sentences, one after the other.
 CITED = rf"""
-said AS (SELECT id, n, coalesce(answer, '') AS answer, list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\[(\d+)\]', 1), lambda r: regexp_replace(r, '^0+(\d)', '\1'))) AS refs FROM {sql_values(ANSWERS, "id, n, answer")}),
+{ANSWERS},
+said AS (SELECT id, n, coalesce(answer, '') AS answer, list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\[(\d+)\]', 1), lambda r: regexp_replace(r, '^0+(\d)', '\1'))) AS refs FROM answers),
 judged AS (SELECT *, list_sort(list_filter(refs, lambda r: TRY_CAST(r AS BIGINT) IS NULL OR TRY_CAST(r AS BIGINT) NOT BETWEEN 1 AND n)) AS bad FROM said)
 SELECT id, trim(list_reduce(list_prepend(answer, bad), lambda text, r: regexp_replace(text, '[^.!?\n]*\[' || r || '\][^.!?\n]*[.!?\n]?', '', 'g')), E' \t\n') AS answer,
        array_to_string(list_filter(list_transform(range(1, n + 1), lambda i: i::VARCHAR), lambda i: list_contains(refs, i)), ',') AS refs FROM judged
 """
 #: A model's answer: without fences, else what lies between the first and the last brace.
 REPAIRED = rf"""
-bare AS (SELECT id, trim(regexp_replace(regexp_replace(raw, '(?m)^```(?:json)?\s*', '', 'g'), '(?m)\s*```$', '', 'g'), E' \t\n') AS text FROM {sql_values(JSON_ANSWERS, "id, raw")}),
+said AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN '{{"entities": [{{"id": "' || coalesce(event_type, '') || '", "type": "service", "name": "A"}}], "relationships": []}}'
+         WHEN 1 THEN E'```json\n{{"entities": [{{"id": "' || coalesce(event_type, '') || '"}}], "relationships": [{{"from_id": "' || coalesce(event_type, '') || E'", "relation": "owns", "to_id": "c"}}]}}\n```'
+         WHEN 2 THEN 'Here it is: {{"entities": [], "relationships": [{{"from": "' || coalesce(event_type, '') || '", "relation": "affects", "to": "y"}}]}} as asked.' WHEN 3 THEN '{{"entities": [{{"id": "' || coalesce(event_type, '') || '"' ELSE 'I found nothing of ' || coalesce(event_type, '') END AS raw FROM events),
+bare AS (SELECT id, trim(regexp_replace(regexp_replace(raw, '(?m)^```(?:json)?\s*', '', 'g'), '(?m)\s*```$', '', 'g'), E' \t\n') AS text FROM said),
 best AS (SELECT id, CASE WHEN starts_with(text, '{{') AND json_valid(text) THEN text WHEN json_valid(regexp_extract(text, '(?s)\{{.*\}}')) THEN regexp_extract(text, '(?s)\{{.*\}}') END AS j FROM bare)
 SELECT id, coalesce(json_array_length(j, '$.entities'), 0)::INTEGER AS entities, coalesce(json_array_length(j, '$.relationships'), 0)::INTEGER AS relationships FROM best
 """
@@ -268,7 +312,9 @@ ORACLES: dict[str, str] = {
     "chunk_documents": f"WITH {FILES} SELECT * FROM chunks",
     "store_stats": f"WITH {FILES} SELECT count(*) AS chunk_count, count(DISTINCT doc_id) AS doc_count, list_sort(list(DISTINCT filename)) AS filenames FROM chunks",
     "doc_identity_collisions": "SELECT substr(sha256(source || substr(coalesce(text, ''), 1, 200)), 1, 12) AS doc_id, count(*) AS documents, min(documents.doc_id) AS first_document FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "bm25_term_stats": f"WITH {FILES}, {BM25} SELECT term, df, round(idf, 6) AS idf FROM stats",
+    "bm25_term_stats": rf"""WITH {FILES}, terms AS (SELECT list_distinct(regexp_extract_all(lower(text), '\S+')) AS t FROM chunks), dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM terms) GROUP BY term),
+        raws AS (SELECT term, df, ln((SELECT count(*) FROM terms) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs)
+        SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 6) AS idf FROM raws""",
     "bm25_topk": f"WITH {FILES}, {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lexical",
     "vector_search_docs": f"WITH {FILES}, {VECTOR} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near",
     "hybrid_search": f"WITH {FILES}, {BM25}, {VECTOR}, {FUSED} SELECT query_id, chunk_id, rank::INTEGER AS rank, round(rrf, 6) AS rrf, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, round(coalesce(bm25_score, vector_score), 6) AS score FROM fused",
@@ -278,10 +324,10 @@ ORACLES: dict[str, str] = {
     "cited_answers": f"WITH {FILES}, {BM25}, {VECTOR}, {FUSED}, {RERANKED} SELECT query_id, string_agg(rank || ':' || chunk_id, ' ' ORDER BY rank) AS cited FROM reranked WHERE rank <= 2 GROUP BY query_id",
     "vector_topk": f"WITH {COSINE} SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM scored QUALIFY rank <= 50",
     "vector_topk_filtered": f"WITH {COSINE} SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM scored WHERE label = 3 QUALIFY rank <= 5",
-    "near_dup_pairs": f"WITH {PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs WHERE similarity >= 0.3",
+    "near_dup_pairs": f"WITH {FIRST_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM kept WHERE similarity >= 0.3",
     "dedup_greedy": f"""WITH RECURSIVE {PAIRS}, links AS MATERIALIZED (SELECT a, b FROM pairs WHERE similarity >= 0.3),
         ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
-        before AS MATERIALIZED (SELECT i.n, i.vec_id, coalesce(list(l.a) FILTER (l.a IS NOT NULL), []) AS near FROM ids i LEFT JOIN links l ON l.b = i.vec_id GROUP BY ALL),
+        before AS (SELECT i.n, i.vec_id, coalesce(list(l.a) FILTER (l.a IS NOT NULL), []) AS near FROM ids i LEFT JOIN links l ON l.b = i.vec_id GROUP BY ALL),
         walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL
                  SELECT b.n, CASE WHEN len(list_intersect(w.kept, b.near)) = 0 THEN list_append(w.kept, b.vec_id) ELSE w.kept END FROM walk w JOIN before b ON b.n = w.n + 1)
         SELECT unnest(kept) AS vec_id FROM walk WHERE n = (SELECT count(*) FROM ids)""",
@@ -304,10 +350,7 @@ ORACLES: dict[str, str] = {
     "stored_chunks": f"WITH {FILES} SELECT chunk_id, filename, chunk_index FROM chunks",
     "upserted_manifest": """SELECT doc_id::VARCHAR AS record_id, md5(coalesce(lang, '') || coalesce(text, '')) AS content_hash, source, CASE WHEN doc_id % 3 = 0 THEN 'rule' ELSE 'llm_cheap' END AS tier_used,
         CASE WHEN doc_id % 3 = 0 THEN '2026-01-01 00:00:00' ELSE '2026-01-02 00:00:00' END AS indexed_at FROM documents""",
-    "source_blocks": rf"""SELECT id, array_to_string(list_transform(range(1, n + 1), lambda i: '[' || i || '] f.md, part ' || i || '/' || n || E':
-t'), E'
-
-') AS block FROM {sql_values(ANSWERS, "id, n, answer")}""",
+    "source_blocks": rf"""WITH {ANSWERS} SELECT id, array_to_string(list_transform(range(1, n + 1), lambda i: '[' || i || '] ' || id || '.md, part ' || i || '/' || n || E':\n' || quoted), E'\n\n') AS block FROM answers""",
     "change_detection": f"WITH {MANIFEST}, {CHANGES} SELECT id, change, content_hash FROM changes",
     "change_stats": f"WITH {MANIFEST}, {CHANGES} SELECT count(*) AS total, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'unchanged') AS unchanged FROM changes",
     "manifest_rows": f"WITH {MANIFEST} SELECT record_id, content_hash, source, 'rule' AS tier_used, '2026-01-01 00:00:00' AS indexed_at FROM manifest",
@@ -319,7 +362,12 @@ t'), E'
     "relation_counts": f"WITH {GRAPH} SELECT relation, count(*) AS edges FROM edges GROUP BY relation",
     "graph_size": f"WITH {GRAPH} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges",
     "node_degree": f"WITH {GRAPH} SELECT id, degree FROM degrees",
-    "node_labels": f"WITH {GRAPH} SELECT id, type, CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '…' ELSE t END AS label, degree FROM (SELECT *, coalesce(nullif(title, ''), nullif(name, ''), id) AS t FROM nodes) JOIN degrees USING (id)",
+    "node_labels": """WITH held AS (SELECT 'ORD-' || o_orderkey AS id, o_orderkey, o_orderpriority AS title, 'engineer__' || replace(lower(c_name), ' ', '_') AS who, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+        brands AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_brand <> ''),
+        ends AS (SELECT id, 'ticket' AS type, title AS t, (c_name <> '')::INTEGER AS n FROM held UNION ALL SELECT who, 'engineer', c_name, 1 FROM held WHERE c_name <> ''
+                 UNION ALL SELECT 'ORD-' || l_orderkey, 'ticket', NULL, 1 FROM brands UNION ALL SELECT 'service__' || replace(p_brand, '-', '_'), 'service', p_brand, 1 FROM brands),
+        summed AS (SELECT id, type, coalesce(nullif(min(t), ''), id) AS t, coalesce(sum(n), 0)::BIGINT AS degree FROM ends GROUP BY id, type)
+        SELECT id, type, CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '…' ELSE t END AS label, degree FROM summed""",
     "ego_2hop": f"""WITH {GRAPH}, h1 AS (SELECT DISTINCT b AS id FROM ends WHERE a = 'ORD-1'), h2 AS (SELECT DISTINCT b AS id FROM ends WHERE a IN (SELECT id FROM h1)),
         near AS (SELECT id, min(hop) AS hop FROM (SELECT 'ORD-1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id)
         SELECT n.id, hop, coalesce(nullif(title, ''), nullif(name, ''), n.id) AS title, (SELECT count(*) FROM edges WHERE from_id = n.id)::INTEGER AS outgoing, (SELECT count(*) FROM edges WHERE to_id = n.id)::INTEGER AS incoming FROM nodes n JOIN near USING (id)""",

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from tessera import schemas
 from tessera.operators import extract, graph_query
 from tessera.operators.dedup import drop_near_duplicates, near_pairs
@@ -90,16 +92,43 @@ def test_greedy_dedup_is_the_sequential_one(spark):
     assert sorted(r.ord for r in drop_near_duplicates(rows, 0.8).collect()) == kept
 
 
-def test_near_pairs_by_buckets(spark):
-    """Beyond the size that is compared wholly, pairs come from buckets: none is wrong and hardly any is missing."""
+def pairs_by_hand(vectors, threshold):
+    """Pairs of all rows, of equal vectors only those with the first of them."""
+    import numpy as np
+
+    first = {}
+    first = [first.setdefault((*v, i if v[0] == 1e-6 else 0), i) for i, v in enumerate(vectors)]
+    x = np.array(vectors)
+    size = np.sqrt((x * x).sum(axis=1))
+    cosine = x @ x.T / (size[:, None] * size[None] + 1e-9)
+    a, b = np.nonzero(np.triu(cosine >= threshold, 1))
+    return {(int(i), int(j)) for i, j in zip(a, b) if first[i] == i and first[j] in (j, i)}
+
+
+@pytest.mark.parametrize("threshold", [-0.2, 0.3, 0.8, 0.95])
+def test_near_pairs_are_all_pairs(spark, threshold):
+    """Whatever the threshold and the number of cells; clusters, unrelated rows, copies, and rows that are near none."""
     rng = random.Random(9)
-    centres = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(150)]
-    vectors = [[x + rng.gauss(0, 0.12) for x in c] for c in centres for _ in range(4)]
-    rows = spark.createDataFrame(list(enumerate(vectors)), "ord long, embedding array<double>")
-    want = {(r.a, r.b) for r in near_pairs(rows, 0.95).collect()}
-    for block in (4096, 100):
-        got = {(r.a, r.b) for r in near_pairs(rows, 0.95, block=block, exact=10).collect()}
-        assert len(want) > 500 and got <= want and len(got) >= 0.98 * len(want)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(60)]
+    vectors = [[x + rng.gauss(0, 0.15) for x in c] for c in centres for _ in range(6)] + [[rng.gauss(0, 1) for _ in range(8)] for _ in range(150)]
+    vectors += [vectors[3]] * 40 + [vectors[100]] * 3 + [[1e-6] * 8] * 3
+    want = pairs_by_hand(vectors, threshold)
+    if threshold < 0:  # too short to be near themselves, but near others below 0
+        vectors, want = vectors[:-3], pairs_by_hand(vectors[:-3], threshold)
+    odd = [(10_000, None), (10_001, [0.0] * 8), (10_002, [float("nan")] * 8), (10_003, [None] + [1.0] * 7)]
+    rows = spark.createDataFrame([*enumerate(vectors), *odd], "ord long, embedding array<double>")
+    for block, cell in ((4096, 2048), (60, 16), (1000, 100)):
+        got = [(r.a, r.b) for r in near_pairs(rows, threshold, block, cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_copies_make_a_star(spark):
+    """Equal vectors are paired with the first of them only, and all but that one go."""
+    rows = spark.range(3000).selectExpr("id AS ord", "array(1.0D, IF(id < 2900, 0.5D, id * 1.0D)) AS embedding")
+    pairs = near_pairs(rows, 0.99999)
+    assert pairs.where("b < 2900").count() == 2899 and pairs.where("b < 2900 AND a > 0").count() == 0
+    left = [r.ord for r in drop_near_duplicates(rows, 0.99999).collect()]
+    assert 0 in left and not any(0 < x < 2900 for x in left)
 
 
 def test_edges_of_a_relation(spark):
