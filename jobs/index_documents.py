@@ -43,6 +43,12 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def arrivals(path: str) -> str:
+    """The path as a pattern that matches it alone: a stream takes such for a folder of files and for a single file alike."""
+    path = path.rstrip("/")
+    return path if set(path) & set("*?[{") else f"{path[:-1]}[{path[-1]}]"
+
+
 def passages(documents: DataFrame, settings: dict) -> DataFrame:
     """The documents' passages, each id once: what repeats a file's name and beginning is one document, of which the least text counts."""
     files = documents.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), "text", F.coalesce("lang", F.lit("unknown")).alias("lang"), "source")
@@ -76,7 +82,7 @@ def run(spark: SparkSession, documents: str, output: str, checkpoint: str, setti
         for what, n in wrote.items():
             done[what] += n
 
-    arriving = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", settings["files_per_batch"]).parquet(documents)
+    arriving = spark.readStream.schema(DOCUMENTS).option("maxFilesPerTrigger", settings["files_per_batch"]).parquet(arrivals(documents))
     query = arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     LOG.info("took in %d documents in %d batches", done["documents"], done["batches"])
