@@ -22,9 +22,15 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, ENDS, "")
 
 
+#: White space but for the plain space.
+ODD_WHITE = WHITE.replace(r"[\s", r"[\t-\r", 1).removesuffix("+")
+
+
 def tokens(text: Column) -> Column:
-    """What lies between white space."""
-    return F.filter(F.split(none(text), WHITE), lambda w: w != "")
+    """What lies between white space. Texts whose tokens single spaces part, as those of chunks, are cut without a pattern."""
+    text = none(text)
+    plain = ~(text.contains("  ") | text.startswith(" ") | text.endswith(" ") | (text == "") | text.rlike(ODD_WHITE))
+    return F.when(plain, F.split(text, " ")).otherwise(F.filter(F.split(text, WHITE), lambda w: w != ""))
 
 
 def terms(text: Column) -> Column:

@@ -26,7 +26,7 @@ class Index:
     postings: DataFrame
     counts: DataFrame
     chunks: DataFrame
-    #: What the others are made of, where they aren't read from files.
+    #: What postings and counts may both be made of, where they aren't read from files.
     counted: DataFrame | None = None
 
     def __post_init__(self) -> None:
@@ -47,6 +47,10 @@ class Index:
         self.term_stats, self.corpus = stats.select("term", "df", idf.alias("idf")), corpus.crossJoin(mean)
 
     def persist(self) -> Index:
+        if self.counted is not None:
+            # Postings are made in any case; what is kept of them gives the counts too.
+            self.counts = self.counted.select("term", F.when(_is_term(), F.lit(1)).otherwise(F.col("tf")).cast("long").alias("df"))
+            self.__post_init__()
         for df in (self.counted if self.counted is not None else self.postings, self.term_stats):
             df.persist()
         return self
@@ -70,11 +74,17 @@ def _is_term() -> Column:
 def fit(chunks: DataFrame) -> Index:
     """The index of chunks (chunk_id, text). A chunk's terms are counted in its row; all that is shuffled are
     partial counts of chunks by term."""
-    split = chunks.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", F.size("t").alias("dl"), counted(F.col("t")).alias("counts"))
-    # Two more entries a chunk, that no term can be, so that one pass counts chunks and tokens as well.
-    own = F.array(*[F.struct(F.lit(name).alias("value"), n.cast("int").alias("n")) for name, n in ((CHUNKS, F.lit(1)), (TOKENS, F.col("dl")))])
-    rows = split.select("chunk_id", "dl", F.explode(F.concat(own, "counts")).alias("c")).select(F.col("c.value").alias("term"), "chunk_id", "dl", F.col("c.n").cast("long").alias("tf"))
-    counts = rows.select("term", F.when(_is_term(), F.lit(1)).otherwise(F.col("tf")).cast("long").alias("df"))
+    words = chunks.select("chunk_id", terms(F.col("text")).alias("t"))
+
+    def entries(row: Column, kind: str, name: str, n: str) -> Column:
+        """Two more entries a chunk, that no term can be, so that one pass counts chunks and tokens as well."""
+        return F.explode(F.concat(F.array(*[F.struct(F.lit(x).alias(name), v.cast(kind).alias(n)) for x, v in ((CHUNKS, F.lit(1)), (TOKENS, F.col("dl")))]), row))
+
+    split = words.select("chunk_id", F.size("t").alias("dl"), counted(F.col("t")).alias("counts"))
+    rows = split.select("chunk_id", "dl", entries(F.col("counts"), "int", "value", "n").alias("c")).select(F.col("c.value").alias("term"), "chunk_id", "dl", F.col("c.n").cast("long").alias("tf"))
+    # Which terms a chunk has is cheaper to tell than how often; nothing else is needed to count chunks by term.
+    distinct = words.select(F.size("t").alias("dl"), F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("value"), F.lit(1).cast("long").alias("n"))).alias("terms"))
+    counts = distinct.select(entries(F.col("terms"), "long", "value", "n").alias("c")).select(F.col("c.value").alias("term"), F.col("c.n").alias("df"))
     return Index(rows.where(_is_term()), counts, chunks.select("chunk_id"), rows)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.text import none, snake, text_of
 
 #: Kinds of entities and their patterns, in order. (?U) gives \w, \d, \s and \b Unicode's meaning.
@@ -60,11 +61,12 @@ LINEAR = {
     "affects left": r"(?iU)(?:(?<![\w-])|\G)([\w-]++)\s++unresponsive",
     "phrase": r"(?U)\b([A-Z][a-z]++\b(?:\s++[A-Z][a-z]++\b)++)",
 }
-#: What a text has to contain for a kind to be looked for at all.
+#: What a text has to contain for a kind to be looked for at all, and a relation, there in capitals: of letters that have one case's sign each.
 NEEDED = {
     "jira_ticket": ("-",), "pr_number": ("PR", "pr"), "email": ("@",), "service": ("-service", "-api", "-gateway", "-worker", "-cache", "-store", "-db"),
     "file_path": (".py", ".js", ".ts", ".go", ".java", ".yaml", ".yml", ".cfg"), "timeout_ms": ("ms",),
 }
+SAID = {"caused_by": "CAUSED", "depends_on": "DEPENDS", "owned_by": "OWNER", "fixes": "X", "modified": "MOD", "affects right": "MEOUT", "affects left": "RESPONS"}
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -101,11 +103,16 @@ def relations(record_id: Column, text: Column) -> Column:
         own = LINEAR.get(relation, LINEAR.get(f"{relation} {direction}", pattern))
         found = F.filter(_all(text, own), lambda v: v != "")
         if direction == "both":
-            return F.zip_with(found, _all(text, own, 2), lambda a, b: edge(snake("service", a), relation, snake("service", b), 0.80))
-        if direction == "right":
-            return F.transform(found, lambda v: edge(record_id, relation, snake("unknown", v), 0.75))
-        return F.transform(found, lambda v: edge(snake("service", v), relation, record_id, 0.75))
-
+            edges = F.zip_with(found, _all(text, own, 2), lambda a, b: edge(snake("service", a), relation, snake("service", b), 0.80))
+        elif direction == "right":
+            edges = F.transform(found, lambda v: edge(record_id, relation, snake("unknown", v), 0.75))
+        else:
+            edges = F.transform(found, lambda v: edge(snake("service", v), relation, record_id, 0.75))
+        said = SAID.get(relation) or SAID[f"{relation} {direction}"]
+        return F.when(upper.contains(said), edges).otherwise(F.array().cast(f"array<{schemas.RELATION}>"))
+
+    # In capitals, as those of the letters that a pattern takes for another's case are among them.
+    upper = F.upper(text)
     return F.concat(*[of(*r) for r in RELATIONS])
 
 

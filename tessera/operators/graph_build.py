@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,10 +85,14 @@ def build_edges(records: DataFrame, nodes: DataFrame) -> DataFrame:
     return writes.groupBy("from_id", "to_id").agg(*last)
 
 
-def build_graph(extracted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes, edges of records with entities and relationships. `ord` is the order in which records are written."""
-    nodes = build_nodes(extracted)
-    return nodes.drop("at").select(*[x.split()[0] for x in schemas.NODES.split(", ")]), build_edges(extracted, nodes)
+def build_graph(extracted: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> tuple[DataFrame, DataFrame]:
+    """nodes, edges of records with entities and relationships. `ord` is the order in which records are written.
+
+    All three are read several times on the way; `keep` may write each to a table, so that none is computed twice.
+    """
+    extracted = keep(extracted, "extracted")
+    nodes = keep(build_nodes(extracted), "nodes")
+    return nodes.drop("at").select(*[x.split()[0] for x in schemas.NODES.split(", ")]), keep(build_edges(extracted, nodes), "edges")
 
 
 def resolve_unknown(extracted: DataFrame) -> DataFrame:

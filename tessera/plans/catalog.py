@@ -16,7 +16,7 @@ from ..operators.graph_build import build_graph, resolve_unknown
 from ..operators.normalize import normalize_all, normalize_logs
 from .. import schemas
 from ..sources import tables
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, written
 from . import given, retrieval
 from .given import spread, table
 
@@ -48,14 +48,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_all(given.exports(spark, sf_dir))
 
 
-def persisted(graph: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Questions to a graph read it many times; elsewhere it is loaded from tables."""
-    return graph[0].persist(), graph[1].persist()
-
-
 def corpus_graph(spark: SparkSession, sf_dir: str, resolved: bool = False) -> tuple[DataFrame, DataFrame]:
-    found = extract.extract_with_rules(corpus(spark, sf_dir))
-    return persisted(build_graph(resolve_unknown(found) if resolved else found))
+    """Nodes and edges of the exports' records, as tables."""
+    found = written(extract.extract_with_rules(corpus(spark, sf_dir)), "ruled")
+    return build_graph(resolve_unknown(found) if resolved else found, written)
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +64,7 @@ def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         F.col("o_orderkey").alias("ord"), F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("ticket").alias("type"), F.col("o_orderpriority").alias("title"), F.lit("").alias("body"), F.col("c_name").alias("owner"),
         F.coalesce("brands", F.array().cast("array<string>")).alias("services_mentioned"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("timestamp"), F.lit("orders").alias("source"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), no[0].alias("entities"), no[1].alias("relationships"),
     )
-    return persisted(build_graph(records))
+    return build_graph(records, written)
 
 
 def chunk_documents(spark, sf_dir):
