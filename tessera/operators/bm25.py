@@ -26,8 +26,8 @@ class Index:
     postings: DataFrame
     counts: DataFrame
     chunks: DataFrame
-    #: What postings and counts may both be made of, where they aren't read from files.
-    counted: DataFrame | None = None
+    #: What postings are made of, where they aren't read from files: chunk_id, dl, counts (value, n) of a chunk in its row.
+    forward: DataFrame | None = None
 
     def __post_init__(self) -> None:
         """term_stats (term, df, idf), corpus (one row: n, avgdl, avg_idf).
@@ -47,11 +47,12 @@ class Index:
         self.term_stats, self.corpus = stats.select("term", "df", idf.alias("idf")), corpus.crossJoin(mean)
 
     def persist(self) -> Index:
-        if self.counted is not None:
-            # Postings are made in any case; what is kept of them gives the counts too.
-            self.counts = self.counted.select("term", F.when(_is_term(), F.lit(1)).otherwise(F.col("tf")).cast("long").alias("df"))
+        """Keep chunks' counts of terms, dealt by chunk: so what a question finds in a chunk is summed where the chunk lies."""
+        if self.forward is not None:
+            self.forward = self.forward.repartition(_partitions(self.forward), "chunk_id")
+            self.postings, self.counts = _postings(self.forward), _counts(self.forward, F.transform("counts", lambda c: c["value"]))
             self.__post_init__()
-        for df in (self.counted if self.counted is not None else self.postings, self.term_stats):
+        for df in (self.forward if self.forward is not None else self.postings, self.term_stats):
             df.persist()
         return self
 
@@ -71,21 +72,29 @@ def _is_term() -> Column:
     return ~F.col("term").isin(CHUNKS, TOKENS)
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _postings(forward: DataFrame) -> DataFrame:
+    rows = forward.select("chunk_id", "dl", F.explode("counts").alias("c"))
+    return rows.select(F.col("c.value").alias("term"), "chunk_id", "dl", F.col("c.n").cast("long").alias("tf"))
+
+
+def _counts(rows: DataFrame, terms_of: Column) -> DataFrame:
+    """term, df of rows (dl, and a chunk's distinct terms). Two more entries a chunk, that no term can be, so that one pass counts chunks and tokens as well."""
+    one = F.lit(1).cast("long")
+    own = [F.struct(F.lit(name).alias("term"), n.cast("long").alias("df")) for name, n in ((CHUNKS, one), (TOKENS, F.col("dl")))]
+    return rows.select(F.explode(F.concat(F.array(*own), F.transform(terms_of, lambda t: F.struct(t.alias("term"), one.alias("df"))))).alias("c")).select("c.term", "c.df")
+
+
 def fit(chunks: DataFrame) -> Index:
     """The index of chunks (chunk_id, text). A chunk's terms are counted in its row; all that is shuffled are
     partial counts of chunks by term."""
-    words = chunks.select("chunk_id", terms(F.col("text")).alias("t"))
-
-    def entries(row: Column, kind: str, name: str, n: str) -> Column:
-        """Two more entries a chunk, that no term can be, so that one pass counts chunks and tokens as well."""
-        return F.explode(F.concat(F.array(*[F.struct(F.lit(x).alias(name), v.cast(kind).alias(n)) for x, v in ((CHUNKS, F.lit(1)), (TOKENS, F.col("dl")))]), row))
-
-    split = words.select("chunk_id", F.size("t").alias("dl"), counted(F.col("t")).alias("counts"))
-    rows = split.select("chunk_id", "dl", entries(F.col("counts"), "int", "value", "n").alias("c")).select(F.col("c.value").alias("term"), "chunk_id", "dl", F.col("c.n").cast("long").alias("tf"))
+    words = chunks.select("chunk_id", terms(F.col("text")).alias("t")).select("chunk_id", "t", F.size("t").alias("dl"))
+    forward = words.select("chunk_id", "dl", counted(F.col("t")).alias("counts"))
     # Which terms a chunk has is cheaper to tell than how often; nothing else is needed to count chunks by term.
-    distinct = words.select(F.size("t").alias("dl"), F.transform(F.array_distinct("t"), lambda w: F.struct(w.alias("value"), F.lit(1).cast("long").alias("n"))).alias("terms"))
-    counts = distinct.select(entries(F.col("terms"), "long", "value", "n").alias("c")).select(F.col("c.value").alias("term"), F.col("c.n").alias("df"))
-    return Index(rows.where(_is_term()), counts, chunks.select("chunk_id"), rows)
+    return Index(_postings(forward), _counts(words, F.array_distinct("t")), chunks.select("chunk_id"), forward)
 
 
 def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
@@ -108,6 +117,7 @@ def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     some = index.chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
     # They add nothing to the score of a hit, so hits need not be told apart from them.
     fill = queries.select("query_id").crossJoin(F.broadcast(some)).withColumn("part", F.lit(0.0))
+    fill = fill if index.forward is None else fill.repartition(_partitions(fill), "chunk_id")
     scored = hits.select("query_id", "chunk_id", part.alias("part")).unionByName(fill).groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
