@@ -26,6 +26,7 @@ from tessera.operators.graph_build import build_graph, resolve_unknown  # noqa:
 from tessera.operators.graph_query import CLOSED  # noqa: E402
 from tessera.operators.normalize import normalize_all  # noqa: E402
 from tessera.plans import given, oracle  # noqa: E402
+from tessera.sources.scratch import written  # noqa: E402
 
 SETTINGS = {"snapshot": "latest", "resolved": False}
 
@@ -59,7 +60,8 @@ def run(spark: SparkSession, tables: str, output: str, settings: dict = SETTINGS
 
     exports = given.exports(spark, tables)
     records = write(extract_with_rules(normalize_all(exports)), "records", "source")
-    nodes, edges = build_graph(resolve_unknown(records) if settings["resolved"] else records)
+    # Edges are told from nodes, so those are not computed twice.
+    nodes, edges = build_graph(resolve_unknown(records) if settings["resolved"] else records, lambda df, name: written(df, name) if name == "nodes" else df)
     nodes, edges = write(nodes, "nodes", "type"), write(edges, "edges", "relation")
     services = write(report(nodes, edges), "services")
     done = {name: df.count() for name, df in (("records", records), ("nodes", nodes), ("edges", edges), ("services", services))}

@@ -18,6 +18,8 @@ class Config:
     fused: int = 20
     answers: int = 5
     near_duplicate: float = 0.95
+    #: Rows of a tool's result that a model is shown at most.
+    tool_rows: int = 50
 
     @classmethod
     def from_env(cls) -> Config:

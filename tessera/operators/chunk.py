@@ -35,7 +35,12 @@ def chunk(files: DataFrame, size: int = 400, overlap: int = 50, keep: Sequence[s
 
 
 def store_stats(chunks: DataFrame) -> DataFrame:
-    """One row: chunk_count, doc_count, filenames (distinct, in order, none empty)."""
+    """One row: chunk_count, doc_count, file_count (distinct, none empty)."""
     named = F.when(none(F.col("filename")) != "", F.col("filename"))
     docs = F.when(none(F.col("doc_id")) != "", F.col("doc_id"))
-    return chunks.agg(F.count(F.lit(1)).alias("chunk_count"), F.countDistinct(docs).alias("doc_count"), F.array_sort(F.collect_set(named)).alias("filenames"))
+    return chunks.agg(F.count(F.lit(1)).alias("chunk_count"), F.countDistinct(docs).alias("doc_count"), F.countDistinct(named).alias("file_count"))
+
+
+def stored_files(chunks: DataFrame) -> DataFrame:
+    """filename, chunks: a row for each name that isn't empty; callers put them in order, or take a page."""
+    return chunks.where(none(F.col("filename")) != "").groupBy("filename").agg(F.count(F.lit(1)).alias("chunks"))

@@ -6,7 +6,9 @@ gaps are named at each function.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aliases import services_in
@@ -15,12 +17,6 @@ from ..functions.text import dependency_lines, escalation_line, none, search_key
 CLOSED = ("resolved", "closed", "done")
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """a, b for each edge in either direction."""
-    one = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-
-
 def service_node(nodes: DataFrame, name: str) -> DataFrame:
     """id of the node that a service's name stands for, if any: by either exact id, else the first service whose id or name has the name in it."""
     key = search_key(name)
@@ -50,23 +46,56 @@ def reach(nodes: DataFrame, edges: DataFrame, start: DataFrame, hops: int = 2) -
     return seen.join(nodes.select("id"), "id", "left_semi")
 
 
-def context(nodes: DataFrame, edges: DataFrame, node_id: str, hops: int = 2, limit: int | None = None) -> DataFrame:
-    """The nodes within so many hops, in order of hop, then ingestion, with all their edges, also those that lead out of the circle."""
+#: Edges of a node and direction that its row shows at most.
+SHOWN = 1000
+
+
+def _shown(edges: DataFrame, near: DataFrame, own: str, other: str, columns: list[Column], name: str, count: str, shown: int) -> DataFrame:
+    """id, <name>: its first edges by the other end, <count>: how many there are. Tasks drop what is beyond the first before they
+    are shuffled, so that a hub is no large row, nor a large partition."""
+    found = edges.join(near.select(F.col("id").alias(own)), own, "left_semi")
+    numbered = found.withColumn("n", F.row_number().over(Window.partitionBy(own).orderBy(other))).where(F.col("n") <= shown)
+    lists = numbered.groupBy(F.col(own).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.struct(*columns).alias("e")))), lambda x: x["e"]).alias(name))
+    return lists.join(found.groupBy(F.col(own).alias("id")).agg(F.count(F.lit(1)).alias(count)), "id")
+
+
+def edge_pages(edges: DataFrame, page: int = SHOWN) -> DataFrame:
+    """id, direction ("out", "in"), page, edges (id, relation, confidence): all edges by either end, about so many to a row.
+
+    A table of neighbours that is read by ids: a hub has as many pages as it needs, by hash of the other end.
+    """
+    sides = [edges.select(F.col(a).alias("id"), F.lit(d).alias("direction"), F.struct(F.col(b).alias("id"), "relation", "confidence").alias("e")) for a, b, d in (("from_id", "to_id", "out"), ("to_id", "from_id", "in"))]
+    both = sides[0].unionByName(sides[1])
+    hubs = both.groupBy("id", "direction").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > page)
+    # Only hubs are joined: they are few, and AQE splits their rows where they are too many for one task.
+    paged = both.join(hubs, ["id", "direction"], "left").withColumn("page", F.coalesce(F.pmod(F.xxhash64("e.id"), F.ceil(F.col("n") / page)), F.lit(0)).cast("int"))
+    return paged.groupBy("id", "direction", "page").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+
+
+def context(nodes: DataFrame, edges: DataFrame, node_id: str, hops: int = 2, limit: int | None = None, shown: int = SHOWN) -> DataFrame:
+    """The nodes within so many hops, in order of hop, then ingestion, with how many edges they have and the first `shown` of each direction, also
+    those that lead out of the circle; edge_pages has all."""
     near = reach(nodes, edges, start_node(nodes, node_id), hops).persist()
     own = nodes.join(near, "id")
     relation = F.coalesce("relation", F.lit("unknown"))
-    out = edges.join(near.select(F.col("id").alias("from_id")), "from_id", "left_semi").groupBy(F.col("from_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("to_id").alias("to"), relation.alias("relation"), F.coalesce("confidence", F.lit(1.0)).alias("confidence")))).alias("outgoing_edges"))
-    into = edges.join(near.select(F.col("id").alias("to_id")), "to_id", "left_semi").groupBy(F.col("to_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col("from_id").alias("from"), relation.alias("relation")))).alias("incoming_edges"))
+    out = _shown(edges, near, "from_id", "to_id", [F.col("to_id").alias("to"), relation.alias("relation"), F.coalesce("confidence", F.lit(1.0)).alias("confidence")], "outgoing_edges", "outgoing", shown)
+    into = _shown(edges, near, "to_id", "from_id", [F.col("from_id").alias("from"), relation.alias("relation")], "incoming_edges", "incoming", shown)
     title = F.coalesce(F.nullif("title", F.lit("")), F.nullif("name", F.lit("")), F.col("id"))
     plain = [none(F.col(c)).alias(c) for c in ("body", "owner", "timestamp", "source", "priority", "status")]
     full = own.join(out, "id", "left").join(into, "id", "left")
-    shown = full.select("hop", "ord", "id", F.coalesce("type", F.lit("unknown")).alias("type"), title.alias("title"), *plain, F.coalesce("outgoing_edges", F.array()).alias("outgoing_edges"), F.coalesce("incoming_edges", F.array()).alias("incoming_edges"))
+    shown = full.select("hop", "ord", "id", F.coalesce("type", F.lit("unknown")).alias("type"), title.alias("title"), *plain, F.coalesce("outgoing_edges", F.array()).alias("outgoing_edges"), F.coalesce("incoming_edges", F.array()).alias("incoming_edges"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("outgoing", "incoming")])
     return shown.orderBy("hop", "ord", "id").limit(limit) if limit else shown
 
 
 def _adjacent(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """id of every node with an edge to or from one of the ids."""
-    return both_ways(edges).join(F.broadcast(ids.select(F.col("id").alias("b"))), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+    """id of every node with an edge to or from one of the ids; those meet either end of the edges where these lie."""
+    return _ends(edges, lambda end: edges.join(ids.select(F.col("id").alias(end)), end, "left_semi"))
+
+
+def _ends(edges: DataFrame, found: Callable[[str], DataFrame]) -> DataFrame:
+    """id of the other ends of the edges that are found by one end."""
+    out = found("from_id").select(F.col("to_id").alias("id"))
+    return out.unionByName(found("to_id").select(F.col("from_id").alias("id"))).distinct()
 
 
 def find_owner(nodes: DataFrame, edges: DataFrame, name: str, resolved: bool = False) -> DataFrame:
@@ -92,7 +121,7 @@ def recent_changes(nodes: DataFrame, edges: DataFrame, name: str, limit: int = 5
     """id, title, timestamp, owner, body of the latest commits with the service in a neighbour's id, their title or body."""
     key = search_key(name)
     commits = nodes.where(F.col("type") == "commit")
-    near = both_ways(edges).where(F.lower("b").contains(key)).select(F.col("a").alias("id")).distinct().withColumn("near", F.lit(True))
+    near = _ends(edges, lambda end: edges.where(F.lower(end).contains(key))).withColumn("near", F.lit(True))
     hit = F.col("near") | F.lower(none(F.col("body"))).contains(key) | F.lower(none(F.col("title"))).contains(key)
     found = commits.join(near, "id", "left").where(F.coalesce(hit, F.lit(False)))
     return found.orderBy(F.desc(none(F.col("timestamp"))), "ord", "id").limit(limit).select("id", "title", "timestamp", "owner", "body")

@@ -20,6 +20,7 @@ from ..operators.incremental import cache_rows, last_build, manifest_rows
 from ..operators.normalize import normalize_all
 from ..operators.vector import record_vectors
 from ..sources import files, graphs, tables
+from ..sources.scratch import written
 
 
 def offline_embedding(records: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def build_records(spark: SparkSession, raw: str, store: str, complete: Complete
     manifest.upsert(manifest_rows(done))
     # What was processed is written before the rest.
     ordered = extracted.withColumn("ord", F.when(F.col("processed"), F.col("ord")).otherwise(F.col("ord") + (1 << 62)))
-    graphs.save(*build_graph(resolve_unknown(ordered) if resolved else ordered), f"{store}/graph")
+    graphs.save(*build_graph(resolve_unknown(ordered) if resolved else ordered, written), f"{store}/graph")
     vectors = tables.vector_table(spark, f"{store}/vectors")
     rows = record_vectors(records).withColumn("embedding", hashed_embedding(terms(F.col("text"))))
     if refresh_changed:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.models import lexical_overlap
-from ..functions.text import content_hash, is_simple, parse_json, text_hash
+from ..functions.text import content_hash, is_simple, parse_json, text_hash, tokens
 from ..functions.vectors import norm
-from ..operators import bm25, cascade, citations, dedup, extract, fusion, graph_query, incremental, vector
+from ..operators import bm25, cascade, citations, dedup, extract, fusion, graph_query, incremental, mentions, vector
 from ..operators import chunk as chunking
 from ..operators.graph_build import build_graph, resolve_unknown
 from ..operators.normalize import normalize_all, normalize_logs
@@ -75,6 +75,24 @@ def store_stats(spark, sf_dir):
     return chunking.store_stats(chunks(spark, sf_dir))
 
 
+def stored_files(spark, sf_dir):
+    return chunking.stored_files(chunks(spark, sf_dir))
+
+
+def edge_pages(spark, sf_dir):
+    """How many edges each page of the neighbours of orders, customers and brands has."""
+    pages = graph_query.edge_pages(order_graph(spark, sf_dir)[1], 50)
+    return pages.groupBy("id", "direction").agg(F.sum(F.size("edges")).alias("edges"), (F.max(F.size("edges")) <= 200).alias("short"))
+
+
+def benchmark_mentions(spark, sf_dir):
+    """The benchmark's passages of which a document holds the first three words in a row, in small letters."""
+    words = F.array_join(F.slice(tokens(F.lower("text")), 1, 3), " ")
+    aliases = table(spark, sf_dir, "benchmark").select(words.alias("alias"), F.col("item_id").cast("string").alias("name"), F.col("item_id").alias("place"))
+    found = mentions.alias_scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), aliases, "doc_id", "text")
+    return found.select(F.col("id").alias("doc_id"), F.array_join("names", ",").alias("items"))
+
+
 def doc_identity_collisions(spark, sf_dir):
     """Ids that several documents share when files are named by their source alone."""
     from ..functions.text import document_id, none
@@ -317,7 +335,7 @@ def node_labels(spark, sf_dir):
 
 def ego_2hop(spark, sf_dir):
     nodes, edges = order_graph(spark, sf_dir)
-    return graph_query.context(nodes, edges, "ORD-1").select("id", "hop", "title", F.size("outgoing_edges").alias("outgoing"), F.size("incoming_edges").alias("incoming"))
+    return graph_query.context(nodes, edges, "ORD-1").select("id", "hop", "title", F.col("outgoing").cast("int").alias("outgoing"), F.col("incoming").cast("int").alias("incoming"))
 
 
 def corpus_nodes(spark, sf_dir):
@@ -418,7 +436,7 @@ def rerank_scores(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_documents, store_stats, doc_identity_collisions, bm25_term_stats, bm25_topk, vector_search_docs, hybrid_search, rerank_lexical, retrieval_funnel, cited_answers, vector_topk, vector_topk_filtered, near_dup_pairs, dedup_greedy, fuse_rankings,
+        chunk_documents, store_stats, stored_files, edge_pages, benchmark_mentions, doc_identity_collisions, bm25_term_stats, bm25_topk, vector_search_docs, hybrid_search, rerank_lexical, retrieval_funnel, cited_answers, vector_topk, vector_topk_filtered, near_dup_pairs, dedup_greedy, fuse_rankings,
         normalize_events, normalize_union, entities_documents, entities_fixture, relations_fixture, unresolved_phrases, mentions_scan, needs_frontier, tier_costs, cascade_tiers, stored_chunks, upserted_manifest, source_blocks, change_detection, change_stats, manifest_rows, last_build, cache_keys,
         graph_nodes, graph_edges, node_type_counts, relation_counts, graph_size, node_degree, node_labels, ego_2hop, corpus_nodes, corpus_edges, corpus_edges_resolved, find_owner, find_owner_resolved, recent_changes, active_incidents, active_incidents_resolved, dependencies, dependencies_resolved,
         recent_orders, citation_check, simple_questions, json_repair, event_json, vector_norms, rerank_scores,

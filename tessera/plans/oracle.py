@@ -310,7 +310,11 @@ SELECT id, coalesce(json_array_length(j, '$.entities'), 0)::INTEGER AS entities,
 
 ORACLES: dict[str, str] = {
     "chunk_documents": f"WITH {FILES} SELECT * FROM chunks",
-    "store_stats": f"WITH {FILES} SELECT count(*) AS chunk_count, count(DISTINCT doc_id) AS doc_count, list_sort(list(DISTINCT filename)) AS filenames FROM chunks",
+    "store_stats": f"WITH {FILES} SELECT count(*) AS chunk_count, count(DISTINCT doc_id) AS doc_count, count(DISTINCT filename) AS file_count FROM chunks",
+    "stored_files": f"WITH {FILES} SELECT filename, count(*) AS chunks FROM chunks GROUP BY filename",
+    "edge_pages": f"WITH {GRAPH} SELECT id, direction, count(*) AS edges, TRUE AS short FROM (SELECT from_id AS id, 'out' AS direction FROM edges UNION ALL SELECT to_id, 'in' FROM edges) GROUP BY id, direction",
+    "benchmark_mentions": r"""WITH a AS (SELECT item_id, array_to_string(regexp_extract_all(lower(text), '\S+')[1:3], ' ') AS alias FROM benchmark)
+        SELECT doc_id, coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id) FILTER (item_id IS NOT NULL), '') AS items FROM documents LEFT JOIN a ON contains(lower(coalesce(text, '')), alias) GROUP BY doc_id""",
     "doc_identity_collisions": "SELECT substr(sha256(source || substr(coalesce(text, ''), 1, 200)), 1, 12) AS doc_id, count(*) AS documents, min(documents.doc_id) AS first_document FROM documents GROUP BY 1 HAVING count(*) > 1",
     "bm25_term_stats": rf"""WITH {FILES}, terms AS (SELECT list_distinct(regexp_extract_all(lower(text), '\S+')) AS t FROM chunks), dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM terms) GROUP BY term),
         raws AS (SELECT term, df, ln((SELECT count(*) FROM terms) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs)

@@ -20,15 +20,33 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema(schemas.NODES).parquet(f"{path}/nodes"), spark.read.schema(schemas.EDGES).parquet(f"{path}/edges")
 
 
-def export_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One file of node-link JSON: {"directed", "multigraph", "graph", "nodes": [{"id", ...}], "links": [{"source", "target", ...}]}."""
+def export_json(nodes: DataFrame, edges: DataFrame, path: str, files: int | None = 1) -> None:
+    """Node-link JSON, a node or link a line, in so many files whose order is that of their names (None: as many as the sort gives): {"directed", "multigraph", "graph", "nodes": [{"id", ...}], "links": [{"source", "target", ...}]}."""
     attributes = [c for c in nodes.columns if c not in ("id", "ord")]
-    node = F.struct("id", *attributes)
     link = F.struct(F.col("from_id").alias("source"), F.col("to_id").alias("target"), "relation", "confidence", "extraction_source")
-    ns = nodes.agg(F.array_sort(F.collect_list(F.struct("ord", node.alias("n")))).alias("n")).select(F.transform("n", lambda x: x["n"]).alias("nodes"))
-    es = edges.agg(F.array_sort(F.collect_list(link)).alias("links"))
-    whole = ns.crossJoin(es).select(F.to_json(F.struct(F.lit(True).alias("directed"), F.lit(False).alias("multigraph"), F.create_map().cast("map<string,string>").alias("graph"), "nodes", "links")).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    spark, kind = nodes.sparkSession, "section int, ord long, key string, value string"
+    parts = [
+        spark.createDataFrame([(0, 0, "", '{"directed": true, "multigraph": false, "graph": {}, "nodes": ['), (2, 0, "", '], "links": ['), (4, 0, "", "]}")], kind),
+        nodes.select(F.lit(1).alias("section"), "ord", F.col("id").alias("key"), F.to_json(F.struct("id", *attributes)).alias("value")),
+        edges.select(F.lit(3).alias("section"), F.lit(0).cast("long").alias("ord"), F.concat_ws("\u0000", "from_id", "to_id").alias("key"), F.to_json(link).alias("value")),
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # A comma before each but the first of its section: a row for each section says which that is.
+    first = rows.where("section IN (1, 3)").groupBy("section").agg(F.min(F.struct("ord", "key")).alias("first"))
+    led = rows.join(F.broadcast(first), "section", "left").withColumn("value", F.when(F.struct("ord", "key") > F.col("first"), F.concat(F.lit(","), "value")).otherwise(F.col("value")))
+    order = ["section", "ord", "key"]
+    lined = led.orderBy(*order) if files is None else led.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    lined.select("value").write.mode("overwrite").text(path)
+
+
+def export_lines(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph as JSON lines in two folders, for graphs that no one file should hold."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
+def import_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema(schemas.NODES).json(f"{path}/nodes"), spark.read.schema(schemas.EDGES).json(f"{path}/edges")
 
 
 def import_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,9 @@
+import glob
+import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.operators import extract, graph_query
@@ -9,6 +12,7 @@ from tessera.operators.graph_build import build_graph
 from tessera.operators.normalize import normalize_all
 from tessera.plans import fixtures
 from tessera.sources import graphs
+from tessera.sources.scratch import written
 
 
 def folded(records):
@@ -41,7 +45,7 @@ def folded(records):
 
 
 def same_graph(records_df):
-    nodes, edges = build_graph(records_df)
+    nodes, edges = build_graph(records_df, written)
     want_nodes, want_edges = folded(records_df.collect())
     got = {r.id: {k: v for k, v in r.asDict().items() if v is not None and k not in ("id", "ord")} for r in nodes.collect()}
     assert got == {k: {a: b for a, b in v.items() if b is not None} for k, v in want_nodes.items()}
@@ -66,7 +70,7 @@ def test_random_graphs_are_the_sequential_ones(spark):
 
 
 def test_reach_degrees_and_files(spark, tmp_path):
-    nodes, edges = (t.persist() for t in build_graph(extract.extract_with_rules(normalize_all(fixtures.sources(spark)))))
+    nodes, edges = build_graph(extract.extract_with_rules(normalize_all(fixtures.sources(spark))), written)
     near = {r.id: r.hop for r in graph_query.reach(nodes, edges, graph_query.start_node(nodes, "redis-cache"), 1).collect()}
     assert near["service__redis_cache"] == 0 and near["WIKI-7"] == 1
     assert sum(r.degree for r in graph_query.degrees(nodes, edges).collect()) == 2 * edges.count()
@@ -76,6 +80,26 @@ def test_reach_degrees_and_files(spark, tmp_path):
     again = graphs.import_json(spark, str(tmp_path / "j"))
     for back in (graphs.load(spark, str(tmp_path / "g")), again):
         assert back[0].count() == nodes.count() and back[1].exceptAll(edges.select(*back[1].columns)).count() == 0
+    graphs.export_json(nodes, edges, str(tmp_path / "k"), files=3)
+    joined = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(str(tmp_path / "k" / "part-*"))))
+    whole = json.loads(joined)
+    assert [len(whole[k]) for k in ("nodes", "links")] == [nodes.count(), edges.count()] and whole["directed"] is True
+    graphs.export_json(nodes.limit(0), edges.limit(0), str(tmp_path / "e"))
+    assert [t.count() for t in graphs.import_json(spark, str(tmp_path / "e"))] == [0, 0]
+    graphs.export_lines(nodes, edges, str(tmp_path / "l"))
+    lines = graphs.import_lines(spark, str(tmp_path / "l"))
+    assert lines[0].exceptAll(nodes.select(*lines[0].columns)).count() == 0 and lines[1].count() == edges.count()
+
+
+def test_a_hub_is_no_large_row(spark):
+    """A node with a million edges: its row shows the first of them and how many there are; its pages have all, in rows of bounded size."""
+    n = 1_000_000
+    edges = spark.range(n).selectExpr("concat('r', id) AS from_id", "'hub' AS to_id", "'mentions' AS relation", "0.95D AS confidence", "CAST(NULL AS string) AS extraction_source")
+    nodes = spark.createDataFrame([("hub", 0), ("r7", 1)], "id string, ord long").selectExpr("*", *[f"CAST(NULL AS string) AS {c}" for c in ("type", "title", "name", "body", "owner", "timestamp", "source", "priority", "status")])
+    row = {r.id: r for r in graph_query.context(nodes, edges, "hub", hops=1, shown=20).collect()}
+    assert len(row["hub"].incoming_edges) == 20 and row["hub"].incoming == n and row["hub"].incoming_edges[0]["from"] == "r0" and row["r7"].outgoing == 1
+    pages = graph_query.edge_pages(edges, 1000).where("id = 'hub'").select(F.size("edges").alias("n")).agg(F.max("n"), F.sum("n"), F.count("n")).first()
+    assert pages[0] < 1300 and pages[1] == n and pages[2] == 1000
 
 
 def test_greedy_dedup_is_the_sequential_one(spark):
@@ -132,6 +156,6 @@ def test_copies_make_a_star(spark):
 
 
 def test_edges_of_a_relation(spark):
-    nodes, edges = build_graph(extract.extract_with_rules(normalize_all(fixtures.sources(spark))))
+    nodes, edges = build_graph(extract.extract_with_rules(normalize_all(fixtures.sources(spark))), written)
     counts = {r.relation: r.edges for r in graph_query.edges_by_relation(edges).collect()}
     assert counts and all(graph_query.edges_of(edges, k).count() == n for k, n in counts.items())

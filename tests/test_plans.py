@@ -61,6 +61,8 @@ def test_build_is_incremental(spark, tmp_path):
     assert "error" in json.loads(agent.run_tool(store, "no_such_tool", {}))
     capped = agent.run_agent("Who mends the inventory-service when it stalls at night?", store, agent.Offline(("inventory-service",)), Config(max_tool_calls=2))
     assert capped["tool_call_count"] == 2 and capped["stopped_early"]
+    few = json.loads(agent.run_tool(store, "get_active_incidents", {"service_name": "inventory"}, 1))
+    assert len(few) == 1 and len(json.loads(agent.run_tool(store, "get_active_incidents", {"service_name": "inventory"}))) > 1
     with pytest.raises(FileNotFoundError):
         graphs.load(spark, str(tmp_path / "none"))
     with pytest.raises(FileNotFoundError):
