@@ -17,6 +17,7 @@ from ..operators.normalize import normalize_all, normalize_logs
 from .. import schemas
 from ..sources import tables
 from ..sources.scratch import scratch, written
+from ..streaming.changes import write_changes
 from . import given, retrieval
 from .given import spread, table
 
@@ -276,10 +277,15 @@ def source_blocks(spark, sf_dir):
     return given.answers(spark, sf_dir).select("id", citations.source_block(F.col("sources")).alias("block"))
 
 
+def _older(records: DataFrame) -> DataFrame:
+    """Two of three records, every other of those with another text."""
+    return records.where("ord % 3 < 2").withColumn("body", F.when(F.col("ord") % 3 == 1, F.concat("body", F.lit("."))).otherwise(F.col("body")))
+
+
 def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Records, and a manifest that knows two of three of them, every other of those with another text."""
+    """Records, and a manifest that knows an older state of them."""
     records = document_records(spark, sf_dir)
-    old = records.where("ord % 3 < 2").withColumn("body", F.when(F.col("ord") % 3 == 1, F.concat("body", F.lit("."))).otherwise(F.col("body")))
+    old = _older(records)
     return records, incremental.manifest_rows(old.withColumn("tier", F.lit("rule")), NOW)
 
 
@@ -288,6 +294,16 @@ def change_detection(spark, sf_dir):
     return incremental.with_change(records, manifest).select("id", "change", "content_hash")
 
 
+def streamed_changes(spark, sf_dir):
+    """What a stream lets through in two runs: the first finds files of an older state, the second files of all records."""
+    records = document_records(spark, sf_dir)
+    folder, out, mark = (scratch(spark, f"stream-{x}") for x in ("in", "out", "mark"))
+    for rows in (_older(records), records):
+        rows.write.mode("append").parquet(folder)
+        write_changes(spark.readStream.schema(rows.schema).parquet(folder), out, mark).awaitTermination()
+    return spark.read.parquet(out).select("id", "change", "content_hash")
+
+
 def change_stats(spark, sf_dir):
     return incremental.change_stats(incremental.with_change(*_manifest(spark, sf_dir)))
 
@@ -437,7 +453,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         chunk_documents, store_stats, stored_files, edge_pages, benchmark_mentions, doc_identity_collisions, bm25_term_stats, bm25_topk, vector_search_docs, hybrid_search, rerank_lexical, retrieval_funnel, cited_answers, vector_topk, vector_topk_filtered, near_dup_pairs, dedup_greedy, fuse_rankings,
-        normalize_events, normalize_union, entities_documents, entities_fixture, relations_fixture, unresolved_phrases, mentions_scan, needs_frontier, tier_costs, cascade_tiers, stored_chunks, upserted_manifest, source_blocks, change_detection, change_stats, manifest_rows, last_build, cache_keys,
+        normalize_events, normalize_union, entities_documents, entities_fixture, relations_fixture, unresolved_phrases, mentions_scan, needs_frontier, tier_costs, cascade_tiers, stored_chunks, upserted_manifest, source_blocks, change_detection, streamed_changes, change_stats, manifest_rows, last_build, cache_keys,
         graph_nodes, graph_edges, node_type_counts, relation_counts, graph_size, node_degree, node_labels, ego_2hop, corpus_nodes, corpus_edges, corpus_edges_resolved, find_owner, find_owner_resolved, recent_changes, active_incidents, active_incidents_resolved, dependencies, dependencies_resolved,
         recent_orders, citation_check, simple_questions, json_repair, event_json, vector_norms, rerank_scores,
     )

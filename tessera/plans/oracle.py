@@ -356,6 +356,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN doc_id % 3 = 0 THEN '2026-01-01 00:00:00' ELSE '2026-01-02 00:00:00' END AS indexed_at FROM documents""",
     "source_blocks": rf"""WITH {ANSWERS} SELECT id, array_to_string(list_transform(range(1, n + 1), lambda i: '[' || i || '] ' || id || '.md, part ' || i || '/' || n || E':\n' || quoted), E'\n\n') AS block FROM answers""",
     "change_detection": f"WITH {MANIFEST}, {CHANGES} SELECT id, change, content_hash FROM changes",
+    "streamed_changes": f"WITH {MANIFEST}, {CHANGES} SELECT record_id AS id, 'new' AS change, content_hash FROM manifest UNION ALL SELECT id, change, content_hash FROM changes WHERE change <> 'unchanged'",
     "change_stats": f"WITH {MANIFEST}, {CHANGES} SELECT count(*) AS total, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'unchanged') AS unchanged FROM changes",
     "manifest_rows": f"WITH {MANIFEST} SELECT record_id, content_hash, source, 'rule' AS tier_used, '2026-01-01 00:00:00' AS indexed_at FROM manifest",
     "last_build": f"WITH {MANIFEST}, built AS (SELECT '2026-01-01 00:00:00' AS indexed_at FROM manifest) SELECT max(indexed_at) AS last_build FROM built",
