@@ -13,9 +13,10 @@ from ..functions.models import Complete, silent
 from ..functions.text import terms
 from ..functions.vectors import hashed_embedding
 from ..operators import bm25
-from ..operators.cascade import cost_summary, extract_all
+from ..operators.cascade import cost_summary, extract_all, tier_costs
 from ..operators.chunk import chunk
 from ..operators.graph_build import build_graph, resolve_unknown
+from ..operators.graph_query import edges_by_relation, nodes_by_type
 from ..operators.incremental import cache_rows, last_build, manifest_rows
 from ..operators.normalize import normalize_all
 from ..operators.vector import record_vectors
@@ -95,8 +96,17 @@ def ingest_folder(spark: SparkSession, folder: str, store: str, config: Config =
     return {"files_found": n, "files_processed": read, "files_skipped": n - read, "chunks_indexed": out["indexed"], "chunks_skipped": out["skipped"], "total_chunks_in_store": out["total_chunks_in_store"]}
 
 
+def overview(nodes: DataFrame, edges: DataFrame, manifest: DataFrame) -> DataFrame:
+    """what, name, n, cost: nodes by type, edges by relation, records by the tier that read them, with what that cost. A row for each kind."""
+    no_cost = F.lit(None).cast("double").alias("cost")
+    types = nodes_by_type(nodes).select(F.lit("type").alias("what"), F.col("type").alias("name"), F.col("nodes").alias("n"), no_cost)
+    relations = edges_by_relation(edges).select(F.lit("relation").alias("what"), F.col("relation").alias("name"), F.col("edges").alias("n"), no_cost)
+    tiers = tier_costs(manifest.select(F.col("tier_used").alias("tier"))).select(F.lit("tier").alias("what"), F.col("tier").alias("name"), F.col("records").alias("n"), "cost")
+    return types.unionByName(relations).unionByName(tiers)
+
+
 def health(spark: SparkSession, store: str) -> dict:
-    """What a dashboard shows: records and chunks stored, nodes and edges, when the last build was; None for what isn't there."""
+    """What a dashboard shows: records and chunks stored, nodes and edges, when the last build was, and the overview by kind; None for what isn't there."""
 
     def of(make: Callable[[], object]) -> object:
         try:
@@ -108,4 +118,5 @@ def health(spark: SparkSession, store: str) -> dict:
     return {
         "records": of(lambda: tables.vector_table(spark, f"{store}/vectors").read().count()), "chunks": of(lambda: tables.chunk_table(spark, f"{store}/chunks").read().count()),
         "nodes": nodes_edges[0], "edges": nodes_edges[1], "last_build": of(lambda: last_build(tables.manifest_table(spark, f"{store}/manifest").read()).first()[0]),
+        "overview": of(lambda: [r.asDict() for r in overview(*graphs.load(spark, f"{store}/graph"), tables.manifest_table(spark, f"{store}/manifest").read()).orderBy("what", "name").collect()]),  # a row a kind
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.models import lexical_overlap
 from ..functions.text import content_hash, is_simple, parse_json, text_hash, tokens
 from ..functions.vectors import norm
-from ..operators import bm25, cascade, citations, dedup, extract, fusion, graph_query, incremental, mentions, vector
+from ..operators import bm25, cascade, citations, dedup, extract, fusion, graph_query, incremental, mentions, quantised, same_as, vector
 from ..operators import chunk as chunking
 from ..operators.graph_build import build_graph, resolve_unknown
 from ..operators.normalize import normalize_all, normalize_logs
@@ -18,7 +18,7 @@ from .. import schemas
 from ..sources import tables
 from ..sources.scratch import scratch, written
 from ..streaming.changes import write_changes
-from . import given, retrieval
+from . import build, given, retrieval
 from .given import spread, table
 
 NOW, LATER = "2026-01-01 00:00:00", "2026-01-02 00:00:00"
@@ -157,6 +157,14 @@ def vector_topk_filtered(spark, sf_dir):
     return vector.top_by_cosine(rows, _first_vector(spark, sf_dir), 5, "vec_id", F.col("label") == 3).withColumn("score", F.round("score", 6))
 
 
+def quantised_topk(spark, sf_dir):
+    """The ten nearest of every fiftieth vector among all, by an index of codes."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = quantised.build(rows, scratch(spark, "codes"), "vec_id")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return quantised.search(index, asked, leave_out_self=True).withColumn("score", F.round("score", 6)).withColumnRenamed("id", "vec_id")
+
+
 def near_dup_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding")
     return dedup.near_pairs(rows, 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
@@ -250,7 +258,7 @@ def cascade_tiers(spark, sf_dir):
     """The batch driver over the exports: logs are in the cache, commits are unchanged, a model answers for the rest."""
     records = corpus(spark, sf_dir)
     logs, commits = (records.where(F.col("type") == kind) for kind in ("log", "commit"))
-    cache = logs.select(text_hash(F.col("title"), F.col("body")).alias("text_hash"), F.lit('{"entities": [], "relationships": []}').alias("result_json"))
+    cache = logs.select(text_hash(F.col("title"), F.col("body")).alias("text_hash"), F.lit('{"entities": [], "relationships": []}').alias("result_json")).distinct()
     out = cascade.extract_all(records, cache, incremental.manifest_rows(commits.withColumn("tier", F.lit("rule")), NOW), _answer)
     return out.select("id", "tier", "processed", F.size("entities").alias("entities"), F.size("relationships").alias("relationships"))
 
@@ -341,6 +349,11 @@ def graph_size(spark, sf_dir):
     return graph_query.graph_size(*order_graph(spark, sf_dir))
 
 
+def health_overview(spark, sf_dir):
+    """Nodes by type and edges by relation of the orders' graph, documents by the tier that the manifest names."""
+    return build.overview(*order_graph(spark, sf_dir), upserted_manifest(spark, sf_dir)).withColumn("cost", F.round("cost", 6))
+
+
 def node_degree(spark, sf_dir):
     return graph_query.degrees(*order_graph(spark, sf_dir))
 
@@ -366,6 +379,21 @@ def corpus_edges_resolved(spark, sf_dir):
     return corpus_graph(spark, sf_dir, True)[1].where("relation NOT IN ('mentions', 'owned_by')").select("from_id", "to_id", "relation")
 
 
+def _same(spark, sf_dir):
+    nodes, edges = corpus_graph(spark, sf_dir, True)
+    return nodes, edges, written(same_as.same_as(nodes, same_as.known_links(nodes)), "same")
+
+
+def corpus_same_as(spark, sf_dir):
+    """Nodes of the exports' graph that stand for another: tickets' and commits' entities, addresses, other spellings."""
+    return _same(spark, sf_dir)[2]
+
+
+def merged_edges(spark, sf_dir):
+    """The resolved graph's edges between what is left when nodes that are the same are one."""
+    return same_as.merge(*_same(spark, sf_dir))[1].select("from_id", "to_id", "relation")
+
+
 def _each(make: Callable, names: tuple[str, ...]):
     out = None
     for name in names:
@@ -452,9 +480,9 @@ def rerank_scores(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_documents, store_stats, stored_files, edge_pages, benchmark_mentions, doc_identity_collisions, bm25_term_stats, bm25_topk, vector_search_docs, hybrid_search, rerank_lexical, retrieval_funnel, cited_answers, vector_topk, vector_topk_filtered, near_dup_pairs, dedup_greedy, fuse_rankings,
+        chunk_documents, store_stats, stored_files, edge_pages, benchmark_mentions, doc_identity_collisions, bm25_term_stats, bm25_topk, vector_search_docs, hybrid_search, rerank_lexical, retrieval_funnel, cited_answers, vector_topk, vector_topk_filtered, quantised_topk, near_dup_pairs, dedup_greedy, fuse_rankings,
         normalize_events, normalize_union, entities_documents, entities_fixture, relations_fixture, unresolved_phrases, mentions_scan, needs_frontier, tier_costs, cascade_tiers, stored_chunks, upserted_manifest, source_blocks, change_detection, streamed_changes, change_stats, manifest_rows, last_build, cache_keys,
-        graph_nodes, graph_edges, node_type_counts, relation_counts, graph_size, node_degree, node_labels, ego_2hop, corpus_nodes, corpus_edges, corpus_edges_resolved, find_owner, find_owner_resolved, recent_changes, active_incidents, active_incidents_resolved, dependencies, dependencies_resolved,
+        graph_nodes, graph_edges, node_type_counts, relation_counts, graph_size, health_overview, node_degree, node_labels, ego_2hop, corpus_nodes, corpus_edges, corpus_edges_resolved, corpus_same_as, merged_edges, find_owner, find_owner_resolved, recent_changes, active_incidents, active_incidents_resolved, dependencies, dependencies_resolved,
         recent_orders, citation_check, simple_questions, json_repair, event_json, vector_norms, rerank_scores,
     )
 }

@@ -231,6 +231,18 @@ resolved_writes AS (
   UNION ALL SELECT from_id, to_id, relation, place FROM edge_writes WHERE relation IN ('owned_by', 'mentions') AND extraction_source IS NULL),
 resolved_edges AS (SELECT from_id, to_id, arg_max(relation, place) AS relation FROM resolved_writes GROUP BY from_id, to_id)
 """
+#: What is the same by how ids are made: chains of one link, so that a representative is told by its place among its neighbours.
+SAME = rf"""
+spelled AS (SELECT 'service__' || replace(alias, '-', '_') AS a, 'service__' || replace(canon, '-', '_') AS b FROM services
+  UNION SELECT 'engineer__' || replace(lower(alias), ' ', '_'), 'engineer__' || replace(lower(canon), ' ', '_') FROM owners UNION SELECT {_snake("'email'", "alias")}, 'engineer__' || replace(lower(canon), ' ', '_') FROM owners
+  UNION SELECT {_snake("'jira_ticket'", "id")}, id FROM nodes WHERE type = 'ticket' UNION SELECT {_snake("'commit_sha'", "id")}, id FROM nodes WHERE type = 'commit'),
+pairs AS (SELECT s.a, s.b FROM spelled s WHERE a <> b AND a IN (SELECT id FROM nodes) AND b IN (SELECT id FROM nodes)),
+members AS (SELECT a AS id, b AS hub FROM pairs UNION SELECT b, b FROM pairs),
+placed AS (SELECT m.id, hub, coalesce(type NOT IN ('ticket', 'commit', 'doc', 'log'), TRUE) AS later, place FROM members m JOIN nodes n ON n.id = m.id),
+same AS (SELECT id, first_value(id) OVER (PARTITION BY hub ORDER BY later, place[1], id) AS same FROM placed QUALIFY id <> same),
+merged AS (SELECT coalesce(x.same, from_id) AS from_id, coalesce(y.same, to_id) AS to_id, relation, CASE relation WHEN 'owned_by' THEN 0.99 WHEN 'mentions' THEN 0.95 WHEN 'depends_on' THEN 0.80 ELSE 0.75 END AS confidence
+           FROM resolved_edges LEFT JOIN same x ON x.id = from_id LEFT JOIN same y ON y.id = to_id)
+"""
 BOTH = "ways AS (SELECT from_id AS a, to_id AS b FROM edge_writes UNION SELECT to_id, from_id FROM edge_writes)"
 
 
@@ -328,6 +340,8 @@ ORACLES: dict[str, str] = {
     "cited_answers": f"WITH {FILES}, {BM25}, {VECTOR}, {FUSED}, {RERANKED} SELECT query_id, string_agg(rank || ':' || chunk_id, ' ' ORDER BY rank) AS cited FROM reranked WHERE rank <= 2 GROUP BY query_id",
     "vector_topk": f"WITH {COSINE} SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM scored QUALIFY rank <= 50",
     "vector_topk_filtered": f"WITH {COSINE} SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM scored WHERE label = 3 QUALIFY rank <= 5",
+    "quantised_topk": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10""",
     "near_dup_pairs": f"WITH {FIRST_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM kept WHERE similarity >= 0.3",
     "dedup_greedy": f"""WITH RECURSIVE {PAIRS}, links AS MATERIALIZED (SELECT a, b FROM pairs WHERE similarity >= 0.3),
         ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
@@ -366,6 +380,9 @@ ORACLES: dict[str, str] = {
     "node_type_counts": f"WITH {GRAPH} SELECT type, count(*) AS nodes FROM nodes GROUP BY type",
     "relation_counts": f"WITH {GRAPH} SELECT relation, count(*) AS edges FROM edges GROUP BY relation",
     "graph_size": f"WITH {GRAPH} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges",
+    "health_overview": f"""WITH {GRAPH}, t AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'rule' ELSE 'llm_cheap' END AS tier FROM documents)
+        SELECT 'type' AS what, type AS name, count(*) AS n, NULL::DOUBLE AS cost FROM nodes GROUP BY type UNION ALL SELECT 'relation', relation, count(*), NULL FROM edges GROUP BY relation
+        UNION ALL SELECT 'tier', v.tier, count(t.tier), round(count(t.tier) * price, 6) FROM (VALUES ('cache', 0.0::DOUBLE), ('rule', 0.0), ('llm_cheap', 0.0002), ('llm_frontier', 0.003)) AS v(tier, price) LEFT JOIN t ON t.tier = v.tier GROUP BY v.tier, price""",
     "node_degree": f"WITH {GRAPH} SELECT id, degree FROM degrees",
     "node_labels": """WITH held AS (SELECT 'ORD-' || o_orderkey AS id, o_orderkey, o_orderpriority AS title, 'engineer__' || replace(lower(c_name), ' ', '_') AS who, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
         brands AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE p_brand <> ''),
@@ -387,6 +404,8 @@ ORACLES: dict[str, str] = {
     "corpus_nodes": f"WITH {CORPUS} SELECT id, type, title, name, owner, extraction_source FROM nodes",
     "corpus_edges": f"WITH {CORPUS} SELECT from_id, to_id, arg_max(relation, place) AS relation, arg_max(confidence, place) AS confidence, max(extraction_source) AS extraction_source FROM edge_writes GROUP BY from_id, to_id",
     "corpus_edges_resolved": f"WITH {CORPUS}, {RESOLVED} SELECT from_id, to_id, relation FROM resolved_edges WHERE relation NOT IN ('mentions', 'owned_by')",
+    "corpus_same_as": f"WITH {CORPUS}, {RESOLVED}, {SAME} SELECT id, same FROM same",
+    "merged_edges": f"WITH {CORPUS}, {RESOLVED}, {SAME} SELECT from_id, to_id, first(relation ORDER BY confidence DESC, relation) AS relation FROM merged WHERE from_id <> to_id GROUP BY from_id, to_id",
     "json_repair": f"WITH {REPAIRED}",
     "citation_check": f"WITH {CITED}",
     "find_owner": _of_service(_owner_of(False), ("fraud-detection", "inventory-service", "nowhere")),

@@ -94,11 +94,25 @@ def _pdf_text(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(one, na_action="ignore") if PdfReader else pd.Series([None] * len(batch), dtype=object)
 
 
+#: A PDF file of fewer characters may be a scan.
+LITTLE_TEXT = 50
+
+
 def with_text(files: DataFrame) -> DataFrame:
-    """Files with `text`: UTF-8 with U+FFFD for what isn't; of PDF files the pages' text if a reader is installed and can."""
+    """Files with `text`: UTF-8 with U+FFFD for what isn't; of PDF files the pages' text if a reader is installed and can. `warning` says what
+    may be wrong with a PDF file: it couldn't be read as one, or has hardly any text. Null for all others."""
     plain = F.expr("make_valid_utf8(cast(content AS string))")
     is_pdf = extension(F.col("filename")) == ".pdf"
     # Only PDF files pass through Python.
-    texts = files.where(~is_pdf | is_pdf.isNull()).withColumn("text", plain)
-    pdfs = files.where(is_pdf).withColumn("text", F.coalesce(_pdf_text("content"), plain))
+    texts = files.where(~is_pdf | is_pdf.isNull()).withColumns({"text": plain, "warning": F.lit(None).cast("string")})
+    pages = files.where(is_pdf).withColumn("pages", _pdf_text("content"))
+    warning = F.when(F.col("pages").isNull(), "not read as PDF; its bytes are taken as text").when(F.length("pages") < LITTLE_TEXT, "hardly any text; it may hold pictures of pages")
+    pdfs = pages.withColumns({"text": F.coalesce("pages", plain), "warning": warning}).drop("pages")
     return texts.unionByName(pdfs).drop("content")
+
+
+def file_problems(spark: SparkSession, folder: str) -> DataFrame:
+    """path, filename, problem of the files of list_folder that read_folder leaves out, and of those that with_text warns of. Reads all contents."""
+    whole = read_folder(spark, folder)
+    left_out = list_folder(spark, folder).join(whole.select("path"), "path", "left_anti")
+    return left_out.select("path", "filename", F.lit("can't be read, or is too long for a row").alias("problem")).unionByName(with_text(whole).where("warning IS NOT NULL").select("path", "filename", F.col("warning").alias("problem")))

@@ -53,6 +53,9 @@ def test_build_is_incremental(spark, tmp_path):
     assert first["total"] > 0 and first["vectors_added"] == 17
     assert again["total"] == 0 and again["vectors_added"] == 0 and again["vectors_skipped"] == 17
     nodes, edges = graphs.load(spark, str(tmp_path / "store" / "graph"))
+    shown = build.health(spark, str(tmp_path / "store"))
+    assert sum(r["n"] for r in shown["overview"] if r["what"] == "type") == shown["nodes"] and sum(r["n"] for r in shown["overview"] if r["what"] == "tier") == 17
+    assert {r["name"] for r in shown["overview"] if r["what"] == "relation"} >= {"mentions", "owned_by"} and sum(r["cost"] or 0 for r in shown["overview"]) == pytest.approx(first["total"])
     assert nodes.count() > 17 and edges.count() > 17
     store = agent.Store(nodes, edges, tables.vector_table(spark, str(tmp_path / "store" / "vectors")).read())
     out = agent.run_agent("Who mends the inventory-service when it stalls at night?", store, agent.Offline(("inventory-service",)))
@@ -130,6 +133,28 @@ def test_folder_and_stream_ingest(spark, tmp_path):
         files.read_folder(spark, str(folder / "a.TXT"))
 
 
+def test_pdf_files(spark, tmp_path):
+    """With a reader at hand, pages are joined; files of hardly any text, and those that are no PDF, are told of."""
+    (tmp_path / "lib").mkdir()
+    fake = "class _Page:\n    def __init__(self, t): self.t = t\n    def extract_text(self): return self.t\nclass PdfReader:\n    def __init__(self, f):\n        raw = f.read()\n        if not raw.startswith(b'%PDF'): raise ValueError('no PDF')\n        self.pages = [_Page(t or None) for t in raw[4:].decode().split('|')]\n"
+    (tmp_path / "lib" / "pypdf.py").write_text(fake)
+    spark.sparkContext.addPyFile(str(tmp_path / "lib" / "pypdf.py"))
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    long = "page one of a text that is long enough, " * 2
+    for name, content in (("a.pdf", f"%PDF {long}||end "), ("b.PDF", "%PDFscan"), ("c.pdf", "broken \xff"), ("d.md", "x")):
+        (folder / name).write_bytes(content.encode("latin-1"))
+    rows = {r.filename: r for r in files.with_text(files.read_folder(spark, str(folder))).collect()}
+    assert rows["a.pdf"].text == f"{long}\n\n\n\nend" and rows["a.pdf"].warning is None and rows["d.md"].warning is None
+    assert rows["b.PDF"].text == "scan" and "hardly" in rows["b.PDF"].warning and rows["c.pdf"].text == "broken \ufffd" and "not read" in rows["c.pdf"].warning
+    problems = {r.filename: r.problem for r in files.file_problems(spark, str(folder)).collect()}
+    assert set(problems) == {"b.PDF", "c.pdf"}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "60")
+    problems = {r.filename: r.problem for r in files.file_problems(spark, str(folder)).collect()}
+    spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert set(problems) == {"a.pdf", "b.PDF", "c.pdf"} and "too long" in problems["a.pdf"]
+
+
 def test_tables_add_and_put(spark, tmp_path, monkeypatch):
     """Additions cost files of their own; what is read is the last row of each key."""
     monkeypatch.setattr(tables, "MOST_PARTS", 4)
@@ -167,7 +192,7 @@ def test_ingest_adds_postings(spark, tmp_path):
     q = spark.createDataFrame([(1, "w1 w7"), (2, "w0")], "query_id int, query string")
     found = [[(r.query_id, r.chunk_id, round(r.score, 9)) for r in bm25.search(x, q, 5).orderBy("query_id", "rank").collect()] for x in (index, whole)]
     assert found[0] == found[1]
-    assert build.health(spark, store) == {"records": 0, "chunks": whole.chunks.count(), "nodes": None, "edges": None, "last_build": None}
+    assert build.health(spark, store) == {"records": 0, "chunks": whole.chunks.count(), "nodes": None, "edges": None, "last_build": None, "overview": None}
 
 
 def test_search_stages(spark, small):
