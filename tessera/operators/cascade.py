@@ -84,10 +84,10 @@ def extract_tiered(records: DataFrame, cache: DataFrame, complete: Complete = si
     hit = hit.withColumns({"entities": F.coalesce("r.entities", F.array()), "relationships": F.coalesce("r.relationships", F.array()), "unresolved_text": none_, "tier": F.lit("cache"), "failed": F.lit(False)})
     ruled = extract_with_rules(keyed.where(F.col("result_json").isNull())).withColumns({"tier": F.lit("rule"), "failed": F.lit(False)})
     columns = [*records.columns, "entities", "relationships", "unresolved_text", "tier", "failed"]
-    # The first tier's result decides who is asked next, and is read again with the second's.
-    ruled = _ask(ruled.select(*columns), F.col("unresolved_text").isNotNull(), cheap_prompt(F.col("unresolved_text")), config.cheap_model, "llm_cheap", complete)
+    # Each tier's result decides who is asked next, and is read again with that one's; so it is written.
+    ruled = _ask(written(ruled.select(*columns), "ruled"), F.col("unresolved_text").isNotNull(), cheap_prompt(F.col("unresolved_text")), config.cheap_model, "llm_cheap", complete)
     complex_ = needs_frontier(F.col("body"), F.col("source"), F.size("entities"), F.size("relationships"))
-    ruled = _ask(ruled, complex_, frontier_prompt(F.col("title"), F.col("body"), F.col("source")), config.frontier_model, "llm_frontier", complete)
+    ruled = _ask(written(ruled, "cheaply-asked"), complex_, frontier_prompt(F.col("title"), F.col("body"), F.col("source")), config.frontier_model, "llm_frontier", complete)
     return ruled.unionByName(hit.select(*columns))
 
 
