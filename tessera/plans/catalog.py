@@ -15,7 +15,7 @@ from ..operators import chunk as chunking
 from ..operators.graph_build import build_graph, resolve_unknown
 from ..operators.normalize import normalize_all, normalize_logs
 from .. import schemas
-from ..sources import tables
+from ..sources import graphs, tables
 from ..sources.scratch import scratch, written
 from ..streaming.changes import write_changes
 from . import build, given, retrieval
@@ -111,6 +111,22 @@ def bm25_topk(spark, sf_dir):
     return bm25.search(index, questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+def stored_bm25(spark, sf_dir):
+    """As bm25_topk, from an index that was written in two parts, the second added to the first."""
+    own, path = written(chunks(spark, sf_dir), "chunks"), scratch(spark, "bm25")
+    for part, mode in ((0, "overwrite"), (1, "append")):
+        bm25.fit(own.where(F.col("chunk_index") % 2 == part)).write(path, mode)
+    return bm25.search(bm25.Index.read(spark, path), questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def chunks_by_id(spark, sf_dir):
+    """The stored chunks that are some question's first by BM25, read by their ids."""
+    store = tables.chunk_table(spark, scratch(spark, "chunks"))
+    store.append_absent(chunks(spark, sf_dir))
+    best = bm25.search(bm25.fit(store.read()).persist(), questions(spark, sf_dir), 1)
+    return tables.by_ids(store.read(), best, "chunk_id").select("chunk_id", "filename", "text", "total_chunks")
+
+
 def _search(spark, sf_dir) -> retrieval.Search:
     # A store would hold chunks and index as tables; here they are kept while the stages read them.
     own = chunks(spark, sf_dir).persist()
@@ -143,6 +159,17 @@ def cited_answers(spark, sf_dir):
     return out.select("query_id", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["ref"].cast("string"), c["chunk_id"])), " ").alias("cited"))
 
 
+def _reply(prompt: str, model: str) -> str:
+    """A model that cites its first passage, and one that isn't there."""
+    return "It says so [1]. That is all. And so says another [9]."
+
+
+def asked_answers(spark, sf_dir):
+    """A model's answers to all questions, checked against their passages."""
+    out = retrieval.answer(_search(spark, sf_dir), questions(spark, sf_dir), complete=_reply)
+    return out.select("query_id", "answer", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["ref"].cast("string"), c["chunk_id"])), " ").alias("cited"))
+
+
 def _first_vector(spark, sf_dir) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").orderBy("vec_id").first().embedding)
 
@@ -280,6 +307,16 @@ def upserted_manifest(spark, sf_dir):
     return store.read()
 
 
+def stored_cache(spark, sf_dir):
+    """The cache of extractions after two runs: a row for each text, of the last run that had it."""
+    records = document_records(spark, sf_dir)
+    empty = {c: F.from_json(F.lit("[]"), f"array<{kind}>") for c, kind in (("entities", schemas.ENTITY), ("relationships", schemas.RELATION))}
+    store = tables.cache_table(spark, scratch(spark, "cache"))
+    for rows, tier, at in ((records, "rule", NOW), (records.where("ord % 3 > 0"), "llm_cheap", LATER)):
+        store.upsert(incremental.cache_rows(rows.withColumns(empty | {"tier": F.lit(tier)}), at))
+    return store.read()
+
+
 def source_blocks(spark, sf_dir):
     """What a model is shown of the sources of each answer."""
     return given.answers(spark, sf_dir).select("id", citations.source_block(F.col("sources")).alias("block"))
@@ -367,6 +404,29 @@ def ego_2hop(spark, sf_dir):
     return graph_query.context(nodes, edges, "ORD-1").select("id", "hop", "title", F.col("outgoing").cast("int").alias("outgoing"), F.col("incoming").cast("int").alias("incoming"))
 
 
+def ego_first(spark, sf_dir):
+    """The ten nodes nearest to an order, in the order in which a model is shown them."""
+    from pyspark.sql import Window
+
+    nodes, edges = order_graph(spark, sf_dir)
+    near = graph_query.context(nodes, edges, "ORD-1", limit=10)
+    return near.select("id", "hop", F.row_number().over(Window.orderBy("hop", "ord", "id")).alias("place"))
+
+
+def loaded_graph(spark, sf_dir):
+    """The orders' graph saved and loaded: its edges."""
+    path = scratch(spark, "graph")
+    graphs.save(*order_graph(spark, sf_dir), path)
+    return graphs.load(spark, path)[1].select("from_id", "to_id", "relation", "confidence")
+
+
+def exported_graph(spark, sf_dir):
+    """The orders' graph as node-link JSON and read back: its nodes."""
+    path = scratch(spark, "json")
+    graphs.export_json(*order_graph(spark, sf_dir), path)
+    return graphs.import_json(spark, path)[0].select("id", "type", "title", "name", "owner", "timestamp", "priority", "status")
+
+
 def corpus_nodes(spark, sf_dir):
     return corpus_graph(spark, sf_dir)[0].select("id", "type", "title", "name", "owner", "extraction_source")
 
@@ -480,9 +540,9 @@ def rerank_scores(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        chunk_documents, store_stats, stored_files, edge_pages, benchmark_mentions, doc_identity_collisions, bm25_term_stats, bm25_topk, vector_search_docs, hybrid_search, rerank_lexical, retrieval_funnel, cited_answers, vector_topk, vector_topk_filtered, quantised_topk, near_dup_pairs, dedup_greedy, fuse_rankings,
-        normalize_events, normalize_union, entities_documents, entities_fixture, relations_fixture, unresolved_phrases, mentions_scan, needs_frontier, tier_costs, cascade_tiers, stored_chunks, upserted_manifest, source_blocks, change_detection, streamed_changes, change_stats, manifest_rows, last_build, cache_keys,
-        graph_nodes, graph_edges, node_type_counts, relation_counts, graph_size, health_overview, node_degree, node_labels, ego_2hop, corpus_nodes, corpus_edges, corpus_edges_resolved, corpus_same_as, merged_edges, find_owner, find_owner_resolved, recent_changes, active_incidents, active_incidents_resolved, dependencies, dependencies_resolved,
+        chunk_documents, store_stats, stored_files, edge_pages, benchmark_mentions, doc_identity_collisions, bm25_term_stats, bm25_topk, stored_bm25, chunks_by_id, vector_search_docs, hybrid_search, rerank_lexical, retrieval_funnel, cited_answers, asked_answers, vector_topk, vector_topk_filtered, quantised_topk, near_dup_pairs, dedup_greedy, fuse_rankings,
+        normalize_events, normalize_union, entities_documents, entities_fixture, relations_fixture, unresolved_phrases, mentions_scan, needs_frontier, tier_costs, cascade_tiers, stored_chunks, upserted_manifest, stored_cache, source_blocks, change_detection, streamed_changes, change_stats, manifest_rows, last_build, cache_keys,
+        graph_nodes, graph_edges, node_type_counts, relation_counts, graph_size, health_overview, node_degree, node_labels, ego_2hop, ego_first, loaded_graph, exported_graph, corpus_nodes, corpus_edges, corpus_edges_resolved, corpus_same_as, merged_edges, find_owner, find_owner_resolved, recent_changes, active_incidents, active_incidents_resolved, dependencies, dependencies_resolved,
         recent_orders, citation_check, simple_questions, json_repair, event_json, vector_norms, rerank_scores,
     )
 }

@@ -332,12 +332,15 @@ ORACLES: dict[str, str] = {
         raws AS (SELECT term, df, ln((SELECT count(*) FROM terms) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs)
         SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END, 6) AS idf FROM raws""",
     "bm25_topk": f"WITH {FILES}, {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lexical",
+    "stored_bm25": f"WITH {FILES}, {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM lexical",
+    "chunks_by_id": f"WITH {FILES}, {BM25} SELECT chunk_id, filename, text, total_chunks FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM lexical WHERE rank = 1)",
     "vector_search_docs": f"WITH {FILES}, {VECTOR} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM near",
     "hybrid_search": f"WITH {FILES}, {BM25}, {VECTOR}, {FUSED} SELECT query_id, chunk_id, rank::INTEGER AS rank, round(rrf, 6) AS rrf, round(bm25_score, 6) AS bm25_score, round(vector_score, 6) AS vector_score, round(coalesce(bm25_score, vector_score), 6) AS score FROM fused",
     "rerank_lexical": f"WITH {FILES}, {BM25}, {VECTOR}, {FUSED}, {RERANKED} SELECT query_id, chunk_id, rank::INTEGER AS rank, round(score, 6) AS score FROM reranked",
     "retrieval_funnel": f"""WITH {FILES}, {BM25}, {VECTOR}, {FUSED}, {RERANKED} SELECT item_id AS query_id, (SELECT count(*) FROM lexical x WHERE x.query_id = item_id) AS bm25_hits, (SELECT count(*) FROM near x WHERE x.query_id = item_id) AS vector_hits,
         (SELECT count(*) FROM fused x WHERE x.query_id = item_id) AS after_rrf, (SELECT count(*) FROM reranked x WHERE x.query_id = item_id) AS after_rerank FROM benchmark""",
     "cited_answers": f"WITH {FILES}, {BM25}, {VECTOR}, {FUSED}, {RERANKED} SELECT query_id, string_agg(rank || ':' || chunk_id, ' ' ORDER BY rank) AS cited FROM reranked WHERE rank <= 2 GROUP BY query_id",
+    "asked_answers": f"WITH {FILES}, {BM25}, {VECTOR}, {FUSED}, {RERANKED} SELECT query_id, 'It says so [1]. That is all.' AS answer, '1:' || chunk_id AS cited FROM reranked WHERE rank = 1",
     "vector_topk": f"WITH {COSINE} SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM scored QUALIFY rank <= 50",
     "vector_topk_filtered": f"WITH {COSINE} SELECT vec_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id)::INTEGER AS rank FROM scored WHERE label = 3 QUALIFY rank <= 5",
     "quantised_topk": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
@@ -368,6 +371,8 @@ ORACLES: dict[str, str] = {
     "stored_chunks": f"WITH {FILES} SELECT chunk_id, filename, chunk_index FROM chunks",
     "upserted_manifest": """SELECT doc_id::VARCHAR AS record_id, md5(coalesce(lang, '') || coalesce(text, '')) AS content_hash, source, CASE WHEN doc_id % 3 = 0 THEN 'rule' ELSE 'llm_cheap' END AS tier_used,
         CASE WHEN doc_id % 3 = 0 THEN '2026-01-01 00:00:00' ELSE '2026-01-02 00:00:00' END AS indexed_at FROM documents""",
+    "stored_cache": """SELECT md5(coalesce(lang, '') || ' ' || coalesce(text, '')) AS text_hash, '{"entities":[],"relationships":[]}' AS result_json, CASE WHEN bool_or(doc_id % 3 > 0) THEN 'llm_cheap' ELSE 'rule' END AS tier_used,
+        CASE WHEN bool_or(doc_id % 3 > 0) THEN '2026-01-02 00:00:00' ELSE '2026-01-01 00:00:00' END AS created_at FROM documents GROUP BY 1""",
     "source_blocks": rf"""WITH {ANSWERS} SELECT id, array_to_string(list_transform(range(1, n + 1), lambda i: '[' || i || '] ' || id || '.md, part ' || i || '/' || n || E':\n' || quoted), E'\n\n') AS block FROM answers""",
     "change_detection": f"WITH {MANIFEST}, {CHANGES} SELECT id, change, content_hash FROM changes",
     "streamed_changes": f"WITH {MANIFEST}, {CHANGES} SELECT record_id AS id, 'new' AS change, content_hash FROM manifest UNION ALL SELECT id, change, content_hash FROM changes WHERE change <> 'unchanged'",
@@ -393,6 +398,13 @@ ORACLES: dict[str, str] = {
     "ego_2hop": f"""WITH {GRAPH}, h1 AS (SELECT DISTINCT b AS id FROM ends WHERE a = 'ORD-1'), h2 AS (SELECT DISTINCT b AS id FROM ends WHERE a IN (SELECT id FROM h1)),
         near AS (SELECT id, min(hop) AS hop FROM (SELECT 'ORD-1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id)
         SELECT n.id, hop, coalesce(nullif(title, ''), nullif(name, ''), n.id) AS title, (SELECT count(*) FROM edges WHERE from_id = n.id)::INTEGER AS outgoing, (SELECT count(*) FROM edges WHERE to_id = n.id)::INTEGER AS incoming FROM nodes n JOIN near USING (id)""",
+    "ego_first": f"""WITH {GRAPH}, h1 AS (SELECT DISTINCT b AS id FROM ends WHERE a = 'ORD-1'), h2 AS (SELECT DISTINCT b AS id FROM ends WHERE a IN (SELECT id FROM h1)),
+        near AS (SELECT id, min(hop) AS hop FROM (SELECT 'ORD-1' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY id),
+        firsts AS (SELECT id, o_orderkey AS ord FROM held UNION ALL SELECT 'engineer__' || replace(lower(c_name), ' ', '_'), o_orderkey FROM held WHERE c_name <> '' UNION ALL SELECT 'service__' || replace(p_brand, '-', '_'), l_orderkey FROM brands JOIN orders ON l_orderkey = o_orderkey),
+        placed AS (SELECT near.id, hop, min(ord) AS ord FROM near JOIN firsts USING (id) GROUP BY ALL)
+        SELECT id, hop, row_number() OVER (ORDER BY hop, ord, id)::INTEGER AS place FROM placed QUALIFY place <= 10""",
+    "loaded_graph": f"WITH {GRAPH} SELECT * FROM edges",
+    "exported_graph": f"WITH {GRAPH} SELECT * FROM nodes",
     "recent_orders": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS rank FROM orders QUALIFY rank <= 5",
     "simple_questions": r"SELECT conv_id, turn, ({}) AND len(regexp_extract_all(coalesce(text, ''), '\S+')) < 8 AS simple FROM conversations WHERE role = 'user'".format(" OR ".join(f"starts_with(lower(coalesce(text, '')), '{s}')" for s in SIMPLE)),
     "event_json": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
