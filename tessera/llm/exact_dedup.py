@@ -182,10 +182,11 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     own, sha, place = free_names(docs, 3)
     kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     keyed = docs.withColumn(sha, F.sha2(without_spaces(F.col("text")), 256)).withColumn(own, F.col("doc_id").cast("long"))
-    left = keyed.join(kept, keyed[own].eqNullSafe(kept["kept_id"]) & (keyed[sha] == kept["kept_sha"]), "left_semi")
     if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # Before the join, so that no key of it is hot: Spark limits each group to a row in the tasks that read it.
         first = Window.partitionBy(own, sha).orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))
-        left = left.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+        keyed = keyed.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    left = keyed.join(kept, keyed[own].eqNullSafe(kept["kept_id"]) & (keyed[sha] == kept["kept_sha"]), "left_semi")
     return left.drop(own, sha)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -14,9 +14,13 @@ from .common import hot_join, partitions, read_table, spread, written
 from .components import components
 
 SEED, WORDS, RADIUS = 42, 3, 2
-#: Fingerprints fall into four blocks of 16 bits. Two that differ in 2 bits agree in two whole blocks.
+#: Fingerprints fall into three blocks, first bit and width. Two that differ in 2 bits agree in one whole block.
+THIRDS = [(0, 21), (21, 21), (42, 22)]
+#: How many fingerprints a bin is to hold on average: so many tiles that those of far bit counts can be skipped.
+BIN = 2048
+#: Or into four blocks of 16 bits. Two that differ in 2 bits agree in two whole blocks.
 BLOCK_PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-#: Bins of more fingerprints are dealt out anew by pairs of the remaining bits' four blocks.
+#: Bins of more fingerprints are dealt out anew, by finer blocks.
 HOT_BIN = 20_000
 #: Rows of a tile, tiles that are compared with themselves in one step, links that are held before they become a forest.
 TILE, TILES, LINKS = 256, 32, 1 << 20
@@ -154,28 +158,48 @@ def _block(width: int, i: int):
     return F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def link_fingerprints(marks: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct fingerprints within RADIUS.
+def _by(keys: list) -> Column:
+    """A row for each of these (t, k)."""
+    return F.explode(F.array(*[F.struct(t.cast("long").alias("t"), k.cast("long").alias("k")) for t, k in keys])).alias("x")
 
-    Every fingerprint goes to six bins, one for each two of its four blocks; two fingerprints
-    within 2 bits meet in one at least, and tiles of different bins need no comparison. Bins of over
-    HOT_BIN are split in the same way by what is left of the fingerprint; then 48 bits are equal,
-    so that no bin can hold more than 65,536, however many documents there are.
-    """
-    six = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("t"), (F.shiftleft(_block(16, p), 16) + _block(16, q)).alias("k")) for i, (p, q) in enumerate(BLOCK_PAIRS)])).alias("x")
-    binned = marks.select("fp", six).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp")
-    hot = binned.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BIN).select("t", "k")
+
+def _apart(bins: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Bins of up to HOT_BIN; the others, if there are any."""
+    hot = bins.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BIN).select("t", "k")
     hot = written(hot, "hot-bins")
-    if not hot.isEmpty():
-        rest = F.lit(None)
-        for i, (p, q) in enumerate(BLOCK_PAIRS):
-            r, s = (x for x in range(4) if x not in (p, q))
-            rest = F.when(F.col("t") == i, F.shiftleft(_block(16, r), 16) + _block(16, s)).otherwise(rest)
-        part = [F.shiftrightunsigned("rest", 8 * i).bitwiseAND(F.lit(255)) for i in range(4)]
-        again = F.explode(F.array(*[F.struct((6 + 6 * F.col("t") + i).alias("t"), (F.shiftleft("k", 16) + F.shiftleft(part[p], 8) + part[q]).alias("k")) for i, (p, q) in enumerate(BLOCK_PAIRS)])).alias("x")
-        split = binned.join(hot, ["t", "k"], "left_semi").withColumn("rest", rest).select("fp", again).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp")
-        binned = binned.join(hot, ["t", "k"], "left_anti").unionByName(split)
-    dealt = binned.repartition(partitions(marks.sparkSession), "t", "k").sortWithinPartitions("t", "k", F.bit_count("fp"), "fp")
+    return (bins, None) if hot.isEmpty() else (bins.join(hot, ["t", "k"], "left_anti"), bins.join(hot, ["t", "k"], "left_semi"))
+
+
+def bins_of(marks: DataFrame) -> DataFrame:
+    """t, k, fp: the bins (t, k) of distinct fingerprints, in one of which any two within RADIUS meet.
+
+    Every fingerprint goes to three bins, each by a hash of one of its three blocks, of about BIN fingerprints;
+    where all fit one bin, to that. A bin of over HOT_BIN (blocks that many share) is dealt anew to six bins, one for each
+    two of its four blocks; and those of over HOT_BIN in the same way by what is left of the fingerprint: then 48 bits
+    are equal, so that no bin can hold more than 65,536, however many documents there are.
+    """
+    n = marks.count() // BIN
+    thirds = [(F.lit(i), F.pmod(F.xxhash64(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))), F.lit(n))) for i, (at, width) in enumerate(THIRDS)]
+    bins, hot = _apart(marks.select("fp", _by(thirds if n > 1 else [(F.lit(0), F.lit(0))])).select("x.t", "x.k", "fp"))
+    if hot is None:
+        return bins
+    six = [(F.lit(3 + i), F.shiftleft(_block(16, p), 16) + _block(16, q)) for i, (p, q) in enumerate(BLOCK_PAIRS)]
+    more, hot = _apart(hot.select("fp").distinct().select("fp", _by(six)).select("x.t", "x.k", "fp"))
+    bins = bins.unionByName(more)
+    if hot is None:
+        return bins
+    rest = F.lit(None)
+    for i, (p, q) in enumerate(BLOCK_PAIRS):
+        r, s = (x for x in range(4) if x not in (p, q))
+        rest = F.when(F.col("t") == 3 + i, F.shiftleft(_block(16, r), 16) + _block(16, s)).otherwise(rest)
+    part = [F.shiftrightunsigned("rest", 8 * i).bitwiseAND(F.lit(255)) for i in range(4)]
+    again = [(9 + 6 * F.col("t") + i, F.shiftleft("k", 16) + F.shiftleft(part[p], 8) + part[q]) for i, (p, q) in enumerate(BLOCK_PAIRS)]
+    return bins.unionByName(hot.withColumn("rest", rest).select("fp", _by(again)).select("x.t", "x.k", "fp"))
+
+
+def link_fingerprints(marks: DataFrame) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of distinct fingerprints within RADIUS: the bins' tiles, compared."""
+    dealt = bins_of(marks).repartition(partitions(marks.sparkSession), "t", "k").sortWithinPartitions("t", "k", F.bit_count("fp"), "fp")
     return dealt.mapInArrow(_link_partition, "a long, b long")
 
 

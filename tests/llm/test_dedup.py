@@ -3,11 +3,13 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import components, exact_dedup, simhash, suffixes
+from tessera.llm.common import written
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 
@@ -70,6 +72,15 @@ def test_one_row_repeated_many_times(spark):
     assert "explode" not in rows._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_pipeline_drops_a_row_repeated_many_times(spark):
+    """One row is a third of the table: each task that reads some passes on one."""
+    docs = spark.range(0, 100_000, 1, 8).selectExpr("if(id < 99990, 7L, id) AS doc_id", "if(id < 99990, 'the same text', concat('text ', id)) AS text", "id AS n_chars")
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(7, "the same text")] + [(i, f"text {i}") for i in range(99_990, 100_000)]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_index_grows_by_runs(spark, hard, hard_list):
     index = exact_dedup.DigestIndex(spark)
     for part in range(3):
@@ -153,7 +164,30 @@ def test_tiles_are_compared_and_skipped():
     assert simhash.link_bins(bins, marks)[2] >= n
 
 
-def test_hot_bins_are_split(spark, monkeypatch):
+def test_tile_pairs_of_the_given_table_are_skipped(spark):
+    """Of sf0.1, whole: the classes are those of comparing everything, and part of the tile pairs needn't be compared."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    marks = written(simhash.fingerprints(docs).select("fp").distinct(), "test-marks")
+    rows = np.array([(r.t, r.k, r.fp) for r in simhash.bins_of(marks).collect()], np.int64)
+    fp = rows[:, 2].view(np.uint64)
+    order = np.lexsort((fp, np.bitwise_count(fp), rows[:, 1], rows[:, 0]))
+    own, fp = rows[order, :2], fp[order]
+    bins = np.cumsum(np.concatenate(([0], (own[1:] != own[:-1]).any(axis=1))))
+    a, b, compared, skipped = simhash.link_bins(bins, fp)
+    print(len(fp), bins[-1] + 1, compared, skipped)
+    assert skipped > 0
+    every = np.unique(fp)
+    pairs = []
+    for i in range(0, len(every), 512):
+        x, y = np.nonzero(np.bitwise_count(every[i : i + 512, None] ^ every[None]) <= simhash.RADIUS)
+        pairs += zip(every[i + x].tolist(), every[y].tolist())
+    nodes = every.tolist()
+    assert closure(zip(a.tolist(), b.tolist()), nodes) == closure(pairs, nodes)
+
+
+@pytest.mark.parametrize("bin_", [8, 64, 2048])
+def test_hot_bins_are_split(spark, monkeypatch, bin_):
+    monkeypatch.setattr(simhash, "BIN", bin_)
     monkeypatch.setattr(simhash, "HOT_BIN", 20)
     rng = np.random.default_rng(1)
     marks = sorted({int(m) for m in rng.integers(0, 2**63, 40)} | {(1 << a) | (1 << b) for a in range(20) for b in range(20)})
