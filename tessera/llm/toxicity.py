@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, spread
+from .common import read_table, spread, written
 from .linear import Ftrl, sigmoid
 from .quality import one_each, sample_of
 
@@ -86,32 +87,37 @@ def _probability(weights: np.ndarray, bits: int, row: np.ndarray, dense: np.ndar
     return float(sigmoid(weights[row[0].astype(np.int64)].astype(np.float64) @ row[1] + tail[:-1] @ dense + tail[-1]))
 
 
+def fit_part(rows: Sequence[np.ndarray], labels: np.ndarray, seen: np.ndarray, folds: np.ndarray, fold: int | None, bits: int, epochs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A link's weights from all rows but those of a fold; which rows these are, and their probabilities."""
+    own = folds == fold if fold is not None else np.zeros(len(rows), bool)
+    rest, own = np.flatnonzero(~own), np.flatnonzero(own)
+    w = _fit([rows[i] for i in rest], labels[rest], seen[rest], bits, epochs)
+    return w, own, np.array([_probability(w, bits, rows[i], seen[i]) for i in own])
+
+
 def fit_chain(rows: Sequence[np.ndarray], labels: np.ndarray, folds: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> list[np.ndarray]:
-    """Weights for each column of labels (rows x categories).
+    """Weights for each column of labels (rows x categories), fitted in this process.
 
     What later models learn from are probabilities for rows that the model that gave them hadn't
     seen: it was fitted on the other folds. The weights returned are fitted on all rows.
     """
     seen, chain = np.zeros((len(rows), 0)), []
     for k in range(labels.shape[1]):
-        chain.append(_fit(rows, labels[:, k], seen, bits, epochs))
-        if k + 1 == labels.shape[1]:
-            break
+        chain.append(fit_part(rows, labels[:, k], seen, folds, None, bits, epochs)[0])
         out = np.zeros(len(rows))
-        for fold in np.unique(folds):
-            rest, own = np.flatnonzero(folds != fold), np.flatnonzero(folds == fold)
-            w = _fit([rows[i] for i in rest], labels[rest, k], seen[rest], bits, epochs)
-            out[own] = [_probability(w, bits, rows[i], seen[i]) for i in own]
+        if k + 1 < labels.shape[1]:
+            for fold in np.unique(folds):
+                _, own, p = fit_part(rows, labels[:, k], seen, folds, fold, bits, epochs)
+                out[own] = p
         seen = np.column_stack((seen, out))
     return chain
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, label: str = "toxic", bits: int = BITS, rows: int = SAMPLE, epochs: int = EPOCHS) -> list[np.ndarray]:
-    """The chain's weights from a bounded sample of labelled ids, one row of each, learned in one task in an order that ids decide."""
+def chain_sample(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, label: str = "toxic", bits: int = BITS, rows: int = SAMPLE) -> DataFrame:
+    """key, marks, ids: a bounded sample of labelled ids, one row of each, with the categories' labels and the text's features."""
     sample = sample_of(labels, label, rows, "quality")
     own = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(sample), "__id")
     marks = F.array(*[f(F.col("__label"), F.col("__quality")).cast("double") for _, f in categories])
-    width = len(categories)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = Words(bits)
@@ -119,20 +125,46 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, label
             ids = [words_of(t.as_py()).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["key", "marks", "ids"])
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, marks, ids = [], [], []
-        for b in batches:
-            keys += b.column(0).to_pylist()
-            marks += b.column(1).to_pylist()
-            ids += [np.frombuffer(x, np.float32).reshape(2, -1) for x in b.column(2).to_pylist()]
-        folds = np.array([crc32(str(k).encode()) // 5 % FOLDS for k in keys], int)
-        chain = fit_chain(ids, np.array(marks, float).reshape(-1, width), folds, bits, epochs)
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([w.tobytes() for w in chain], pa.binary())], ["link", "weights"])
-
     dealt = own.select("__id", marks.alias("marks"), "__text").mapInArrow(hashed, "key long, marks array<double>, ids binary")
-    one = one_each(dealt, "marks", "ids").repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", "ids")
-    found = one.mapInArrow(learn, "link int, weights binary").collect()  # a row for each category
-    return [np.frombuffer(bytes(r.weights), np.float32) for r in sorted(found)]
+    return one_each(dealt, "marks", "ids")
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, label: str = "toxic", bits: int = BITS, rows: int = SAMPLE, epochs: int = EPOCHS) -> list[np.ndarray]:
+    """The chain's weights, as fit_chain gives them for chain_sample in an order that ids decide; none without labelled rows.
+
+    The sample is written once. A link's fits, one on all rows and one without each fold, don't need each
+    other: each is a task that reads the sample. The driver gets the weights, and a probability for each sampled row.
+    """
+    sample = written(chain_sample(docs, labels, categories, label, bits, rows), "chain-sample")
+    whole = sample.coalesce(1).sortWithinPartitions(F.xxhash64("key"), "key", "ids")
+
+    def fit(k: int, fold: int | None, before: np.ndarray | None) -> DataFrame:
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, marks, ids = [], [], []
+            for b in batches:
+                keys += b.column(0).to_pylist()
+                marks += [m[k] for m in b.column(1).to_pylist()]
+                ids += [np.frombuffer(x, np.float32).reshape(2, -1) for x in b.column(2).to_pylist()]
+            if keys:
+                folds = np.array([crc32(str(x).encode()) // 5 % FOLDS for x in keys], int)
+                seen = np.zeros((len(keys), 0)) if before is None else before
+                w, own, p = fit_part(ids, np.array(marks, float), seen, folds, fold, bits, epochs)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(keys)], pa.int32()), "weights": pa.array([w.tobytes() if fold is None else None], pa.binary()), "own": pa.array([own], pa.list_(pa.int32())), "p": pa.array([p], pa.list_(pa.float64()))})
+
+        return whole.mapInArrow(learn, "n int, weights binary, own array<int>, p array<double>")
+
+    chain, seen = [], None
+    for k in range(len(categories)):
+        folds = range(FOLDS) if k + 1 < len(categories) else []
+        found = reduce(DataFrame.unionByName, [fit(k, fold, seen) for fold in (None, *folds)]).collect()  # a row for each fit
+        if not found:
+            return []
+        out = np.zeros(found[0].n)
+        for r in found:
+            out[r.own] = r.p
+        chain += [np.frombuffer(bytes(r.weights), np.float32) for r in found if r.weights is not None]
+        seen = out[:, None] if seen is None else np.column_stack((seen, out))
+    return chain
 
 
 def score_chain(docs: DataFrame, chain: list[np.ndarray], categories=CATEGORIES, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:

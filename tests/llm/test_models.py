@@ -185,6 +185,18 @@ def test_one_id_labelled_and_repeated(spark, labels):
     assert len(toxicity.train_chain(docs, labels)) == 3
 
 
+def test_fits_in_tasks_are_those_of_one_process(spark, hard, labels):
+    """Each link's fits are tasks of their own; the chain is the one that fitting in turn gives."""
+    rows = toxicity.chain_sample(hard, labels, bits=10).orderBy(F.xxhash64("key"), "key", "ids").collect()
+    ids = [np.frombuffer(bytes(r.ids), np.float32).reshape(2, -1) for r in rows]
+    folds = np.array([crc32(str(r.key).encode()) // 5 % toxicity.FOLDS for r in rows])
+    want = toxicity.fit_chain(ids, np.array([r.marks for r in rows]), folds, 10)
+    got = toxicity.train_chain(hard, labels, bits=10)
+    assert len(rows) > 30 and len(got) == 3
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    assert toxicity.train_chain(hard, labels.limit(0)) == []
+
+
 def test_later_links_learn_from_unseen_predictions():
     """Each row's input for a later link comes from a model that was fitted on the other folds."""
     rng = np.random.default_rng(0)
