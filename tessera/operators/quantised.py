@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, norm
+from ..sources.scratch import written
 from ..sources.tables import exists
 
 #: Pieces of a vector, each with a code of one byte; rows that the codes are learned from, at most, and rounds of that.
@@ -126,11 +127,14 @@ def add(rows: DataFrame, path: str, id: str = "id") -> int:
     return vectors.count() - before
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, candidates: int = CANDIDATES, leave_out_self: bool = False) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 10, candidates: int = CANDIDATES, leave_out_self: bool = False, exact: bool = False) -> DataFrame:
     """query_id, id, score, rank: for each query (query_id, embedding) the k rows nearest by cosine among those that its codes put first.
 
     Every task keeps candidates * k rows a query by the sum of its table's entries for a code's bytes; of all tasks' the best so many are joined with
     their vectors and scored exactly, ties (nine decimals) to the smaller id. Questions go to the tasks QUESTIONS at a time.
+
+    With `exact` what codes put first is only a bound: the stored vectors are compared with all queries, and what reaches the k-th score found
+    by codes counts too, so that none of the k nearest is missed.
     """
     spark = index.codes.sparkSession
     book = spark.sparkContext.broadcast(_book(index.codebook))
@@ -171,6 +175,45 @@ def search(index: Index, queries: DataFrame, k: int = 10, candidates: int = CAND
     first = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
     kept = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("query_id", "id")
     q = asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("asked"))
-    scored = kept.join(index.vectors, "id").join(q, "query_id").select("query_id", "id", (dot(F.col("asked"), F.col("embedding")) / (norm(F.col("asked")) * norm(F.col("embedding")))).alias("score"))
+    cosine = dot(F.col("asked"), F.col("embedding")) / (norm(F.col("asked")) * norm(F.col("embedding")))
+    scored = kept.join(index.vectors, "id").join(q, "query_id").select("query_id", "id", cosine.alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if not exact:
+        return best
+    bound = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("bound"))
+    bounded = numbered.withColumnRenamed("id", "query_id").join(bound, "query_id", "left").select("block", "query_id", "embedding", F.coalesce("bound", F.lit(-2.0)).alias("bound"))
+    bounded = written(bounded, "bounds")
+    reached = reduce(DataFrame.unionByName, [_reached(index.vectors, bounded.where(F.col("block") == i), k, leave_out_self) for i in range(blocks)])
+    again = reached.join(index.vectors, "id").join(q, "query_id").select("query_id", "id", cosine.alias("score"))
+    return again.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _reached(vectors: DataFrame, block: DataFrame, k: int, leave_out_self: bool) -> DataFrame:
+    """query_id, id: the vectors whose cosine reaches a query's bound; of each batch a query's k best, ties (nine decimals) to the smaller id."""
+    rows = block.toArrow()  # about QUESTIONS rows
+    names = rows["query_id"].combine_chunks()
+    shared = vectors.sparkSession.sparkContext.broadcast((names, _split(_matrix(rows["embedding"].combine_chunks()), 1)[:, 0], rows["bound"].to_numpy() - 1e-8))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked, bound = shared.value
+        own_names = np.array(names.to_pylist(), object)
+        for b in batches:
+            if not b.num_rows or not len(names):
+                continue
+            ids = np.array(b.column(0).to_pylist(), object)
+            scores = asked @ _split(_matrix(b.column(1)), 1)[:, 0].T
+            row, column = np.nonzero(scores >= bound[:, None])
+            if leave_out_self:
+                other = own_names[row] != ids[column]
+                row, column = row[other], column[other]
+            # By query, score and id; each query's first k.
+            place = np.empty(len(ids), np.int64)
+            place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+            order = np.lexsort((place[column], -np.round(scores[row, column], 9), row))
+            row, column = row[order], column[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(row[first])), b.column(0).take(pa.array(column[first]))], ["query_id", "id"])
+
+    kind, own_kind = block.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    return vectors.select("id", "embedding").mapInArrow(run, f"query_id {kind}, id {own_kind}")

@@ -1,7 +1,11 @@
 """Results that are whole and right at any size."""
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import quantised
+from tessera.plans import catalog, oracle
 from tessera.sources import graphs
 
 
@@ -26,3 +30,20 @@ def test_exported_json_is_read_in_parts(spark, tmp_path):
     (tmp_path / "foreign.json").write_text('{"nodes": [{"id": "a"}, {"id": "b"}],\n "edges": [{"source": "a", "target": "b"}]}')
     back, links = graphs.import_json(spark, str(tmp_path / "foreign.json"))
     assert [(r.ord, r.id) for r in back.orderBy("ord").collect()] == [(0, "a"), (1, "b")] and [tuple(r)[:2] for r in links.collect()] == [("a", "b")]
+
+
+def test_quantised_topk_is_exact(spark, tmp_path):
+    """Among thousands of vectors without structure, and copies, the ten nearest are those of the SQL; codes alone miss some."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(5000, 64)).astype(np.float32)
+    x[4900:] = x[100]
+    spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").coalesce(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted((q, v, rank) for q, v, _, rank in con.sql(oracle.ORACLES["quantised_topk"]).fetchall())
+    got = sorted((r.query_id, r.vec_id, r["rank"]) for r in catalog.quantised_topk(spark, str(tmp_path)).collect())
+    assert got == want and len(got) == 1000
+    index = quantised.build(spark.read.parquet(str(tmp_path / "embeddings.parquet")), str(tmp_path / "index"), "vec_id")
+    asked = index.vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    few, all_ = (quantised.search(index, asked, 10, 1, True, exact).select("query_id", "id", "rank").collect() for exact in (False, True))
+    assert sorted(map(tuple, all_)) == want and sorted(map(tuple, few)) != want
