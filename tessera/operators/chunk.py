@@ -35,10 +35,12 @@ def chunk(files: DataFrame, size: int = 400, overlap: int = 50, keep: Sequence[s
 
 
 def store_stats(chunks: DataFrame) -> DataFrame:
-    """One row: chunk_count, doc_count, file_count (distinct, none empty)."""
-    named = F.when(none(F.col("filename")) != "", F.col("filename"))
-    docs = F.when(none(F.col("doc_id")) != "", F.col("doc_id"))
-    return chunks.agg(F.count(F.lit(1)).alias("chunk_count"), F.countDistinct(docs).alias("doc_count"), F.countDistinct(named).alias("file_count"))
+    """One row: chunk_count, doc_count, filenames (distinct, none empty, sorted). Names are told apart before they are gathered; stored_files
+    has them as rows."""
+    named = chunks.groupBy(F.nullif("filename", F.lit("")).alias("name"), F.nullif("doc_id", F.lit("")).alias("doc")).agg(F.count(F.lit(1)).alias("chunks"))
+    counts = named.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunk_count"), F.countDistinct("doc").alias("doc_count"))
+    names = named.select("name").distinct().agg(F.array_sort(F.collect_list("name")).alias("filenames"))
+    return counts.crossJoin(F.broadcast(names))  # a row each
 
 
 def stored_files(chunks: DataFrame) -> DataFrame:

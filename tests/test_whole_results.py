@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import quantised
+from tessera.operators import chunk, quantised
 from tessera.plans import catalog, oracle
 from tessera.sources import graphs
 
@@ -47,3 +47,12 @@ def test_quantised_topk_is_exact(spark, tmp_path):
     asked = index.vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id")
     few, all_ = (quantised.search(index, asked, 10, 1, True, exact).select("query_id", "id", "rank").collect() for exact in (False, True))
     assert sorted(map(tuple, all_)) == want and sorted(map(tuple, few)) != want
+
+
+def test_store_stats_name_all_files(spark):
+    """The names themselves, sorted, not only how many they are; empty ones are none."""
+    rows = [("b.txt", "1"), ("a.txt", "2"), ("b.txt", "1"), ("", "3"), (None, None), ("c.txt", "")]
+    got = chunk.store_stats(spark.createDataFrame(rows, "filename string, doc_id string")).collect()
+    assert [r.asDict() for r in got] == [{"chunk_count": 6, "doc_count": 3, "filenames": ["a.txt", "b.txt", "c.txt"]}]
+    none = chunk.store_stats(spark.createDataFrame([], "filename string, doc_id string")).collect()
+    assert [tuple(r) for r in none] == [(0, 0, [])]
