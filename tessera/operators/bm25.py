@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ from ..functions.text import counted, terms
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Terms of questions that are broadcast at most; beyond, postings of a term are dealt over so many tasks.
 ASKED, SALTS = 200_000, 16
+#: Questions that go to all tasks at a time, and what a task adds up at a time: parts of scores, and scores.
+QUESTIONS, PARTS = 4096, 2_000_000
 #: Entries beside terms; a term has no white space.
 CHUNKS, TOKENS = " chunks", " tokens"
 
@@ -47,13 +54,16 @@ class Index:
         self.term_stats, self.corpus = stats.select("term", "df", idf.alias("idf")), corpus.crossJoin(mean)
 
     def persist(self) -> Index:
-        """Keep chunks' counts of terms, dealt by chunk: so what a question finds in a chunk is summed where the chunk lies."""
+        """Keep chunks' counts of terms where they were counted, how many chunks have a term, and the terms' statistics."""
         if self.forward is not None:
-            self.forward = self.forward.repartition(_partitions(self.forward), "chunk_id")
-            self.postings, self.counts = _postings(self.forward), _counts(self.forward, F.transform("counts", lambda c: c["value"]))
-            self.__post_init__()
-        for df in (self.forward if self.forward is not None else self.postings, self.term_stats):
-            df.persist()
+            self.forward = self.forward.persist()
+            self.postings, self.chunks = _postings(self.forward), self.forward.select("chunk_id")
+            self.counts = _counts(self.forward, F.transform("counts", lambda c: c["value"]))
+        else:
+            self.postings.persist()
+        self.counts = self.counts.groupBy("term").agg(F.sum("df").alias("df")).persist()
+        self.__post_init__()
+        self.term_stats.persist()
         return self
 
     def write(self, path: str, mode: str = "overwrite") -> None:
@@ -122,3 +132,108 @@ def search(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "chunk_id", "score", "rank")
+
+
+def search_many(index: Index, queries: DataFrame, k: int = 50) -> DataFrame:
+    """As `search`, for many questions against many chunks.
+
+    There nearly every chunk has some word of nearly every question, and rows of (question, chunk, term) grow with the product of both. Here a
+    chunk's counts of terms are a row, and a task adds up its chunks' scores in matrices and keeps k chunks a question. Questions go
+    to all tasks QUESTIONS at a time, or fewer if they have more than ASKED terms.
+    """
+    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    weighed = asked.join(index.term_stats, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w")).crossJoin(F.broadcast(index.corpus.select("avgdl")))
+    n, pairs = queries.count(), weighed.persist().count()
+    blocks = max(1, -(-n // QUESTIONS), -(-pairs // ASKED))
+    # They add nothing to the score of a hit; that of those among them that are hits is told by the tasks.
+    always = [r.chunk_id for r in index.chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k).collect()]
+    found = []
+    for i in range(blocks):
+        own = weighed if blocks == 1 else weighed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        found.append(_scored(index, own, always, k, queries.schema["query_id"].dataType.simpleString()))
+    some = F.explode(F.array(*map(F.lit, always)).cast("array<string>")).alias("chunk_id")
+    fill = queries.select("query_id", some, F.lit(None).cast("double").alias("score"))
+    scored = reduce(DataFrame.unionByName, found).unionByName(fill).groupBy("query_id", "chunk_id").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
+
+
+def _scored(index: Index, weighed: DataFrame, always: list[str], k: int, kind: str) -> DataFrame:
+    """query_id, chunk_id, score: of each task a question's k best chunks, and its score for the chunks named by `always`."""
+    if index.forward is not None:
+        rows = index.forward.select("chunk_id", "dl", "counts")
+    else:
+        own = index.postings.join(F.broadcast(weighed.select("term").distinct()), "term", "left_semi")
+        rows = own.groupBy("chunk_id", "dl").agg(F.collect_list(F.struct(F.col("term").alias("value"), F.col("tf").alias("n"))).alias("counts"))
+    table = weighed.toArrow().combine_chunks()  # some questions' terms
+    names, words = (table[c].combine_chunks().dictionary_encode() for c in ("query_id", "term"))
+    by_term = np.argsort(words.indices.to_numpy(), kind="stable")
+    starts = np.searchsorted(words.indices.to_numpy()[by_term], np.arange(len(words.dictionary) + 1))
+    avgdl = table["avgdl"][0].as_py() if len(table) else 1.0
+    shared = weighed.sparkSession.sparkContext.broadcast((names.dictionary, words.dictionary, starts, names.indices.to_numpy()[by_term], table["w"].to_numpy()[by_term], avgdl, np.array(sorted(always), object)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, words, starts, query, weight, avgdl, always = shared.value
+        n = len(names)
+        best = _Best(n, k)
+        for b in batches:
+            if not b.num_rows or not n:
+                continue
+            ids, counts = np.array(b.column(0).to_pylist(), object), b.column(2)
+            flat = counts.flatten()
+            at = pc.index_in(flat.field("value"), value_set=words)
+            row = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False))
+            hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            term, row, tf = pc.fill_null(at, 0).to_numpy(zero_copy_only=False)[hit], row[hit], flat.field("n").to_numpy(zero_copy_only=False)[hit].astype(float)
+            dl = b.column(1).to_numpy(zero_copy_only=False).astype(float)[row]
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+            width = starts[term + 1] - starts[term]
+            # So many chunks at a time that neither their parts nor their scores are more than PARTS, if one chunk's aren't.
+            load = np.bincount(row, width, len(ids)) + n
+            group = (np.cumsum(load) // PARTS).astype(np.int64)
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(ids)]))
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                a, z = np.searchsorted(row, [lo, hi])
+                w = width[a:z]
+                ends = np.cumsum(w)
+                place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[term[a:z]] - (ends - w), w)
+                scores = np.bincount(query[place] * (hi - lo) + np.repeat(row[a:z] - lo, w), weight[place] * np.repeat(part[a:z], w), n * (hi - lo)).reshape(n, hi - lo)
+                best.add(ids[lo:hi], scores)
+                for c in np.flatnonzero(np.isin(ids[lo:hi], always)):
+                    q = np.flatnonzero(scores[:, c])
+                    yield _rows(names, q, np.repeat(ids[lo + c : lo + c + 1], len(q)), scores[q, c])
+        yield _rows(names, *best.rows())
+
+    return rows.mapInArrow(run, f"query_id {kind}, chunk_id string, score double")
+
+
+def _rows(names: pa.Array, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([names.take(pa.array(query, pa.int64())), pa.array(ids, pa.string()), pa.array(scores, pa.float64())], ["query_id", "chunk_id", "score"])
+
+
+class _Best:
+    """The k best chunks of each question among those added so far, by (score at nine decimals, smaller id)."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.query, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        scores = np.where(scores != 0, scores, -np.inf)
+        if scores.shape[1] > self.k:
+            self.least = np.maximum(self.least, np.round(np.partition(scores, -self.k, axis=1)[:, -self.k], 9))
+        query, column = np.nonzero((scores > self.least[:, None] - 1e-8) & (scores > -np.inf))
+        if not len(query):
+            return
+        query, ids, scores = np.concatenate((self.query, query)), np.concatenate((self.ids, ids[column])), np.concatenate((self.scores, scores[query, column]))
+        rounded = np.round(scores, 9)
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -rounded, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = query[place == self.k - 1]
+        self.least[last] = rounded[order][place == self.k - 1]
+        kept = place < self.k
+        self.query, self.ids, self.scores = query[kept], ids[order][kept], scores[order][kept]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.query, self.ids, self.scores

@@ -29,7 +29,7 @@ class Search:
 def search(chunks: DataFrame, questions: DataFrame, index: bm25.Index | None = None, vectors: DataFrame | None = None, scorer=lexical_overlap, config: Config = Config()) -> Search:
     """BM25 and vector candidates, fused, then reranked. Give index and vectors (operators.vector.hashed_vectors) where they are stored."""
     index = index or bm25.fit(chunks)
-    lexical = bm25.search(index, questions, config.candidates)
+    lexical = bm25.search_many(index, questions, config.candidates)
     near = vector.search_hashed(vectors if vectors is not None else vector.hashed_vectors(chunks, "chunk_id", "text"), questions, config.candidates)
     # At most `candidates` rows a question from here on; the stages below read these twice.
     lexical, near = lexical.persist(), near.persist()

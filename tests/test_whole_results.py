@@ -2,9 +2,10 @@
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import chunk, quantised
+from tessera.operators import bm25, chunk, quantised
 from tessera.plans import catalog, oracle
 from tessera.sources import graphs
 
@@ -56,3 +57,22 @@ def test_store_stats_name_all_files(spark):
     assert [r.asDict() for r in got] == [{"chunk_count": 6, "doc_count": 3, "filenames": ["a.txt", "b.txt", "c.txt"]}]
     none = chunk.store_stats(spark.createDataFrame([], "filename string, doc_id string")).collect()
     assert [tuple(r) for r in none] == [(0, 0, [])]
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_many_questions_are_answered_as_one(spark, tmp_path, monkeypatch, k):
+    """By matrices as by joins: a few chunks at a time, blocks of questions, stored postings, ties, scores below zero, questions that no chunk answers."""
+    rng = np.random.default_rng(1)
+    chunks = spark.createDataFrame([(f"c{i:03d}", " ".join(f"w{int(x)}" for x in rng.exponential(9, i % 40))) for i in range(300)], "chunk_id string, text string").repartition(3)
+    few = spark.createDataFrame([("a", "x y"), ("b", "x y"), ("c", "x z"), ("d", "")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(f"W{int(x)}" for x in rng.exponential(20, i % 6))) for i in range(20)] + [(50, "absent"), (51, "x x y w1")], "query_id long, query string")
+    for monkey in ({}, {"PARTS": 50, "QUESTIONS": 4}):
+        for name, value in monkey.items():
+            monkeypatch.setattr(bm25, name, value)
+        for own in (chunks, few):
+            index = bm25.fit(own)
+            index.write(str(tmp_path / "index"))
+            want = sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in bm25.search(index, asked, k).collect())
+            for one in (index, bm25.Index.read(spark, str(tmp_path / "index"))):
+                assert sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 9)) for r in bm25.search_many(one, asked, k).collect()) == want
+    assert "Join" not in bm25._scored(bm25.fit(chunks), bm25.fit(chunks).term_stats.selectExpr("1L AS query_id", "term", "idf AS w", "1.0D AS avgdl"), [], k, "long")._jdf.queryExecution().executedPlan().toString()
