@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tessera import schemas
 from tessera.operators import extract, graph_query
 from tessera.operators.dedup import drop_near_duplicates, near_pairs
-from tessera.operators.graph_build import build_graph
+from tessera.operators.graph_build import build_graph, resolve_unknown
 from tessera.operators.normalize import normalize_all
-from tessera.plans import fixtures
+from tessera.plans import catalog, fixtures
 from tessera.sources import graphs
 from tessera.sources.scratch import written
 
@@ -69,6 +69,20 @@ def test_random_graphs_are_the_sequential_ones(spark):
     same_graph(spark.createDataFrame(rows, kind).repartition(5))
 
 
+def test_only_what_is_asked_for_is_built(spark, small, monkeypatch):
+    """Nodes alone need no relations, edges no texts; relations that lead to what "unknown" names are those of resolve_unknown."""
+    kept = {}
+    monkeypatch.setattr(catalog, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    catalog.corpus_nodes(spark, small)
+    assert set(kept) == {"extracted"} and not {"relationships", "body", "unresolved_text"} & set(kept["extracted"].columns)
+    kept.clear()
+    catalog.corpus_edges(spark, small)
+    assert "nodes" not in kept and not {"title", "body", "unresolved_text"} & set(kept["extracted"].columns)
+    found = written(extract.extract_with_rules(normalize_all(fixtures.sources(spark))), "records")
+    one, other = (sorted(map(str, df.collect())) for df in (build_graph(found, written, resolved=True)[1], build_graph(resolve_unknown(found), written)[1]))
+    assert one == other != sorted(map(str, build_graph(found, written)[1].collect()))
+
+
 def test_reach_degrees_and_files(spark, tmp_path):
     nodes, edges = build_graph(extract.extract_with_rules(normalize_all(fixtures.sources(spark))), written)
     near = {r.id: r.hop for r in graph_query.reach(nodes, edges, graph_query.start_node(nodes, "redis-cache"), 1).collect()}
