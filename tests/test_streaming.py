@@ -48,3 +48,24 @@ def test_several_versions_in_one_batch(spark, tmp_path):
 @pytest.mark.parametrize("name", ["streamed_changes"])
 def test_against_sql(spark, small, name):
     same_as_sql(spark, small, catalog.QUERIES[name], oracle.ORACLES[name])
+
+
+def test_known_hashes_are_not_written_again():
+    """Plain rows, no frames; a state is written only where the last hash is another."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from tessera.streaming.changes import _Known
+
+    state = []
+    last = SimpleNamespace(get=lambda: state[-1] if state else None, update=state.append)
+    known = _Known()
+    known.init(SimpleNamespace(getValueState=lambda name, kind: last))
+
+    def told(*rows):
+        return [(r.ord, r.change) for r in known.handleInputRows(("a",), iter([Row(id="a", ord=o, content_hash=h) for o, h in rows]), None)]
+
+    assert told((2, "y"), (1, "x"), (None, "y")) == [(1, "new"), (2, "changed")] and state == [("y",)]
+    assert told((3, "y")) == [] and len(state) == 1
+    assert told((5, "y"), (4, "z")) == [(4, "changed"), (5, "changed")] and len(state) == 1
