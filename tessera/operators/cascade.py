@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -31,7 +31,7 @@ def frontier_prompt(title: Column, body: Column, source: Column) -> Column:
 
 
 def _answers(prompts: DataFrame, model: str, complete: Complete) -> DataFrame:
-    """prompt, raw: the model's answer for each prompt; null where the call failed."""
+    """key, n, raw: the model's answer for each prompt, null where the call failed; n is how many records have the prompt."""
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(prompt: str) -> str | None:
@@ -41,9 +41,18 @@ def _answers(prompts: DataFrame, model: str, complete: Complete) -> DataFrame:
                 return None
 
         for b in batches:
-            yield pd.DataFrame({"prompt": b["prompt"], "raw": [one(p) for p in b["prompt"]]})
+            yield pd.DataFrame({"prompt": b["prompt"], "n": b["n"], "raw": [one(p) for p in b["prompt"]]})
 
-    return prompts.select("prompt").mapInPandas(call, "prompt string, raw string")
+    counted = prompts.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"))
+    return counted.mapInPandas(call, "prompt string, n long, raw string").select(_key(F.col("prompt")).alias("key"), "n", "raw")
+
+
+def _key(prompt: Column) -> Column:
+    return F.sha2(prompt, 256)
+
+
+#: Fixed value: a prompt that more than this share of all asked records have is joined where they lie.
+HOT_SHARE = 1000
 
 
 def merge_answer(answer: Column, source: str) -> tuple[Column, Column]:
@@ -58,17 +67,48 @@ def merge_answer(answer: Column, source: str) -> tuple[Column, Column]:
     return F.concat("entities", new), F.concat("relationships", F.transform(F.coalesce(answer["relationships"], F.array()), relation))
 
 
-def _ask(rows: DataFrame, wanted: Column, prompt: Column, model: str, tier: str, complete: Complete) -> DataFrame:
-    """Only the wanted rows go through Python; of those, answers are merged and the tier is raised.
+def _ask(rows: DataFrame, prompt: Column, model: str, tier: str, complete: Complete) -> DataFrame:
+    """The rows with the answers merged and the tier raised.
 
     Calls cost money and may answer differently each time. So distinct prompts are asked once, and the answers
     are written before anything reads them; only a task that is lost and run again repeats its calls.
+    Many records may share a prompt. At most HOT_SHARE prompts can be so frequent that they are broadcast.
     """
-    asked = rows.where(wanted).withColumn("prompt", prompt)
-    answers = written(_answers(asked.select("prompt").distinct(), model, complete), "answers").withColumn("answer", parse_json(F.col("raw"), schemas.ANSWER))
+    answers = written(_answers(rows.select(prompt.alias("prompt")), model, complete), "answers")
+    total, most = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    often = max(1000, total // HOT_SHARE)
+    parsed = answers.withColumn("answer", parse_json(F.col("raw"), schemas.ANSWER))
+    keyed = rows.withColumn("key", _key(prompt))
+    asked = keyed.join(parsed, "key")
+    if most > often:
+        hot = F.broadcast(parsed.where(F.col("n") > often))
+        few = keyed.join(F.broadcast(answers.where(F.col("n") > often).select("key")), "key", "left_anti")
+        asked = keyed.join(hot, "key").unionByName(few.join(parsed.where(F.col("n") <= often), "key"))
     found, related = merge_answer(F.col("answer"), tier)
-    merged = asked.join(answers, "prompt", "left").withColumns({"entities": found, "relationships": related, "tier": F.lit(tier), "failed": F.col("failed") | F.col("raw").isNull()})
-    return rows.where(~wanted).unionByName(merged.select(*rows.columns))
+    merged = asked.withColumns({"entities": found, "relationships": related, "tier": F.lit(tier), "failed": F.col("failed") | F.col("raw").isNull()})
+    return merged.select(*rows.columns)
+
+
+def _cached(records: DataFrame, cache: DataFrame) -> DataFrame:
+    """Records with result_json: what the cache holds for their text, else null.
+
+    They are dealt by id, in as many parts as are set for shuffles: searching texts takes far longer than moving them,
+    so neither texts that many records share nor parts put together by their size may fill a task.
+    """
+    keyed = records.withColumn("text_hash", text_hash(F.col("title"), F.col("body"))).join(cache.select("text_hash", "result_json"), "text_hash", "left")
+    return keyed.drop("text_hash").repartition(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+
+
+def _cascade(cached: DataFrame, asked: Column, complete: Complete, config: Config) -> DataFrame:
+    """Records with what was found in them. Only asked records whose text isn't in the cache are shown to a model."""
+    ruled = written(_cached_or_ruled(cached, asked), "ruled")
+    # Each tier's result decides who is asked next, and is read again with that one's; so it is written, but for records that weren't asked.
+    open_ = asked & (F.col("tier") != "cache")
+    cheap = open_ & F.col("unresolved_text").isNotNull()
+    cheaply = written(_ask(ruled.where(cheap), cheap_prompt(F.col("unresolved_text")), config.cheap_model, "llm_cheap", complete), "cheaply-asked")
+    out = ruled.where(~cheap).unionByName(cheaply)
+    complex_ = open_ & needs_frontier(F.col("body"), F.col("source"), F.size("entities"), F.size("relationships"))
+    return out.where(~complex_).unionByName(_ask(out.where(complex_), frontier_prompt(F.col("title"), F.col("body"), F.col("source")), config.frontier_model, "llm_frontier", complete))
 
 
 def extract_tiered(records: DataFrame, cache: DataFrame, complete: Complete = silent, config: Config = Config()) -> DataFrame:
@@ -77,18 +117,7 @@ def extract_tiered(records: DataFrame, cache: DataFrame, complete: Complete = si
     Texts in the cache have its result. Others get patterns; where those leave names unresolved, a
     cheap model; then, if the record is complex, a frontier model.
     """
-    known = cache.select("text_hash", "result_json")
-    keyed = records.withColumn("text_hash", text_hash(F.col("title"), F.col("body"))).join(known, "text_hash", "left")
-    hit = keyed.where(F.col("result_json").isNotNull()).withColumn("r", F.from_json("result_json", schemas.EXTRACTION))
-    none_ = F.lit(None).cast("string")
-    hit = hit.withColumns({"entities": F.coalesce("r.entities", F.array()), "relationships": F.coalesce("r.relationships", F.array()), "unresolved_text": none_, "tier": F.lit("cache"), "failed": F.lit(False)})
-    ruled = extract_with_rules(keyed.where(F.col("result_json").isNull())).withColumns({"tier": F.lit("rule"), "failed": F.lit(False)})
-    columns = [*records.columns, "entities", "relationships", "unresolved_text", "tier", "failed"]
-    # Each tier's result decides who is asked next, and is read again with that one's; so it is written.
-    ruled = _ask(written(ruled.select(*columns), "ruled"), F.col("unresolved_text").isNotNull(), cheap_prompt(F.col("unresolved_text")), config.cheap_model, "llm_cheap", complete)
-    complex_ = needs_frontier(F.col("body"), F.col("source"), F.size("entities"), F.size("relationships"))
-    ruled = _ask(written(ruled, "cheaply-asked"), complex_, frontier_prompt(F.col("title"), F.col("body"), F.col("source")), config.frontier_model, "llm_frontier", complete)
-    return ruled.unionByName(hit.select(*columns))
+    return _cascade(_cached(records, cache), F.lit(True), complete, config)
 
 
 def extract_all(records: DataFrame, cache: DataFrame, manifest: DataFrame, complete: Complete = silent, embed: Callable[[DataFrame], DataFrame] | None = None, config: Config = Config()) -> DataFrame:
@@ -96,23 +125,27 @@ def extract_all(records: DataFrame, cache: DataFrame, manifest: DataFrame, compl
 
     `processed` tells the two apart. `embed` adds an embedding to records; without it nothing counts as a near duplicate.
     """
-    changes = with_change(records, manifest)
-    todo = changes.where(F.col("change") != "unchanged").drop("change", "content_hash")
-    if embed is not None:
-        todo = drop_near_duplicates(embed(todo), config.near_duplicate).drop("embedding")
-    done = extract_tiered(todo, cache, complete, config).withColumn("processed", F.lit(True))
-    rest = records.join(todo.select("id"), "id", "left_anti").select(*records.columns)
-    known = _cached_or_ruled(rest, cache)
-    return done.unionByName(known.withColumn("processed", F.lit(False)))
-
-
-def _cached_or_ruled(records: DataFrame, cache: DataFrame) -> DataFrame:
-    keyed = records.withColumn("text_hash", text_hash(F.col("title"), F.col("body"))).join(cache.select("text_hash", "result_json"), "text_hash", "left")
-    ruled = extract_with_rules(keyed).withColumn("r", F.from_json("result_json", schemas.EXTRACTION))
+    cached = _cached(records, cache)
+    marked = with_change(cached, manifest).withColumn("processed", F.col("change") != "unchanged").drop("change", "content_hash")
+    if embed is None:
+        # Of rows of one id, the unchanged are left out if others aren't; an id's rows lie together.
+        some = F.max("processed").over(Window.partitionBy("id"))
+        marked = marked.withColumn("some", some).where(F.col("processed") | ~F.col("some")).drop("some")
+    else:
+        todo = drop_near_duplicates(embed(marked.where("processed")), config.near_duplicate).drop("embedding")
+        rest = cached.join(todo.select("id"), "id", "left_anti")
+        marked = todo.unionByName(rest.withColumn("processed", F.lit(False)))
+    out = _cascade(marked.select(*records.columns, "processed", "result_json"), F.col("processed"), complete, config)
+    return out.select(*[c for c in out.columns if c != "processed"], "processed")
+
+
+def _cached_or_ruled(cached: DataFrame, asked: Column) -> DataFrame:
+    """Each record once: with the cache's result if there is one, else with what patterns find; only then is its text searched."""
     hit = F.col("result_json").isNotNull()
+    searched = extract_with_rules(cached.withColumn("r", F.from_json("result_json", schemas.EXTRACTION)))
     cols = {c: F.when(hit, F.coalesce(F.col(f"r.{c}"), F.array())).otherwise(F.col(c)) for c in ("entities", "relationships")}
-    out = ruled.withColumns(cols | {"tier": F.when(hit, "cache").otherwise("rule"), "failed": F.lit(False)})
-    return out.select(*records.columns, "entities", "relationships", "unresolved_text", "tier", "failed")
+    out = searched.withColumns(cols | {"unresolved_text": F.when(~hit | ~asked, F.col("unresolved_text")), "tier": F.when(hit, "cache").otherwise("rule"), "failed": F.lit(False)})
+    return out.select(*[c for c in cached.columns if c != "result_json"], "entities", "relationships", "unresolved_text", "tier", "failed")
 
 
 def tier_costs(extracted: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tessera.config import Config
 from tessera.functions.models import silent
+from tessera.functions.text import text_hash
 from tessera.operators import bm25, citations, extract, fusion, vector
-from tessera.operators.cascade import extract_tiered
+from tessera.operators.cascade import extract_all, extract_tiered
+from tessera.operators.incremental import manifest_rows
 from tessera.operators.normalize import normalize_all
 from tessera.plans import agent, build, catalog, fixtures, oracle, retrieval
 from tessera.sources import files, graphs, tables
@@ -88,6 +90,24 @@ def test_cascade_tiers(spark):
     assert all(e.source == "rule" for r in extract_tiered(records, empty, silent).collect() for e in r.entities)
 
 
+def test_cascade_reads_records_once(spark, tmp_path):
+    """All records are searched in one pass and kept; prompts that many share are joined where they lie; each row is there once."""
+    said = [(f"T-{i}", "Notes", "fit by the Shop Floor Manual" if i % 2 else f"OPS-{i} fixed", "jira") for i in range(3000)]
+    said += [("T-1", "Notes", "known before", "jira"), ("T-4", "Notes", "log line", "logs"), (None, "Notes", "without id", "jira"), ("D-1", "Guide", "Ask the Night Desk " + "x " * 200, "confluence")]
+    spark.createDataFrame(said, "id string, title string, body string, source string").write.parquet(str(tmp_path / "records"))
+    records = spark.read.parquet(str(tmp_path / "records"))
+    # T-1 is unchanged in one of its two rows, T-0 in its only one.
+    known = records.where("body = 'known before' OR id = 'T-0'").withColumns({"tier": F.lit("rule"), "ord": F.lit(1)})
+    cache = records.where("source = 'logs'").select(text_hash(F.col("title"), F.col("body")).alias("text_hash"), F.lit('{"entities": [], "relationships": []}').alias("result_json"))
+    out = extract_all(records, cache, manifest_rows(known, "2026-01-01 00:00:00"), lambda prompt, model: '{"entities": [{"id": "met"}], "relationships": []}')
+    assert not [f for f in out.inputFiles() if str(tmp_path) in f]
+    rows = out.collect()
+    assert sorted((r.id or "", r.body) for r in rows) == sorted((i or "", body) for i, _, body, _ in said if body != "known before")
+    assert {r.tier for r in rows if "Manual" in r.body} == {"llm_cheap"} and all([e.id for e in r.entities][-1] == "met" for r in rows if r.tier.startswith("llm"))
+    assert [(r.tier, r.processed, list(r.entities)) for r in rows if r.source == "logs"] == [("cache", True, [])]
+    assert [r.processed for r in rows if r.id == "T-0"] == [False] and [r.tier for r in rows if r.id == "D-1"] == ["llm_frontier"] and not any(r.failed for r in rows)
+
+
 def test_each_prompt_is_asked_once(spark, tmp_path):
     """Whatever is read of the result, and however often records share a prompt."""
     log = str(tmp_path / "calls")
