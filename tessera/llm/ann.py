@@ -27,8 +27,11 @@ DEGREE, BEAM = 16, 24
 AIM, EACH_AIM, K = 0.95, 0.9, 20
 #: Lists that a query reads first, and of them whatever the ratio says; what they hold bounds what it looks for in the others.
 NEAR, ALWAYS = 6, 2
-#: Vectors and queries that one task compares at a time; larger lists are cut into such cells.
-CELL_VECTORS, CELL_QUERIES = 1024, 512
+#: So many centroids are compared with a vector by a matrix product, which is faster; beyond, the graph is walked.
+DIRECT = 8192
+#: Lists with so many entries, or bytes of vectors, lie in one block. Vectors and queries of a block that one task compares at a
+#: time: a block of over twice as many entries is cut into such cells. Scores that it holds at a time.
+BLOCK, BLOCK_BYTES, CELL_QUERIES, SCORES = 8192, 16_000_000, 4096, 1 << 21
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -119,6 +122,12 @@ class Centroids:
             dist = _distances(x, self.points)
             ids = np.argsort(dist, axis=1, kind="stable")
             return ids, np.sqrt(np.take_along_axis(dist, ids, 1))
+        if len(self.points) <= DIRECT:
+            dist = _distances(x, self.points)
+            some = np.sort(np.argpartition(dist, beam - 1, axis=1)[:, :beam], axis=1)
+            dist = np.take_along_axis(dist, some, 1)
+            order = np.argsort(dist, axis=1, kind="stable")
+            return np.take_along_axis(some, order, 1), np.sqrt(np.take_along_axis(dist, order, 1))
         far = np.float32(np.inf)
 
         def measured(ids: np.ndarray) -> np.ndarray:
@@ -173,12 +182,14 @@ class Centroids:
 
 @dataclass
 class Index:
-    """The bands, longest vectors first, with the number of their first list; the ratio that prunes lists."""
+    """The bands, longest vectors first, with the number of their first list; the ratio that prunes lists, and how many it
+    leaves a query of the sample."""
 
     bands: list[Centroids]
     firsts: list[int]
     reach: float
     ratio: float = 1.0
+    left: int = 0
 
     @classmethod
     def fit(cls, sample: np.ndarray, lists: int, reach: float) -> Index:
@@ -244,7 +255,7 @@ class Index:
         top = np.concatenate([np.full(len(b.points), b.reach) for b in self.bands])
         rows, lists, near = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, bool)]
         for i in range(0, len(q), 256):
-            part, beam = q[i : i + 256], 64
+            part, beam = q[i : i + 256], max(64, 2 * self.left)
             length, floor = np.sqrt((part.astype(np.float64) ** 2).sum(1))[:, None], least[i : i + 256, None]
             while True:
                 ids, ratios, all_ = self.near(part, beam)
@@ -289,6 +300,7 @@ class Index:
         found = lists[truth]
         needed = np.where(found >= 0, rel[np.arange(len(own))[:, None, None], np.maximum(found, 0)], np.inf).min(axis=2)
         self.ratio = float(max(np.quantile(needed, AIM), np.quantile(np.quantile(needed, EACH_AIM, axis=1), 0.95))) + 1e-6
+        self.left = int((ratios <= self.ratio).sum(axis=1).mean())
 
 
 def lifted(x: np.ndarray, reach: float | None) -> np.ndarray:
@@ -316,33 +328,75 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def best_in_cell(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and their length at the end."""
+    new = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate(([0], np.flatnonzero(new) + 1, [len(keys[0])])) if len(keys[0]) else np.zeros(1, np.int64)
+
+
+def _places(starts: np.ndarray) -> np.ndarray:
+    """The place in its run of each row."""
+    return np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
+
+
+def best_in_cell(lists: np.ndarray, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, least: np.ndarray, row: np.ndarray, read: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query its k best of at least `least` by (score, smaller id), itself apart: query ids, vector ids, scores.
 
-    A matrix product finds candidates with some slack; then scores are summed in the order of
-    components, so that equal vectors have equal scores wherever they lie.
+    Query `row[i]` reads list `read[i]`. Matrix products, list by list, find candidates with some slack: what is among the k best of the
+    list and reaches the k best of lists before. Then scores are summed in the order of components, so that equal vectors have equal
+    scores wherever they lie. Of a list's equal vectors only the k + 1 smallest ids can be among the k best, so no more are compared.
     """
-    out = []
-    x, q = x.astype(np.float64), q.astype(np.float64)
-    size = np.sqrt((x * x).sum(1))
-    for i in range(0, len(q), 256):
-        part = q[i : i + 256]
-        score = part @ x.T
-        score[qids[i : i + 256, None] == ids[None, :]] = -np.inf
-        floor = least[i : i + 256]
-        if len(ids) > k:
-            floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
-        slack = 1e-12 * np.sqrt((part * part).sum(1)) * size.max() * x.shape[1]
-        row, col = np.nonzero((score >= (floor - slack)[:, None]) & np.isfinite(score))
-        exact = np.zeros(len(row))
-        for c in range(x.shape[1]):
-            exact += part[row, c] * x[col, c]
-        order = np.lexsort((ids[col], -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < k
-        out.append((qids[i + row[keep]], ids[col[keep]], exact[keep]))
-    return tuple(np.concatenate(a) for a in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, same, lists))
+    order = order[_places(_runs(lists[order], same[order])) <= k]
+    lists, ids, x, q = lists[order], ids[order], x[order].astype(np.float64), q.astype(np.float64)
+    order = np.argsort(read, kind="stable")
+    row, read = row[order], read[order]
+    slack = 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1)).max() * x.shape[1]
+    floor, rows, cols = least - slack, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    starts = _runs(lists)
+    for start, end in zip(starts[:-1], starts[1:]):
+        part = x[start:end].T
+        asked = row[np.searchsorted(read, lists[start]) : np.searchsorted(read, lists[start], "right")]
+        step = max(1, SCORES // (end - start))
+        for own in (asked[i : i + step] for i in range(0, len(asked), step)):
+            score = q[own] @ part
+            r, c = np.nonzero(score >= floor[own, None])
+            many = np.flatnonzero(np.bincount(r, minlength=len(own)) > k + 1)
+            if len(many):
+                # The query itself may be one of the k + 1.
+                reached = -np.partition(-score[many], k, axis=1)[:, k] - 2 * slack[own[many]]
+                floor[own[many]] = np.maximum(floor[own[many]], reached)
+                keep = score[r, c] >= floor[own[r]]
+                r, c = r[keep], c[keep]
+            rows.append(own[r])
+            cols.append(start + c)
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    keep = qids[row] != ids[col]
+    row, col = row[keep], col[keep]
+    exact = np.zeros(len(row))
+    for c in range(x.shape[1]):
+        exact += q[row, c] * x[col, c]
+    order = np.lexsort((ids[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    # A vector may lie in several of the lists.
+    once = _runs(row, ids[col])[:-1]
+    row, col, exact = row[once], col[once], exact[once]
+    keep = (_places(_runs(row)) < k) & np.isfinite(exact)
+    return qids[row[keep]], ids[col[keep]], exact[keep]
+
+
+def _by_block(n: int, row: np.ndarray, lists: np.ndarray, block: np.ndarray) -> pa.Array:
+    """For each of n queries the blocks that it reads, with the lists in them, from pairs (row, list). Blocks ascend with lists."""
+    order = np.lexsort((lists, row))
+    row, lists = row[order], lists[order]
+    starts = _runs(row, block[lists])
+    inner = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(lists.astype(np.int32)))
+    first = starts[:-1]
+    each = pa.StructArray.from_arrays([pa.array(block[lists[first]].astype(np.int32)), inner], ["block", "lists"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32)), each)
 
 
 def fit(vectors: DataFrame, k: int = K) -> tuple[Index, np.ndarray, np.ndarray] | None:
@@ -389,27 +443,30 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     counted = postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).toArrow()
     sizes = np.zeros(fitted[0].size, np.int64)
     sizes[counted["list"].to_numpy()] = counted["n"].to_numpy()
-    full = spark.sparkContext.broadcast(sizes)
+    most = max(1, min(BLOCK, BLOCK_BYTES // (4 * fitted[1].shape[1])))
+    block = (np.cumsum(sizes) - sizes) // most
+    full = spark.sparkContext.broadcast((sizes, block))
+    placed = postings.join(F.broadcast(spark.createDataFrame(pa.table({"list": pa.array(np.arange(len(block)), pa.int32()), "block": pa.array(block, pa.int32())}))), "list")
+    reads = "array<struct<block:int,lists:array<int>>>"
 
     def routes(asked: DataFrame, ratio: float | None = None) -> DataFrame:
-        """A row for each list that a query reads; the first of a query's rows is marked."""
+        """A row for each query: the blocks, and their lists, that are near and that it reads besides."""
 
         def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, sample, ids = shared.value
-            for b in batches:
+            (index, sample, ids), (sizes, block) = shared.value, full.value
+            # So many queries at a time that all lists of all of them fit.
+            for b in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
                 q, own = _matrix(b.column(1)), b.column(0).to_numpy()
                 # The k-th best in the sample is a bound that the k best of all reach.
                 least = np.full(len(q), -np.inf)
-                for i in range(0, len(q), 256):
-                    s = q[i : i + 256].astype(np.float64) @ sample.T.astype(np.float64)
-                    s[own[i : i + 256, None] == ids[None, :]] = -np.inf
-                    if s.shape[1] > k:
-                        least[i : i + 256] = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                row, lists, near = index.route(q, full.value, k, least, ratio)
-                take, first = pa.array(row), np.concatenate(([True], row[1:] != row[:-1]))[: len(row)]
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(least).take(take), pa.array(near), pa.array(first)], ["list", "id", "embedding", "least", "near", "first"])
+                s = q.astype(np.float64) @ sample.T.astype(np.float64)
+                s[own[:, None] == ids[None, :]] = -np.inf
+                if s.shape[1] > k:
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                row, lists, near = index.route(q, sizes, k, least, ratio)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(least), *[_by_block(len(q), row[at], lists[at], block) for at in (near, ~near)]], ["id", "embedding", "least", "near", "others"])
 
-        return written(asked.mapInArrow(routed, f"list int, id long, embedding {element}, least double, near boolean, first boolean"), "routes")
+        return written(asked.mapInArrow(routed, f"id long, embedding {element}, least double, near {reads}, others {reads}"), "routes")
 
     def each(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -417,17 +474,22 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     def compared(vs: pa.Table, qs: pa.Table) -> pa.Table:
         out = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         if vs.num_rows and qs.num_rows:
-            out = best_in_cell(vs["id"].to_numpy(), _matrix(vs["embedding"].combine_chunks()), qs["id"].to_numpy(), _matrix(qs["embedding"].combine_chunks()), qs["least"].to_numpy(), k)
+            read = qs["lists"].combine_chunks()
+            row = np.repeat(np.arange(len(read)), read.value_lengths().to_numpy())
+            (ids, x), (qids, q) = ((t["id"].to_numpy(), _matrix(t["embedding"].combine_chunks())) for t in (vs, qs))
+            out = best_in_cell(vs["list"].to_numpy(), ids, x, qids, q, qs["least"].to_numpy(), row, read.flatten().to_numpy(), k)
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out))))
 
-    def found(queries: DataFrame) -> DataFrame:
-        """Of each query (list, id, embedding, least) and cell, the k best vectors that reach `least`."""
-        # How many cells each list is cut into: at most MOST_LISTS rows. Only lists that are read go on.
-        cells = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_VECTORS).cast("int").alias("vs")).join(queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("qs")), "list")
+    def found(queries: DataFrame, which: str) -> DataFrame:
+        """Of each query and cell, the k best vectors that reach `least`. A query goes once to each block that it reads, with the lists' numbers."""
+        own = queries.select("id", "embedding", "least", F.explode(which).alias("r")).select("r.block", "r.lists", "id", "embedding", "least")
+        # How many cells each block is cut into: at most MOST_LISTS rows. Only blocks that are read go on.
+        held = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", F.when(F.col("n") > 2 * most, F.ceil(F.col("n") / most)).otherwise(1).cast("int").alias("vs"))
+        cells = held.join(queries.select(F.explode(f"{which}.block").alias("block")).groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CELL_QUERIES).cast("int").alias("qs")), "block")
         cells = F.broadcast(written(cells, "cells"))
-        at = ["list", "v", "q"]
-        left = postings.join(cells, "list").withColumn("v", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int")).withColumn("q", each("qs")).select(*at, "id", "embedding")
-        right = queries.join(cells, "list").withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.col("qs")).cast("int")).withColumn("v", each("vs")).select(*at, "id", "embedding", "least")
+        at = ["block", "v", "q"]
+        left = placed.join(cells, "block").withColumn("v", F.pmod(F.xxhash64("id"), F.col("vs")).cast("int")).withColumn("q", each("qs")).select(*at, "list", "id", "embedding")
+        right = own.join(cells, "block").withColumn("q", F.pmod(F.xxhash64("id", F.lit(1)), F.col("qs")).cast("int")).withColumn("v", each("vs")).select(*at, "lists", "id", "embedding", "least")
         return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(compared, "query_id long, vec_id long, score double")
 
     def ranked(pairs: DataFrame) -> DataFrame:
@@ -438,15 +500,15 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     def searched(queries: DataFrame) -> DataFrame:
         """The k best in the lists of each query. The near ones give each query a bound, so that of the others, however many
         they are, little is found that isn't among the k best."""
-        near = written(ranked(found(queries.where("near").withColumn("least", F.lit(float("-inf"))))), "near")
+        near = written(ranked(found(queries.withColumn("least", F.lit(float("-inf"))), "near")), "near")
         bound = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
-        others = written(queries.where("NOT near").join(bound, "id", "left").withColumn("least", F.greatest("least", F.coalesce("bound", "least"))).select("list", "id", "embedding", "least"), "others")
-        return written(ranked(near.drop("rank").unionByName(found(others))), "nearest")
+        others = queries.join(bound, "id", "left").withColumn("least", F.greatest("least", F.coalesce("bound", "least")))
+        return written(ranked(near.drop("rank").unionByName(found(others, "others"))), "nearest")
 
     queries = routes(spread(usable_.where(F.pmod("vec_id", F.lit(every)) == 0)))
     best = searched(queries)
     last = best.groupBy(F.col("query_id").alias("id")).agg(F.min("score").alias("last"))
-    missed = written(queries.where("first").join(last, "id").where(F.col("last") < F.col("least") - 1e-9 * F.abs("least")).select("id", "embedding"), "missed")
+    missed = written(queries.join(last, "id").where(F.col("last") < F.col("least") - 1e-9 * F.abs("least")).select("id", "embedding"), "missed")
     if missed.isEmpty():
         return best
     again = searched(routes(missed, float("inf")))

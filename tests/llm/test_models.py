@@ -328,6 +328,52 @@ def test_recall_of_vectors_of_many_lists(spark, kind):
     assert np.mean(hits) >= 0.95 and min(hits) >= 0.5
 
 
+def test_a_query_is_written_once_however_many_lists_it_reads(spark, monkeypatch):
+    """Vectors without structure, for which most lists are read: what is written grows with the queries, not with queries times lists."""
+    x = np.random.default_rng(3).normal(size=(6_000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    real, rows = ann.written, defaultdict(list)
+
+    def counted(frame, name):
+        out = real(frame, name)
+        rows[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(ann, "written", counted)
+    monkeypatch.setattr(ann, "BLOCK", 1024)
+    monkeypatch.setattr(ann, "CELL_QUERIES", 100)
+    found = defaultdict(list)
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    assert rows["routes"][0] == 300 and "others" not in rows
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    assert np.mean([len(set(found[q]) & set(np.argsort(-s[q])[:20].tolist())) / 20 for q in range(0, 6_000, 20)]) >= 0.95
+
+
+@pytest.mark.parametrize("scores", [1 << 21, 64])
+def test_best_in_cell_is_exact(monkeypatch, scores):
+    """Lists that share vectors, copies, ties, queries that are among them; each query reads some of the lists."""
+    monkeypatch.setattr(ann, "SCORES", scores)
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, size=(300, 4)).astype(np.float32)
+    x[50:150] = x[50]
+    lists = rng.integers(0, 5, 300) * 3
+    ids = rng.permutation(1000)[:300]
+    again = rng.permutation(300)[:80]
+    at, own = np.concatenate((np.arange(300), again)), np.concatenate((lists, (lists[again] + 3) % 15))
+    asked = np.concatenate((np.arange(40, 70), np.arange(10)))
+    least = np.where(np.arange(40) % 4 == 0, 3.0, -np.inf)
+    row, read = np.nonzero(rng.random((40, 15)) < 0.5)
+    got = list(zip(*(a.tolist() for a in ann.best_in_cell(own, ids[at], x[at], ids[asked], x[asked], least, row, read, 7))))
+    want = []
+    for n, q in enumerate(asked):
+        seen = {i: float(x[q].astype(float) @ x[i].astype(float)) for i, l in zip(at, own) if l in set(read[row == n].tolist()) and i != q}
+        want += sorted(((int(ids[q]), int(ids[i]), s) for i, s in seen.items() if s >= least[n]), key=lambda r: (-r[2], r[1]))[:7]
+    assert sorted(got) == sorted(want)
+    assert all(len(a) == 0 for a in ann.best_in_cell(own[:1], ids[:1], x[:1], ids[:1], x[:1], np.zeros(1), np.zeros(0, int), np.zeros(0, int), 7))
+
+
 def test_lists_are_pruned_and_balanced():
     for kind in ("unit", "uneven norms", "outlier"):
         x = varied(kind)
