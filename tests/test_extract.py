@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import ENDS, strip
 from tessera.operators import citations
-from tessera.operators.extract import ENTITIES, LINEAR, PHRASE, RELATIONS, entities, relations, unresolved
+from tessera.operators.extract import ENTITIES, LINEAR, PHRASE, RELATIONS, entities, extract_with_rules, likely, relations, unresolved
 
 #: Pieces of which texts are made that come near each pattern, and what it finds.
 PIECES = {
@@ -38,6 +38,44 @@ def test_linear_patterns_find_the_same(spark, kind):
     assert both.where("size(want[0]) > 0").count() > 10
 
 
+def test_texts_are_tested_once_and_none_is_passed_over(spark):
+    """What whole patterns find in each text is found, though most texts are searched for few of them and by lines; one pass over a batch tells which."""
+    rng = random.Random(5)
+    odd = ["\n", "\x0b", "\x1c", "\u0085", "\u3000", "\u0663", "\u0660", "\u0130", "\u0131", "\u017f", "\u212a", "\u65e5", " ", "4", "5", "deadbee", "0af", "f", "fix", "FIX", " 404 ", " 5\u0663\u0660 ", "503", " f\u0130x AB-12 ", " Fixed CD-\u0663", "F\u0131xes", "cau\u017fed by", "owner", ":", "modified", "AB-1"]
+    pieces = [*odd, *sum(PIECES.values(), [])]
+    texts = {"".join(rng.choice(pieces if rng.random() < 0.5 else own) for _ in range(rng.randint(1, 16))) for own in [*PIECES.values(), odd] for _ in range(1500)} | {""}
+    rows = spark.createDataFrame([(f"R{i}", None if i % 9 == 0 else "T", t) for i, t in enumerate(sorted(texts))], "id string, title string, body string").repartition(4)
+    found = extract_with_rules(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), "body")
+
+    def matches(pattern, value):
+        return F.transform(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: v != ""), value)
+
+    def typed(kind):
+        return lambda v: F.concat(F.lit(kind + " "), v)
+
+    def as_(relation):
+        return lambda v: F.concat(F.lit(relation), F.substring(v, 1, 0))
+
+    want = F.concat(*[matches(p, typed(k)) for k, p in ENTITIES.items()])
+    edges = F.concat(*[matches(p, as_(r)) for p, r, _ in RELATIONS])
+    phrases = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(PHRASE), F.lit(1)))), ", ")
+
+    def names(e):
+        return F.transform(e, lambda x: F.concat(x["type"], F.lit(" "), x["name"]))
+
+    both = found.select("id", "body", want.alias("want"), names(F.col("entities")).alias("got"), names(entities(text)).alias("alone"), edges.alias("want_edges"), F.col("relationships.relation").alias("got_edges"),
+                        phrases.alias("want_phrases"), F.coalesce("unresolved_text", F.lit("")).alias("got_phrases"), F.coalesce(unresolved(text), F.lit("")).alias("phrases_alone")).cache()
+    assert both.where("want <> got OR want <> alone OR want_edges <> got_edges OR want_phrases <> got_phrases OR want_phrases <> phrases_alone").take(3) == []
+    for kind in ENTITIES:
+        assert both.where(F.exists("want", lambda v: v.startswith(kind + " "))).count() > 10, kind
+    assert both.where("want_phrases <> ''").count() > 10 and both.where(F.array_contains("want_edges", "fixes")).count() > 10
+    both.unpersist()
+    # Few texts are searched for all.
+    assert rows.where(likely(F.col("body")) == 0).count() > 0
+
+
 def test_ends_are_stripped_the_same(spark):
     rng = random.Random(2)
     texts = {"".join(rng.choice([" ", "\n", "\r", "\u0085", " ", "a", "\t"]) for _ in range(rng.randint(0, 9))) for _ in range(3000)}
